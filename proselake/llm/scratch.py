@@ -25,30 +25,28 @@ def hadoop_path(spark: SparkSession, path: str):
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a re-read, not a recomputation.
 
-    ``put`` writes and reads back; ``drop`` deletes tables that no later step needs and lets
-    Spark's cleaner remove the shuffle files of finished steps.
+    ``put`` writes, reads back, and lets Spark's cleaner remove the shuffle files of what it wrote;
+    ``drop`` deletes tables that no later step needs.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
+        self.sweep()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             p, fs = hadoop_path(self.spark, t._scratch_path)
             fs.delete(p, True)
-        self.sweep()
 
     def sweep(self) -> None:
         gc.collect()
