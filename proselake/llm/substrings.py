@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import SPACE, U, Words, chunks, doc_hash, mix, ngrams, ragged, words_of
+from .text import SPACE, U, Words, bytes_of, chunks, mix, ngrams, words_of
 
 WINDOW, GRAM = 20, 8
 _SECOND = U(0xC2B2AE3D27D4EB4F)
@@ -45,13 +45,13 @@ def minimizers(w: Words, h: np.ndarray, window: int, gram: int) -> tuple[np.ndar
 
 
 def windows(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of the words of each window."""
-    return ngrams(h, window, 13)[at], ngrams(mix(h * _SECOND), window, 17)[at]
+    """Two independent hashes (64 and 32 bits) of the words of each window."""
+    return ngrams(h, window, 13)[at], ngrams(mix(h * _SECOND), window, 17)[at].astype(np.uint32)
 
 
 def first_in_doc(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """True where (a, b) has not come earlier in the same document."""
-    order = np.lexsort((np.arange(len(a)), a ^ (b >> U(1)), doc))
+    order = np.lexsort((np.arange(len(a)), a ^ b.astype(np.uint64), doc))
     x, y, d = a[order], b[order], doc[order]
     new = np.ones(len(a), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (d[1:] != d[:-1])
@@ -76,21 +76,12 @@ def _fingerprints(window: int, gram: int):
                 new = np.ones(len(doc), bool)
                 new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
                 doc, least = doc[new], least[new]
-                key = b.column(0).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), key, pa.array(doc_hash(h, w.ptr).view(np.int64)[doc])], ["fp", "key", "version"])
+                rows = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), b.column(0).take(rows), b.column(2).take(rows)], ["fp", "key", "version"])
 
     return run
 
 
-def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to each document the hash of its words, which tells rows with one id apart."""
-    for big in batches:
-        for b in chunks(big, limit=1_000_000):
-            w = words_of(b)
-            v = doc_hash(w.hashes(), w.ptr).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v)], [*b.schema.names, "version"])
-
-
 def _candidates(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -115,7 +106,7 @@ def _candidates(window: int, gram: int):
                 for i in range(0, max(1, len(at)), 200_000):
                     z = slice(i, i + 200_000)
                     rows = pa.array(doc[z])
-                    yield pa.RecordBatch.from_arrays([pa.array(p[z].view(np.int64)), pa.array(q[z].view(np.int64)), b.column(0).take(rows), b.column(2).take(rows), pa.array((at[z] - w.ptr[doc[z]]).astype(np.int32))], ["w1", "w2", "key", "version", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(p[z].view(np.int64)), pa.array(q[z].view(np.int32)), b.column(0).take(rows), b.column(2).take(rows), pa.array((at[z] - w.ptr[doc[z]]).astype(np.int32))], ["w1", "w2", "key", "version", "pos"])
 
     return run
 
@@ -152,16 +143,15 @@ def _removed(b: pa.RecordBatch, window: int) -> pa.RecordBatch:
     mark[w.start[~cover]] += 1
     mark[w.end[~cover]] -= 1
     keep = np.cumsum(mark[:-1]).astype(bool)
-    texts, sums, off = [], [], np.searchsorted(w.start, 0)
-    _, off = _doc_bytes(b)
+    texts, sums = [], []
+    _, off = bytes_of(b.column(b.schema.get_field_index("text")))
     for d in range(len(n)):
         raw = w.buf[off[d] : off[d + 1]]
         if lost[d]:
             k = keep[off[d] : off[d + 1]].copy()
-            space = SPACE[raw]
             s = w.start[w.ptr[d] : w.ptr[d + 1]][~cover[w.ptr[d] : w.ptr[d + 1]]] - off[d]
             lead = s[1:] - 1  # at least one space byte lies before every word but the first
-            clean = np.where(space, np.uint8(0x20), raw)
+            clean = np.where(SPACE[raw], np.uint8(0x20), raw)
             k[lead] = True
             text = clean[k].tobytes()
             kept = text
@@ -174,12 +164,6 @@ def _removed(b: pa.RecordBatch, window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, ["key", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def _doc_bytes(b: pa.RecordBatch):
-    from .text import bytes_of
-
-    return bytes_of(b.column(b.schema.get_field_index("text")))
-
-
 class FingerprintIndex:
     """Runs of (fingerprint, document), newest batch last; batches come in document order."""
 
@@ -209,7 +193,7 @@ class FingerprintIndex:
         are left to ``removals``, which sees the whole text.
         """
         s = self.scratch
-        prints = docs.select("key", "text").mapInArrow(_fingerprints(self.window, self.gram), "fp long, key long, version long").dropDuplicates(["fp", "key", "version"])
+        prints = docs.mapInArrow(_fingerprints(self.window, self.gram), "fp long, key long, version int").dropDuplicates(["fp", "key", "version"])
         new = s.put(prints.repartition("fp").sortWithinPartitions("fp"))
         older = self.runs()
         everything = reduce(DataFrame.unionAll, [r.select("*", F.lit(0).alias("new")) for r in older] + [new.select("*", F.lit(1).alias("new"))])
@@ -220,7 +204,7 @@ class FingerprintIndex:
         self._append(new)
         self.texts.append(docs)
         around = reduce(DataFrame.unionAll, self.texts).join(hits.select("key", "version", "shared"), ["key", "version"]).select("key", "text", "version", "shared")
-        found = s.put(around.mapInArrow(_candidates(self.window, self.gram), "w1 long, w2 long, key long, version long, pos int"))
+        found = s.put(around.mapInArrow(_candidates(self.window, self.gram), "w1 long, w2 int, key long, version int, pos int"))
         first = found.groupBy("w1", "w2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("w1", "w2", "first")
         first = s.put(first)
         again = found.join(first, ["w1", "w2"]).where("key > first").groupBy("key", "version").agg(F.collect_list("pos").alias("spots"))
@@ -241,21 +225,21 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
     """
     low = -(1 << 63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("version", F.xxhash64("text").cast("int"))  # tells rows with one id apart
     cuts = docs.agg(F.percentile_approx("key", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     index = FingerprintIndex(spark, window=window, gram=gram)
     edges, spots = [None, *cuts, None], []
-    with_version = docs.mapInArrow(_versions, "key long, text string, version long")
     for a, z in zip(edges[:-1], edges[1:], strict=True):
         part = F.lit(True)
         if a is not None:
             part &= F.col("key") > a
         if z is not None:
             part &= F.col("key") <= z
-        spots.append(index.ingest(docs.where(part).mapInArrow(_versions, "key long, text string, version long")))
+        spots.append(index.ingest(docs.where(part)))
     index.scratch.drop(*index.runs())
     spots = reduce(DataFrame.unionAll, spots)
-    full = with_version.join(spots, ["key", "version"], "left").select("key", "text", F.coalesce("spots", F.array().cast("array<int>")).alias("spots"))
+    full = docs.join(spots, ["key", "version"], "left").select("key", "text", F.coalesce("spots", F.array().cast("array<int>")).alias("spots"))
     out = full.mapInArrow(_remove(window), "key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.when(F.col("key") != low, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
 
