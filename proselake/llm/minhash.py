@@ -119,6 +119,18 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(na), pa.array(nb), pa.array(both)], ["a", "b", "na", "nb", "both"])
 
 
+def _additions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(centre, sid, in_main, centre's set, set) -> a row per element of the set outside the centre's."""
+    for b in batches:
+        lists = []
+        for c, e in zip(b.column(3), b.column(4), strict=True):
+            c, e = np.frombuffer(c.as_py(), np.uint64), np.frombuffer(e.as_py(), np.uint64)
+            lists.append(np.setdiff1d(e, c, assume_unique=True).view(np.int64))
+        rows = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+        flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
+        yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(3)), pa.array(flat, pa.int64())], ["centre", "sid", "in_main", "e"])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per input row.
 
@@ -129,8 +141,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     - Equal sets are grouped by a digest first: a group of copies costs one row per copy.
     - Each bucket compares its members with one centre, the member that fills the largest
       buckets (usually the text that the others were copied from).  What these links don't join
-      is compared across components, after an exact bound on the intersection that follows from
-      both sides' overlap with the centre; so no link is lost and pairs stay few.
+      is compared across components: two members share at most the lesser of their overlaps with
+      the centre plus the shingles that both add to it, so candidates are pairs for which the
+      first is enough, and pairs that meet in added shingles; no link is lost and pairs stay few.
     - Null or empty text, or text without words: no shingles, linked with nothing, kept.
       A null doc_id gives a null component where no other id is in reach, and kept = false.
       Repeated rows have equal sets and share a component.  Columns besides these two are ignored.
@@ -162,23 +175,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     links = s.put(checked.where(ok).select(F.col("a").alias("u"), F.col("b").alias("v")))
     group = s.put(components(s, links))
 
-    # Buckets that still hold several components: compare across them.
+    # Centres whose members are still in several components: compare across them.
     size = checked.select(F.col("a").alias("sid"), F.col("na").alias("n")).union(checked.select("b", "nb")).distinct()
     rows_ = (
         member.join(centre, "bucket")
+        .select("centre", "sid")
+        .distinct()
         .join(group.withColumnRenamed("node", "sid"), "sid", "left")
         .join(size, "sid")
         .join(checked.select(F.col("a").alias("sid"), F.col("b").alias("centre"), "both"), ["sid", "centre"], "left")
-        .select("bucket", "sid", F.coalesce("component", "sid").alias("comp"), "n", F.coalesce("both", F.when(F.col("sid") == F.col("centre"), F.col("n"))).alias("inn"))
+        .select("centre", "sid", F.coalesce("component", "sid").alias("comp"), "n", F.coalesce("both", F.when(F.col("sid") == F.col("centre"), F.col("n"))).alias("inn"))
     )
     rows_ = s.put(rows_)
-    held = rows_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-    mixed = s.put(held.where("comps > 1").select("bucket", F.col("top.comp").alias("main")))
-    every = s.put(rows_.join(mixed, "bucket").select("bucket", "sid", "comp", "n", "inn", (F.col("comp") == F.col("main")).alias("in_main")))
-    x = every.where("not in_main").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("sid", "comp", "n", "inn")))
-    most = "(least(x_inn, inn) + least(x_n - x_inn, n - inn))"
-    cross = x.join(every, "bucket").where("x_comp <> comp and (in_main or x_sid < sid)").where(f"100 * {most} >= {percent} * (x_n + n - {most})")
-    cross = s.put(cross.select(F.col("x_sid").alias("a"), F.col("sid").alias("b")).distinct())
+    held = rows_.groupBy("centre", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("centre").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+    mixed = s.put(held.where("comps > 1").select("centre", F.col("top.comp").alias("main")))
+    every = s.put(rows_.join(mixed, "centre").select("centre", "sid", "comp", "n", "inn", (F.col("comp") == F.col("main")).alias("in_main")))
+    x = every.where("not in_main").select("centre", *(F.col(c).alias(f"x_{c}") for c in ("sid", "comp", "n", "inn")))
+    apart = "x_comp <> comp and (in_main or x_sid < sid)"
+    # Two members share at most the lesser of their overlaps with the centre, and what both add to it.
+    most = "least(x_inn, inn)"
+    plain = x.join(every, "centre").where(apart).where(f"100 * {most} >= {percent} * (x_n + n - {most})").select("x_sid", "sid")
+    inside = elems.select(F.col("sid").alias("centre"), F.col("elems").alias("ec"))
+    added = every.select("centre", "sid", "in_main").join(inside, "centre").join(elems, "sid").select("centre", "sid", "in_main", "ec", "elems")
+    added = s.put(added.mapInArrow(_additions, "centre long, sid long, in_main boolean, e long"))
+    twice = added.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("k"), F.min("in_main").alias("all_main")).where("k > 1 and not all_main").select("centre", "e")
+    added = s.put(added.join(twice, ["centre", "e"]))
+    held_by = added.where("not in_main").select("centre", "e", F.col("sid").alias("x_sid"))
+    shared = held_by.join(added.select("centre", "e", "sid", "in_main"), ["centre", "e"]).where("x_sid < sid or (in_main and x_sid <> sid)").groupBy("centre", "x_sid", "sid").agg(F.count(F.lit(1)).alias("o"))
+    most = f"({most} + o)"
+    through = shared.join(x, ["centre", "x_sid"]).join(every, ["centre", "sid"]).where(apart).where(f"100 * {most} >= {percent} * (x_n + n - {most})").select("x_sid", "sid")
+    cross = s.put(plain.union(through).select(F.col("x_sid").alias("a"), F.col("sid").alias("b")).distinct())
     more = verify(cross).where(ok).select(F.col("a").alias("u"), F.col("b").alias("v"))
     more = s.put(more)
     if not more.isEmpty():
@@ -186,7 +212,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     first = sets.join(group.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("comp"), "first_id")
     least = first.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = s.put(first.join(least, "comp").select("sid", "component_id"))
-    s.drop(member, weight, centre, near, elems, checked, links, rows_, mixed, every, cross, more, sets, group)
+    s.drop(member, weight, centre, near, elems, checked, links, rows_, mixed, every, added, cross, more, sets, group)
     out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))

@@ -225,7 +225,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
     """
     low = -(1 << 63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("version", F.xxhash64("text").cast("int"))  # tells rows with one id apart
+    docs = docs.withColumn("version", F.hash("text"))  # tells rows with one id apart
     cuts = docs.agg(F.percentile_approx("key", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     index = FingerprintIndex(spark, window=window, gram=gram)
