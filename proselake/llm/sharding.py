@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import hadoop_path, shared_root
 
@@ -63,7 +64,8 @@ class ShardStore:
         tag = uuid.uuid4().hex[:8]
         base, runs = self.version(), self.live()
         (arrivals.withColumn("_run", F.concat(F.lit(f"{tag}-"), F.col(arrival).cast("string"))).write.mode("append").partitionBy("_run").parquet(f"{self.path}/incoming/{tag}"))
-        counts = self.spark.read.parquet(f"{self.path}/incoming/{tag}").groupBy("_run").agg(F.count(F.lit(1)).alias("n")).collect()
+        schema = T.StructType([*arrivals.schema.fields, T.StructField("_run", T.StringType())])
+        counts = self.spark.read.schema(schema).parquet(f"{self.path}/incoming/{tag}").groupBy("_run").agg(F.count(F.lit(1)).alias("n")).collect()
         for r in sorted(counts, key=lambda r: r["_run"]):
             src, fs = hadoop_path(self.spark, f"{self.path}/incoming/{tag}/_run={r['_run']}")
             dst = hadoop_path(self.spark, f"{self.path}/data/{r['_run']}")[0]
@@ -72,7 +74,8 @@ class ShardStore:
             runs.append(self._describe(r["_run"], r["n"], 0))
         p, fs = hadoop_path(self.spark, f"{self.path}/incoming/{tag}")
         fs.delete(p, True)
-        self.commit(runs, base)
+        if counts:
+            self.commit(runs, base)
 
     def compact(self) -> None:
         """Merges while a tier has ``fanout`` runs."""
