@@ -52,7 +52,8 @@ def gram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
 
 
 def _multinomial(docs: DataFrame, name: str, buckets: int) -> DataFrame:
-    grams = docs.select(F.explode(gram_buckets(word_array(F.col("text")), buckets)).alias("bucket"))
+    words = docs.select(word_array(F.col("text")).alias("words"))  # a column of its own, split once a document
+    grams = words.select(F.explode(gram_buckets(F.col("words"), buckets)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
 
 
