@@ -75,7 +75,7 @@ def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, threshold
     repeated rows are judged each for itself.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    target = docs.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi")
+    target = docs.join(trusted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")  # ids grow with the corpus: never broadcast
     weights = F.expr("array(" + ",".join(f"{w!r}D" for w in gram_weights(spark, target, docs, buckets)) + ")")  # folded to one literal
     scored = base_counts(docs).withColumn("grams", gram_buckets(F.col("words"), buckets))
     score = F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(weights, b)) / F.greatest(F.size("grams"), F.lit(1))
