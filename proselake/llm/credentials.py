@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .text import lean
 
 #: Kinds and patterns of the base rules.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -90,7 +91,7 @@ def find_secrets(spark: SparkSession, docs: DataFrame, *, example_owners: int =
     s = Scratch(spark, "secrets")
     owner = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), owner.alias("owner"))
-    rows = s.put(rows.select("doc_id", "text", "owner").mapInArrow(_with_owner, SCANNED + ", owner string"))
+    rows = s.put(rows.select("doc_id", "text", "owner").mapInArrow(lean(_with_owner), SCANNED + ", owner string"))
     every = F.explode(F.concat(F.transform("base", lambda x: x["hash"]), F.transform("more", lambda x: x["hash"])))
     seen = rows.select("version", "owner", every.alias("hash")).distinct()
     owners = seen.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("version").alias("repositories"))

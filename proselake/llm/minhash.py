@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .text import U, chunks, doc_hash, mix, ngrams, words_of
+from .text import U, chunks, doc_hash, lean, mix, ngrams, words_of
 
 BANDS, ROWS = 42, 6
 _LOW = U((1 << 40) - 1)
@@ -150,7 +150,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     """
     s = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = s.put(docs.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n long, sid long, bands array<long>"))
+    sig = s.put(docs.mapInArrow(lean(_signatures(shingle, bands, rows)), "doc_id long, n long, sid long, bands array<long>"))
     sets = s.put(sig.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
     member = sets.select("sid", F.explode("bands").alias("bucket"))
     many = s.put(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
@@ -162,13 +162,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     near = s.put(member.join(centre, "bucket").where("sid <> centre").select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct())
 
     texts = weight.join(sets.select("sid", "first_id"), "sid").where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
-    elems = s.put(docs.join(texts, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "sid long, elems binary").join(weight.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
+    elems = s.put(docs.join(texts, "doc_id", "left_semi").mapInArrow(lean(_full_sets(shingle)), "sid long, elems binary").join(weight.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = elems.select(F.col("sid").alias("a"), F.col("elems").alias("ea"))
         right = elems.select(F.col("sid").alias("b"), F.col("elems").alias("eb"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb")
-        return both.mapInArrow(_intersect, "a long, b long, na long, nb long, both long")
+        return both.mapInArrow(lean(_intersect), "a long, b long, na long, nb long, both long")
 
     checked = s.put(verify(near))
     ok = f"100 * both >= {percent} * (na + nb - both)"
@@ -197,7 +197,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     plain = x.join(every, "centre").where(apart).where(f"100 * {most} >= {percent} * (x_n + n - {most})").select("x_sid", "sid")
     inside = elems.select(F.col("sid").alias("centre"), F.col("elems").alias("ec"))
     added = every.select("centre", "sid", "in_main").join(inside, "centre").join(elems, "sid").select("centre", "sid", "in_main", "ec", "elems")
-    added = s.put(added.mapInArrow(_additions, "centre long, sid long, in_main boolean, e long"))
+    added = s.put(added.mapInArrow(lean(_additions), "centre long, sid long, in_main boolean, e long"))
     twice = added.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("k"), F.min("in_main").alias("all_main")).where("k > 1 and not all_main").select("centre", "e")
     added = s.put(added.join(twice, ["centre", "e"]))
     held_by = added.where("not in_main").select("centre", "e", F.col("sid").alias("x_sid"))

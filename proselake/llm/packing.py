@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import HELD, lean
+
 CAPACITY = 1024
 #: Documents whose remainders are pooled together; a pool also ends with its task.
 POOL = 20_000
@@ -71,7 +73,7 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = HELD.setdefault("packing", {})
 
 
 def encoder(model: str, ranks: str) -> Encoder:
@@ -167,6 +169,7 @@ def _pack(model: str, ranks: str, capacity: int, end: int, pool: int):
                     yield out()
         empty()
         yield out()
+        enc.cache.clear()
 
     return run
 
@@ -185,7 +188,7 @@ def pack(docs: DataFrame, *, model: str | None = None, ranks: str | None = None,
     model = model or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _pack(model, ranks, capacity, end, pool), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        lean(_pack(model, ranks, capacity, end, pool), "packing"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
 
 

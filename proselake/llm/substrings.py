@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import SPACE, U, Words, bytes_of, chunks, mix, ngrams, words_of
+from .text import SPACE, U, Words, bytes_of, chunks, lean, mix, ngrams, words_of
 
 WINDOW, GRAM = 20, 8
 _SECOND = U(0xC2B2AE3D27D4EB4F)
@@ -193,7 +193,7 @@ class FingerprintIndex:
         are left to ``removals``, which sees the whole text.
         """
         s = self.scratch
-        prints = docs.mapInArrow(_fingerprints(self.window, self.gram), "fp long, key long, version int").dropDuplicates(["fp", "key", "version"])
+        prints = docs.mapInArrow(lean(_fingerprints(self.window, self.gram)), "fp long, key long, version int").dropDuplicates(["fp", "key", "version"])
         new = s.put(prints.repartition("fp").sortWithinPartitions("fp"))
         older = self.runs()
         everything = reduce(DataFrame.unionAll, [r.select("*", F.lit(0).alias("new")) for r in older] + [new.select("*", F.lit(1).alias("new"))])
@@ -204,7 +204,7 @@ class FingerprintIndex:
         self._append(new)
         self.texts.append(docs)
         around = reduce(DataFrame.unionAll, self.texts).join(hits.select("key", "version", "shared"), ["key", "version"]).select("key", "text", "version", "shared")
-        found = s.put(around.mapInArrow(_candidates(self.window, self.gram), "w1 long, w2 int, key long, version int, pos int"))
+        found = s.put(around.mapInArrow(lean(_candidates(self.window, self.gram)), "w1 long, w2 int, key long, version int, pos int"))
         first = found.groupBy("w1", "w2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("w1", "w2", "first")
         first = s.put(first)
         again = found.join(first, ["w1", "w2"]).where("key > first").groupBy("key", "version").agg(F.collect_list("pos").alias("spots"))
@@ -240,7 +240,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
     index.scratch.drop(*index.runs())
     spots = reduce(DataFrame.unionAll, spots)
     full = docs.join(spots, ["key", "version"], "left").select("key", "text", F.coalesce("spots", F.array().cast("array<int>")).alias("spots"))
-    out = full.mapInArrow(_remove(window), "key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = full.mapInArrow(lean(_remove(window)), "key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.when(F.col("key") != low, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
 
 

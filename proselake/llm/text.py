@@ -6,7 +6,9 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which in UTF-8 e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,39 @@ def powers(base: int, n: int) -> np.ndarray:
         step = np.full(size, U(base), np.uint64)
         step[0] = U(1)
         have = np.multiply.accumulate(step)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[base] = have
     return have[:n]
 
 
+#: Models that a Python worker keeps from task to task, by the kind of task that uses them.
+HELD: dict[str, dict] = {}
+
+
+def forget(keep: str | None) -> None:
+    """Drops the models of other kinds of tasks and gives free memory back to the system."""
+    for kind, models in HELD.items():
+        if kind != keep:
+            models.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable, keep: str | None = None) -> Callable:
+    """``run`` over a task's batches, so that idle and reused workers hold no more than the models of ``keep``."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keep)
+        yield from run(batches)
+        forget(keep)
+
+    return task
+
+
 class Words:
     """Words of a few documents: byte positions and, per document, a range of word indexes."""
 
