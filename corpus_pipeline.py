@@ -7,11 +7,10 @@ of ``documents``.  ``run`` writes each stage as Parquet in the shared folder and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from proselake.deploy import ship
 from proselake.llm.credentials import redact_secrets
-from proselake.llm.langid import fit_languages, held_out, identify
+from proselake.llm.langid import fit_languages, held_out, keep_identified
 from proselake.llm.minhash import drop_near_duplicates
 from proselake.llm.packing import pack
 from proselake.llm.scratch import Scratch
@@ -25,9 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a language of a fair share, go."""
     ship(spark)
     model = fit_languages(spark, docs.where(~held_out()).select("doc_id", "text", "lang"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    bad = identify(spark, docs, model).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SHARE)).select(key.alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select(docs.columns)
+    return keep_identified(docs, model, LEAST_SHARE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

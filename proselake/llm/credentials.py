@@ -124,7 +124,8 @@ def _label(x):
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs with every found span replaced by ``[SECRET]`` in text (overlapping spans as one);
-    documents without spans keep their very text, n_chars follows where present."""
+    documents without spans keep their very text, n_chars follows where present.  Every row comes back
+    once, judged by its own text, whatever other rows share its doc_id."""
     s = Scratch(spark, "redact")
     found = find_secrets(spark, docs, **options).where("size(base) + size(added) > 0")
     found = s.put(found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_spans"), "version").dropDuplicates(["_doc", "version"]))
@@ -147,12 +148,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
     def version(texts):
         return texts.map(lambda t: hashlib.blake2b((t or "").encode(), digest_size=12).hexdigest())
 
-    both = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(found.withColumnRenamed("version", "_version"), "_doc", "left")
-    hit = both.where("_spans is not null").where(version("text") == F.col("_version")).withColumn("text", cut("text", "_spans"))
+    key = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_version": version(F.col("text").cast("string"))}
+    both = docs.withColumns(key).join(found.withColumnRenamed("version", "_version"), ["_doc", "_version"], "left")
+    both = both.withColumn("text", cut("text", "_spans"))
     if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    clean = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(found.select("_doc").distinct(), "_doc", "left_anti")
-    return hit.select(docs.columns).union(clean.select(docs.columns))
+        both = both.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return both.select(docs.columns)
 
 
 def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

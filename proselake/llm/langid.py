@@ -238,6 +238,24 @@ def identify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(_label(model)), "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: dict, least: float) -> DataFrame:
+    """The rows of docs with a language whose share is ``least`` or more; each row is judged by its own
+    text, whatever its doc_id, so that null and repeated ids take nothing from each other."""
+    place = docs.columns.index("text")
+    label = _label(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in chunks(big, limit=600_000):
+                text = b.column(place).cast(pa.string())
+                for got in label(iter([pa.RecordBatch.from_arrays([text, text], ["doc_id", "text"])])):
+                    stay = [x != "und" and y >= least for x, y in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True)]
+                    yield b.slice(0, len(got)).filter(pa.array(stay, pa.bool_()))
+                    b = b.slice(len(got))
+
+    return docs.mapInArrow(lean(run), docs.schema)
+
+
 def held_out(docs_id="doc_id"):
     return F.coalesce(F.crc32(F.col(docs_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 

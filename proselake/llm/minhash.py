@@ -91,7 +91,7 @@ def _signatures(size: int, bands: int, rows: int):
                     key = mix(key * U(0xD6E8FEB86659FD93) + sig[:, :, r])
                 flat = key.reshape(-1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(doc_hash(val, ptr).view(np.int64)), lists], ["doc_id", "n", "sid", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(doc_hash(val, ptr).view(np.int64)), lists, *b.columns[2:]], ["doc_id", "n", "sid", "bands", *b.schema.names[2:]])
 
     return run
 
@@ -148,9 +148,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
       A null doc_id gives a null component where no other id is in reach, and kept = false.
       Repeated rows have equal sets and share a component.  Columns besides these two are ignored.
     """
+    return _grouped(spark, docs, shingle, percent, bands, rows)
+
+
+def _version():
+    """Tells texts with one doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _grouped(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, versioned: bool = False) -> DataFrame:
+    """near_duplicates, with the column version where asked for."""
     s = Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = s.put(docs.mapInArrow(lean(_signatures(shingle, bands, rows)), "doc_id long, n long, sid long, bands array<long>"))
+    extra = ["version"] if versioned else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([_version().alias("version")] if versioned else []))
+    sig = s.put(docs.mapInArrow(lean(_signatures(shingle, bands, rows)), "doc_id long, n long, sid long, bands array<long>" + ", version long" * versioned))
+    docs = docs.select("doc_id", "text")
     sets = s.put(sig.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")))
     member = sets.select("sid", F.explode("bands").alias("bucket"))
     many = s.put(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
@@ -213,15 +225,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     least = first.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = s.put(first.join(least, "comp").select("sid", "component_id"))
     s.drop(member, weight, centre, near, elems, checked, links, rows_, mixed, every, added, cross, more, sets, group)
-    out = sig.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left")
+    out = sig.select("doc_id", *extra, "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", *extra, F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document stands for its group; rows with a null doc_id stay."""
-    gone = near_duplicates(spark, docs, **options).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs whose document stands for its group; rows with a null doc_id stay.  Texts
+    that share a doc_id are judged each for itself."""
+    gone = _grouped(spark, docs, **options, versioned=True).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
+    marked = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_version": _version()})
+    return marked.join(gone, ["_doc", "_version"], "left_anti").select(docs.columns)
 
 
 def op1_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,8 +160,8 @@ def _removed(b: pa.RecordBatch, window: int) -> pa.RecordBatch:
             text = None
         texts.append(text)
         sums.append(hashlib.sha256(kept).hexdigest())
-    out = [b.column(0), pa.array(n), pa.array(lost), pa.array(sums), pa.array(texts, pa.binary()).cast(pa.string())]
-    return pa.RecordBatch.from_arrays(out, ["key", "n_words", "n_removed", "kept_sha256", "kept_text"])
+    out = [b.column(0), pa.array(n), pa.array(lost), pa.array(sums), pa.array(texts, pa.binary()).cast(pa.string()), b.column(b.schema.get_field_index("version"))]
+    return pa.RecordBatch.from_arrays(out, ["key", "n_words", "n_removed", "kept_sha256", "kept_text", "version"])
 
 
 class FingerprintIndex:
@@ -193,7 +193,8 @@ class FingerprintIndex:
         are left to ``removals``, which sees the whole text.
         """
         s = self.scratch
-        prints = docs.mapInArrow(lean(_fingerprints(self.window, self.gram)), "fp long, key long, version int").dropDuplicates(["fp", "key", "version"])
+        docs = docs.withColumn("version", F.col("version").cast("long"))
+        prints = docs.mapInArrow(lean(_fingerprints(self.window, self.gram)), "fp long, key long, version long").dropDuplicates(["fp", "key", "version"])
         new = s.put(prints.repartition("fp").sortWithinPartitions("fp"))
         older = self.runs()
         everything = reduce(DataFrame.unionAll, [r.select("*", F.lit(0).alias("new")) for r in older] + [new.select("*", F.lit(1).alias("new"))])
@@ -204,7 +205,7 @@ class FingerprintIndex:
         self._append(new)
         self.texts.append(docs)
         around = reduce(DataFrame.unionAll, self.texts).join(hits.select("key", "version", "shared"), ["key", "version"]).select("key", "text", "version", "shared")
-        found = s.put(around.mapInArrow(lean(_candidates(self.window, self.gram)), "w1 long, w2 int, key long, version int, pos int"))
+        found = s.put(around.mapInArrow(lean(_candidates(self.window, self.gram)), "w1 long, w2 int, key long, version long, pos int"))
         first = found.groupBy("w1", "w2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("w1", "w2", "first")
         first = s.put(first)
         again = found.join(first, ["w1", "w2"]).where("key > first").groupBy("key", "version").agg(F.collect_list("pos").alias("spots"))
@@ -213,6 +214,12 @@ class FingerprintIndex:
         return again
 
 
+def _version():
+    """Tells texts with one doc_id apart: 32 bits, and 64 where many may share the null id."""
+    text = F.col("text").cast("string")
+    return F.when(F.col("doc_id").cast("long").isNull(), F.xxhash64(text)).otherwise(F.hash(text).cast("long"))
+
+
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256, kept_text (null: unchanged).
 
@@ -223,9 +230,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
     Null or empty texts have no words.  A null doc_id sorts before all others.  Rows that share a
     doc_id count as one document: none of them is "earlier" than another.
     """
+    return _removals(spark, docs, window, gram, batches).drop("version")
+
+
+def _removals(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
+    """remove_repeats, with the column version."""
     low = -(1 << 63)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("version", F.hash("text"))  # tells rows with one id apart
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("key"), F.col("text").cast("string").alias("text"), _version().alias("version"))
     cuts = docs.agg(F.percentile_approx("key", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     index = FingerprintIndex(spark, window=window, gram=gram)
@@ -239,22 +250,21 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, *, window: int = WINDOW
         spots.append(index.ingest(docs.where(part)))
     index.scratch.drop(*index.runs())
     spots = reduce(DataFrame.unionAll, spots)
-    full = docs.join(spots, ["key", "version"], "left").select("key", "text", F.coalesce("spots", F.array().cast("array<int>")).alias("spots"))
-    out = full.mapInArrow(lean(_remove(window)), "key long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.select(F.when(F.col("key") != low, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
+    full = docs.join(spots, ["key", "version"], "left").select("key", "text", "version", F.coalesce("spots", F.array().cast("array<int>")).alias("spots"))
+    out = full.mapInArrow(lean(_remove(window)), "key long, n_words long, n_removed long, kept_sha256 string, kept_text string, version long")
+    return out.select(F.when(F.col("key") != low, F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text", "version")
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs with repeated passages cut out of text.  Unchanged documents keep their very text; a
-    document of which nothing is left goes.  Rows that share a doc_id are all kept as they are
-    changed; n_chars, where present, follows the text."""
+    document of which nothing is left goes.  Rows that share a doc_id are changed each by its own
+    text; n_chars, where present, follows the text."""
     low = -(1 << 63)
     s = Scratch(spark, "strip")
-    cut = remove_repeats(spark, docs, **options).where("n_removed > 0")
-    cut = s.put(cut.select(F.coalesce("doc_id", F.lit(low)).alias("_key"), "n_words", "n_removed", "kept_text").dropDuplicates(["_key", "n_words"]))
-    words = F.size(F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")).cast("long")
-    both = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(low))).withColumn("_words", F.coalesce(words, F.lit(0)))
-    both = both.join(cut.withColumnRenamed("n_words", "_words"), ["_key", "_words"], "left").where("n_removed is null or n_removed < _words")
+    cut = _removals(spark, docs, **options).where("n_removed > 0")
+    cut = s.put(cut.select(F.coalesce("doc_id", F.lit(low)).alias("_key"), F.col("version").alias("_version"), (F.col("n_removed") < F.col("n_words")).alias("_left"), "kept_text").dropDuplicates(["_key", "_version"]))
+    both = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(low)), "_version": _version()})
+    both = both.join(cut, ["_key", "_version"], "left").where("_left is null or _left")
     new = {"text": F.coalesce("kept_text", "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars"))

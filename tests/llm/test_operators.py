@@ -330,3 +330,52 @@ def test_pipeline(spark, tmp_path, docs):
         table = spark.read.parquet(str(tmp_path / name))
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in table.select("doc_id").collect()}
+
+
+def test_pipeline_rows_that_share_an_id(spark, tmp_path):
+    """run() against brute force, on null and repeated ids whose texts get different decisions."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = {"aa": ["tor", "mil", "sepa", "kont", "rulo", "dam", "felt", "gris"], "bb": ["zwug", "xyth", "qorj", "wyx", "vuhz", "jyq", "hwox", "zzyk"]}
+    say = lambda n, lang="aa": " ".join(rng.choice(words[lang]) + rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, say(40, x), x) for i in range(100, 160) for x in (["aa", "bb"][i % 2],)]
+    twin, other, passage = say(50), say(50), say(25)
+    rows += [(5, twin, "aa"), (5, other + " tor", "aa"), (3, other, "aa"), (7, twin, "aa")]  # 5 stands for twin, 3 for other
+    rows += [(None, "12 34 56", None), (None, say(30), "aa"), (8, "12 34", "aa"), (8, say(30), "aa")]  # rejected by language
+    rows += [(None, passage + " " + passage, "aa"), (None, say(50), "aa"), (9, passage, "aa"), (9, say(25), "aa")]  # repeats; all of 9's first text
+    rows += [(None, say(20) + " password: abc12345 " + say(5), "aa"), (None, say(27), "aa"), (11, say(20) + " secret=qwertzu9", "aa"), (11, say(21), "aa")]
+    rows = [(d, t, lang, "s", len(t)) for d, t, lang in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+
+    left = [(d, t) for d, t, *_ in rows if re.search("[a-z]", t)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in left]
+    comp = list(range(len(left)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    least = {c: min((d for (d, _), k in zip(left, comp, strict=True) if k == c and d is not None), default=None) for c in comp}
+    left = [(d, t) for (d, t), c in zip(left, comp, strict=True) if d is None or d == least[c]]
+    assert (5, twin) in left and (5, other + " tor") not in left
+    first, want = {}, Counter()
+    for d, t in left:
+        for i in range(len(t.split()) - 19):
+            k, at = tuple(t.split()[i : i + 20]), (-1 if d is None else d)
+            first[k] = min(first.get(k, at), at)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for d, t in left:
+        w, seen, gone = t.split(), set(), set()
+        for i in range(len(w) - 19):
+            k = tuple(w[i : i + 20])
+            if first[k] < (-1 if d is None else d) or k in seen:
+                gone |= set(range(i, i + 20))
+            seen.add(k)
+        text = re.sub(r"password: abc12345|secret=qwertzu9", "[SECRET]", " ".join(x for i, x in enumerate(w) if i not in gone))
+        if text:
+            ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
+            want[d, len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert Counter((r.doc_id, r.doc_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
