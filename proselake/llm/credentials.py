@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates of every text are hashed; over the corpus each hash is counted by distinct repositories
-(documents' texts) and owners (sources).  A value that many owners share is an example that people
-copy; a value that stays with one owner, and looks random, is taken for live.
+(documents' texts) and owners (sources).  A value that many owners or many repositories share is an
+example that people copy; a value that stays with few of both, and looks random, is taken for live.
 """
 
 from __future__ import annotations
@@ -29,7 +29,9 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_-]
 KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 KINDS = ["assign", "access", "hex", "token", "key"]
 _HINT = re.compile(r"(?i)(?:sswor|passwd|secret|token|api_?key)", re.ASCII)
-ENTROPY, EXAMPLE_OWNERS = 3.0, 3
+ENTROPY = 3.0
+#: Widely copied: from so many owners on, or so many repositories (more than the near copies of one leaked text).
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 
 
 def entropy(value: str) -> float:
@@ -78,13 +80,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(version, pa.string()), pa.array(base, base_kind), pa.array(more, more_kind)], ["doc_id", "version", "base", "more"])
 
 
-def find_secrets(spark: SparkSession, docs: DataFrame, *, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, version (of the text), base, added, n_example, n_live.
+def find_secrets(spark: SparkSession, docs: DataFrame, *, example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, version (of the text), base, added, n_example, n_live, counts.
 
     ``base`` and ``added`` are arrays of (kind, start, end) in code points, ``end`` exclusive, kinds
     numbered as in KINDS.  Added spans look random and belong to fewer than ``example_owners``
-    distinct sources.  n_example and n_live count a document's candidates (base ones included)
-    by ownership: shared by that many owners, or not.  A null source counts as one more owner;
+    distinct sources and fewer than ``example_repositories`` distinct texts.  n_example and n_live
+    count a document's candidates (base ones included): shared by that many of either, or not.
+    ``counts`` gives (start, kind, end, owners, repositories) of every candidate.  A null source
+    counts as one more owner, and a table without sources is judged by its texts;
     null or empty text has no candidates.  Repeated rows are scanned each for itself, and count
     as one repository.
     """
@@ -96,16 +100,18 @@ def find_secrets(spark: SparkSession, docs: DataFrame, *, example_owners: int =
     seen = rows.select("version", "owner", every.alias("hash")).distinct()
     owners = seen.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("version").alias("repositories"))
     spans = rows.where("size(base) + size(more) > 0").select("doc_id", "version", F.explode(F.concat(F.transform("base", lambda x: _as_span(x, False)), F.transform("more", lambda x: _as_span(x, True)))).alias("x")).select("doc_id", "version", "x.*").distinct()
+    wide = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
     judged = spans.join(owners, "hash").groupBy("doc_id", "version").agg(
-        F.sort_array(F.collect_list(F.when(F.col("extra") & F.col("random") & (F.col("owners") < example_owners), F.struct("start", "kind", "end")))).alias("added"),
-        F.count(F.when(F.col("owners") >= example_owners, 1)).alias("n_example"),
-        F.count(F.when(F.col("owners") < example_owners, 1)).alias("n_live"),
+        F.sort_array(F.collect_list(F.when(F.col("extra") & F.col("random") & ~wide, F.struct("start", "kind", "end")))).alias("added"),
+        F.count(F.when(wide, 1)).alias("n_example"),
+        F.count(F.when(~wide, 1)).alias("n_live"),
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories"))).alias("counts"),
     )
     judged = s.put(judged.withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id"))
     out = rows.withColumn("_doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(judged, ["_doc", "version"], "left")
     base = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     added = F.transform(F.coalesce("added", F.array()), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return out.select("doc_id", "version", base.alias("base"), added.alias("added"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.coalesce("n_live", F.lit(0)).alias("n_live"))
+    return out.select("doc_id", "version", base.alias("base"), added.alias("added"), F.coalesce("n_example", F.lit(0)).alias("n_example"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("counts", F.array().cast(judged.schema["counts"].dataType)).alias("counts"))
 
 
 def _as_span(x, extra: bool):

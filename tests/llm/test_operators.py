@@ -379,3 +379,17 @@ def test_pipeline_rows_that_share_an_id(spark, tmp_path):
             ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], "<u4")
             want[d, len(ids), zlib.crc32(ids.tobytes())] += 1
     assert Counter((r.doc_id, r.doc_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_secrets_copied_inside_one_source(spark):
+    from proselake.llm.credentials import find_secrets, redact_secrets
+
+    example, live = "Example0Key1Copied2In3One4Source5", "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1"
+    rows = [(i, f"page {i} shows {example}", "hot") for i in range(12)] + [(50 + i, f"{i} {live}", "hot") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for table in (docs, docs.drop("source")):
+        got = {r.doc_id: r for r in find_secrets(spark, table).collect()}
+        assert all((got[i].added, got[i].n_example, got[i].n_live) == ([], 1, 0) for i in range(12))
+        assert all((len(got[i].added), got[i].n_example, got[i].n_live) == (1, 0, 1) for i in (50, 51))
+        assert [(x.owners, x.repositories) for x in got[3].counts + got[50].counts] == [(1, 12), (1, 2)]
+    assert {r.doc_id: r.text for r in redact_secrets(spark, docs).collect()}[3] == rows[3][1]
