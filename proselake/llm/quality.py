@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 13
 #: Least mean log-likelihood ratio of a document's n-grams (nats per n-gram).
 THRESHOLD = -0.15
+#: Weight of the raw distribution in the target's, in n-grams a bucket.
+PRIOR = 4
 
 
 def word_array(text: Column) -> Column:
@@ -58,11 +60,16 @@ def _multinomial(docs: DataFrame, name: str, buckets: int) -> DataFrame:
 
 
 def gram_weights(spark: SparkSession, target: DataFrame, raw: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """log p_target - log p_raw of every bucket, add-one smoothed; ``buckets`` numbers, whatever the input."""
+    """log p_target - log p_raw of every bucket; ``buckets`` numbers, whatever the input.
+
+    p_raw is add-one smoothed; the target has PRIOR * buckets more n-grams spread as p_raw, so that
+    a bucket without evidence has the ratio 0.  Chance alone (a target of any size drawn from the
+    raw corpus) moves the mean ratio by 1 / (8 * PRIOR) nats at most, to second order.
+    """
     both = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(_multinomial(target, "t", buckets), "bucket", "left").join(_multinomial(raw, "r", buckets), "bucket", "left").fillna(0)
     rows = both.orderBy("bucket").collect()
-    t, r = sum(x.t for x in rows) + buckets, sum(x.r for x in rows) + buckets
-    return [math.log((x.t + 1) / t) - math.log((x.r + 1) / r) for x in rows]
+    t, r, prior = sum(x.t for x in rows), sum(x.r for x in rows) + buckets, PRIOR * buckets
+    return [math.log((x.t * r / (x.r + 1) + prior) / (t + prior)) for x in rows]
 
 
 def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
@@ -70,8 +77,8 @@ def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, threshold
 
     Raw counts come from all documents, target counts from those in ``trusted``; score is the mean
     log-likelihood ratio of a document's word and word-pair buckets (0 without words).  kept: not
-    base_failed and score >= threshold.  Without trusted documents every ratio is close to 0 and the
-    base rules decide.  Null or empty text has no words and fails; null doc_ids are never trusted;
+    base_failed and score >= threshold.  Without trusted documents every ratio is 0 and the base
+    rules decide; with few it stays close to 0.  Null or empty text has no words and fails; null doc_ids are never trusted;
     repeated rows are judged each for itself.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

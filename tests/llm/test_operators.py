@@ -393,3 +393,16 @@ def test_secrets_copied_inside_one_source(spark):
         assert all((len(got[i].added), got[i].n_example, got[i].n_live) == (1, 0, 1) for i in (50, 51))
         assert [(x.owners, x.repositories) for x in got[3].counts + got[50].counts] == [(1, 12), (1, 2)]
     assert {r.doc_id: r.text for r in redact_secrets(spark, docs).collect()}[3] == rows[3][1]
+
+
+def test_quality_with_few_or_no_labels(spark):
+    from proselake.llm.quality import judge
+
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join(vocab[int(300 * rng.random() ** 3)] for _ in range(40))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for trusted in (docs.limit(0), docs.where("doc_id < 2"), docs.where("doc_id < 40")):
+        got = judge(spark, docs, trusted.select("doc_id")).collect()
+        assert all(r.kept for r in got), min(r.score for r in got)
+    assert all(abs(r.score) < 1e-9 for r in judge(spark, docs, docs.limit(0).select("doc_id")).collect())
