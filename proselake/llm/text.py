@@ -35,6 +35,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U(0xA0761D6478BD642F))
+#: A second, independent hash of words: another base, other byte values.
+_BASE2 = 0xD1342543DE82EF95
+_BASE2_INV = pow(_BASE2, -1, 1 << 64)
+_BYTE_VALUES2 = mix(np.arange(1, 257, dtype=np.uint64) * U(0xE7037ED1A0B428DB) + U(0x589965CC75374CC3))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -97,13 +101,14 @@ class Words:
         self.ptr = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.ptr))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or a second one that is independent of it."""
+        base, inverse, values = (_BASE2, _BASE2_INV, _BYTE_VALUES2) if second else (_BASE, _BASE_INV, _BYTE_VALUES)
         n = len(self.buf)
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
-        np.cumsum(_BYTE_VALUES[self.buf] * powers(_BASE, n), out=total[1:])
-        h = (total[self.end] - total[self.start]) * powers(_BASE_INV, n + 1)[self.start]
+        np.cumsum(values[self.buf] * powers(base, n), out=total[1:])
+        h = (total[self.end] - total[self.start]) * powers(inverse, n + 1)[self.start]
         return mix(h + (self.end - self.start).astype(np.uint64) * U(0x8CB92BA72F3D8DD7))
 
     def left(self) -> np.ndarray:
@@ -122,6 +127,15 @@ def ngrams(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def rolling(h: np.ndarray, n: int, second: bool = False) -> np.ndarray:
+    """Like ``ngrams`` for long n: from one running sum, whatever n is."""
+    if len(h) < n:
+        return np.empty(0, np.uint64)
+    base, inverse = (_BASE2, _BASE2_INV) if second else (_BASE, _BASE_INV)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(base, len(h)))])
+    return mix((total[n:] - total[:-n]) * powers(inverse, len(h) - n + 1))
+
+
 def bytes_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and the n+1 offsets of a string column; null counts as empty."""
     if arr.null_count:

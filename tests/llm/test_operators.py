@@ -134,7 +134,7 @@ def test_language_id(spark, docs, empty):
     make = lambda names, n: " ".join(rng.choice(words[x]) for x in names for _ in range(n))
     rows = [(i, make(["aa" if i % 2 else "bb"], 30), "aa" if i % 2 else "bb") for i in range(80)]
     model = fit_languages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    tests = [(1, make(["aa"], 40), "aa"), (2, make(["bb"], 40), "bb"), (3, make(["aa", "bb", "bb"], 100), "bb"), (4, None, "und"), (5, "", "und"), (6, "12 — €", "und"), (None, make(["aa"], 5), "aa")]
+    tests = [(7, "½ ²² Ⅷ ٣", "und"), (8, "½ tor", "aa"), (1, make(["aa"], 40), "aa"), (2, make(["bb"], 40), "bb"), (3, make(["aa", "bb", "bb"], 100), "bb"), (4, None, "und"), (5, "", "und"), (6, "12 — €", "und"), (None, make(["aa"], 5), "aa")]
     got = identify(spark, spark.createDataFrame([t[:2] for t in tests], "doc_id long, text string"), model).collect()
     assert {r.doc_id: r.lang_pred for r in got} == {t[0]: t[2] for t in tests}
     mixed = next(r.score for r in got if r.doc_id == 3)
@@ -144,6 +144,20 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in identify(spark, docs, nothing).collect()} == {"und"}
 
 
+def test_long_chain_in_blocks():
+    from proselake.llm.langid import chain_posteriors, posteriors
+
+    rng = np.random.default_rng(1)
+    n = [3, 64, 65, 200, 1, 0, 129, 640]
+    ptr = np.concatenate([[0], np.cumsum(n)])
+    emit, trans = rng.normal(size=(ptr[-1], 3)) * 2, rng.normal(size=(3, 3))
+    got = chain_posteriors(emit, ptr, trans)
+    for a, z in zip(ptr[:-1], ptr[1:], strict=True):
+        if z > a:
+            want, _ = posteriors(emit[None, a:z], np.array([z - a]), trans)
+            assert np.allclose(want[0], got[a:z])
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
@@ -170,14 +184,52 @@ def test_sharding(spark, docs, empty, tmp_path):
     want, got = sorted(map(str, docs.collect())), sorted(map(str, out.drop("shard").collect()))
     assert want == got
     store = ShardStore(spark, str(tmp_path / "s"))
-    assert store.version() == 3 and {r["tier"] for r in store.live()} == {1}
+    assert store.version() == 3 and {r["tier"] for r in store.live()} == {0}  # all below the least size
     with pytest.raises(Exception, match="(?i)exist"):
         store.commit(store.live(), store.version() - 1)
     assert shard(spark, empty, path=str(tmp_path / "e")).count() == 0
 
 
+def test_size_tiers_and_readers(spark, tmp_path):
+    from proselake.llm.sharding import ShardStore
+
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2000)), a) for a, n in [("a/b", 1), (None, 1), ("c d", 1), ("e", 1), ("big", 900)] for i in range(n)]
+    docs = spark.createDataFrame(rows, "id int, text string, feed string").withColumn("tags", F.create_map(F.lit("k"), F.col("id")))
+    store = ShardStore(spark, str(tmp_path / "s"), least=10_000, fanout=4)
+    store.append(docs, "feed")
+    assert sorted(r["tier"] for r in store.live()) == [0, 0, 0, 0, 3]
+    old = store.read(1)
+    store.compact()
+    after = store.live()
+    assert len(after) == 2 and {r["rows"] for r in after} == {4, 900}  # the large run was left alone
+    want = sorted(map(str, docs.collect()))
+    assert sorted(map(str, store.read().collect())) == want
+    assert sorted(map(str, old.collect())) == want  # a reader of the older version can finish
+    assert len(store.vacuum(retain=0)) == 4 and store.read().count() == 904
+    store.append(docs.limit(0), "feed")
+    assert store.version() == 2
+
+
+def test_index_opens_again(spark, tmp_path):
+    from proselake.llm.substrings import FingerprintIndex, row_keys
+
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(n))
+    passage = say(30)
+    parts = [[(i, say(30) + (" " + passage + " " if i % 2 else " ") + say(10)) for i in range(10 * k, 10 * k + 10)] for k in range(4)]
+    rid, key = row_keys(F.col("doc_id"), F.col("text"))
+    got = []
+    for rows in parts:
+        index = FingerprintIndex(spark, str(tmp_path / "index"), fanout=2)  # opened anew for each batch
+        docs = spark.createDataFrame(rows, "doc_id long, text string").select(rid.alias("rid"), key.alias("key"), "text")
+        got.append({r.key for r in index.ingest(docs).collect()})
+    assert got == [{3, 5, 7, 9}] + [{d for d, _ in rows if d % 2} for rows in parts[1:]]
+    assert [len(x) for x in index.levels()] == [0, 0, 1] and index.texts().count() == 40
+
+
 def test_substrings(spark, docs, empty):
-    from proselake.llm.substrings import FingerprintIndex, remove_repeats, strip_repeats
+    from proselake.llm.substrings import FingerprintIndex, remove_repeats, row_keys, strip_repeats
 
     seen, want = {}, {}
     for d, t in sorted(texts().items()):
@@ -200,9 +252,12 @@ def test_substrings(spark, docs, empty):
     n = {r.doc_id for r in left.collect()}
     assert n == {d for d, (words, gone, _) in want.items() if not words or gone < words} | {None}
     index = FingerprintIndex(spark, fanout=2)
+    rid, key = row_keys(F.col("doc_id"), F.col("text"))
     for i in range(3):
-        index.ingest(docs.where(f"doc_id % 3 = {i}").select(F.col("doc_id").alias("key"), "text", F.hash("text").alias("version")))
-    assert [len(level) for level in index.levels] == [1, 1]
+        index.ingest(docs.where(f"doc_id % 3 = {i}").select(rid.alias("rid"), key.alias("key"), "text"))
+    assert [len(level) for level in index.levels()] == [1, 1]
+    odd = docs.select("*", *(F.lit(1).alias(c) for c in ("rid", "rest", "spots", "fp", "n_removed", "old", "batch")))
+    assert sorted(map(str, strip_repeats(spark, odd).select(docs.columns).collect())) == sorted(map(str, left.collect()))
 
 
 def test_media(spark, docs, empty):
@@ -221,7 +276,9 @@ def test_media(spark, docs, empty):
     big = image.repeat(6, 0).repeat(4, 1)[..., 0]
     assert np.allclose(area_resize(big, 7, 5), image[..., 0])
     assert np.allclose(area_resize(image[..., 0], 3, 4).mean(), image[..., 0].mean())
-    bad = tile_columns(spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"P6\n9 9\n255\nx"))], "id long, data binary")).collect()
+    head = np.array([40, 2, 1], "<i4").tobytes() + np.array([1, 8], "<u2").tobytes() + np.array([0, 4, 0, 0, 1, 0], "<i4").tobytes()
+    palette = b"BM" + np.array([62, 0, 58], "<u4").tobytes() + head + bytes(4) + bytes([9, 9, 0, 0])  # an index past the palette
+    bad = tile_columns(spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"P6\n9 9\n255\nx")), (4, bytearray(b"P2 2 1 9 1 99999999999999999999")), (5, bytearray(palette))], "id long, data binary")).collect()
     assert all(r.error and r.tile is None for r in bad)
 
 
@@ -238,6 +295,38 @@ def test_sampled_segmentation(spark, docs, empty):
     assert len({tuple(r.ids) for r in many}) > 1
 
 
+def test_sampled_frequencies_against_enumeration():
+    import public_tokenizers
+
+    from proselake.llm.segmentation import piece_table, sample
+    from proselake.llm.text import mix
+
+    model = piece_table(public_tokenizers.path("piece_bpe_32k.model"), 0.2)
+    pieces = defaultdict(list)
+    for ids in (t[1] for t in model.tables.values()):
+        for i in ids:
+            pieces[bytes(model.bytes[model.offset[i] : model.offset[i] + model.size[i]])].append(int(i))
+    for text in ("the thing", "日本語の本", "aa  b\nab", "------------------------------"):
+        raw, n = text.encode()[:12], 20000
+
+        def paths(p, raw=raw):
+            if p == len(raw):
+                yield (), 0.0
+                return
+            steps = [(int(model.by_byte[raw[p]]), 1)] + [(i, k) for k in range(1, len(raw) - p + 1) for i in pieces.get(raw[p : p + k], [])]
+            for i, k in steps:
+                for rest, x in paths(p + k):
+                    yield (i, *rest), x + model.log_prob[i]
+
+        want = {p: math.exp(x) for p, x in paths(0)}
+        total = sum(want.values())
+        ids, at = sample(model, np.frombuffer(raw * n, np.uint8), np.arange(n + 1) * len(raw), mix(np.arange(n).astype(np.uint64)))
+        ptr = np.searchsorted(at, np.arange(n + 1) * len(raw))
+        seen = Counter(tuple(ids[a:z].tolist()) for a, z in zip(ptr[:-1], ptr[1:], strict=True))
+        assert set(seen) <= set(want)
+        assert all(abs(seen[p] / n - x / total) < 5 * math.sqrt(x / total / n) + 2e-4 for p, x in want.items())
+
+
 def test_packing(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
