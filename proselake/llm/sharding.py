@@ -1,69 +1,66 @@
 """Size-tiered shards with a versioned manifest.  DataFrame operations only.
 
-Arrivals are appended as runs of small immutable shards.  When ``fanout`` runs of one tier (powers of
-``fanout`` of the least run size) exist, they are merged into files of about ``target`` bytes.
-Every change of the set of live runs is a new manifest, written aside and renamed to
-``manifest/v<number>``: the rename fails if another writer was first, and readers see the old
-or the new version, whole.
+Arrivals are appended as runs of small immutable shards.  A run's tier is the power of ``fanout`` that its
+bytes reach over ``least``; when ``fanout`` runs of one tier exist, they are merged into files of
+about ``target`` bytes, and the merged run takes the tier of its own bytes.  Every change of the set of
+live runs is a new manifest, committed by a rename that fails if another writer was first.  Merged
+runs stay on disk, so that readers of an older version can finish, until ``vacuum`` removes them.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import hadoop_path, shared_root
+from .manifest import Manifest
+from .scratch import Scratch, hadoop_path
 
 MANIFEST = "version long, run string, tier int, rows long, bytes long, files long"
 
 
 class ShardStore:
-    """A folder with ``data/<run>/`` and ``manifest/v<number>/``."""
+    """A folder with ``data/<run>/`` and ``manifest/v<number>/``.
 
-    def __init__(self, spark: SparkSession, path: str, *, target: int = 128 << 20, fanout: int = 4):
-        self.spark, self.path, self.target, self.fanout = spark, path, target, fanout
+    ``target``: bytes of a merged file.  ``fanout``: runs a merge takes.  ``least``: runs up to so many bytes are
+    of tier 0.  ``retain``: seconds that ``compact`` leaves replaced runs for readers of older versions.
+    """
 
-    def _list(self, folder: str) -> list[tuple[str, int]]:
-        p, fs = hadoop_path(self.spark, folder)
-        if not fs.exists(p):
-            return []
-        return [(x.getPath().getName(), x.getLen()) for x in fs.listStatus(p)]
+    def __init__(self, spark: SparkSession, path: str, *, target: int = 128 << 20, fanout: int = 4, least: int = 1 << 20, retain: float = 7 * 86400):
+        self.spark, self.path, self.target, self.fanout, self.least, self.retain = spark, path, target, fanout, least, retain
+        self.manifest = Manifest(spark, f"{path}/manifest", MANIFEST)
 
     def version(self) -> int:
-        return max((int(n[1:]) for n, _ in self._list(f"{self.path}/manifest") if n[0] == "v"), default=0)
+        return self.manifest.version()
 
-    def live(self) -> list[dict]:
-        """Rows of the newest manifest: one per run (tens, whatever the data)."""
-        v = self.version()
-        if not v:
-            return []
-        rows = self.spark.read.schema(MANIFEST).json(f"{self.path}/manifest/v{v:08d}").collect()
-        return [r.asDict() for r in rows]
+    def live(self, version: int | None = None) -> list[dict]:
+        """Rows of the newest manifest, or of an older one: one per run (tens, whatever the data)."""
+        return self.manifest.rows(version)
 
     def commit(self, runs: list[dict], base: int) -> None:
         """Makes version base + 1, or fails if it exists."""
-        runs = [r | {"version": base + 1} for r in runs]
-        aside, final = f"{self.path}/manifest/.{uuid.uuid4().hex}", f"{self.path}/manifest/v{base + 1:08d}"
-        names = [x.split()[0] for x in MANIFEST.split(", ")]
-        self.spark.createDataFrame([tuple(r[n] for n in names) for r in runs], MANIFEST).coalesce(1).write.json(aside)
-        jvm = self.spark._jvm
-        src, fs = hadoop_path(self.spark, aside)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(src).toUri(), fs.getConf())
-        flags = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context.rename(fs.makeQualified(src), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(final)), flags)
-
-    def _describe(self, run: str, rows: int, tier: int) -> dict:
-        files = [n for n in self._list(f"{self.path}/data/{run}") if n[0].endswith(".parquet")]
-        return {"run": run, "tier": tier, "rows": rows, "bytes": sum(n for _, n in files), "files": len(files)}
+        self.manifest.commit(runs, base)
+
+    def tier(self, size: int) -> int:
+        tier = 0
+        while size >= self.least * self.fanout ** (tier + 1):
+            tier += 1
+        return tier
+
+    def _describe(self, run: str, rows: int) -> dict:
+        files = [n for n in self.manifest.listed(f"{self.path}/data/{run}") if n[0].endswith(".parquet")]
+        size = sum(n for _, n, _ in files)
+        return {"run": run, "tier": self.tier(size), "rows": rows, "bytes": size, "files": len(files)}
 
     def append(self, arrivals: DataFrame, arrival: str) -> None:
-        """One pass over the rows; each value of column ``arrival`` (few) becomes a run of tier 0."""
+        """One pass over the rows; each value of column ``arrival`` (few; null is one of them) becomes a run."""
         tag = uuid.uuid4().hex[:8]
         base, runs = self.version(), self.live()
-        (arrivals.withColumn("_run", F.concat(F.lit(f"{tag}-"), F.col(arrival).cast("string"))).write.mode("append").partitionBy("_run").parquet(f"{self.path}/incoming/{tag}"))
+        value = F.coalesce(F.md5(F.col(arrival).cast("string").cast("binary")), F.lit("null"))  # safe as a folder's name
+        arrivals.withColumn("_run", F.concat(F.lit(f"{tag}-"), value)).write.mode("append").partitionBy("_run").parquet(f"{self.path}/incoming/{tag}")
         schema = T.StructType([*arrivals.schema.fields, T.StructField("_run", T.StringType())])
         counts = self.spark.read.schema(schema).parquet(f"{self.path}/incoming/{tag}").groupBy("_run").agg(F.count(F.lit(1)).alias("n")).collect()
         for r in sorted(counts, key=lambda r: r["_run"]):
@@ -71,14 +68,14 @@ class ShardStore:
             dst = hadoop_path(self.spark, f"{self.path}/data/{r['_run']}")[0]
             fs.mkdirs(dst.getParent())
             fs.rename(src, dst)
-            runs.append(self._describe(r["_run"], r["n"], 0))
+            runs.append(self._describe(r["_run"], r["n"]))
         p, fs = hadoop_path(self.spark, f"{self.path}/incoming/{tag}")
         fs.delete(p, True)
         if counts:
             self.commit(runs, base)
 
     def compact(self) -> None:
-        """Merges while a tier has ``fanout`` runs."""
+        """Merges while a tier has ``fanout`` runs: its smallest ones, into one run of whole files."""
         while True:
             base, runs = self.version(), self.live()
             tiers: dict[int, list[dict]] = {}
@@ -91,29 +88,40 @@ class ShardStore:
             files = max(1, -(-sum(r["bytes"] for r in old) // self.target))
             run = f"merged-{uuid.uuid4().hex[:8]}"
             rows = self.spark.read.parquet(*(f"{self.path}/data/{r['run']}" for r in old))
-            rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(f"{self.path}/data/{run}")
+            # Dealt by place in the scan, which is the same whenever a task is run again, so equal rows spread.
+            rows.repartition(files, F.monotonically_increasing_id()).write.parquet(f"{self.path}/data/{run}")
             gone = {r["run"] for r in old}
-            self.commit([r for r in runs if r["run"] not in gone] + [self._describe(run, sum(r["rows"] for r in old), full + 1)], base)
-            for name in gone:
-                p, fs = hadoop_path(self.spark, f"{self.path}/data/{name}")
-                fs.delete(p, True)
-
-    def read(self) -> DataFrame | None:
-        """All rows of the newest version; None before the first commit."""
-        runs = [r["run"] for r in self.live() if r["rows"]]
+            self.commit([r for r in runs if r["run"] not in gone] + [self._describe(run, sum(r["rows"] for r in old))], base)
+            self.vacuum()
+
+    def vacuum(self, retain: float | None = None) -> list[str]:
+        """Deletes the runs that the newest version doesn't list and that are older than ``retain`` seconds:
+        replaced ones, and what a writer left that failed before its commit."""
+        keep = {r["run"] for r in self.live()}
+        before = time.time() - (self.retain if retain is None else retain)
+        gone = [name for name, _, changed in self.manifest.listed(f"{self.path}/data") if name not in keep and changed <= 1000 * before]
+        for name in gone:
+            p, fs = hadoop_path(self.spark, f"{self.path}/data/{name}")
+            fs.delete(p, True)
+        return gone
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """All rows of the newest version, or of an older one; None before the first commit."""
+        runs = [r["run"] for r in self.live(version) if r["rows"]]
         return self.spark.read.parquet(*(f"{self.path}/data/{r}" for r in runs)) if runs else None
 
 
-def shard(spark: SparkSession, docs: DataFrame, *, path: str | None = None, arrivals: int = 8, target: int = 64 << 20, fanout: int = 4) -> DataFrame:
+def shard(spark: SparkSession, docs: DataFrame, *, path: str | None = None, arrivals: int = 8, target: int = 64 << 20, fanout: int = 4, least: int = 1 << 20) -> DataFrame:
     """docs through a store: ``arrivals`` appends (by hash of doc_id, as feeds come in), then
     compaction; returns the rows of the committed version with their file's path in ``shard``.
 
     Every row comes back once, repeated rows as often as they came, nulls as they are; an empty
-    table commits nothing and returns no rows.  Columns are kept; one named _arrival is refused.
+    table commits nothing and returns no rows.  Columns are kept; one named _arrival or _run is refused.
+    A store without a path of its own has no other readers: replaced runs go at once.
     """
     if "_arrival" in docs.columns or "_run" in docs.columns:
         raise ValueError("columns _arrival and _run are taken")
-    store = ShardStore(spark, path or f"{shared_root(spark)}/shards-{uuid.uuid4().hex}", target=target, fanout=fanout)
+    store = ShardStore(spark, path or f"{Scratch(spark, 'shards').root}/store", target=target, fanout=fanout, least=least, **({} if path else {"retain": 0}))
     store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), "_arrival")
     store.compact()
     out = store.read()
