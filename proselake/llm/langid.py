@@ -2,14 +2,13 @@
 
 Each word is labelled with a language from affix, character n-gram and lexicon features (hashed into
 a fixed table) and learned transitions; forward-backward gives posteriors, so code-switched texts
-get labels that change inside a line.  A sequence is at most SPAN consecutive words of a document;
-longer texts are cut into several, and every word is labelled.  The document's language is the one
-with the largest summed posterior over words with letters.
+get labels that change inside a line.  A text is one chain, however long it is: it is worked on in
+blocks of SPAN words that hand their forward and backward masses on, as matrices, to the next ones.
+The document's language is the one with the largest summed posterior over words with letters.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -21,9 +20,9 @@ from pyspark.sql import functions as F
 from .text import U, Words, chunks, lean, mix, words_of
 
 SPAN, BUCKETS = 64, 1 << 17
-ALPHA = np.zeros(256, bool)
-ALPHA[65:91] = ALPHA[97:123] = ALPHA[128:] = True
-_LETTER = re.compile(r"[^\W\d_]")
+LATIN, OTHER = np.zeros(256, bool), np.zeros(256, bool)
+LATIN[65:91] = LATIN[97:123] = True
+OTHER[128:] = True
 
 
 def features(w: Words, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +38,7 @@ def features(w: Words, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.nd
         suf[ok] = suf[ok] * U(258) + buf[e[ok] - k]
         who += [ok, ok]
         val += [mix(pre[ok] * U(8) + U(2)), mix(suf[ok] * U(8) + U(3))]
-    m = np.clip(n - 2, 0, 64)
+    m = np.maximum(n - 2, 0)
     owner = np.repeat(np.arange(len(at)), m)
     pos = np.repeat(s, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
     tri = (buf[pos] * U(258) + buf[pos + 1]) * U(258) + buf[pos + 2] if len(pos) else np.empty(0, np.uint64)
@@ -50,26 +49,41 @@ def features(w: Words, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.nd
     return (val[order] % U(BUCKETS)).astype(np.int64), np.searchsorted(who[order], np.arange(len(at) + 1))
 
 
-def emissions(weights: np.ndarray, w: Words, h: np.ndarray) -> np.ndarray:
-    """Label scores of each word; computed once per distinct word of the chunk."""
-    _, at, inv = np.unique(h, return_index=True, return_counts=False, return_inverse=True)
+def has_letter(w: Words, at: np.ndarray) -> np.ndarray:
+    """True for words at ``at`` with a letter (Unicode category L)."""
+    s, e = w.start[at], w.end[at]
+    latin, other = (np.cumsum(np.concatenate([[0], kind[w.buf]])) for kind in (LATIN, OTHER))
+    out = latin[e] > latin[s]
+    for i in np.flatnonzero(~out & (other[e] > other[s])):
+        out[i] = any(c.isalpha() for c in w.buf[s[i] : e[i]].tobytes().decode())
+    return out
+
+
+def emissions(weights: np.ndarray, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label scores of each word, and whether it has a letter; computed once per distinct word of the chunk."""
+    _, at, inv = np.unique(h, return_index=True, return_inverse=True)
     f, ptr = features(w, at, h)
-    return np.add.reduceat(weights[f], ptr[:-1], axis=0)[inv]
+    return np.add.reduceat(weights[f], ptr[:-1], axis=0)[inv], has_letter(w, at)[inv]
+
 
+def posteriors(emit: np.ndarray, length: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over padded sequences (sequences x steps x labels); expected transitions too.
 
-def posteriors(emit: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over padded sequences (sequences x steps x labels); expected transitions too."""
+    ``before`` and ``after`` are the masses that a neighbouring block hands on: what the first
+    word's scores, or the last word's forward mass, are multiplied by.
+    """
     n, steps, labels = emit.shape
     t = np.exp(trans - trans.max())
     e = np.exp(emit - emit.max(axis=2, keepdims=True))
     live = np.arange(steps)[None, :] < length[:, None]
     e[~live] = 1.0
     a = np.empty_like(e)
-    a[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
+    x = e[:, 0] if before is None else e[:, 0] * before
+    a[:, 0] = x / x.sum(1, keepdims=True)
     for i in range(1, steps):
         x = (a[:, i - 1] @ t) * e[:, i]
         a[:, i] = x / x.sum(1, keepdims=True)
-    b = np.ones((n, labels), emit.dtype)
+    b = np.ones((n, labels), emit.dtype) if after is None else after.astype(emit.dtype)
     post = np.empty_like(e)
     pairs = np.zeros((labels, labels))
     for i in range(steps - 1, -1, -1):
@@ -80,11 +94,73 @@ def posteriors(emit: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple
             z = np.einsum("ni,ij,nj->n", a[:, i - 1], t, eb)
             on = live[:, i]
             pairs += t * ((a[on, i - 1] / z[on, None]).T @ eb[on])
-            b = eb @ t.T
-            b = np.where(on[:, None], b / b.sum(1, keepdims=True), 1.0)
+            late, b = b, eb @ t.T  # past the end the mass stays what it is
+            b = np.where(on[:, None], b / b.sum(1, keepdims=True), late)
     return post, pairs
 
 
+def chain_posteriors(emit: np.ndarray, ptr: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Posteriors of all words of all documents (words x labels), each document one chain.
+
+    The product of a block's transition and emission matrices carries forward mass over it; a pass over
+    the blocks of all documents at once gives the masses at their borders, and each block is then
+    worked on alone.
+    """
+    start, length = spans(ptr)
+    post = np.empty_like(emit)
+    if not len(start):
+        return post
+    L = emit.shape[1]
+    doc_blocks = -(-np.diff(ptr) // SPAN)
+    rank = np.arange(len(start)) - np.repeat(np.cumsum(doc_blocks) - doc_blocks, doc_blocks)  # place in its document
+    t = np.exp(trans - trans.max()).astype(emit.dtype)
+    before, after = np.ones((len(start), L), emit.dtype), np.ones((len(start), L), emit.dtype)
+    inner = np.flatnonzero(np.repeat(doc_blocks > 1, doc_blocks))
+    if len(inner):
+        over = np.empty((len(start), L, L), emit.dtype)  # (label before the block, label of its last word)
+        for part in np.array_split(inner, -(-len(inner) // 4000)):
+            e = np.exp(emit[padded(start[part], length[part])])
+            e /= e.max(axis=2, keepdims=True)
+            m = t[None] * e[:, 0][:, None, :]
+            for i in range(1, e.shape[1]):
+                x = (m @ t) * e[:, i][:, None, :]
+                x /= x.max(axis=(1, 2), keepdims=True)
+                m = np.where((i < length[part])[:, None, None], x, m)
+            over[part] = m
+        first = inner[rank[inner] == 0]
+        one, _ = _forward(emit, start[first], length[first], t)
+        mass = np.ones((len(start), L), emit.dtype)
+        mass[first] = one
+        for k in range(1, int(rank.max()) + 1):
+            here = np.flatnonzero(rank == k)
+            before[here] = mass[here - 1] @ t
+            x = np.einsum("ni,nij->nj", mass[here - 1], over[here])
+            mass[here] = x / x.sum(1, keepdims=True)
+        for k in range(int(rank.max()), 0, -1):
+            here = np.flatnonzero(rank == k)
+            x = np.einsum("nij,nj->ni", over[here], after[here])
+            after[here - 1] = x / x.sum(1, keepdims=True)
+    order = np.argsort(length)
+    for part in np.array_split(order, max(1, len(order) // 4000)):
+        s, n = start[part], length[part]
+        grid = padded(s, n)
+        p, _ = posteriors(emit[grid], n, trans, before[part], after[part])
+        live = np.arange(grid.shape[1])[None, :] < n[:, None]
+        post[grid[live]] = p[live]
+    return post
+
+
+def _forward(emit: np.ndarray, start: np.ndarray, length: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward mass of the last word of blocks that begin a document."""
+    e = np.exp(emit[padded(start, length)])
+    e /= e.max(axis=2, keepdims=True)
+    a = e[:, 0] / e[:, 0].sum(1, keepdims=True)
+    for i in range(1, e.shape[1]):
+        x = (a @ t) * e[:, i]
+        a = np.where((i < length)[:, None], x / x.sum(1, keepdims=True), a)
+    return a, length
+
+
 def spans(ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the sequences of all documents."""
     n = np.diff(ptr)
@@ -160,62 +236,35 @@ def _label(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in chunks(big, limit=600_000):
-                col = b.column(1)
                 w = words_of(b, lower=True)
                 total = np.zeros((len(b), max(L, 1)))
                 if L and len(w.start):
-                    h = w.hashes()
-                    emit = emissions(weights, w, h)
-                    start, length = spans(w.ptr)
-                    solid = np.cumsum(np.concatenate([[0], ALPHA[w.buf]]))
-                    letter = (solid[w.end] > solid[w.start])[:, None]
-                    post = np.empty_like(emit)
-                    order = np.argsort(length)
-                    for part in np.array_split(order, max(1, len(order) // 4000)):
-                        s, n = start[part], length[part]
-                        grid = padded(s, n)
-                        p, _ = posteriors(emit[grid], n, trans)
-                        live = np.arange(grid.shape[1])[None, :] < n[:, None]
-                        post[grid[live]] = p[live]
-                    post *= letter
+                    emit, letter = emissions(weights, w, w.hashes())
+                    post = chain_posteriors(emit, w.ptr, trans) * letter[:, None]
                     for c in range(L):
                         total[:, c] = np.bincount(w.doc, post[:, c], len(b))
                 mass = total.sum(1)
                 best = np.where(mass > 0, total.argmax(1), L)
-                _, off = words_bytes(b)
-                low = np.cumsum(np.concatenate([[0], (LATIN[w.buf])]))
-                plain = low[off[1:]] > low[off[:-1]]
-                for d in np.flatnonzero(~plain & (best < L)):
-                    if not _LETTER.search(col[int(d)].as_py() or ""):
-                        best[d] = L
                 score = np.where(best < L, total.max(1) / np.maximum(mass, 1e-12), 0.0)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(names[best]), pa.string()), pa.array(np.clip(score, 0, 1))], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
-LATIN = np.zeros(256, bool)
-LATIN[65:91] = LATIN[97:123] = True
-
-
-def words_bytes(b: pa.RecordBatch):
-    from .text import bytes_of
-
-    return bytes_of(b.column(b.schema.get_field_index("text")))
-
-
 def fit_languages(spark: SparkSession, labelled: DataFrame, *, per_language: int = 600, words: int = 256) -> dict:
     """A CRF from labelled (doc_id, text, lang), on a bounded sample: about ``per_language``
     documents of each language, taken by hash of doc_id, and of each one stretch of ``words`` words
-    at a hashed place.  Null langs, null texts and texts without words don't count."""
+    at a hashed place, as the driver holds the sample.  Every lang value is learnt; the weights
+    take BUCKETS floats for each.  Null langs, null texts and texts without words don't count;
+    repeated rows count as often as they come, other columns are ignored.
+    """
     rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.length("text")).alias("order"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    counts = [(r.lang, r.n) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row a language
     if not counts:
         return {"names": [], "weights": np.zeros((BUCKETS, 0), np.float32), "trans": np.zeros((0, 0))}
     top = (1 << 30) - 1
-    share = F.lit(False)
-    for lang, n in counts.items():
-        share |= (F.col("lang") == lang) & (F.pmod("order", F.lit(1 << 30)) <= int(min(1.0, 1.5 * per_language / n) * top))
+    share = spark.createDataFrame([(lang, int(min(1.0, 1.5 * per_language / n) * top)) for lang, n in counts], "lang string, top long")
+    chosen = rows.join(F.broadcast(share), "lang").where(F.pmod("order", F.lit(1 << 30)) <= F.col("top")).select("lang", "text", "order")
 
     def stretch(batches):
         for b in batches:
@@ -226,21 +275,24 @@ def fit_languages(spark: SparkSession, labelled: DataFrame, *, per_language: int
                 out.append(b" ".join(w[at : at + words]).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2)], ["lang", "text", "order"])
 
-    sample = rows.where(share).mapInArrow(stretch, "lang string, text string, order long").orderBy("order", "lang").limit(2 * per_language * len(counts)).toPandas().sort_values(["order", "lang", "text"], kind="stable")
+    sample = chosen.mapInArrow(stretch, "lang string, text string, order long").orderBy("order", "lang").limit(2 * per_language * len(counts)).toPandas().sort_values(["order", "lang", "text"], kind="stable")
     return train_crf(sample["text"].tolist(), sample["lang"].tolist())
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
     """docs (doc_id, text) -> doc_id, lang_pred, score (the share of the posterior mass).
 
-    ``und`` with score 0 where text is null or has no letter, or where nothing was learnt.
-    Repeated rows get equal labels; other columns are ignored."""
+    ``und`` with score 0 where text is null or has no letter (Unicode category L), or where nothing
+    was learnt.  Repeated rows get equal labels, ties go to the first language by name, an empty
+    table gives no rows; other columns are ignored.  A task holds one text at least, and some
+    hundred bytes a word and language."""
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(_label(model)), "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: dict, least: float) -> DataFrame:
-    """The rows of docs with a language whose share is ``least`` or more; each row is judged by its own
-    text, whatever its doc_id, so that null and repeated ids take nothing from each other."""
+def keep_identified(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs that have a language; those that come out as ``und`` go.  Each row is judged by
+    its own text, whatever its doc_id, so that null and repeated ids take nothing from each other;
+    its columns, whatever their names, stay as they are."""
     place = docs.columns.index("text")
     label = _label(model)
 
@@ -249,7 +301,7 @@ def keep_identified(docs: DataFrame, model: dict, least: float) -> DataFrame:
             for b in chunks(big, limit=600_000):
                 text = b.column(place).cast(pa.string())
                 for got in label(iter([pa.RecordBatch.from_arrays([text, text], ["doc_id", "text"])])):
-                    stay = [x != "und" and y >= least for x, y in zip(got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True)]
+                    stay = [x != "und" for x in got.column(1).to_pylist()]
                     yield b.slice(0, len(got)).filter(pa.array(stay, pa.bool_()))
                     b = b.slice(len(got))
 
