@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import chunks
+
 TILE = 8
 WIDTH = 64
 _PNM = re.compile(rb"(P[1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)")
@@ -119,7 +121,9 @@ def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
 def tile_columns(images: DataFrame, side: int = TILE) -> DataFrame:
     """images (id long, data binary) -> id, height, width, channels, dhash, tile (NPY bytes), error.
 
-    Null, empty or undecodable data give nulls and the reason in ``error``; rows never fail a task.
+    Null, empty or undecodable data give nulls and the reason in ``error``; no row fails a task, whatever
+    its bytes.  Repeated rows and ids are decoded each for itself; an empty table gives no rows, other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +135,8 @@ def tile_columns(images: DataFrame, side: int = TILE) -> DataFrame:
                     if not image.size:
                         raise ValueError("no pixels")
                     rows.append((*image.shape[:2], image.shape[2] if image.ndim == 3 else 1, difference_hash(image), npy_tile(image, side), None))
-                except ValueError as e:
-                    rows.append((None, None, None, None, None, str(e)))
+                except (ValueError, IndexError, OverflowError, TypeError, MemoryError) as e:
+                    rows.append((None, None, None, None, None, f"{type(e).__name__}: {e}"))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "height", "width", "channels", "dhash", "tile", "error"])
@@ -141,7 +145,7 @@ def tile_columns(images: DataFrame, side: int = TILE) -> DataFrame:
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for big in batches for part in chunks(big)):
         rows = []
         for text in b.column(1):
             raw = (text.as_py() or "").encode()
@@ -163,7 +167,8 @@ def text_as_media(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> each text's UTF-8 bytes, padded with spaces to a positive multiple of
     192, as the pixels of a 64-column RGB image (P6, or BMP where the text's CRC-32 is odd), read
     back and hashed, with its difference hash (feature) and NPY tile.  Null counts as empty; equal
-    texts have equal values; other columns are ignored."""
+    texts have equal values; null and repeated ids keep their rows, an empty table gives none; other
+    columns are ignored.  A task holds one text at least, and some 40 bytes for each of its bytes."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_stored, STORED)
 
 
