@@ -210,10 +210,12 @@ def _grouped(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: in
     inside = elems.select(F.col("sid").alias("centre"), F.col("elems").alias("ec"))
     added = every.select("centre", "sid", "in_main").join(inside, "centre").join(elems, "sid").select("centre", "sid", "in_main", "ec", "elems")
     added = s.put(added.mapInArrow(lean(_additions), "centre long, sid long, in_main boolean, e long"))
-    twice = added.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("k"), F.min("in_main").alias("all_main")).where("k > 1 and not all_main").select("centre", "e")
+    # Shingles that the same members add (those of one edit) meet as one, with their number as weight.
+    holders = added.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("k"), F.min("in_main").alias("all_main"), F.bit_xor(F.xxhash64("sid")).alias("h1"), F.bit_xor(F.xxhash64("sid", F.lit(7))).alias("h2"))
+    twice = holders.where("k > 1 and not all_main").groupBy("centre", "k", "h1", "h2").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("o")).select("centre", "e", "o")
     added = s.put(added.join(twice, ["centre", "e"]))
     held_by = added.where("not in_main").select("centre", "e", F.col("sid").alias("x_sid"))
-    shared = held_by.join(added.select("centre", "e", "sid", "in_main"), ["centre", "e"]).where("x_sid < sid or (in_main and x_sid <> sid)").groupBy("centre", "x_sid", "sid").agg(F.count(F.lit(1)).alias("o"))
+    shared = held_by.join(added.select("centre", "e", "sid", "in_main", "o"), ["centre", "e"]).where("x_sid < sid or (in_main and x_sid <> sid)").groupBy("centre", "x_sid", "sid").agg(F.sum("o").alias("o"))
     most = f"({most} + o)"
     through = shared.join(x, ["centre", "x_sid"]).join(every, ["centre", "sid"]).where(apart).where(f"100 * {most} >= {percent} * (x_n + n - {most})").select("x_sid", "sid")
     cross = s.put(plain.union(through).select(F.col("x_sid").alias("a"), F.col("sid").alias("b")).distinct())
