@@ -1,55 +1,149 @@
-"""Column functions on prose: sentences, words, match spans."""
+"""Column functions on prose: sentences and paragraphs with offsets, words, match spans.
+
+Offsets are code points from the start of the text, ends exclusive.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that the engine splits at, written out because regex dialects differ in \\s.
 BLANK = r"[ \t\n\r]"
-#: A word: letters and digits with inner apostrophes.
+# The patterns that words, sentences and paragraphs are defined by.
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
-#: The end of a sentence: stops with closers, then white space or the end of the text.
-STOP = r"([.!?]+[\"')\]]*)([ \t\n\r]+|$)"
+STOP = r"[.!?]+[\"'”’»)\]}]*"
+WHITE = "[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+PARAGRAPH_BREAK = "\n[\t ]*\n"
+CLITIC = r"(?i)(?:n't|'s|'re|'ve|'ll|'d|'m)$"
+TOKEN = r"(?:https?://|www\.)[^\s]+|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\p{N}+(?:[.,:]\p{N}+)*|[^\s]"
+
+_EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def java(pattern: str) -> str:
+    """A pattern whose \\b means the edge of an ASCII word, as in other dialects."""
+    return pattern.replace(r"\b", _EDGE)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def filled(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
+
+def _placed(pieces: Column, lengths: Column) -> Column:
+    """pieces with the running sum of lengths before each: array of (text, at)."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,at:int>>").alias("out"))
+    step = lambda acc, x: F.struct(
+        (acc["at"] + x["1"]).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(x["0"].alias("text"), acc["at"].alias("at")))).alias("out")
+    )
+    pairs = F.arrays_zip(pieces.alias("0"), lengths.alias("1"))
+    return F.aggregate(F.transform(pairs, lambda x: F.struct(x.getField("0").alias("0"), x.getField("1").alias("1"))), zero, step)["out"]
+
+
+def _trimmed(placed: Column) -> Column:
+    """Pieces without white space at their edges, empty ones left out: array of (text, start, end)."""
+
+    def cut(x):
+        tail = F.regexp_replace(x["text"], f"^{WHITE}+", "")
+        return F.struct(F.regexp_replace(tail, f"{WHITE}+$", "").alias("text"), (x["at"] + F.length(x["text"]) - F.length(tail)).alias("start"))
+
+    whole = lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"))
+    return F.transform(F.filter(F.transform(placed, cut), lambda x: x["text"] != ""), whole)
+
+
+def sentences(text: Column) -> Column:
+    """Array of (text, start, end): cut after stops and closers before white space or the end, after U+2029,
+    and before an empty line."""
+    t = F.translate(filled(text), "\x01", " ")
+    t = F.regexp_replace(t, f"({STOP})(?={WHITE}|\\z)", "$1\x01")
+    t = F.regexp_replace(F.replace(t, F.lit("\u2029"), F.lit("\u2029\x01")), "\n(?=\n)", "\n\x01")
+    return let(F.split(t, "\x01", -1), lambda pieces: _trimmed(_placed(pieces, F.transform(pieces, lambda x: F.length(x)))))
+
+
+def paragraphs(text: Column) -> Column:
+    """Array of (text, start, end): blocks between blank lines."""
+    t = filled(text)
+    gaps = F.concat(F.transform(F.regexp_extract_all(t, F.lit(f"({PARAGRAPH_BREAK})"), 1), lambda x: F.length(x)), F.array(F.lit(0)))
+    lengths = lambda pieces: F.transform(F.arrays_zip(F.transform(pieces, lambda x: F.length(x)).alias("a"), gaps.alias("b")), lambda x: x["a"] + x["b"])
+    return let(F.split(t, PARAGRAPH_BREAK, -1), lambda pieces: _trimmed(_placed(pieces, lengths(pieces))))
 
 
 def sentence_array(text: Column) -> Column:
-    """Trimmed, non-empty sentences; also cut at blank lines and at U+2029."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), STOP, "$1\x01")
-    cut = F.regexp_replace(cut, "\n[ \t]*\n|\u2029", "\x01")
-    parts = F.transform(F.split(cut, "\x01"), lambda s: F.regexp_replace(F.regexp_replace(s, f"^{BLANK}+", ""), f"{BLANK}+$", ""))
-    return F.filter(parts, lambda s: s != "")
+    """Trimmed, non-empty sentences."""
+    return F.transform(sentences(text), lambda s: s["text"])
 
 
 def paragraph_array(text: Column) -> Column:
     """Blocks between blank lines, non-empty."""
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\n[ \t]*\n", "\x01"), "\x01")
-    return F.filter(parts, lambda s: F.length(F.regexp_replace(s, BLANK, "")) > 0)
+    return F.transform(paragraphs(text), lambda p: p["text"])
 
 
 def word_array(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), 1)
+    return F.regexp_extract_all(filled(text), F.lit(f"({WORD})"), 1)
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
 
 
+def syntactic_words(text: Column) -> Column:
+    """Forms of a sentence: URLs, words, numbers and single signs; clitics and the parts of cannot apart."""
+
+    def parts(w):
+        straight = F.replace(w, F.lit("’"), F.lit("'"))
+        clitic = F.length(F.regexp_extract(straight, f"^.+?({CLITIC[4:]})".replace("^", "(?i)^", 1), 1))
+        n = F.length(w)
+        return (
+            F.when(F.lower(w) == "cannot", F.array(F.substring(w, F.lit(1), F.lit(3)), F.substring(w, F.lit(4), F.lit(3))))
+            .when(clitic > 0, F.array(F.substring(w, F.lit(1), n - clitic), F.substring(w, n - clitic + 1, clitic)))
+            .otherwise(F.array(w))
+        )
+
+    return F.flatten(F.transform(F.regexp_extract_all(filled(text), F.lit(f"({TOKEN})"), 1), parts))
+
+
+def token_count(text: Column) -> Column:
+    """Syntactic words with a letter or digit."""
+    return F.size(F.filter(syntactic_words(text), lambda w: w.rlike(r"[\p{L}\p{N}]")))
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, match), offsets in code points, end exclusive.
+    """All matches as (start, end, match), in one pass over the pieces between them.
 
-    Start of match k: the lengths of the pieces before it and of the matches before it.  The pattern
-    must not match the empty string.
+    The pattern must not match the empty string.
     """
-    hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    gaps = F.split(text, pattern, -1)
-    at = F.transform(hits, lambda h, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda a, g: a + F.length(g)))
-    return F.transform(F.arrays_zip(hits.alias("hit"), at.alias("at")), lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["hit"])).alias("end"), x["hit"].alias("match")))
-
-
-def line_column(text: Column, offset: Column) -> Column:
-    """1-based line and column of a code-point offset."""
-    before = F.substring(text, F.lit(1), offset)
-    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    tail = F.element_at(F.split(before, "\n", -1), -1)
-    return F.struct(line.alias("line"), (F.length(tail) + 1).alias("column"))
+    pattern = java(pattern)
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+
+    def found(x):
+        lengths = F.transform(F.arrays_zip(x["hits"].alias("m"), F.slice(x["gaps"], 2, F.size(x["hits"])).alias("g")), lambda z: F.length(z["m"]) + F.length(z["g"]))
+        head = F.length(F.get(x["gaps"], F.lit(0)))
+        return F.transform(_placed(x["hits"], lengths), lambda z: F.struct((z["at"] + head).alias("start"), (z["at"] + head + F.length(z["text"])).alias("end"), z["text"].alias("match")))
+
+    cut = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(cut, found)).otherwise(none)
+
+
+def line_column(text: Column, at: Column) -> Column:
+    """(line, column) of an offset, both from 1."""
+    before = F.substring(text, F.lit(1), at)
+    breaks = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    return F.struct((breaks + 1).alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).alias("column"))
+
+
+def straight_quotes(text: Column) -> Column:
+    return F.translate(text, "‘’‛“”", "'''\"\"")
+
+
+def phrases(words: list[str]) -> str:
+    """One alternation of phrases, longest first: spaces match any run of white space, hyphens also a space."""
+    fold = str.maketrans("‘’‛“”", "'''\"\"")
+    body = lambda w: "".join(r"\s+" if c == " " else r"[-\s]" if c == "-" else re.escape(c) for c in w.translate(fold))
+    return "|".join(body(w) for w in sorted(dict.fromkeys(words), key=lambda w: -len(w)))

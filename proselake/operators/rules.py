@@ -1,77 +1,43 @@
-"""Detectors as DataFrame operations: each gives findings (doc_id, rule, start, end, confidence)."""
+"""Reports over findings, and the rhythm of sentence lengths."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselake.functions.text import sentence_array, spans, word_count
-
-#: Small lexicons.
-APOLOGY = ["sorry", "apologies", "apologize", "apologise"]
-ALWAYS = ["always", "never", "everyone", "nobody"]
-OPENERS = ["moreover", "however", "furthermore", "additionally"]
-RANK = {"off": 0, "info": 1, "warn": 2, "error": 3}
-
-
-def bounded(words: list[str]) -> str:
-    """An alternation with ASCII word bounds (regex dialects differ in \\b)."""
-    return "(?<![A-Za-z0-9_])(?:" + "|".join(words) + ")(?![A-Za-z0-9_])"
-
-
-def severity(confidence: Column) -> Column:
-    return F.when(confidence == "high", "error").when(confidence == "medium", "warn").otherwise("info")
-
+from proselake.functions.text import sentence_array, word_count
+from proselake.operators.detect import findings
 
-def lexicon_rule(docs: DataFrame, rule: str, words: list[str], confidence: str) -> DataFrame:
-    hit = docs.select("doc_id", F.inline(spans(F.lower("text"), bounded(words))))
-    return hit.select("doc_id", F.lit(rule).alias("rule"), "start", "end", F.lit(confidence).alias("confidence"))
 
+def rhythm(docs: DataFrame, most: float = 0.22, least: int = 8, band: float = 0.25) -> DataFrame:
+    """Sentence lengths of documents of at least ``least`` sentences: mean, coefficient of variation, uniform or
+    not, and the longest run of sentences within ``band`` of the mean (its first place and length)."""
+    lengths = F.filter(F.transform(sentence_array(F.col("text")), lambda s: word_count(s)), lambda n: n > 0)
+    d = docs.select("doc_id", lengths.alias("n")).where(F.size("n") >= least)
+    mean = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("n")
+    d = d.withColumn("mean", mean)
+    var = F.aggregate("n", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("n")
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("at"))
 
-def opening_rule(docs: DataFrame) -> DataFrame:
-    """Sentences that open with a connective: low, or medium from three in one document on."""
-    s = docs.select("doc_id", F.posexplode(sentence_array(F.col("text"))).alias("start", "sentence"))
-    hit = s.where(F.lower("sentence").rlike("^(" + "|".join(OPENERS) + ")[ ,.:;]"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    return hit.select("doc_id", F.lit("opening").alias("rule"), "start", (F.col("start") + 1).alias("end"), F.when(n >= 3, "medium").otherwise("low").alias("confidence"))
+    def step(a, x):
+        run = F.when(F.abs(x - F.col("mean")) <= band * F.col("mean"), a["run"] + 1).otherwise(0)
+        better = run > a["best"]
+        return F.struct((a["i"] + 1).alias("i"), run.alias("run"), F.when(better, run).otherwise(a["best"]).alias("best"), F.when(better, a["i"] - run + 1).otherwise(a["at"]).alias("at"))
 
+    d = d.withColumns({"cv": F.sqrt(var) / F.col("mean"), "beat": F.aggregate("n", zero, step)})
+    return d.select("doc_id", F.size("n").cast("long").alias("n_sentences"), F.round("mean", 6).alias("mean_words"), F.round("cv", 6).alias("cv"), (F.col("cv") < most).alias("uniform"), F.col("beat.at").cast("long").alias("run_at"), F.col("beat.best").cast("long").alias("run_length"))
 
-def dash_rule(docs: DataFrame) -> DataFrame:
-    """The first dash; medium if eight sentences in a row hold four, or twelve in all at 1 in 12."""
-    s = docs.select("doc_id", F.instr("text", "—").alias("first"), F.posexplode(sentence_array(F.col("text"))).alias("i", "sentence")).where("first > 0")
-    s = s.withColumn("n", F.regexp_count("sentence", F.lit("—")))
-    frame = Window.partitionBy("doc_id").orderBy("i").rowsBetween(0, 7)
-    d = s.withColumn("w", F.sum("n").over(frame)).groupBy("doc_id", "first").agg(F.max("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    many = (F.col("w") >= 4) | ((F.col("n") >= 12) & (F.col("n") * 12 >= F.col("k")))
-    return d.select("doc_id", F.lit("dash").alias("rule"), (F.col("first") - 1).alias("start"), F.col("first").alias("end"), F.when(many, "medium").otherwise("low").alias("confidence"))
 
+def tenth(x: Column) -> Column:
+    """Rounded half up to one place."""
+    return F.floor(x * 10 + 0.5) / 10
 
-def rhythm(docs: DataFrame) -> DataFrame:
-    """Sentence lengths of documents of at least eight: mean, population deviation, uniform or not."""
-    s = docs.select("doc_id", F.explode(sentence_array(F.col("text"))).alias("sentence")).select("doc_id", word_count(F.col("sentence")).alias("n")).where("n > 0")
-    d = s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.avg("n").alias("mean_words"), F.stddev_pop("n").alias("dev")).where("n_sentences >= 8")
-    cv = F.col("dev") / F.col("mean_words")
-    return d.select("doc_id", F.col("n_sentences").cast("long").alias("n_sentences"), F.round("mean_words", 6).alias("mean_words"), F.round(cv, 6).alias("cv"), (cv < 0.22).alias("uniform"))
 
-
-def findings(docs: DataFrame) -> DataFrame:
-    """All rules, first finding of each (doc, rule, start, end), with severity."""
-    parts = [lexicon_rule(docs, "apology", APOLOGY, "high"), lexicon_rule(docs, "absolute", ALWAYS, "low"), opening_rule(docs), dash_rule(docs)]
-    every = reduce(DataFrame.unionByName, [p.withColumn("seq", F.lit(i)) for i, p in enumerate(parts)])
-    first = F.row_number().over(Window.partitionBy("doc_id", "rule", "start", "end").orderBy("seq"))
-    return every.withColumn("_n", first).where("_n = 1").select("doc_id", "rule", "start", "end", "confidence", severity(F.col("confidence")).alias("severity"))
-
-
-def at_least(found: DataFrame, level: str) -> DataFrame:
-    return found.where(F.col("severity").isin([k for k, v in RANK.items() if v >= RANK[level]]))
-
-
-def report(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Per document: words, sentences, findings by severity and per 1000 words."""
-    n = found.groupBy("doc_id").agg(*(F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in ("error", "warn", "info")))
-    base = docs.select("doc_id", word_count(F.col("text")).cast("long").alias("n_words"), F.size(sentence_array(F.col("text"))).cast("long").alias("n_sentences"))
-    out = base.join(n, "doc_id", "left").fillna(0, ["error_count", "warn_count", "info_count"])
+def report(docs: DataFrame) -> DataFrame:
+    """Per document: words, sentences, findings by severity and per 1000 words; one scan, no shuffle."""
+    f = findings(docs)
+    count = lambda level: F.size(F.filter("found", lambda x: x["severity"] == level)).cast("long")
+    out = f.select("doc_id", word_count(F.col("text")).cast("long").alias("n_words"), F.size("sents").cast("long").alias("n_sentences"), *(count(s).alias(f"{s}_count") for s in ("error", "warn", "info")))
     total = F.col("error_count") + F.col("warn_count") + F.col("info_count")
-    return out.withColumn("per_thousand", F.when(F.col("n_words") > 0, F.round(1000 * total / F.col("n_words"), 3)).otherwise(0.0))
+    return out.withColumn("per_thousand", F.when(F.col("n_words") > 0, tenth(1000 * total / F.col("n_words"))).otherwise(0.0))
+

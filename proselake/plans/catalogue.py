@@ -5,45 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proselake.functions.text import WORD, line_column, paragraph_array, sentence_array, spans, word_array, word_count
-from proselake.operators import evaluate, rules
+from proselake.functions.text import WORD, line_column, paragraphs, sentences, spans, word_array, word_count
+from proselake.operators import detect, evaluate, rules
+from proselake.plans import sql
+from proselake.plans.rules_sql import FOUND
+from proselake.plans.seeds import seeded
 from proselake.sources.html import ENTITIES, HIDDEN, html_text
 from proselake.sources.readers import table
 from proselake.streaming.hook import retry_decisions
 
-#: Trigger phrases that both engines append by doc_id, as the prose tables have none of their own.
-SEEDS = [" However, we are sorry to say it — truly.", "\n\nMoreover, it never ends. However, nobody knows. Furthermore, it is late.", " He said — and she said — that it — always — was.", "", " 😀 Sorry. Sorry!"]
-
-
-def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = F.element_at(F.array(*(F.lit(s) for s in SEEDS)), (F.col("doc_id") % len(SEEDS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat("text", pick).alias("text"))
-
 
 def document_report(spark, sf_dir):
-    docs = seeded(spark, sf_dir)
-    return rules.report(docs, rules.findings(docs))
+    return rules.report(seeded(spark, sf_dir))
 
 
 def finding_rows(spark, sf_dir):
-    f = rules.findings(seeded(spark, sf_dir))
+    f = detect.finding_rows(seeded(spark, sf_dir))
     return f.select("doc_id", "rule", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "confidence", "severity")
 
 
 def serious_findings(spark, sf_dir):
-    f = rules.at_least(rules.findings(seeded(spark, sf_dir)), "warn")
+    f = detect.finding_rows(seeded(spark, sf_dir), "warn")
     return f.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def sentence_rows(spark, sf_dir):
-    s = seeded(spark, sf_dir).select("doc_id", F.posexplode(sentence_array(F.col("text"))).alias("sent_idx", "sentence"))
-    return s.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), F.length("sentence").cast("long").alias("n_chars"), word_count(F.col("sentence")).cast("long").alias("n_words"), F.md5(F.col("sentence").cast("binary")).alias("sentence_md5"))
+    s = seeded(spark, sf_dir).select("doc_id", F.posexplode_outer(sentences(F.col("text"))).alias("i", "s")).where("i is not null")
+    return s.select("doc_id", F.col("i").cast("long").alias("sent_idx"), F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"), word_count(F.col("s.text")).cast("long").alias("n_words"), F.md5(F.col("s.text").cast("binary")).alias("sentence_md5"))
 
 
-def paragraph_load(spark, sf_dir):
-    p = seeded(spark, sf_dir).select("doc_id", F.posexplode(paragraph_array(F.col("text"))).alias("par_idx", "p"))
-    p = p.select("doc_id", F.col("par_idx").cast("long").alias("par_idx"), F.size(sentence_array(F.col("p"))).cast("long").alias("n_sentences"), word_count(F.col("p")).cast("long").alias("n_words"))
-    return p.where("n_sentences >= 7 and n_words >= 130")
+def paragraph_rows(spark, sf_dir):
+    p = seeded(spark, sf_dir).select("doc_id", "text", F.posexplode_outer(paragraphs(F.col("text"))).alias("i", "p")).where("i is not null")
+    return p.select("doc_id", F.col("i").cast("long").alias("par_idx"), F.col("p.start").cast("long").alias("start_at"), F.col("p.end").cast("long").alias("end_at"), F.md5(F.col("p.text").cast("binary")).alias("par_md5"))
 
 
 def sentence_rhythm(spark, sf_dir):
@@ -51,8 +44,10 @@ def sentence_rhythm(spark, sf_dir):
 
 
 def lexical_richness(spark, sf_dir):
-    w = seeded(spark, sf_dir).select("doc_id", F.explode(word_array(F.lower("text"))).alias("w")).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
-    d = w.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.count(F.lit(1)).alias("n_types"), F.count_if(F.col("n") == 1).alias("n_hapax"))
+    d = seeded(spark, sf_dir).select("doc_id", F.array_sort(word_array(F.lower("text"))).alias("w")).where(F.size("w") > 0)
+    other = lambda w, i: F.coalesce(F.get(F.col("w"), i - 1) != w, F.lit(True))
+    alone = F.filter("w", lambda w, i: other(w, i) & F.coalesce(F.get(F.col("w"), i + 1) != w, F.lit(True)))
+    d = d.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.filter("w", other)).cast("long").alias("n_types"), F.size(alone).cast("long").alias("n_hapax"))
     return d.withColumn("type_token_ratio", F.round(F.col("n_types") / F.col("n_words"), 6))
 
 
@@ -71,8 +66,7 @@ def match_positions(spark, sf_dir):
 
 
 def severity_rollup(spark, sf_dir):
-    docs = seeded(spark, sf_dir)
-    f = rules.findings(docs).join(docs.select("doc_id", "source"), "doc_id")
+    f = detect.findings(seeded(spark, sf_dir)).select("source", F.explode_outer("found").alias("f")).where("f is not null").select("source", "f.severity")
     return f.rollup("source", "severity").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level_id"))
 
 
@@ -111,49 +105,17 @@ def retry_states(spark, sf_dir):
     return retry_decisions(e)
 
 
-_QUERIES = [document_report, finding_rows, serious_findings, sentence_rows, paragraph_load, sentence_rhythm, lexical_richness, word_idf, match_positions, severity_rollup, length_auc, threshold_sweep, stratified_folds, page_prose, current_turn, retry_states]
+_QUERIES = [document_report, finding_rows, serious_findings, sentence_rows, paragraph_rows, sentence_rhythm, lexical_richness, word_idf, match_positions, severity_rollup, length_auc, threshold_sweep, stratified_folds, page_prose, current_turn, retry_states]
 
 
 def queries() -> dict:
     return {f.__name__: f for f in _QUERIES}
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
+_q, _words, _SEEDED = sql.q, sql.words, sql.SEEDED
 _WORD = _q(WORD)
 _BLANK = "'[ \\t\\n\\r]+'"
-_SEEDED = "seeded AS (SELECT doc_id, lang, source, text || (CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {_q(s)}" for i, s in enumerate(SEEDS)) + " END) AS text FROM documents)"
-
-
-def _words(x: str) -> str:
-    return f"len(regexp_extract_all({x}, {_WORD}))"
-
-
-def _sentences(x: str) -> str:
-    stop = _q("([.!?]+[\"')\\]]*)([ \\t\\n\\r]+|$)")
-    cut = f"regexp_replace(regexp_replace({x}, {stop}, '\\1' || chr(1), 'g'), '\\n[ \\t]*\\n|\u2029', chr(1), 'g')"
-    return f"list_filter(list_transform(string_split({cut}, chr(1)), lambda s: regexp_replace(regexp_replace(s, '^[ \\t\\n\\r]+', ''), '[ \\t\\n\\r]+$', '')), lambda s: s <> '')"
-
-
-def _lexicon(rule: str, words: list[str], confidence: str) -> str:
-    # No lookaround in this dialect: words of the text with their places, from the cut-up text.
-    alt = "|".join(words)
-    parts = "string_split(regexp_replace(lower(text), '([A-Za-z0-9_]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
-    return f"""SELECT doc_id, '{rule}' AS rule, pos AS start_at, pos + length(part) AS end_at, '{confidence}' AS confidence FROM (
-        SELECT doc_id, part, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) - length(part) AS BIGINT) AS pos
-        FROM (SELECT doc_id, unnest({parts}) AS part, generate_subscripts({parts}, 1) AS i FROM seeded)) WHERE regexp_full_match(part, '{alt}')"""
-
-
-_S = f"sents AS (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS i FROM (SELECT doc_id, {_sentences('text')} AS s FROM seeded))"
-_FOUND = f"""{_S}, opening AS (SELECT doc_id, i FROM sents WHERE regexp_matches(lower(sentence), '^({"|".join(rules.OPENERS)})[ ,.:;]')),
-dashes AS (SELECT doc_id, max(w) AS w, sum(n) AS n, count(*) AS k FROM (SELECT doc_id, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS w
-    FROM (SELECT doc_id, i, len(regexp_extract_all(sentence, '—')) AS n FROM sents)) GROUP BY doc_id),
-found AS (SELECT DISTINCT doc_id, rule, start_at, end_at, confidence, CASE confidence WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warn' ELSE 'info' END AS severity FROM (
-    {_lexicon("apology", rules.APOLOGY, "high")} UNION ALL {_lexicon("absolute", rules.ALWAYS, "low")}
-    UNION ALL SELECT doc_id, 'opening', i, i + 1, CASE WHEN count(*) OVER (PARTITION BY doc_id) >= 3 THEN 'medium' ELSE 'low' END FROM opening
-    UNION ALL SELECT doc_id, 'dash', instr(text, '—') - 1, instr(text, '—'), CASE WHEN w >= 4 OR (n >= 12 AND n * 12 >= k) THEN 'medium' ELSE 'low' END FROM seeded JOIN dashes USING (doc_id) WHERE instr(text, '—') > 0))"""
+_S = sql.sentences()
 
 
 def _html() -> str:
@@ -172,23 +134,26 @@ _SCORED = f"scored AS (SELECT doc_id, lang, quality AS label, least(100, CAST(fl
 
 
 def oracle_sql() -> dict[str, str]:
-    pars = "list_filter(string_split(regexp_replace(text, '\\n[ \\t]*\\n', chr(1), 'g'), chr(1)), lambda p: length(regexp_replace(p, '[ \\t\\n\\r]', '', 'g')) > 0)"
     low = f"regexp_extract_all(lower(text), {_WORD})"
     return {
-        "document_report": f"""WITH {_SEEDED}, {_FOUND}, n AS (SELECT doc_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warn') AS w, count(*) FILTER (severity = 'info') AS i FROM found GROUP BY doc_id),
-            b AS (SELECT doc_id, {_words("text")} AS n_words, len({_sentences("text")}) AS n_sentences FROM seeded)
+        "document_report": f"""WITH {FOUND}, n AS (SELECT doc_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warn') AS w, count(*) FILTER (severity = 'info') AS i FROM found GROUP BY doc_id),
+            k AS (SELECT doc_id, count(*) AS k FROM sents GROUP BY doc_id), b AS (SELECT doc_id, {_words("text")} AS n_words, coalesce(k, 0) AS n_sentences FROM seeded LEFT JOIN k USING (doc_id))
             SELECT doc_id, n_words, n_sentences, coalesce(e, 0) AS error_count, coalesce(w, 0) AS warn_count, coalesce(i, 0) AS info_count,
-            CASE WHEN n_words > 0 THEN round(1000 * (coalesce(e, 0) + coalesce(w, 0) + coalesce(i, 0)) / n_words, 3) ELSE 0.0 END AS per_thousand FROM b LEFT JOIN n USING (doc_id)""",
-        "finding_rows": f"WITH {_SEEDED}, {_FOUND} SELECT * FROM found",
-        "serious_findings": f"WITH {_SEEDED}, {_FOUND} SELECT rule, severity, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM found WHERE severity IN ('warn', 'error') GROUP BY ALL",
-        "sentence_rows": f"WITH {_SEEDED}, {_S} SELECT doc_id, i AS sent_idx, length(sentence) AS n_chars, {_words('sentence')} AS n_words, md5(sentence) AS sentence_md5 FROM sents",
-        "paragraph_load": f"WITH {_SEEDED}, p AS (SELECT doc_id, unnest({pars}) AS p, generate_subscripts({pars}, 1) - 1 AS par_idx FROM seeded) SELECT * FROM (SELECT doc_id, par_idx, len({_sentences('p')}) AS n_sentences, {_words('p')} AS n_words FROM p) WHERE n_sentences >= 7 AND n_words >= 130",
-        "sentence_rhythm": f"WITH {_SEEDED}, {_S}, n AS (SELECT doc_id, {_words('sentence')} AS n FROM sents) SELECT doc_id, count(*) AS n_sentences, round(avg(n), 6) AS mean_words, round(stddev_pop(n) / avg(n), 6) AS cv, stddev_pop(n) / avg(n) < 0.22 AS uniform FROM n WHERE n > 0 GROUP BY doc_id HAVING count(*) >= 8",
+            CASE WHEN n_words > 0 THEN floor(1000 * (coalesce(e, 0) + coalesce(w, 0) + coalesce(i, 0)) / n_words * 10 + 0.5) / 10 ELSE 0.0 END AS per_thousand FROM b LEFT JOIN n USING (doc_id)""",
+        "finding_rows": f"WITH {FOUND} SELECT * FROM found",
+        "serious_findings": f"WITH {FOUND} SELECT rule, severity, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM found WHERE severity IN ('warn', 'error') GROUP BY ALL",
+        "sentence_rows": f"WITH {_SEEDED}, {_S} SELECT doc_id, i AS sent_idx, start_at, end_at, {_words('text')} AS n_words, md5(text) AS sentence_md5 FROM sents",
+        "paragraph_rows": f"WITH {_SEEDED}, {sql.paragraphs()} SELECT doc_id, i AS par_idx, start_at, end_at, md5(text) AS par_md5 FROM pars",
+        "sentence_rhythm": f"""WITH {_SEEDED}, {_S}, n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, n FROM (SELECT doc_id, i, {_words('text')} AS n FROM sents) WHERE n > 0),
+            m AS (SELECT *, avg(n) OVER (PARTITION BY doc_id) AS mean FROM n), b AS (SELECT *, abs(n - mean) <= 0.25 * mean AS beat FROM m), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, beat ORDER BY i) AS island FROM b),
+            r AS (SELECT doc_id, min(i) AS run_at, count(*) AS run_length FROM g WHERE beat GROUP BY doc_id, island), t AS (SELECT doc_id, run_at, run_length FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY run_length DESC, run_at) = 1)
+            SELECT doc_id, count(*) AS n_sentences, round(avg(n), 6) AS mean_words, round(stddev_pop(n) / avg(n), 6) AS cv, stddev_pop(n) / avg(n) < 0.22 AS uniform, coalesce(any_value(run_at), 0) AS run_at, coalesce(any_value(run_length), 0) AS run_length
+            FROM n LEFT JOIN t USING (doc_id) GROUP BY doc_id HAVING count(*) >= 8""",
         "lexical_richness": f"WITH {_SEEDED}, w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({low}) AS w FROM seeded) GROUP BY ALL) SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words, count(*) AS n_types, count(*) FILTER (n = 1) AS n_hapax, round(count(*) / sum(n), 6) AS type_token_ratio FROM w GROUP BY doc_id",
         "word_idf": f"WITH d AS (SELECT w AS word, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct({low})) AS w FROM documents) GROUP BY w) SELECT word, df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 9) AS idf FROM d WHERE df >= 2",
         "match_positions": f"""WITH {_SEEDED}, c AS (SELECT doc_id, text, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM seeded WHERE contains(text, '—') OR contains(text, '😀'))
             SELECT doc_id, pos AS start_at, ch AS matched, len(string_split(substr(text, 1, pos), chr(10))) AS line_no, length(string_split(substr(text, 1, pos), chr(10))[-1]) + 1 AS column_no FROM c WHERE ch IN ('—', '😀')""",
-        "severity_rollup": f"WITH {_SEEDED}, {_FOUND} SELECT source, severity, count(*) AS n, grouping_id(source, severity) AS level_id FROM found JOIN seeded USING (doc_id) GROUP BY ROLLUP (source, severity)",
+        "severity_rollup": f"WITH {FOUND} SELECT source, severity, count(*) AS n, grouping_id(source, severity) AS level_id FROM found JOIN seeded USING (doc_id) GROUP BY ROLLUP (source, severity)",
         "length_auc": f"WITH {_SCORED} SELECT count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, round((SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) FROM scored a, scored b WHERE a.label = 1 AND b.label = 0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 9) AS auc FROM scored",
         "threshold_sweep": f"""WITH {_SCORED}, c AS (SELECT threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label = 0) AS fp, count(*) FILTER (score < threshold AND label = 0) AS tn, count(*) FILTER (score < threshold AND label = 1) AS fn
             FROM scored, range(0, 101, 10) t(threshold) GROUP BY threshold) SELECT threshold, tp, fp, tn, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END, 6) AS recall, round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 1.0 END, 6) AS specificity FROM c""",

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from proselake.functions.text import line_column, sentence_array, spans, word_count
-from proselake.operators import evaluate, rules
+from proselake.functions.text import line_column, sentence_array, spans, syntactic_words, word_count
+from proselake.operators import detect, evaluate
 from proselake.sources.html import html_text
 from proselake.sources.readers import files
 from proselake.streaming.hook import retry_decisions, retry_stream
@@ -14,12 +14,15 @@ def one(spark, text, col):
 def test_sentences(spark):
     text = 'One stop. Two "quoted." three\nsame line! \n\nNew (block?) end'
     assert one(spark, text, sentence_array(F.col("text"))) == ["One stop.", 'Two "quoted."', "three\nsame line!", "New (block?)", "end"]
+    assert one(spark, "“Left.” After\n \nthat… it. So\u2029on (end.]", sentence_array(F.col("text"))) == ["“Left.”", "After\n \nthat… it.", "So", "on (end.]"]
     assert one(spark, None, sentence_array(F.col("text"))) == []
     assert one(spark, "  ", sentence_array(F.col("text"))) == []
 
 
 def test_words_and_spans(spark):
     assert one(spark, "it's 3 o’clock — né", word_count(F.col("text"))) == 4
+    forms = ["I", "ca", "n't", ",", "it", "’s", "can", "not", "3.14", "https://a.b/c", "x", "-", "y"]
+    assert one(spark, "I can't, it’s cannot 3.14 https://a.b/c x-y", syntactic_words(F.col("text"))) == forms
     assert one(spark, None, word_count(F.col("text"))) == 0
     got = one(spark, "😀a😀 b", spans(F.col("text"), "[ab]"))
     assert [(m.start, m.end, m.match) for m in got] == [(1, 2, "a"), (4, 5, "b")]
@@ -27,10 +30,19 @@ def test_words_and_spans(spark):
     assert (at.line, at.column) == (2, 2)
 
 
+def found(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return [(r.rule, r.start, r.end, r.confidence) for r in detect.finding_rows(docs).orderBy("place").collect()]
+
+
 def test_rules(spark):
-    docs = spark.createDataFrame([(1, "Sorry, sorryish. However, it is. Moreover, x. Furthermore, y."), (2, "a — b. — — —"), (3, None)], "doc_id long, text string")
-    got = {(r.doc_id, r.rule, r.confidence) for r in rules.findings(docs).collect()}
-    assert got == {(1, "apology", "high"), (1, "opening", "medium"), (2, "dash", "medium")}
+    assert found(spark, None) == [] and found(spark, "") == []
+    assert found(spark, "a — b. — — —") == [("em-dash-overuse", 2, 3, "medium")]
+    got = found(spark, "😀 Sorry, sorryish. Moreover, x is it. Moreover, y. “Moreover, z.”")
+    assert got == [("emoji", 0, 1, "low"), ("apology-reflex", 2, 7, "medium")] + [("opening-conjunction", a, a + 8, "medium") for a in (19, 38, 52)]
+    assert found(spark, "They see clearly that it is. Clearly, that works.") == [("unsupported-certainty", 29, 36, "low")]
+    assert found(spark, "It never ends? Unless it always does, no. It is not always so. Always, never, nobody.")[-1] == ("absolute-claim", 78, 84, "medium")
+    assert found(spark, "A load-bearing wall. A load-bearing idea.") == [("emerging-slop-phrases", 23, 35, "low")]
 
 
 def test_html(spark):
