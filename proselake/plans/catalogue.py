@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions.text import WORD, line_column, paragraphs, sentences, spans, word_array, word_count
 from proselake.operators import detect, evaluate, rules
-from proselake.plans import graphs, sql
+from proselake.plans import graphs, reports, sql
 from proselake.plans import spans as span_plans
 from proselake.plans.rules_sql import FOUND
 from proselake.plans.seeds import seeded
@@ -102,15 +102,15 @@ def current_turn(spark, sf_dir):
 
 
 def retry_states(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("dirty"))
-    return retry_decisions(e)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").isin("error", "view").alias("dirty"), (F.col("event_id") % 5 != 0).alias("active"))
+    return retry_decisions(e, 3)
 
 
 _QUERIES = [document_report, finding_rows, serious_findings, sentence_rows, paragraph_rows, sentence_rhythm, lexical_richness, word_idf, match_positions, severity_rollup, length_auc, threshold_sweep, stratified_folds, page_prose, current_turn, retry_states]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in [*_QUERIES, *graphs.QUERIES, *span_plans.QUERIES]}
+    return {f.__name__: f for f in [*_QUERIES, *graphs.QUERIES, *span_plans.QUERIES, *reports.QUERIES]}
 
 
 _q, _words, _SEEDED = sql.q, sql.words, sql.SEEDED
@@ -136,7 +136,7 @@ _SCORED = f"scored AS (SELECT doc_id, lang, quality AS label, least(100, CAST(fl
 
 def oracle_sql() -> dict[str, str]:
     low = f"regexp_extract_all(lower(text), {_WORD})"
-    return graphs.oracle_sql() | span_plans.oracle_sql() | {
+    return graphs.oracle_sql() | span_plans.oracle_sql() | reports.oracle_sql() | {
         "document_report": f"""WITH {FOUND}, n AS (SELECT doc_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warn') AS w, count(*) FILTER (severity = 'info') AS i FROM found GROUP BY doc_id),
             k AS (SELECT doc_id, count(*) AS k FROM sents GROUP BY doc_id), b AS (SELECT doc_id, {_words("text")} AS n_words, coalesce(k, 0) AS n_sentences FROM seeded LEFT JOIN k USING (doc_id))
             SELECT doc_id, n_words, n_sentences, coalesce(e, 0) AS error_count, coalesce(w, 0) AS warn_count, coalesce(i, 0) AS info_count,
@@ -157,10 +157,14 @@ def oracle_sql() -> dict[str, str]:
         "severity_rollup": f"WITH {FOUND} SELECT source, severity, count(*) AS n, grouping_id(source, severity) AS level_id FROM found JOIN seeded USING (doc_id) GROUP BY ROLLUP (source, severity)",
         "length_auc": f"WITH {_SCORED} SELECT count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, round((SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) FROM scored a, scored b WHERE a.label = 1 AND b.label = 0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 9) AS auc FROM scored",
         "threshold_sweep": f"""WITH {_SCORED}, c AS (SELECT threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label = 0) AS fp, count(*) FILTER (score < threshold AND label = 0) AS tn, count(*) FILTER (score < threshold AND label = 1) AS fn
-            FROM scored, range(0, 101, 10) t(threshold) GROUP BY threshold) SELECT threshold, tp, fp, tn, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END, 6) AS recall, round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 1.0 END, 6) AS specificity FROM c""",
+            FROM scored, range(0, 101, 10) t(threshold) GROUP BY threshold) SELECT threshold, tp, fp, tn, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END, 6) AS recall, round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 1.0 END, 6) AS specificity, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
+            round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) WHEN tp + fp = 0 AND tp + fn = 0 THEN 1.0 ELSE 0.0 END, 6) AS f1 FROM c""",
         "stratified_folds": f"WITH {_SCORED} SELECT doc_id, (row_number() OVER (PARTITION BY lang, label ORDER BY doc_id) - 1) % 4 AS fold FROM scored",
         "page_prose": f"SELECT page_id, {_words('t')} AS n_words, md5(regexp_replace(t, {_BLANK}, ' ', 'g')) AS text_md5 FROM (SELECT page_id, {_html()} AS t FROM pages)",
         "current_turn": "WITH b AS (SELECT *, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS boundary FROM conversations) SELECT conv_id, count(*) AS n_messages, max_by(text, turn) AS last_text FROM b WHERE role = 'assistant' AND (boundary IS NULL OR turn > boundary) GROUP BY conv_id",
-        "retry_states": """WITH e AS (SELECT user_id AS key, event_id AS seq, event_type = 'error' AS dirty FROM events), i AS (SELECT *, sum(CASE WHEN dirty THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY seq) AS island FROM e),
-            n AS (SELECT key, seq, dirty, CASE WHEN dirty THEN CAST(sum(CAST(dirty AS INT)) OVER (PARTITION BY key, island ORDER BY seq) AS BIGINT) % 3 ELSE 0 END AS retries FROM i) SELECT key, seq, retries, dirty AND retries > 0 AS blocked FROM n""",
+        # Event by event, as the state machine runs.
+        "retry_states": """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, event_type IN ('error', 'view') AS dirty, event_id % 5 <> 0 AS active, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+            s(key, n, seq, before, retries, dirty, active) AS (SELECT key, n, seq, 0, CASE WHEN dirty THEN CASE WHEN active THEN 2 ELSE 1 END ELSE 0 END, dirty, active FROM e WHERE n = 1
+                UNION ALL SELECT e.key, e.n, e.seq, s.retries, CASE WHEN NOT e.dirty THEN 0 WHEN NOT e.active THEN 1 WHEN greatest(1, s.retries) >= 3 THEN 0 ELSE greatest(1, s.retries) + 1 END, e.dirty, e.active FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)
+            SELECT key, seq, retries, dirty AND retries > 0 AS blocked, CASE WHEN NOT dirty AND active AND before > 0 THEN 'accepted' WHEN dirty AND retries = 0 THEN 'gave up' END AS note FROM s""",
     }

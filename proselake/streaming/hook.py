@@ -1,7 +1,8 @@
 """The retry state of a keyed event stream, in batch and as a stateful stream.
 
-A dirty event blocks and counts one retry until ``most`` are used up; the next dirty event, like any
-clean one, clears the state.
+A dirty event blocks and sets the count of retries: to 1 where the event is not part of a retry (``active`` false),
+else to one more than the count before (at least 1).  An active dirty event that finds ``most`` retries
+used up, like any clean event, clears the state and passes.
 """
 
 from __future__ import annotations
@@ -15,15 +16,21 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 
 def retry_decisions(events: DataFrame, most: int = 2) -> DataFrame:
-    """events (key, seq, dirty) -> key, seq, retries (after the event), blocked.
+    """events (key, seq, dirty, active) -> key, seq, retries (after the event), blocked, note.
 
-    Islands of dirty events: the place in an island, modulo most + 1, is the state.
+    Clean and inactive events set the state whatever it was; after such a one, active dirty events go through
+    2 .. most, 0, again and again, so a place in its island gives an event's state.  note: "accepted" for a clean
+    active event after retries, "gave up" for a dirty one that passes.
     """
     order = Window.partitionBy("key").orderBy("seq")
-    island = events.withColumn("island", F.sum(F.when(F.col("dirty"), 0).otherwise(1)).over(order))
-    place = F.sum(F.col("dirty").cast("long")).over(Window.partitionBy("key", "island").orderBy("seq"))
-    n = F.when(F.col("dirty"), place % (most + 1)).otherwise(0)
-    return island.select("key", "seq", n.cast("long").alias("retries"), (F.col("dirty") & (n > 0)).alias("blocked"))
+    follows = F.col("dirty") & F.col("active")
+    island = events.withColumn("island", F.sum(F.when(follows, 0).otherwise(1)).over(order))
+    place = F.sum(follows.cast("long")).over(Window.partitionBy("key", "island").orderBy("seq"))
+    cycle = F.pmod(place - 1, F.lit(most)) if most else F.lit(0)
+    n = F.when(~F.col("dirty") | F.lit(most == 0), 0).when(~F.col("active"), 1).when(cycle < most - 1, cycle + 2).otherwise(0).cast("long")
+    out = island.withColumn("retries", n).withColumn("before", F.coalesce(F.lag("retries").over(order), F.lit(0)))
+    note = F.when(~F.col("dirty") & F.col("active") & (F.col("before") > 0), "accepted").when(F.col("dirty") & (F.col("retries") == 0), "gave up")
+    return out.select("key", "seq", "retries", (F.col("dirty") & (F.col("retries") > 0)).alias("blocked"), note.alias("note"))
 
 
 class RetryState(StatefulProcessor):
@@ -39,15 +46,17 @@ class RetryState(StatefulProcessor):
         n = self.retries.get()[0] if self.retries.exists() else 0
         out = []
         for part in rows:
-            for seq, dirty in zip(part["seq"], part["dirty"], strict=True):
-                n = n + 1 if dirty and n < self.most else 0
-                out.append((key[0], seq, n, bool(dirty and n)))
+            for seq, dirty, active in zip(part["seq"], part["dirty"], part["active"], strict=True):
+                before, stored = n, max(1, n) if active else 0
+                n = stored + 1 if dirty and stored < self.most else 0
+                note = "accepted" if not dirty and active and before else "gave up" if dirty and not n else None
+                out.append((key[0], seq, n, bool(dirty and n), note))
         self.retries.update((n,))
-        yield pd.DataFrame(out, columns=["key", "seq", "retries", "blocked"])
+        yield pd.DataFrame(out, columns=["key", "seq", "retries", "blocked", "note"])
 
     def close(self) -> None:
         pass
 
 
 def retry_stream(events: DataFrame, most: int = 2) -> DataFrame:
-    return events.groupBy("key").transformWithStateInPandas(RetryState(most), "key long, seq long, retries long, blocked boolean", "Append", "None")
+    return events.groupBy("key").transformWithStateInPandas(RetryState(most), "key long, seq long, retries long, blocked boolean, note string", "Append", "None")
