@@ -114,8 +114,20 @@ def _triples(vocab: Vocabulary):
     return run
 
 
-def train_classes(code: np.ndarray, n: np.ndarray, *, dim: int = 32, steps: int = 500, batch: int = 2048, noise: int = 16, seed: int = 5) -> np.ndarray:
-    """NCE on weighted class trigrams -> normalised natural log-probabilities [two * C + one, class]."""
+def draws(n: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Every cell in turn, frequent ones several times, in random order; weights make up for the counts."""
+    share = n.sum() / (2 * len(n))
+    times = np.ceil(n / share).astype(np.int64)
+    order = rng.permutation(np.repeat(np.arange(len(n)), times))
+    return order, (n / (times * share))[order]
+
+
+def train_classes(code: np.ndarray, n: np.ndarray, *, dim: int = 32, batch: int = 2048, noise: int = 16, least: int = 200, seed: int = 5) -> np.ndarray:
+    """NCE on weighted class trigrams -> normalised natural log-probabilities [two * C + one, class].
+
+    Training goes through all counted trigrams, so its steps grow with what the corpus has of them (and is
+    repeated until ``least`` steps where that is little).
+    """
     rng = np.random.default_rng(seed)
     two, one, now = code // (CLASSES * CLASSES), code // CLASSES % CLASSES, code % CLASSES
     uni = np.bincount(now, n, CLASSES) + 0.5
@@ -124,9 +136,14 @@ def train_classes(code: np.ndarray, n: np.ndarray, *, dim: int = 32, steps: int
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     if len(code):
         row, eye = np.arange(batch)[:, None] * CLASSES, np.eye(CLASSES)
-        cum, cum_uni = np.cumsum(n / n.sum()), np.cumsum(uni)
+        cum_uni = np.cumsum(uni)
+        order, weight = draws(n, rng)
+        more = -(-least * batch // len(order))
+        order, weight = np.tile(order, more), np.tile(weight, more)
+        steps = -(-len(order) // batch)
+        order, weight = np.resize(order, steps * batch), np.resize(weight, steps * batch)
         for t in range(1, steps + 1):
-            at = np.minimum(np.searchsorted(cum, rng.random(batch)), len(code) - 1)
+            at, wt = order[(t - 1) * batch : t * batch], weight[(t - 1) * batch : t * batch]
             bad = np.minimum(np.searchsorted(cum_uni, rng.random((batch, noise))), CLASSES - 1)
             word = np.concatenate([now[at][:, None], bad], 1)
             r1, r2 = p["r"][one[at]], p["r"][two[at]]
@@ -134,6 +151,7 @@ def train_classes(code: np.ndarray, n: np.ndarray, *, dim: int = 32, steps: int
             z = np.take_along_axis(hat @ p["q"].T + p["bias"] - np.log(noise * uni), word, 1)
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             g[:, 0] -= 1
+            g *= wt[:, None]
             dense = np.bincount((row + word).ravel(), g.ravel() / batch, batch * CLASSES).reshape(batch, CLASSES)
             dhat = dense @ p["q"]
             grad = {"q": dense.T @ hat, "bias": dense.sum(0), "r": eye[:, one[at]] @ (dhat * p["a"]) + eye[:, two[at]] @ (dhat * p["b"]), "a": (dhat * r1).sum(0), "b": (dhat * r2).sum(0)}
@@ -148,10 +166,9 @@ def train_classes(code: np.ndarray, n: np.ndarray, *, dim: int = 32, steps: int
     return (logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
-def _score(vocab: Vocabulary, table: np.ndarray, log_z: np.ndarray, log_all: float):
+def _score(vocab: Vocabulary, table: np.ndarray, log_z: np.ndarray, log_all: float, n_ends: int):
     log_table, log_c = (table / np.log(10)).astype(np.float32), np.log10(vocab.c + 1.0)
-    end_at = int(np.searchsorted(vocab.h, U(END))) if len(vocab.h) else 0
-    end_log = log_c[end_at] if len(vocab.h) and vocab.h[end_at] == END else 0.0
+    end_log = np.log10(n_ends + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -169,7 +186,7 @@ def _score(vocab: Vocabulary, table: np.ndarray, log_z: np.ndarray, log_all: flo
                 n = np.diff(w.ptr)
                 base = np.bincount(w.doc, lc, nd) + end_log - (n + 1) * log_all
                 model = model + np.bincount(w.doc, inside, nd)
-                n_known = np.bincount(w.doc, known, nd).astype(np.int64) + int(end_log > 0)
+                n_known = np.bincount(w.doc, known, nd).astype(np.int64) + int(n_ends > 0)
                 version = doc_hash(h, w.ptr)
                 rare = np.flatnonzero(~known)
                 mark = mix(h[rare] ^ mix(w.doc[rare].astype(np.uint64)))
@@ -199,7 +216,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, train: DataFrame) -> D
     pick = lambda d: d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs, train = pick(docs), pick(train)
     counts = s.put(train.mapInArrow(_word_counts, "h long, c long, ending short").groupBy("h").agg(F.sum("c").alias("c"), F.first("ending").alias("ending")))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("h") == END, F.col("c"))), F.lit(0))).first()
     head = counts.orderBy(F.desc("c"), "h").limit(HEAD).select("h", "c").toArrow()
     vocab = Vocabulary(head["h"].to_numpy().view(np.uint64), head["c"].to_numpy())
     own = vocab.h[vocab.cls >= 0].view(np.int64).tolist()
@@ -213,7 +230,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, train: DataFrame) -> D
     table = train_classes(grams["code"].to_numpy().astype(np.int64), grams["n"].to_numpy())
     del head, grams
     parts = docs.mapInArrow(
-        _score(vocab, table, np.log10(mass), float(np.log10(total + distinct + 1))),
+        _score(vocab, table, np.log10(mass), float(np.log10(total + distinct + 1)), int(ends)),
         "doc_id long, version long, h long, times long, docs long, n_tokens long, n_known long, base double, model double",
     )
     c = F.coalesce(F.when(F.col("times") > 0, F.col("c")), F.lit(0))

@@ -118,10 +118,33 @@ def test_language_model(spark, docs, empty):
     assert all(math.isfinite(r.score) for r in score_documents(spark, docs, empty).collect())
 
 
+def test_training_goes_through_all_counts():
+    from proselake.llm.lm import draws
+
+    n = np.array([1, 5, 1000, 20, 3])
+    order, weight = draws(n, np.random.default_rng(0))
+    assert set(order) == set(range(5)) and len(order) <= 3 * len(n) + len(n)
+    got = np.bincount(order, weight)
+    assert np.allclose(got / got.sum(), n / n.sum())
+
+
+def test_model_beats_counts_on_held_out_text(spark):
+    """Words of two kinds that alternate: the class model must gain on the unigrams."""
+    from proselake.llm.lm import score_documents
+
+    rng = random.Random(2)
+    kinds = [["".join(rng.choices("abcdef", k=4)) + end for _ in range(200)] for end in ("on", "ik")]
+    rows = [(i, " ".join(rng.choice(kinds[k % 2]) for k in range(60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = score_documents(spark, docs.where("doc_id >= 200"), docs.where("doc_id < 200")).collect()
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert gain > 0.2, gain
+
+
 def test_class_model_is_normalised():
     from proselake.llm.lm import CLASSES, train_classes
 
-    table = train_classes(np.array([5, 5000, 70000]), np.array([3, 2, 9]), steps=20)
+    table = train_classes(np.array([5, 5000, 70000]), np.array([3, 2, 9]), least=20)
     assert table.shape == (CLASSES * CLASSES, CLASSES)
     assert np.allclose(np.exp(table.astype(float)).sum(1), 1, atol=1e-4)
 
