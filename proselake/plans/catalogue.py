@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from proselake.functions.text import WORD, line_column, paragraphs, sentences, spans, word_array, word_count
 from proselake.operators import detect, evaluate, rules
-from proselake.plans import graphs, reports, sql
+from proselake.plans import extracts, graphs, reports, sql
 from proselake.plans import spans as span_plans
 from proselake.plans.rules_sql import FOUND
 from proselake.plans.seeds import seeded
-from proselake.sources.html import ENTITIES, HIDDEN, html_text
 from proselake.sources.readers import table
 from proselake.streaming.hook import retry_decisions
 
@@ -89,11 +88,6 @@ def stratified_folds(spark, sf_dir):
     return evaluate.folds(_scored(spark, sf_dir), ["lang", "label"], 4).select("doc_id", "fold")
 
 
-def page_prose(spark, sf_dir):
-    t = html_text(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", word_count(t).cast("long").alias("n_words"), F.md5(F.regexp_replace(t, "[ \t\n\r]+", " ").cast("binary")).alias("text_md5"))
-
-
 def current_turn(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     last = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id"))
@@ -106,37 +100,24 @@ def retry_states(spark, sf_dir):
     return retry_decisions(e, 3)
 
 
-_QUERIES = [document_report, finding_rows, serious_findings, sentence_rows, paragraph_rows, sentence_rhythm, lexical_richness, word_idf, match_positions, severity_rollup, length_auc, threshold_sweep, stratified_folds, page_prose, current_turn, retry_states]
+_QUERIES = [document_report, finding_rows, serious_findings, sentence_rows, paragraph_rows, sentence_rhythm, lexical_richness, word_idf, match_positions, severity_rollup, length_auc, threshold_sweep, stratified_folds, current_turn, retry_states]
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in [*_QUERIES, *graphs.QUERIES, *span_plans.QUERIES, *reports.QUERIES]}
+    return {f.__name__: f for f in [*_QUERIES, *graphs.QUERIES, *span_plans.QUERIES, *reports.QUERIES, *extracts.QUERIES]}
 
 
 _q, _words, _SEEDED = sql.q, sql.words, sql.SEEDED
 _WORD = _q(WORD)
-_BLANK = "'[ \\t\\n\\r]+'"
 _S = sql.sentences()
 
 
-def _html() -> str:
-    out = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-    for tag in HIDDEN:
-        out = f"regexp_replace({out}, '(?is)<{tag}(?:[ \\t\\n][^>]*)?>.*?</{tag}>', '', 'g')"
-    out = f"regexp_replace({out}, '(?i)</?(?:p|div|article|section|h[1-6]|ul|ol|li|nav|footer|header|table|tr|blockquote)(?:[ \\t\\n][^>]*)?>', chr(10) || chr(10), 'g')"
-    out = f"regexp_replace({out}, '(?i)<br[ \\t]*/?>', chr(10), 'g')"
-    out = f"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
-    for name, char in ENTITIES.items():
-        out = f"replace({out}, {_q(name)}, {_q(char)})"
-    return out
-
-
 _SCORED = f"scored AS (SELECT doc_id, lang, quality AS label, least(100, CAST(floor({_words('text')} / 10) AS BIGINT)) AS score FROM documents JOIN labels USING (doc_id))"
 
 
 def oracle_sql() -> dict[str, str]:
     low = f"regexp_extract_all(lower(text), {_WORD})"
-    return graphs.oracle_sql() | span_plans.oracle_sql() | reports.oracle_sql() | {
+    return graphs.oracle_sql() | span_plans.oracle_sql() | reports.oracle_sql() | extracts.oracle_sql() | {
         "document_report": f"""WITH {FOUND}, n AS (SELECT doc_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warn') AS w, count(*) FILTER (severity = 'info') AS i FROM found GROUP BY doc_id),
             k AS (SELECT doc_id, count(*) AS k FROM sents GROUP BY doc_id), b AS (SELECT doc_id, {_words("text")} AS n_words, coalesce(k, 0) AS n_sentences FROM seeded LEFT JOIN k USING (doc_id))
             SELECT doc_id, n_words, n_sentences, coalesce(e, 0) AS error_count, coalesce(w, 0) AS warn_count, coalesce(i, 0) AS info_count,
@@ -160,7 +141,6 @@ def oracle_sql() -> dict[str, str]:
             FROM scored, range(0, 101, 10) t(threshold) GROUP BY threshold) SELECT threshold, tp, fp, tn, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END, 6) AS recall, round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 1.0 END, 6) AS specificity, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
             round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) WHEN tp + fp = 0 AND tp + fn = 0 THEN 1.0 ELSE 0.0 END, 6) AS f1 FROM c""",
         "stratified_folds": f"WITH {_SCORED} SELECT doc_id, (row_number() OVER (PARTITION BY lang, label ORDER BY doc_id) - 1) % 4 AS fold FROM scored",
-        "page_prose": f"SELECT page_id, {_words('t')} AS n_words, md5(regexp_replace(t, {_BLANK}, ' ', 'g')) AS text_md5 FROM (SELECT page_id, {_html()} AS t FROM pages)",
         "current_turn": "WITH b AS (SELECT *, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS boundary FROM conversations) SELECT conv_id, count(*) AS n_messages, max_by(text, turn) AS last_text FROM b WHERE role = 'assistant' AND (boundary IS NULL OR turn > boundary) GROUP BY conv_id",
         # Event by event, as the state machine runs.
         "retry_states": """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, event_type IN ('error', 'view') AS dirty, event_id % 5 <> 0 AS active, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
