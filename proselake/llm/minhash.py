@@ -7,6 +7,7 @@ document stops at the first rank that can no longer lower any of its components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from .text import U, chunks, doc_hash, lean, mix, ngrams, words_of
 
 BANDS, ROWS = 42, 6
 _LOW = U((1 << 40) - 1)
+#: Additions to a centre that so many members share are few.
+FEW = 8
 
 
 def shingles(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,19 +209,33 @@ def _grouped(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: in
     apart = "x_comp <> comp and (in_main or x_sid < sid)"
     # Two members share at most the lesser of their overlaps with the centre, and what both add to it.
     most = "least(x_inn, inn)"
-    plain = x.join(every, "centre").where(apart).where(f"100 * {most} >= {percent} * (x_n + n - {most})").select("x_sid", "sid")
+    enough = lambda shared: f"100 * ({shared}) >= {percent} * (x_n + n - ({shared}))"
+    # Where the overlaps alone are enough: only sizes from percent of x's on to what its overlap can carry.
+    step = lambda n: F.floor(F.log(n) / math.log(1.05))
+    low, high = F.col("x_n") * (percent / 100), F.col("x_inn") * ((100 + percent) / percent) - F.col("x_n")
+    wide = x.where(high >= low).withColumn("size_step", F.explode(F.sequence(step(low), step(high))))
+    plain = wide.join(every.withColumn("size_step", step(F.col("n"))), ["centre", "size_step"]).where(apart).where(enough(most)).select("x_sid", "sid")
     inside = elems.select(F.col("sid").alias("centre"), F.col("elems").alias("ec"))
     added = every.select("centre", "sid", "in_main").join(inside, "centre").join(elems, "sid").select("centre", "sid", "in_main", "ec", "elems")
     added = s.put(added.mapInArrow(lean(_additions), "centre long, sid long, in_main boolean, e long"))
     # Shingles that the same members add (those of one edit) meet as one, with their number as weight.
     holders = added.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("k"), F.min("in_main").alias("all_main"), F.bit_xor(F.xxhash64("sid")).alias("h1"), F.bit_xor(F.xxhash64("sid", F.lit(7))).alias("h2"))
-    twice = holders.where("k > 1 and not all_main").groupBy("centre", "k", "h1", "h2").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("o")).select("centre", "e", "o")
+    twice = holders.where("k > 1 and not all_main").groupBy("centre", "k", "h1", "h2").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("o")).select("centre", "e", "o", (F.col("k") > FEW).alias("hot"))
     added = s.put(added.join(twice, ["centre", "e"]))
-    held_by = added.where("not in_main").select("centre", "e", F.col("sid").alias("x_sid"))
-    shared = held_by.join(added.select("centre", "e", "sid", "in_main", "o"), ["centre", "e"]).where("x_sid < sid or (in_main and x_sid <> sid)").groupBy("centre", "x_sid", "sid").agg(F.sum("o").alias("o"))
-    most = f"({most} + o)"
-    through = shared.join(x, ["centre", "x_sid"]).join(every, ["centre", "sid"]).where(apart).where(f"100 * {most} >= {percent} * (x_n + n - {most})").select("x_sid", "sid")
-    cross = s.put(plain.union(through).select(F.col("x_sid").alias("a"), F.col("sid").alias("b")).distinct())
+    # What few members add is compared pair by pair: rows are FEW times the members' at most.  What many add is
+    # compared inside the join, on all their common additions, so that only pairs that may be linked come out.
+    weights = added.groupBy("centre", "sid").agg(F.coalesce(F.sum(F.when(F.col("hot"), F.col("o"))), F.lit(0)).alias("hot_o"), F.collect_list(F.when(F.col("hot"), F.struct("e", "o"))).alias("cls"))
+    full = s.put(every.join(weights, ["centre", "sid"]))
+    xs = full.where("not in_main").select("centre", *(F.col(c).alias(f"x_{c}") for c in ("sid", "comp", "n", "inn", "hot_o", "cls")))
+    few = added.where("not hot")
+    shared = few.where("not in_main").select("centre", "e", F.col("sid").alias("x_sid")).join(few.select("centre", "e", "sid", "in_main", "o"), ["centre", "e"]).where("x_sid < sid or (in_main and x_sid <> sid)").groupBy("centre", "x_sid", "sid").agg(F.sum("o").alias("o"))
+    through = shared.join(xs.drop("x_cls"), ["centre", "x_sid"]).join(full.drop("cls"), ["centre", "sid"]).where(apart).where(enough(f"{most} + o + least(x_hot_o, hot_o)")).select("x_sid", "sid")
+    hot = full.where("size(cls) > 0").withColumn("e", F.explode(F.transform("cls", lambda c: c["e"])))
+    x_hot = xs.where("size(x_cls) > 0").withColumn("e", F.explode(F.transform("x_cls", lambda c: c["e"])))
+    common = "filter(x_cls, c -> array_contains(transform(cls, d -> d.e), c.e))"
+    total = f"aggregate({common}, 0L, (a, c) -> a + c.o)"
+    among = x_hot.alias("p").join(hot.alias("q"), F.expr(f"p.centre = q.centre and p.e = q.e and {apart} and p.e = array_min(transform({common}, c -> c.e)) and {enough(f'{most} + {total}')}"))
+    cross = s.put(plain.union(through).union(among.select("x_sid", "sid")).select(F.col("x_sid").alias("a"), F.col("sid").alias("b")).distinct())
     more = verify(cross).where(ok).select(F.col("a").alias("u"), F.col("b").alias("v"))
     more = s.put(more)
     if not more.isEmpty():
@@ -226,7 +243,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: in
     first = sets.join(group.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("comp"), "first_id")
     least = first.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = s.put(first.join(least, "comp").select("sid", "component_id"))
-    s.drop(member, weight, centre, near, elems, checked, links, rows_, mixed, every, added, cross, more, sets, group)
+    s.drop(member, weight, centre, near, elems, checked, links, rows_, mixed, every, added, full, cross, more, sets, group)
     out = sig.select("doc_id", *extra, "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", *extra, F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))

@@ -78,6 +78,31 @@ def test_near_duplicates(spark, docs, empty):
     assert left.columns == docs.columns and left.where("doc_id is null").count() == 1
 
 
+def test_near_copies_that_share_edits(spark):
+    """One group of short near copies whose edits come from a small stock, so that many share each of them."""
+    from proselake.llm.minhash import near_duplicates
+
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(44)]
+    rows = []
+    for i in range(260):
+        t = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 4])):
+            t[rng.choice([5, 6, 7, 20, 33])] = rng.choice("xyz")
+        rows.append((i, " ".join(t[: rng.choice([44, 44, 44, 40, 36])])))
+    for shingle, percent in ((5, 80), (3, 85)):
+        got = {r.doc_id: r.component_id for r in near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle=shingle, percent=percent).collect()}
+        sets = [{tuple(t.split()[i : i + shingle]) for i in range(len(t.split()) - shingle + 1)} for _, t in rows]
+        root = list(range(len(rows)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if root[i] != root[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                    x, y = root[i], root[j]
+                    root = [min(x, y) if r in (x, y) else r for r in root]
+        assert got == dict(enumerate(root))
+        assert 1 < len(set(root)) < 200
+
+
 def test_superminhash_estimates_jaccard():
     from proselake.llm.minhash import superminhash
 
