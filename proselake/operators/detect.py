@@ -43,6 +43,18 @@ EXEMPT = ["AI", "API", "CSS", "HTML", "HTTP", "HTTPS", "ID", "IDs", "JSON", "SQL
 LIST_MARKER = "^[\t ]*(?:[-+*]|\\d+[.)])[\u2029\t ]"
 FINISHED = "[.!?][\"')\\]]*[\t ]*$"
 LIST_ITEM = r"^\s*(?:[-*+]|\d+[.)])\s+"
+INLINE_CODE = "`[^`\n]+`"
+IDENTIFIER = r"\b(?:[a-z][a-z0-9]*[A-Z][A-Za-z0-9]*|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*|[A-Z]\d+|[a-z][a-z0-9]*_[a-z0-9_]+)\b"
+QUALIFIER = r"(?i)\b(?:otherwise|unless|except|fallback|legacy|rather than|only|never|no|same|above|below|per(?:-criterion)?|exact|capped|at all|most recent|free-form)\b"
+PROCESS_QUALIFIER = r"(?i)\b(?:otherwise|unless|except|fallback|rather than|only|never|no|not|nothing|cannot|if|because|instead|before|after|still|already|would|empty|unfiltered|same|worse|better)\b"
+INTERNAL_LABEL = r"\b(?:[A-Z]{3,}|[A-Z]{2,}(?:-[A-Z]{2,})+)\b"
+ABSTRACT_PROCESS = r"(?i)\b(?:(?:this|the)\s+(?:helper|function|method|plan|process|workflow|step|stage|logic|path|retrieval|ranking|filter)|(?:narrowing|ranking|filtering|matching|retrieval|selection|lookup)\s+(?:is|keeps|returns|uses|narrows|filters))\b"
+STRUCTURED_LINE = r"^\s*(?:[-*+]\s+|\d+[.)]\s+|\|)"
+STOP_WORDS = "a an and are as at be been but by can could did do does for from had has have he her here him his how i if in into is it its just may might more most my no not of on one only or our out she should so than that the their them there these they this those to too up us was we were what when where which who why will with would you your".split(" ")
+SUPPORT = r"(?i)\b(?:according to|appendix|benchmark|case study|dataset|experiment|figure|for example|for instance|log|logs|measured|measurement|sample|source|study|survey|table|test|trial)\b|https?://|\[\^?\d+\]"
+MECHANISM = r"(?i)\b(?:because|so that|thereby|which (?:means|shows)|by [a-z]+ing)\b"
+NEGATION = r"(?i)\b(?:no|not|never)\b|\bn\s*['’]\s*t\b"
+STEP_LINE = r"^\s*(?:[-*+] |\d+[.)] )"
 APOLOGY = ["sorry", "apologies", "apologise", "apologize"]
 VERDICT = ["unbiased", "properly", "correctly", "reliably", "effectively", "seamlessly", "robust", "robustly", "accurately", "appropriately", "efficiently", "unacceptable", "suboptimal", "problematic", "meaningful", "meaningfully"]
 EVALUATIVE = ["good", "better", "best", "great", "nice", "bad", "worse", "important", "interesting", "powerful", "amazing", "useful", "solid"]
@@ -56,7 +68,7 @@ CATEGORY = {
     "mixed-quotes": "formatting", "hedging-seesaw": "balance", "rhetorical-scaffolding": "meta", "unsupported-certainty": "vague", "vague-declarative": "vague",
     "vague-quantifier": "vague", "outline-conclusion": "meta", "absolute-claim": "vague", "modal-redundancy": "meta", "negative-list-buildup": "parallelism",
     "apology-reflex": "posture", "verdict-word": "evidence", "verdict-echo": "evidence", "hedge-phrase": "hedging", "parenthetical-hedge": "hedging",
-    "unexplained-initialism": "jargon", "list-without-break": "directness", "paragraph-load": "economy", "uniform-rhythm": "rhythm", "evidence-cluster": "evidence",
+    "implementation-detail-pileup": "meta", "semantic-redundancy": "meta", "unexplained-initialism": "jargon", "list-without-break": "directness", "paragraph-load": "economy", "uniform-rhythm": "rhythm", "evidence-cluster": "evidence",
 }
 #: Rules with a severity of their own; all others follow the confidence.
 SEVERITY = {"apology-reflex": "error", "verdict-word": "warn", "verdict-echo": "error", "hedge-phrase": "warn", "parenthetical-hedge": "error"}
@@ -276,6 +288,68 @@ def loads(pars: Column, sents: Column) -> Column:
     return _as("paragraph-load", F.filter(pars, lambda p: (word_count(p["text"]) >= 130) & (F.size(mine(p)) >= 7)), "medium")
 
 
+def _count(x: Column, pattern: str) -> Column:
+    return F.regexp_count(x, F.lit(java(pattern)))
+
+
+def pileups(pars: Column) -> Column:
+    """Paragraphs of 28 words that pile up identifiers, qualifications and clause breaks."""
+
+    def heavy(p):
+        lines = F.filter(F.transform(F.split(p["text"], "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+        listed = F.contains(p["text"], F.lit(" ")) | let(lines, lambda x: (F.size(x) >= 2) & (F.size(F.filter(x, lambda y: y.rlike(STRUCTURED_LINE))) >= 0.75 * F.size(x)))
+        inline = F.aggregate(F.transform(F.regexp_extract_all(p["text"], F.lit(f"({INLINE_CODE})"), 1), lambda c: F.greatest(F.lit(1), _count(c, IDENTIFIER))), F.lit(0), lambda a, x: a + x)
+        words = word_count(p["text"])
+
+        def dense(m):
+            breaks = _count(m, r"\([^()\n]{1,180}\)") + _count(m, "[—;]") + _count(m, r":(?=\s|\z)") + F.floor(_count(m, ",") / 2)
+            counts = F.struct((inline + _count(m, IDENTIFIER)).alias("r"), _count(m, QUALIFIER).alias("q"), _count(m, PROCESS_QUALIFIER).alias("p"), breaks.alias("b"), _count(m, INTERNAL_LABEL).alias("l"), _count(m, ABSTRACT_PROCESS).alias("a"))
+            return let(counts, lambda c: ((c["b"] >= 3) & (((c["r"] >= 4) & (c["q"] >= 2)) | ((c["r"] >= 3) & (c["q"] >= 4)))) | ((words >= 55) & (c["p"] >= 7) & (c["b"] >= 4) & (c["l"].between(2, 8) | (c["a"] >= 2))))
+
+        return ~listed & (words >= 28) & let(F.regexp_replace(p["text"], INLINE_CODE, " "), dense)
+
+    return _as("implementation-detail-pileup", F.filter(pars, heavy), "medium")
+
+
+def stem(word: Column) -> Column:
+    def shorter(w):
+        cut = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
+        return F.when((F.length(w) > 6) & w.endswith("ing"), cut(3)).when((F.length(w) > 5) & (w.endswith("ed") | w.endswith("es")), cut(2)).when((F.length(w) > 4) & w.endswith("s"), cut(1)).otherwise(w)
+
+    return let(F.regexp_replace(word, "'(?:s|re|ve|ll|d|m)$", ""), shorter)
+
+
+def content_words(text: Column) -> Column:
+    """Distinct stems of words of three letters that are no stop words."""
+    stems = F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z'-]{2,})"), 1), stem)
+    return F.array_distinct(F.filter(stems, lambda w: ~w.isin(STOP_WORDS)))
+
+
+def repetitions(pars: Column, sents: Column) -> Column:
+    """Sentences that say again what stood two to four sentences before in their paragraph: most stems shared, same
+    polarity, no support or number, no mechanism that adds stems."""
+    fold = lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), content_words(x["text"]).alias("w"), x["text"].rlike(java(NEGATION)).alias("neg"))
+
+    def one(p):
+        mine = F.transform(F.filter(sents, lambda s: (s["end"] > p["start"]) & (s["start"] < p["end"])), fold)
+        lines = F.filter(F.split(p["text"], "\r?\n"), lambda x: F.trim(x) != "")
+        steps = let(lines, lambda x: (F.size(x) >= 3) & (F.size(F.filter(x, lambda y: y.rlike(STEP_LINE))) >= 0.6 * F.size(x)))
+
+        def again(m):
+            def best(s, i):
+                before = F.filter(F.slice(m, F.greatest(i - 3, F.lit(1)), F.least(i - 1, F.lit(3))), lambda o: F.size(o["w"]) >= 5)
+                rated = F.transform(before, lambda o, k: let(F.size(F.array_intersect(s["w"], o["w"])), lambda n: F.struct((n / F.least(F.size(s["w"]), F.size(o["w"]))).alias("sim"), (-k).alias("k"), n.alias("shared"), (F.size(s["w"]) - n).alias("novel"), o["neg"].alias("neg"))))
+                return F.array_max(F.filter(rated, lambda r: r["shared"] >= 5))
+
+            rows = F.transform(m, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["neg"].alias("neg"), F.when((i >= 2) & (F.size(s["w"]) >= 5), best(s, i)).alias("b")))
+            told = lambda r: (r["b"]["sim"] >= 0.6) & (r["b"]["neg"] == r["neg"]) & ~r["text"].rlike(java(SUPPORT)) & ~r["text"].rlike("[0-9]") & ~(r["text"].rlike(java(MECHANISM)) & (r["b"]["novel"] >= 4))
+            return _as("semantic-redundancy", F.filter(rows, lambda r: F.coalesce(told(r), F.lit(False))), lambda r: _medium((r["b"]["sim"] >= 0.68) & (r["b"]["novel"] <= 3)))
+
+        return F.when(~steps, let(mine, lambda m: F.when(F.size(m) >= 3, again(m)).otherwise(none()))).otherwise(none())
+
+    return F.flatten(F.transform(pars, one))
+
+
 def located(docs: DataFrame) -> DataFrame:
     """docs with text filled, sents and pars."""
     return docs.withColumn("text", filled(F.col("text"))).withColumns({"sents": sentences(F.col("text")), "pars": paragraphs(F.col("text"))})
@@ -286,7 +360,7 @@ def all_rules(text: Column, sents: Column, pars: Column) -> Column:
     return F.concat(
         *lexical(text, sents), openers(sents), dashes(text, sents), quotes(text), seesaw(text, sents), stacked("rhetorical-scaffolding", text, SCAFFOLD), certainty(text, sents),
         stacked("vague-declarative", text, DECLARATIVE), stacked("vague-quantifier", text, QUANTIFIER), ending(text), absolutes(pars, sents), modal(text), negative_lists(sents),
-        echoes(text, sents), hedges(sents), initialisms(text), unbroken_lists(text), loads(pars, sents),
+        echoes(text, sents), hedges(sents), initialisms(text), unbroken_lists(text), loads(pars, sents), pileups(pars), repetitions(pars, sents),
     )
 
 

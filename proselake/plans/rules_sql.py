@@ -69,8 +69,24 @@ blocks AS (SELECT *, count(*) FILTER (blank) OVER (PARTITION BY doc_id ORDER BY
 listed AS (SELECT *, coalesce(count(*) FILTER (mark) OVER (PARTITION BY doc_id, block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS marks FROM blocks WHERE NOT blank)"""
 _LOAD = f"""heavy AS (SELECT p.doc_id, p.start_at, p.end_at FROM pars p JOIN sents s ON p.doc_id = s.doc_id AND s.end_at > p.start_at AND s.start_at < p.end_at WHERE {words("p.text")} >= 130 GROUP BY ALL HAVING count(*) >= 7)"""
 
+def _n(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, {q(pattern)}))"
+
+
+_PILE = f"""pile AS (SELECT doc_id, start_at, end_at, {words("text")} AS n, regexp_replace(text, {q(d.INLINE_CODE)}, ' ', 'g') AS m, coalesce(list_sum(list_transform(regexp_extract_all(text, {q(d.INLINE_CODE)}), lambda c: greatest(1, {_n("c", d.IDENTIFIER)}))), 0) AS inl,
+    list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '') AS ls, contains(text, chr(8233)) AS sep FROM pars),
+piled AS (SELECT *, inl + {_n("m", d.IDENTIFIER)} AS r, {_n("m", d.QUALIFIER)} AS ql, {_n("m", d.PROCESS_QUALIFIER)} AS pq, {_n("m", d.INTERNAL_LABEL)} AS lb, {_n("m", d.ABSTRACT_PROCESS)} AS ab,
+    {_n("m", r"\([^()\n]{1,180}\)")} + {_n("m", "[—;]")} + {_n("m", r":(?:\s|$)")} + {_n("m", ",")} // 2 AS br FROM pile WHERE n >= 28 AND NOT sep AND NOT (len(ls) >= 2 AND len(list_filter(ls, lambda x: regexp_matches(x, {q(d.STRUCTURED_LINE)}))) >= 0.75 * len(ls)))"""
+_STEM = "CASE WHEN length(w) > 6 AND w LIKE '%ing' THEN w[:-4] WHEN length(w) > 5 AND (w LIKE '%ed' OR w LIKE '%es') THEN w[:-3] WHEN length(w) > 4 AND w LIKE '%s' THEN w[:-2] ELSE w END"
+_AGAIN = f"""ps AS (SELECT p.doc_id, p.i AS par, p.text AS ptext, s.start_at, s.end_at, s.text, row_number() OVER (PARTITION BY p.doc_id, p.i ORDER BY s.i) - 1 AS k, count(*) OVER (PARTITION BY p.doc_id, p.i) AS n FROM pars p JOIN sents s ON s.doc_id = p.doc_id AND s.end_at > p.start_at AND s.start_at < p.end_at),
+pw AS (SELECT *, list_distinct(list_filter(list_transform(list_transform(regexp_extract_all(lower(text), {q("[a-z][a-z'-]{2,}")}), lambda w: regexp_replace(w, {q("'(?:s|re|ve|ll|d|m)$")}, '')), lambda w: {_STEM}), lambda w: NOT list_contains([{", ".join(q(w) for w in d.STOP_WORDS)}], w))) AS ws, regexp_matches(text, {q(d.NEGATION)}) AS neg,
+    list_filter(string_split_regex(ptext, '\\r?\\n'), lambda x: trim(x) <> '') AS ls FROM ps WHERE n >= 3),
+pp AS (SELECT a.doc_id, a.start_at, a.end_at, a.text, a.neg, b.neg AS bneg, len(list_intersect(a.ws, b.ws)) AS shared, len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) AS sim, len(a.ws) - len(list_intersect(a.ws, b.ws)) AS novel, b.k AS bk FROM pw a JOIN pw b ON a.doc_id = b.doc_id AND a.par = b.par AND b.k BETWEEN a.k - 4 AND a.k - 2
+    WHERE len(a.ws) >= 5 AND len(b.ws) >= 5 AND NOT (len(a.ls) >= 3 AND len(list_filter(a.ls, lambda x: regexp_matches(x, {q(d.STEP_LINE)}))) >= 0.6 * len(a.ls))),
+pb AS (SELECT * FROM pp WHERE shared >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id, start_at ORDER BY sim DESC, bk) = 1)"""
+
 #: CTEs up to every(doc_id, rule, start_at, end_at, confidence).
-EVERY = f"""{SEEDED}, {sentences()}, {paragraphs()}, hedge_src AS (SELECT doc_id, text, start_at AS s_start FROM sents), {_OPEN}, {_DASH}, {_QUOTES}, {_SEESAW}, {_CERTAINTY}, {_TAIL}, {_ABSOLUTE}, {_NEGATIVE}, {_ECHO}, {_HEDGE}, {_INITIAL}, {_LISTS}, {_LOAD},
+EVERY = f"""{SEEDED}, {sentences()}, {paragraphs()}, hedge_src AS (SELECT doc_id, text, start_at AS s_start FROM sents), {_OPEN}, {_DASH}, {_QUOTES}, {_SEESAW}, {_CERTAINTY}, {_TAIL}, {_ABSOLUTE}, {_NEGATIVE}, {_ECHO}, {_HEDGE}, {_INITIAL}, {_LISTS}, {_LOAD}, {_PILE}, {_AGAIN},
 every AS ({_lexicon("significance-idioms", lex.SIGNIFICANCE, "medium")} UNION ALL {_lexicon("promo-idioms", lex.PROMOTION, "medium")} UNION ALL {_lexicon("chatbot-idioms", lex.CHATBOT, "high")}
 UNION ALL SELECT h.doc_id, 'emerging-slop-phrases', h.start_at, h.end_at, 'low' FROM ({hits(_I + chr(92) + "b(?:" + phrases(lex.EMERGING) + ")" + chr(92) + "b", FOLDED)}) h LEFT JOIN sents s ON h.doc_id = s.doc_id AND h.start_at >= s.start_at AND h.start_at < s.end_at
     WHERE NOT (lower(h.word) LIKE 'load%' AND coalesce(regexp_matches(s.text, {q(_I + d.LITERAL_LOAD)}), FALSE))
@@ -90,7 +106,9 @@ UNION ALL SELECT doc_id, 'negative-list-buildup', start_at, end_at, 'medium' FRO
 UNION ALL SELECT doc_id, 'verdict-echo', start_at, end_at, 'medium' FROM echo JOIN seesaw_words USING (doc_id) WHERE n > 1 AND (n_tokens <= 80 OR sent = first_sent)
 UNION ALL SELECT doc_id, 'hedge-phrase', start_at, end_at, 'medium' FROM hedge UNION ALL SELECT doc_id, 'unexplained-initialism', start_at, end_at, 'medium' FROM initial WHERE n = 1 AND k >= 2
 UNION ALL SELECT doc_id, 'list-without-break', pos0 + length(line) - length(regexp_replace(line, '^\\s+', '')), pos0 + length(regexp_replace(line, '\\s+$', '')), 'low' FROM listed WHERE mark AND NOT after_blank AND marks = 0 AND regexp_matches(earlier, {q(d.FINISHED)})
-UNION ALL SELECT doc_id, 'paragraph-load', start_at, end_at, 'medium' FROM heavy)"""
+UNION ALL SELECT doc_id, 'paragraph-load', start_at, end_at, 'medium' FROM heavy
+UNION ALL SELECT doc_id, 'implementation-detail-pileup', start_at, end_at, 'medium' FROM piled WHERE (br >= 3 AND ((r >= 4 AND ql >= 2) OR (r >= 3 AND ql >= 4))) OR (n >= 55 AND pq >= 7 AND br >= 4 AND (lb BETWEEN 2 AND 8 OR ab >= 2))
+UNION ALL SELECT doc_id, 'semantic-redundancy', start_at, end_at, CASE WHEN sim >= 0.68 AND novel <= 3 THEN 'medium' ELSE 'low' END FROM pb WHERE sim >= 0.6 AND neg = bneg AND NOT regexp_matches(text, {q(d.SUPPORT)}) AND NOT regexp_matches(text, '[0-9]') AND NOT (regexp_matches(text, {q(d.MECHANISM)}) AND novel >= 4))"""
 _OWN = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.SEVERITY.items())
 #: CTEs up to found: distinct findings with severity.
 FOUND = f"""{EVERY}, found AS (SELECT DISTINCT doc_id, rule, CAST(start_at AS BIGINT) AS start_at, CAST(end_at AS BIGINT) AS end_at, confidence, CASE rule {_OWN} ELSE CASE confidence WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warn' ELSE 'info' END END AS severity FROM every)"""

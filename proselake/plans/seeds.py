@@ -20,6 +20,8 @@ SEEDS = [
     " The truth is plain. This approach is good. That method can help. These patterns are odd: most people say so, every team knows, people think it is widely used. Despite these challenges, the future is bright.",
     " You can run or walk; both will give rest. Not a plan. Not a promise. It isn't a dream. A good day is a good thing. It works properly. (maybe not) I think so. Perhaps it does, to be honest.",
     " The NATO plan. Then NATO again. The XQZ unit (Xylo Quartz Zone) and XQZ.\nIt ends here.\n- one\n- two\n\nIt goes on\n- three\n\n1. four\n2. five",
+    "\n\nThe plannedQueue keeps `readTable` and `write_log(x)`, unless fooBar (see B12) fails; only then, except for legacy rows, never above max_len, it stops: the filter is capped, and the rest (no more) goes below, because it was so before, after all.",
+    "\n\nStrong teams build careful systems through patient review. Rivers flow. Careful systems are built by strong patient teams through review. No river ever flows. Patient reviews build strong careful system teams because so that more tall green houses grow.",
     " Split here.  He said (quietly.) Then “left.” After\n \nthat it stopped…  Yes?! No.",
 ]
 
