@@ -23,9 +23,15 @@ TOKEN = r"(?:https?://|www\.)[^\s]+|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\p{N}+
 _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
-def java(pattern: str) -> str:
-    """A pattern whose \\b means the edge of an ASCII word, as in other dialects."""
-    return pattern.replace(r"\b", _EDGE)
+def java(pattern: str, exact: bool = False) -> str:
+    """A pattern whose \\b means the edge of an ASCII word, as in other dialects.
+
+    An edge before a word needs no word sign before it, one after a word none after it, which is cheaper to
+    test; ``exact`` is for patterns where the text beside the edge may not belong to a word.
+    """
+    if exact:
+        return pattern.replace(r"\b", _EDGE)
+    return re.sub(r"\\b(?=\w|\(|\[(?!\^)|\\d)", "(?<![A-Za-z0-9_])", pattern).replace(r"\b", "(?![A-Za-z0-9_])")
 
 
 def let(value: Column, body) -> Column:
@@ -114,12 +120,12 @@ def token_count(text: Column) -> Column:
     return F.size(F.filter(syntactic_words(text), lambda w: w.rlike(r"[\p{L}\p{N}]")))
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str, exact: bool = False) -> Column:
     """All matches as (start, end, match), in one pass over the pieces between them.
 
     The pattern must not match the empty string.
     """
-    pattern = java(pattern)
+    pattern = java(pattern, exact)
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
     def found(x):

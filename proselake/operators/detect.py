@@ -131,7 +131,7 @@ def openers(sents: Column) -> Column:
     alternatives = "|".join(w.translate(str.maketrans("’", "'")) for w in sorted(dict.fromkeys(lex.OPENERS), key=lambda w: -len(w)))
     low = lambda s: F.lower(straight_quotes(s["text"]))
     pattern = rf"^[\s\"'(\[]*({alternatives})(?:[\s,.:;]|\z)"
-    hit = F.transform(_ordinal(sents), lambda s: F.struct(F.regexp_extract(low(s), pattern, 1).alias("phrase"), low(s).alias("low"), s["start"].alias("at"), s["i"].alias("i")))
+    hit = F.transform(_ordinal(sents), lambda s: let(low(s), lambda t: F.struct(F.regexp_extract(t, pattern, 1).alias("phrase"), t.alias("low"), s["start"].alias("at"), s["i"].alias("i"))))
     hit = F.transform(F.filter(hit, lambda h: h["phrase"] != ""), lambda h: F.struct((h["at"] + F.instr(h["low"], h["phrase"]) - 1).alias("start"), h["phrase"].alias("phrase"), h["i"].alias("i")))
     hit = F.transform(hit, lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.length(h["phrase"])).alias("end"), h["phrase"].alias("phrase"), h["i"].alias("i")))
 
@@ -250,7 +250,7 @@ def hedges(sents: Column) -> Column:
 
 def initialisms(text: Column) -> Column:
     """The first use of a capital-letter term that is used twice and never spelled out."""
-    hit = F.filter(spans(text, INITIALISM), lambda h: ~h["match"].isin(EXEMPT))
+    hit = F.filter(spans(text, INITIALISM, True), lambda h: ~h["match"].isin(EXEMPT))
     quoted = lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))
     spelled = lambda w: F.regexp_like(text, F.concat(F.lit(r"(?:[A-Za-z][A-Za-z -]{3,80})\s*\("), quoted(w), F.lit(r"\)|"), quoted(w), F.lit(r"\s*\([A-Za-z][A-Za-z -]{3,80}\)")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,14 @@ def preset(*packs: str) -> Config:
     return Config({r: "auto" if r in on else "off" for r in CATEGORY})
 
 
+def load(path: str) -> Config:
+    """A configuration from a JSON file: {"packs": [...], "rules": {...}, "least": "..."}, all optional."""
+    with open(path, encoding="utf-8") as f:
+        raw = json.load(f)
+    own = Config(raw.get("rules", {}), raw.get("least", "info"))
+    return layered(preset(*raw["packs"]), own) if "packs" in raw else own
+
+
 def layered(*configs: Config) -> Config:
     """Later ones win, rule by rule."""
     rules: dict[str, str] = {}

@@ -9,6 +9,7 @@ from proselake.functions.text import paragraphs, sentences, spans, word_count
 from proselake.operators import intervals as iv
 from proselake.plans import sql
 from proselake.plans.seeds import seeded
+from proselake.sources.readers import table
 
 KINDS = {"absolute": (1, r"(?i)\b(?:always|never|everyone|nobody|nothing|guaranteed|certainly)\b"), "sign": (2, "[“”\"—]"), "triple": (3, r"\b(?:the|it|is|we|that|never) [a-z]+ [a-z]+\b")}
 
@@ -95,7 +96,38 @@ def heaviest_windows(spark, sf_dir):
     return _long(iv.best_apart(s, 3)).select("doc_id", "rank", F.col("start").alias("first_idx"), F.round("score", 6).alias("score"))
 
 
-QUERIES = [sentence_paragraphs, mark_sentences, lone_marks, marked_sentences, readable_ranges, mark_segments, mark_clusters, short_runs, neighbour_counts, load_buffer, heaviest_windows]
+def counted_words(spark, sf_dir):
+    """A counting policy: words of four letters or more that no mark touches, per document."""
+    words = seeded(spark, sf_dir).select("doc_id", F.explode_outer(spans(F.col("text"), r"[A-Za-z]{4,}")).alias("w")).where("w is not null").select("doc_id", "w.start", "w.end")
+    return iv.overlapping(words, marks(spark, sf_dir), "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"))
+
+
+def _regions(spark, sf_dir):
+    """Default regions: the document and its paragraphs; some are spoilt, so that the checks find something."""
+    docs = seeded(spark, sf_dir)
+    whole = docs.select("doc_id", F.lit("document").alias("id"), F.lit("document").alias("role"), F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(None).cast("string").alias("parent"))
+    name = F.concat(F.lit("p"), F.when(F.col("doc_id") % 7 == 0, F.least("j", F.lit(1))).otherwise(F.col("j")).cast("string"))
+    pars = _pars(spark, sf_dir).select("doc_id", name.alias("id"), F.lit("paragraph").alias("role"), "start", F.when(F.col("doc_id") % 11 == 0, F.col("end") + 10000000).otherwise(F.col("end")).alias("end"), F.when(F.col("doc_id") % 13 == 0, "nowhere").otherwise("document").alias("parent"))
+    return whole.unionByName(pars)
+
+
+def region_checks(spark, sf_dir):
+    """Per document: regions, ids used twice, spans out of the text, parents that don't exist."""
+    r = _regions(spark, sf_dir)
+    size = seeded(spark, sf_dir).select("doc_id", F.length("text").alias("size"))
+    twice = r.groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_twice"))
+    lost = r.where("parent is not null").alias("c").join(r.alias("p"), F.expr("c.doc_id = p.doc_id and c.parent = p.id"), "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_orphans"))
+    out = r.join(size, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_regions"), F.count_if(F.expr("start < 0 or end < start or end > size")).alias("n_outside"))
+    return out.join(twice, "doc_id", "left").join(lost, "doc_id", "left").fillna(0, ["n_twice", "n_orphans"])
+
+
+def latest_results(spark, sf_dir):
+    """Of each user's results only those of the newest generation (ten events each): late ones are dropped."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("event_id") / 10).alias("generation"))
+    return e.withColumn("newest", F.max("generation").over(Window.partitionBy("user_id"))).where("generation = newest").select("user_id", "event_id", "generation")
+
+
+QUERIES = [counted_words, region_checks, latest_results, sentence_paragraphs, mark_sentences, lone_marks, marked_sentences, readable_ranges, mark_segments, mark_clusters, short_runs, neighbour_counts, load_buffer, heaviest_windows]
 
 _MARKS = "marks AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {n} AS prio, start_at, end_at, start_at * 10 + {n} AS seq FROM ({sql.hits(p)})" for k, (n, p) in KINDS.items()) + ")"
 _BASE = f"WITH RECURSIVE {sql.SEEDED}, {sql.sentences()}, {sql.paragraphs()}, {_MARKS}"
@@ -107,6 +139,11 @@ isl AS (SELECT *, sum(CASE WHEN r >= start_at THEN 0 ELSE 1 END) OVER (PARTITION
 def oracle_sql() -> dict[str, str]:
     inside = "m.doc_id = s.doc_id AND m.start_at >= s.start_at AND m.start_at < s.end_at"
     return {
+        "counted_words": f"{_BASE}, w AS ({sql.hits('[A-Za-z]{4,}')}) SELECT doc_id, count(*) AS n_words FROM w WHERE NOT EXISTS (SELECT 1 FROM marks o WHERE o.doc_id = w.doc_id AND o.end_at > w.start_at AND o.start_at < w.end_at) GROUP BY doc_id",
+        "region_checks": f"""{_BASE}, r AS (SELECT doc_id, 'document' AS id, 0 AS a, length(text) AS z, CAST(NULL AS VARCHAR) AS parent FROM seeded UNION ALL SELECT doc_id, 'p' || CASE WHEN doc_id % 7 = 0 THEN least(i, 1) ELSE i END, start_at, CASE WHEN doc_id % 11 = 0 THEN end_at + 10000000 ELSE end_at END, CASE WHEN doc_id % 13 = 0 THEN 'nowhere' ELSE 'document' END FROM pars)
+            SELECT s.doc_id, (SELECT count(*) FROM r WHERE r.doc_id = s.doc_id) AS n_regions, (SELECT count(*) FROM r WHERE r.doc_id = s.doc_id AND (a < 0 OR z < a OR z > length(s.text))) AS n_outside, (SELECT count(*) FROM (SELECT id FROM r WHERE r.doc_id = s.doc_id GROUP BY id HAVING count(*) > 1)) AS n_twice,
+            (SELECT count(*) FROM r WHERE r.doc_id = s.doc_id AND parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r x WHERE x.doc_id = r.doc_id AND x.id = r.parent)) AS n_orphans FROM seeded s""",
+        "latest_results": "SELECT user_id, event_id, event_id // 10 AS generation FROM events QUALIFY event_id // 10 = max(event_id // 10) OVER (PARTITION BY user_id)",
         "sentence_paragraphs": f"{_BASE} SELECT s.doc_id, s.i AS sent_idx, p.i AS par_idx FROM sents s JOIN pars p ON s.doc_id = p.doc_id AND s.end_at > p.start_at AND s.start_at < p.end_at",
         "mark_sentences": f"{_BASE} SELECT m.doc_id, m.start_at, kind, min(s.i) AS sent_idx FROM marks m LEFT JOIN sents s ON {inside} GROUP BY ALL",
         "lone_marks": f"{_BASE} SELECT doc_id, start_at FROM marks m WHERE kind = 'triple' AND NOT EXISTS (SELECT 1 FROM marks o WHERE o.kind = 'absolute' AND o.doc_id = m.doc_id AND o.end_at > m.start_at AND o.start_at < m.end_at)",
