@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import codes
+from . import codes, divergence
 from .codes import op13_hamerly_codes
 from .credentials import op10_ownership_secrets
+from .divergence import op12_source_divergence
 from .langid import op3_crf_language_id
 from .lm import op2_logbilinear_lm
 from .media import op6_media_tiles
@@ -28,6 +29,7 @@ def queries() -> dict:
         op8_min_slack_packing,
         op9_ngram_ratio_quality,
         op10_ownership_secrets,
+        op12_source_divergence,
         op13_hamerly_codes,
     ]
     return {f.__name__: f for f in every}
@@ -36,6 +38,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can express the whole result; the others are tested in tests/llm."""
     return {
+        "op12_source_divergence": divergence.ORACLE_SQL,
         "op13_hamerly_codes": codes.ORACLE_SQL,
         "op4_size_tiered_sharding": "SELECT doc_id, lang, source, n_chars, strlen(text) AS n_bytes, md5(text) AS text_md5, TRUE AS sharded FROM documents",
     }
