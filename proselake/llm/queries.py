@@ -14,6 +14,7 @@ from .packing import op8_min_slack_packing
 from .quality import op9_ngram_ratio_quality
 from .segmentation import op7_sampled_segmentation
 from .sharding import op4_size_tiered_sharding
+from .simhash import op11_simhash_groups
 from .substrings import op5_fingerprint_substring_dedup
 
 
@@ -29,6 +30,7 @@ def queries() -> dict:
         op8_min_slack_packing,
         op9_ngram_ratio_quality,
         op10_ownership_secrets,
+        op11_simhash_groups,
         op12_source_divergence,
         op13_hamerly_codes,
     ]
