@@ -10,12 +10,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import Scratch
 from .text import lean
@@ -56,8 +59,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, in
         more += [(4, m.start(), m.end(), m[0]) for m in KEY.finditer(text)]
     base.sort(key=lambda x: (x[1], x[0]))
     taken = {(s, e) for _, s, e, _ in base}
-    covered = [(s, e) for _, s, e, _ in base]
-    more = [x for x in more if (x[1], x[2]) not in taken and not any(s <= x[1] and x[2] <= e for s, e in covered)]
+    starts, reach = [s for _, s, _, _ in base], list(accumulate((e for _, _, e, _ in base), max))
+    covered = lambda s, e: (k := bisect_right(starts, s)) and reach[k - 1] >= e
+    more = [x for x in more if (x[1], x[2]) not in taken and not covered(x[1], x[2])]
     return base, more
 
 
@@ -131,10 +135,11 @@ def _label(x):
 def redact_secrets(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """docs with every found span replaced by ``[SECRET]`` in text (overlapping spans as one);
     documents without spans keep their very text, n_chars follows where present.  Every row comes back
-    once, judged by its own text, whatever other rows share its doc_id."""
+    once, judged by its own text, whatever other rows share its doc_id.  An empty table stays empty; other
+    columns come back as they are, whatever their names."""
     s = Scratch(spark, "redact")
     found = find_secrets(spark, docs, **options).where("size(base) + size(added) > 0")
-    found = s.put(found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_spans"), "version").dropDuplicates(["_doc", "version"]))
+    found = s.put(found.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"), "version").dropDuplicates(["doc", "version"]))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -154,12 +159,12 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, **options) -> DataFrame
     def version(texts):
         return texts.map(lambda t: hashlib.blake2b((t or "").encode(), digest_size=12).hexdigest())
 
-    key = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_version": version(F.col("text").cast("string"))}
-    both = docs.withColumns(key).join(found.withColumnRenamed("version", "_version"), ["_doc", "_version"], "left")
-    both = both.withColumn("text", cut("text", "_spans"))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return both.select(docs.columns)
+    marked = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), version(F.col("text").cast("string")).alias("version"))
+    both = marked.join(found, ["doc", "version"], "left").select("row", "spans", cut(F.col("row.text"), F.col("spans")).alias("done"))
+    kinds = {f.name.lower(): f.dataType for f in docs.schema.fields}
+    size = F.when(F.col("spans").isNotNull(), F.length("done").cast(kinds.get("n_chars", T.LongType()))).otherwise(F.col("row.n_chars") if "n_chars" in kinds else F.lit(None))
+    new = {"text": F.col("done"), "n_chars": size}
+    return both.select(*((new[c.lower()] if c.lower() in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op10_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,7 +177,9 @@ def _grouped(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: in
     near = s.put(member.join(centre, "bucket").where("sid <> centre").select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct())
 
     texts = weight.join(sets.select("sid", "first_id"), "sid").where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
-    elems = s.put(docs.join(texts, "doc_id", "left_semi").mapInArrow(lean(_full_sets(shingle)), "sid long, elems binary").join(weight.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
+    # A text that only rows without a doc_id hold is taken from these.
+    shown = docs.join(texts, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+    elems = s.put(shown.mapInArrow(lean(_full_sets(shingle)), "sid long, elems binary").join(weight.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = elems.select(F.col("sid").alias("a"), F.col("elems").alias("ea"))
@@ -251,10 +253,11 @@ def _grouped(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: in
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose document stands for its group; rows with a null doc_id stay.  Texts
-    that share a doc_id are judged each for itself."""
-    gone = _grouped(spark, docs, **options, versioned=True).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
-    marked = docs.withColumns({"_doc": F.col("doc_id").cast("long"), "_version": _version()})
-    return marked.join(gone, ["_doc", "_version"], "left_anti").select(docs.columns)
+    that share a doc_id are judged each for itself.  An empty table stays empty; other columns come back
+    as they are, whatever their names."""
+    gone = _grouped(spark, docs, **options, versioned=True).where("not kept and doc_id is not null").select(F.col("doc_id").alias("doc"), "version").distinct()
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), _version().alias("version"))
+    return marked.join(gone, ["doc", "version"], "left_anti").select("row.*")
 
 
 def op1_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

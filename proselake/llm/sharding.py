@@ -22,6 +22,13 @@ from .scratch import Scratch, hadoop_path
 MANIFEST = "version long, run string, tier int, rows long, bytes long, files long"
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, with as many underscores after it as make it no column's name."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 class ShardStore:
     """A folder with ``data/<run>/`` and ``manifest/v<number>/``.
 
@@ -60,15 +67,17 @@ class ShardStore:
         tag = uuid.uuid4().hex[:8]
         base, runs = self.version(), self.live()
         value = F.coalesce(F.md5(F.col(arrival).cast("string").cast("binary")), F.lit("null"))  # safe as a folder's name
-        arrivals.withColumn("_run", F.concat(F.lit(f"{tag}-"), value)).write.mode("append").partitionBy("_run").parquet(f"{self.path}/incoming/{tag}")
-        schema = T.StructType([*arrivals.schema.fields, T.StructField("_run", T.StringType())])
-        counts = self.spark.read.schema(schema).parquet(f"{self.path}/incoming/{tag}").groupBy("_run").agg(F.count(F.lit(1)).alias("n")).collect()
-        for r in sorted(counts, key=lambda r: r["_run"]):
-            src, fs = hadoop_path(self.spark, f"{self.path}/incoming/{tag}/_run={r['_run']}")
-            dst = hadoop_path(self.spark, f"{self.path}/data/{r['_run']}")[0]
+        name = free("_run", arrivals.columns)
+        arrivals.withColumn(name, F.concat(F.lit(f"{tag}-"), value)).write.mode("append").partitionBy(name).parquet(f"{self.path}/incoming/{tag}")
+        schema = T.StructType([*arrivals.schema.fields, T.StructField(name, T.StringType())])
+        counts = self.spark.read.schema(schema).parquet(f"{self.path}/incoming/{tag}").groupBy(F.col(name).alias("run")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in sorted(counts, key=lambda r: r["run"]):
+            src, fs = hadoop_path(self.spark, f"{self.path}/incoming/{tag}/{name}={r['run']}")
+            dst = hadoop_path(self.spark, f"{self.path}/data/{r['run']}")[0]
             fs.mkdirs(dst.getParent())
-            fs.rename(src, dst)
-            runs.append(self._describe(r["_run"], r["n"]))
+            if not fs.rename(src, dst):
+                raise OSError(f"could not move {src} to {dst}; nothing is committed")
+            runs.append(self._describe(r["run"], r["n"]))
         p, fs = hadoop_path(self.spark, f"{self.path}/incoming/{tag}")
         fs.delete(p, True)
         if counts:
@@ -116,18 +125,18 @@ def shard(spark: SparkSession, docs: DataFrame, *, path: str | None = None, arri
     compaction; returns the rows of the committed version with their file's path in ``shard``.
 
     Every row comes back once, repeated rows as often as they came, nulls as they are; an empty
-    table commits nothing and returns no rows.  Columns are kept; one named _arrival or _run is refused.
+    table commits nothing and returns no rows.  Columns are kept, whatever their names; where one is
+    named shard, the path comes as shard_.
     A store without a path of its own has no other readers: replaced runs go at once.
     """
-    if "_arrival" in docs.columns or "_run" in docs.columns:
-        raise ValueError("columns _arrival and _run are taken")
     store = ShardStore(spark, path or f"{Scratch(spark, 'shards').root}/store", target=target, fanout=fanout, least=least, **({} if path else {"retain": 0}))
-    store.append(docs.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), "_arrival")
+    arrival, where = free("_arrival", docs.columns), free("shard", docs.columns)
+    store.append(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals))), arrival)
     store.compact()
     out = store.read()
     if out is None:
-        return docs.withColumn("shard", F.lit(None).cast("string")).limit(0)
-    return out.select(*docs.columns, F.col("_metadata.file_path").alias("shard"))
+        return docs.withColumn(where, F.lit(None).cast("string")).limit(0)
+    return out.select(*docs.columns, F.col("_metadata.file_path").alias(where))
 
 
 def op4_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
