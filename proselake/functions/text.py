@@ -10,13 +10,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proselake.functions.places import STOP, paragraph_pieces, pattern_spans, sentence_pieces
+
 #: White space that the engine splits at, written out because regex dialects differ in \\s.
 BLANK = r"[ \t\n\r]"
 # The patterns that words, sentences and paragraphs are defined by.
 WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
-STOP = r"[.!?]+[\"'”’»)\]}]*"
 WHITE = "[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-PARAGRAPH_BREAK = "\n[\t ]*\n"
 CLITIC = r"(?i)(?:n't|'s|'re|'ve|'ll|'d|'m)$"
 TOKEN = r"(?:https?://|www\.)[^\s]+|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|\p{N}+(?:[.,:]\p{N}+)*|[^\s]"
 
@@ -43,52 +43,23 @@ def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def _placed(pieces: Column, lengths: Column) -> Column:
-    """pieces with the running sum of lengths before each: array of (text, at)."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,at:int>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["1"]).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(x["0"].alias("text"), acc["at"].alias("at")))).alias("out")
-    )
-    pairs = F.arrays_zip(pieces.alias("0"), lengths.alias("1"))
-    return F.aggregate(F.transform(pairs, lambda x: F.struct(x.getField("0").alias("0"), x.getField("1").alias("1"))), zero, step)["out"]
-
-
-def _trimmed(placed: Column) -> Column:
-    """Pieces without white space at their edges, empty ones left out: array of (text, start, end)."""
-
-    def cut(x):
-        tail = F.regexp_replace(x["text"], f"^{WHITE}+", "")
-        return F.struct(F.regexp_replace(tail, f"{WHITE}+$", "").alias("text"), (x["at"] + F.length(x["text"]) - F.length(tail)).alias("start"))
-
-    whole = lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"))
-    return F.transform(F.filter(F.transform(placed, cut), lambda x: x["text"] != ""), whole)
-
-
 def sentences(text: Column) -> Column:
     """Array of (text, start, end): cut after stops and closers before white space or the end, after U+2029,
     and before an empty line."""
-    t = F.translate(filled(text), "\x01", " ")
-    t = F.regexp_replace(t, f"({STOP})(?={WHITE}|\\z)", "$1\x01")
-    t = F.regexp_replace(F.replace(t, F.lit("\u2029"), F.lit("\u2029\x01")), "\n(?=\n)", "\n\x01")
-    return let(F.split(t, "\x01", -1), lambda pieces: _trimmed(_placed(pieces, F.transform(pieces, lambda x: F.length(x)))))
+    return sentence_pieces()(text)
 
 
 def paragraphs(text: Column) -> Column:
     """Array of (text, start, end): blocks between blank lines."""
-    t = filled(text)
-    gaps = F.concat(F.transform(F.regexp_extract_all(t, F.lit(f"({PARAGRAPH_BREAK})"), 1), lambda x: F.length(x)), F.array(F.lit(0)))
-    lengths = lambda pieces: F.transform(F.arrays_zip(F.transform(pieces, lambda x: F.length(x)).alias("a"), gaps.alias("b")), lambda x: x["a"] + x["b"])
-    return let(F.split(t, PARAGRAPH_BREAK, -1), lambda pieces: _trimmed(_placed(pieces, lengths(pieces))))
+    return paragraph_pieces()(text)
 
 
 def sentence_array(text: Column) -> Column:
-    """Trimmed, non-empty sentences."""
-    return F.transform(sentences(text), lambda s: s["text"])
-
-
-def paragraph_array(text: Column) -> Column:
-    """Blocks between blank lines, non-empty."""
-    return F.transform(paragraphs(text), lambda p: p["text"])
+    """Trimmed, non-empty sentences, without their places."""
+    t = F.regexp_replace(F.translate(filled(text), "\x01", " "), f"({STOP})(?={WHITE}|\\z)", "$1\x01")
+    t = F.regexp_replace(F.replace(t, F.lit("\u2029"), F.lit("\u2029\x01")), "\n(?=\n)", "\n\x01")
+    trimmed = F.transform(F.split(t, "\x01", -1), lambda x: F.regexp_replace(F.regexp_replace(x, f"^{WHITE}+", ""), f"{WHITE}+$", ""))
+    return F.filter(trimmed, lambda x: x != "")
 
 
 def word_array(text: Column) -> Column:
@@ -120,21 +91,9 @@ def token_count(text: Column) -> Column:
     return F.size(F.filter(syntactic_words(text), lambda w: w.rlike(r"[\p{L}\p{N}]")))
 
 
-def spans(text: Column, pattern: str, exact: bool = False) -> Column:
-    """All matches as (start, end, match), in one pass over the pieces between them.
-
-    The pattern must not match the empty string.
-    """
-    pattern = java(pattern, exact)
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-
-    def found(x):
-        lengths = F.transform(F.arrays_zip(x["hits"].alias("m"), F.slice(x["gaps"], 2, F.size(x["hits"])).alias("g")), lambda z: F.length(z["m"]) + F.length(z["g"]))
-        head = F.length(F.get(x["gaps"], F.lit(0)))
-        return F.transform(_placed(x["hits"], lengths), lambda z: F.struct((z["at"] + head).alias("start"), (z["at"] + head + F.length(z["text"])).alias("end"), z["text"].alias("match")))
-
-    cut = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
-    return F.when(F.regexp_like(text, F.lit(pattern)), let(cut, found)).otherwise(none)
+def spans(text: Column, pattern: str) -> Column:
+    """All matches as (start, end, match).  The pattern must not match the empty string."""
+    return pattern_spans(pattern)(text)
 
 
 def line_column(text: Column, at: Column) -> Column:
@@ -153,3 +112,20 @@ def phrases(words: list[str]) -> str:
     fold = str.maketrans("‘’‛“”", "'''\"\"")
     body = lambda w: "".join(r"\s+" if c == " " else r"[-\s]" if c == "-" else re.escape(c) for c in w.translate(fold))
     return "|".join(body(w) for w in sorted(dict.fromkeys(words), key=lambda w: -len(w)))
+
+
+def phrase_tree(words: list[str]) -> str:
+    """``phrases`` with common beginnings written once, so that fewer alternatives are tried at each place; quotes of any
+    kind fit each other."""
+    fold = str.maketrans("‘’‛“”", "\'\'\'\"\"")
+    part = {" ": r"\s+", "-": r"[-\s]", "'": "['‘’‛]", '"': '["“”]'}
+    paths = [[part.get(c, re.escape(c)) for c in w.lower().translate(fold)] for w in sorted(dict.fromkeys(words), key=lambda w: -len(w))]
+
+    def joined(rest: list[list[str]]) -> str:
+        groups: dict[str, list] = {}
+        for p in rest:
+            groups.setdefault(p[0] if p else "", []).append(p[1:])
+        done = [k + joined(v) if k else "" for k, v in groups.items()]
+        return done[0] if len(done) == 1 else "(?:" + "|".join(done) + ")"
+
+    return joined(paths)

@@ -1,8 +1,10 @@
 """Detectors that need no parse, as array expressions over one document.
 
-Every detector maps a document's text, sentences and paragraphs to an array of findings; all arrays of a
-document are joined, deduplicated and ordered inside its row, so one scan without any shuffle gives the
-findings of a corpus.
+One pass over a text finds its sentences, paragraphs and the places that the detectors' patterns match; every
+detector then maps these few places to an array of findings.  All arrays of a document are joined,
+deduplicated and ordered inside its row, so one scan without any shuffle gives the findings of a corpus.
+Places come in order with the ordinals of their sentence and paragraph, so detectors look at neighbours by
+index, never at all other places of a text: their cost grows with the text's length.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
-from proselake.functions.text import filled, java, let, paragraphs, phrases, sentences, spans, straight_quotes, token_count, word_count
+from proselake.functions.places import Patterns, places
+from proselake.functions.text import filled, java, let, phrase_tree, straight_quotes, token_count, word_count
 
 FOUND = "array<struct<rule:string,start:int,end:int,confidence:string>>"
 RANK = {"off": 0, "info": 1, "warn": 2, "error": 3}
@@ -51,6 +54,7 @@ INTERNAL_LABEL = r"\b(?:[A-Z]{3,}|[A-Z]{2,}(?:-[A-Z]{2,})+)\b"
 ABSTRACT_PROCESS = r"(?i)\b(?:(?:this|the)\s+(?:helper|function|method|plan|process|workflow|step|stage|logic|path|retrieval|ranking|filter)|(?:narrowing|ranking|filtering|matching|retrieval|selection|lookup)\s+(?:is|keeps|returns|uses|narrows|filters))\b"
 STRUCTURED_LINE = r"^\s*(?:[-*+]\s+|\d+[.)]\s+|\|)"
 STOP_WORDS = "a an and are as at be been but by can could did do does for from had has have he her here him his how i if in into is it its just may might more most my no not of on one only or our out she should so than that the their them there these they this those to too up us was we were what when where which who why will with would you your".split(" ")
+NUMBER = r"(?i)\b(?:two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion)\b"
 SUPPORT = r"(?i)\b(?:according to|appendix|benchmark|case study|dataset|experiment|figure|for example|for instance|log|logs|measured|measurement|sample|source|study|survey|table|test|trial)\b|https?://|\[\^?\d+\]"
 MECHANISM = r"(?i)\b(?:because|so that|thereby|which (?:means|shows)|by [a-z]+ing)\b"
 NEGATION = r"(?i)\b(?:no|not|never)\b|\bn\s*['’]\s*t\b"
@@ -75,14 +79,40 @@ SEVERITY = {"apology-reflex": "error", "verdict-word": "warn", "verdict-echo": "
 SUPPORT_ONLY = ["absolute-claim", "passive-actor-hiding", "em-dash-overuse"]
 
 
+#: White space in front of a marker of a list's item, and the end of a finished line before it, if there is one.
+MARKED_LINE = r"(?:[.!?][\"')\]]*[\t ]*\n)?(?:^|(?<=\n))[\t ]*(?P<at>(?:[-+*]|\d+[.)])[\u2029\t ][^\n]*)"
+HEDGE_LEAD = r"[^A-Za-z0-9_'’]*"
+
+
 def lexicon_pattern(words: list[str]) -> str:
-    return r"(?i)(?<![\p{L}\p{N}])(?:" + phrases(words) + r")(?![\p{L}\p{N}])"
+    """Phrases with any kind of quotes, between signs that are no letters or digits of any script."""
+    return r"(?u)(?i)(?<![^\W_])" + phrase_tree(words) + r"(?![^\W_])"
 
 
 def word_pattern(words: list[str]) -> str:
     return r"(?i)\b(?:" + "|".join(words) + r")\b"
 
 
+_QUOTES = "[\"'“”‘’‛(\\[\\s]*"
+_OPENING = "|".join(w.translate(str.maketrans("’", "'")).replace("'", "['‘’‛]") for w in sorted(dict.fromkeys(lex.OPENERS), key=lambda w: -len(w)))
+PLACES = Patterns(
+    anywhere={
+        "significance": lexicon_pattern(lex.SIGNIFICANCE), "promotion": lexicon_pattern(lex.PROMOTION), "chatbot": lexicon_pattern(lex.CHATBOT), "emerging": lexicon_pattern(lex.EMERGING),
+        "candor": "(?i)" + CANDOR, "artifact": ARTIFACT, "emoji": EMOJI, "comparison": "(?i)" + COMPARISON, "apology": word_pattern(APOLOGY), "verdict": word_pattern(VERDICT), "paren_hedge": "(?i)" + PAREN_HEDGE,
+        "dash": "—", "curly": "[“”]", "straight": '"', "scaffold": "(?i)" + SCAFFOLD, "certainty": "(?i)" + CERTAINTY, "declarative": "(?i)" + DECLARATIVE, "quantifier": "(?i)" + QUANTIFIER,
+        "absolute": "(?i)" + ABSOLUTE, "modal": "(?i)" + MODAL, "echo": word_pattern(EVALUATIVE), "hedge": r"(?i)\b(?:" + "|".join(h.replace(" ", " +") for h in HEDGES) + r")\b",
+        "initialism": INITIALISM, "spelled_before": r"\((?P<at>[A-Z][A-Z0-9-]{2,9})\)", "spelled_after": r"(?P<at>[A-Z0-9-]+)\s*\([A-Za-z][A-Za-z -]{3,80}\)", "marked_line": MARKED_LINE,
+    },
+    heads={
+        "opening": rf"(?i){_QUOTES}(?P<at>{_OPENING})(?:[\s,.:;]|\Z)", "seesaw": rf"(?i)[\"'“‘(]*\s*(?P<at>{CONCESSIVE}|{PIVOT})(?![A-Za-z0-9_])",
+        "negative": "(?i)" + NEGATIVE_OPEN, "hedge_first": rf"(?i){HEDGE_LEAD}(?P<at>{'|'.join(HEDGES_FIRST)})(?![A-Za-z0-9_'’])",
+    },
+    tails={"challenge": "(?i)" + CHALLENGE, "future": "(?i)" + FUTURE},
+    before={"certainty": 12, "absolute": 18, "spelled_before": 120},
+    per_paragraph=frozenset({"absolute"}),
+)
+
+
 def none() -> Column:
     return F.array().cast(FOUND)
 
@@ -97,202 +127,159 @@ def _medium(condition: Column) -> Column:
     return F.when(condition, "medium").otherwise("low")
 
 
-def _inside(sents: Column, at: Column) -> Column:
-    """The first sentence that holds an offset."""
-    return F.get(F.filter(sents, lambda s: (s["start"] <= at) & (at < s["end"])), F.lit(0))
+def _near(hits: Column, k, more: int, width: int, by: str = "i") -> Column:
+    """The hit at place k and the one ``more`` places on lie within ``width`` of each other."""
+    return F.coalesce(F.get(hits, k + more)[by] - F.get(hits, k)[by] <= width, F.lit(False)) & (F.lit(0) <= k)
 
 
-def _ordinal(sents: Column) -> Column:
-    return F.transform(sents, lambda s, i: F.struct(s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"), i.alias("i")))
+def _crowded(hits: Column, count: int, width: int) -> Column:
+    """Some ``count`` hits in a row lie within ``width`` sentences of each other."""
+    return F.exists(F.transform(hits, lambda h, k: _near(hits, k, count - 1, width)), lambda x: x)
 
 
-def _within(outer: Column, hits: Column) -> Column:
-    """Hits in a part of the text, moved to the text's offsets."""
-    return F.transform(hits, lambda h: F.struct((h["start"] + outer).alias("start"), (h["end"] + outer).alias("end"), h["match"].alias("match")))
+def lexical(x: Column) -> list[Column]:
+    out = [_as("significance-idioms", x["significance"], "medium"), _as("promo-idioms", x["promotion"], "medium"), _as("chatbot-idioms", x["chatbot"], "high")]
+    literal = lambda h: F.coalesce(h["match"].rlike("(?i)^load") & F.get(x["sents"], h["i"])["text"].rlike(java("(?i)" + LITERAL_LOAD)), F.lit(False))
+    out.append(_as("emerging-slop-phrases", F.filter(x["emerging"], lambda h: ~literal(h)), "low"))
+    out += [_as("performed-candor", x["candor"], "medium"), _as("generation-artifacts", x["artifact"], "high"), _as("emoji", x["emoji"], "low")]
+    out.append(_as("unsupported-comparison", x["comparison"], lambda h: _medium(h["match"].rlike(java("(?i)" + STRONG_COMPARISON)))))
+    return [*out, _as("apology-reflex", x["apology"], "medium"), _as("verdict-word", x["verdict"], "medium"), _as("parenthetical-hedge", x["paren_hedge"], "medium")]
 
 
-def lexical(text: Column, sents: Column) -> list[Column]:
-    fold = straight_quotes(text)
-    out = [_as("significance-idioms", spans(fold, lexicon_pattern(lex.SIGNIFICANCE)), "medium"), _as("promo-idioms", spans(fold, lexicon_pattern(lex.PROMOTION)), "medium"), _as("chatbot-idioms", spans(fold, lexicon_pattern(lex.CHATBOT)), "high")]
-    literal = lambda h: F.coalesce(h["match"].rlike("(?i)^load") & _inside(sents, h["start"])["text"].rlike(java("(?i)" + LITERAL_LOAD)), F.lit(False))
-    out.append(_as("emerging-slop-phrases", F.filter(spans(fold, lexicon_pattern(lex.EMERGING)), lambda h: ~literal(h)), "low"))
-    out.append(_as("performed-candor", spans(text, "(?i)" + CANDOR), "medium"))
-    out.append(_as("generation-artifacts", spans(text, ARTIFACT), "high"))
-    out.append(_as("emoji", spans(text, EMOJI), "low"))
-    out.append(_as("unsupported-comparison", spans(text, "(?i)" + COMPARISON), lambda h: _medium(h["match"].rlike(java("(?i)" + STRONG_COMPARISON)))))
-    out.append(_as("apology-reflex", spans(text, word_pattern(APOLOGY)), "medium"))
-    out.append(_as("verdict-word", spans(text, word_pattern(VERDICT)), "medium"))
-    out.append(_as("parenthetical-hedge", spans(text, "(?i)" + PAREN_HEDGE), "medium"))
-    return out
-
-
-def openers(sents: Column) -> Column:
+def openers(x: Column) -> Column:
     """Formulaic first words; medium if one recurs three times, three stand within six sentences, or five make 15 %."""
-    alternatives = "|".join(w.translate(str.maketrans("’", "'")) for w in sorted(dict.fromkeys(lex.OPENERS), key=lambda w: -len(w)))
-    low = lambda s: F.lower(straight_quotes(s["text"]))
-    pattern = rf"^[\s\"'(\[]*({alternatives})(?:[\s,.:;]|\z)"
-    hit = F.transform(_ordinal(sents), lambda s: let(low(s), lambda t: F.struct(F.regexp_extract(t, pattern, 1).alias("phrase"), t.alias("low"), s["start"].alias("at"), s["i"].alias("i"))))
-    hit = F.transform(F.filter(hit, lambda h: h["phrase"] != ""), lambda h: F.struct((h["at"] + F.instr(h["low"], h["phrase"]) - 1).alias("start"), h["phrase"].alias("phrase"), h["i"].alias("i")))
-    hit = F.transform(hit, lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.length(h["phrase"])).alias("end"), h["phrase"].alias("phrase"), h["i"].alias("i")))
+    hit = x["opening"]
+    phrase = lambda h: F.lower(straight_quotes(F.substring(h["match"], F.length(h["match"]) - F.length(F.regexp_replace(h["match"], rf"(?i)^{_QUOTES}", "")) + 1, h["end"] - h["start"])))
 
-    def graded(hit):
-        many = F.exists(hit, lambda h: F.size(F.filter(hit, lambda o: o["phrase"] == h["phrase"])) >= 3)
-        dense = F.exists(hit, lambda h: F.size(F.filter(hit, lambda o: (o["i"] >= h["i"]) & (o["i"] <= h["i"] + 5))) >= 3)
-        habit = many | dense | ((F.size(hit) >= 5) & (F.size(hit) >= 0.15 * F.size(sents)))
-        return let(_medium(habit), lambda grade: _as("opening-conjunction", hit, grade))
+    def habit(words):
+        many = F.exists(F.transform(words, lambda w, k: F.coalesce(F.get(words, k + 2) == w, F.lit(False))), lambda b: b)
+        return many | _crowded(hit, 3, 5) | ((F.size(hit) >= 5) & (F.size(hit) >= 0.15 * F.size(x["sents"])))
 
-    return let(hit, graded)
+    grade = let(F.array_sort(F.transform(hit, phrase)), lambda words: _medium(habit(words)))
+    return F.when(F.size(hit) > 0, let(grade, lambda g: _as("opening-conjunction", hit, g))).otherwise(none())
 
 
-def dashes(text: Column, sents: Column) -> Column:
+def dashes(x: Column) -> Column:
     """The first dash; medium if eight sentences in a row hold four, or twelve in all at one in twelve sentences."""
-    counts = F.transform(sents, lambda s: F.length(s["text"]) - F.length(F.replace(s["text"], F.lit("—"), F.lit(""))))
-    most = let(counts, lambda c: F.array_max(F.transform(c, lambda x, i: F.aggregate(F.slice(c, i + 1, F.lit(8)), F.lit(0), lambda a, y: a + y))))
-    total = F.length(text) - F.length(F.replace(text, F.lit("—"), F.lit("")))
-    medium = (F.coalesce(most, F.lit(0)) >= 4) | ((total >= 12) & (total * 12 >= F.greatest(F.size(sents), F.lit(1))))
-    first = F.instr(text, "—")
-    return F.when(first > 0, _as("em-dash-overuse", F.array(F.struct((first - 1).alias("start"), first.alias("end"))), _medium(medium))).otherwise(none())
+    hit = x["dash"]
+    medium = _crowded(hit, 4, 7) | ((F.size(hit) >= 12) & (F.size(hit) * 12 >= F.greatest(F.size(x["sents"]), F.lit(1))))
+    return F.when(F.size(hit) > 0, _as("em-dash-overuse", F.slice(hit, 1, 1), _medium(medium))).otherwise(none())
 
 
-def quotes(text: Column) -> Column:
+def quotes(x: Column) -> Column:
     """Each quote of the rarer kind where straight and curly double quotes are mixed."""
-    count = lambda signs: F.length(text) - F.length(F.translate(text, signs, ""))
-    rarer = F.when(count("“”") <= count('"'), spans(text, "[“”]")).otherwise(spans(text, '"'))
-    return F.when((count("“”") >= 2) & (count('"') >= 2), _as("mixed-quotes", rarer, "medium")).otherwise(none())
+    curly, straight = x["curly"], x["straight"]
+    rarer = F.when(F.size(curly) <= F.size(straight), curly).otherwise(straight)
+    return F.when((F.size(curly) >= 2) & (F.size(straight) >= 2), _as("mixed-quotes", rarer, "medium")).otherwise(none())
 
 
-def seesaw(text: Column, sents: Column) -> Column:
+def seesaw(text: Column, x: Column) -> Column:
     """Sentence-opening concessions and pivots, from three on and 0.8 a hundred words."""
-    lead = "^[\"'“‘(]*\\s*"
-    hit = F.transform(sents, lambda s: F.struct(F.length(F.regexp_extract(s["text"], rf"(?i)({lead})(?:{CONCESSIVE}|{PIVOT})(?![A-Za-z0-9_])", 1)).alias("skip"), F.regexp_extract(s["text"], rf"(?i){lead}({CONCESSIVE}|{PIVOT})(?![A-Za-z0-9_])", 1).alias("word"), s["start"].alias("at")))
-    hit = F.transform(F.filter(hit, lambda h: h["word"] != ""), lambda h: F.struct((h["at"] + h["skip"]).alias("start"), (h["at"] + h["skip"] + F.length(h["word"])).alias("end")))
-    return let(hit, lambda hit: F.when((F.size(hit) >= 3) & (F.size(hit) * 100 >= 0.8 * F.greatest(token_count(text), F.lit(1))), _as("hedging-seesaw", hit, "low")).otherwise(none()))
+    hit = x["seesaw"]
+    often = F.when(F.size(hit) >= 3, F.size(hit) * 100 >= 0.8 * F.greatest(token_count(text), F.lit(1))).otherwise(False)
+    return F.when(often, _as("hedging-seesaw", hit, "low")).otherwise(none())
 
 
-def certainty(text: Column, sents: Column) -> Column:
+def certainty(x: Column) -> Column:
     """Assertions of certainty; medium where three stand within eight sentences."""
-    before = lambda h: F.lower(F.substring(text, F.greatest(h["start"] - 12, F.lit(0)) + 1, F.least(h["start"], F.lit(12))))
-    plain = lambda h: ~(h["match"].rlike("(?i)^clearly") & before(h).rlike("(?:" + "|".join(CLEARLY_AFTER) + r")\z"))
-    hit = F.transform(F.filter(spans(text, "(?i)" + CERTAINTY), plain), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.array_max(F.transform(F.filter(_ordinal(sents), lambda s: (s["start"] <= h["start"]) & (h["start"] < s["end"])), lambda s: s["i"])).alias("i")))
+    plain = lambda h: ~(h["match"].rlike("(?i)^clearly") & F.lower(h["before"]).rlike("(?:" + "|".join(CLEARLY_AFTER) + r")\z"))
 
     def graded(hit):
-        near = lambda at: F.size(F.filter(hit, lambda o: (o["i"] >= at) & (o["i"] <= at + 7))) >= 3
-        return _as("unsupported-certainty", hit, lambda h: _medium(F.exists(hit, lambda w: (w["i"] <= h["i"]) & (h["i"] <= w["i"] + 7) & near(w["i"]))))
+        # Three in a row that are close, this one first, second or third of them.
+        rows = F.transform(hit, lambda h, k: F.struct(h["start"].alias("start"), h["end"].alias("end"), (_near(hit, k, 2, 7) | _near(hit, k - 1, 2, 7) | _near(hit, k - 2, 2, 7)).alias("close")))
+        return _as("unsupported-certainty", rows, lambda r: _medium(r["close"]))
 
-    return let(hit, graded)
+    return let(F.filter(x["certainty"], plain), graded)
 
 
-def stacked(rule: str, text: Column, pattern: str) -> Column:
+def stacked(rule: str, hit: Column) -> Column:
     """Hits of a pattern; medium from three in a document on."""
-    return let(spans(text, "(?i)" + pattern), lambda hit: _as(rule, hit, _medium(F.size(hit) >= 3)))
+    return _as(rule, hit, _medium(F.size(hit) >= 3))
 
 
-def ending(text: Column) -> Column:
+def ending(x: Column) -> Column:
     """A challenge or an outlook in the last 35 % of the text; medium if both."""
-    at = F.floor(F.length(text) * 0.65).cast("int")
-    both = lambda tail: F.struct(spans(tail, "(?i)" + CHALLENGE).alias("a"), spans(tail, "(?i)" + FUTURE).alias("b"))
-    graded = lambda x: _as("outline-conclusion", _within(at, F.slice(F.concat(x["a"], x["b"]), 1, 1)), _medium((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0)))
-    return let(let(F.substring(text, at + 1, F.length(text)), both), graded)
+    return _as("outline-conclusion", F.slice(F.concat(x["challenge"], x["future"]), 1, 1), _medium((F.size(x["challenge"]) > 0) & (F.size(x["future"]) > 0)))
 
 
-def absolutes(pars: Column, sents: Column) -> Column:
+def absolutes(x: Column) -> Column:
     """Absolute words of each paragraph; medium with three strong ones that are asserted."""
 
-    def one(p):
-        hit = _within(p["start"], spans(p["text"], "(?i)" + ABSOLUTE))
-
-        def asserted(h):
-            before = F.substring(p["text"], F.greatest(h["start"] - p["start"] - 18, F.lit(0)) + 1, F.least(h["start"] - p["start"], F.lit(18)))
-            return h["match"].rlike(java("(?i)" + STRONG_ABSOLUTE)) & ~before.rlike(java(r"(?i)\b(?:not|isn't|wasn't|aren't|weren't|hardly)\s*\z")) & let(_inside(sents, h["start"])["text"], lambda s: ~F.contains(s, F.lit("?")) & ~s.rlike(r"(?i)^\s*(?:if|unless|whether)(?![A-Za-z0-9_])"))
-
-        graded = lambda hit: let(_medium(F.size(F.filter(hit, lambda h: F.coalesce(asserted(h), F.lit(False)))) >= 3), lambda grade: _as("absolute-claim", hit, grade))
-        return let(hit, graded)
+    def asserted(h):
+        calm = let(F.get(x["sents"], h["i"])["text"], lambda s: ~F.contains(s, F.lit("?")) & ~s.rlike(r"(?i)^\s*(?:if|unless|whether)(?![A-Za-z0-9_])"))
+        return F.coalesce(h["match"].rlike(java("(?i)" + STRONG_ABSOLUTE)) & ~h["before"].rlike(java(r"(?i)\b(?:not|isn't|wasn't|aren't|weren't|hardly)\s*\z")) & calm, F.lit(False))
 
-    return F.flatten(F.transform(pars, one))
+    one = lambda hits: F.when(F.size(hits) == 0, none()).otherwise(let(_medium(F.size(F.filter(hits, asserted)) >= 3), lambda grade: _as("absolute-claim", hits, grade)))
+    return F.flatten(F.transform(x["absolute"], one))
 
 
-def modal(text: Column) -> Column:
+def modal(x: Column) -> Column:
     """The second modal of "you can X or Y; both will give"."""
-    hit = spans(text, "(?i)" + MODAL)
     lead = lambda h: F.length(F.regexp_extract(h["match"], r"(?is)^(.*;\s*both\s+)will\s+[a-z]+$", 1))
     size = lambda h: F.length(F.regexp_extract(h["match"], r"(?is);\s*both\s+(will\s+)[a-z]+$", 1))
-    return _as("modal-redundancy", F.transform(hit, lambda h: F.struct((h["start"] + lead(h)).alias("start"), (h["start"] + lead(h) + size(h)).alias("end"))), "medium")
+    return _as("modal-redundancy", F.transform(x["modal"], lambda h: F.struct((h["start"] + lead(h)).alias("start"), (h["start"] + lead(h) + size(h)).alias("end"))), "medium")
 
 
-def negative_lists(sents: Column) -> Column:
+def negative_lists(x: Column) -> Column:
     """From the second on of consecutive sentences that open with a negation."""
-    negative = F.transform(sents, lambda s: s["text"].rlike(java("(?i)" + NEGATIVE_OPEN)))
-    return let(negative, lambda n: _as("negative-list-buildup", F.filter(_ordinal(sents), lambda s: F.get(n, s["i"]) & F.coalesce(F.get(n, s["i"] - 1), F.lit(False))), "medium"))
+    hit = x["negative"]
+    after = F.filter(hit, lambda h, k: F.coalesce(F.get(hit, k - 1)["i"] == h["i"] - 1, F.lit(False)) & (k > 0))
+    return _as("negative-list-buildup", F.transform(after, lambda h: F.get(x["sents"], h["i"])), "medium")
 
 
-def echoes(text: Column, sents: Column) -> Column:
+def echoes(text: Column, x: Column) -> Column:
     """An evaluative word used again: anywhere in a document of 80 words, else in the sentence of its first use."""
-    hit = F.transform(spans(text, word_pattern(EVALUATIVE)), lambda h, k: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.lower(h["match"]).alias("word"), _inside(sents, h["start"])["start"].alias("sent"), k.alias("k")))
 
-    def again(x):
-        first = lambda h: F.get(F.filter(x["hit"], lambda o: o["word"] == h["word"]), F.lit(0))
-        return _as("verdict-echo", F.filter(x["hit"], lambda h: let(first(h), lambda f: (f["k"] < h["k"]) & (x["few"] | (f["sent"] == h["sent"])))), "medium")
+    def again(few):
+        def later(word):
+            mine = F.filter(x["echo"], lambda h: F.lower(h["match"]) == word)
+            return let(mine, lambda m: F.filter(F.slice(m, 2, F.greatest(F.size(m), F.lit(1))), lambda h: few | (h["i"] == F.get(m, F.lit(0))["i"])))
 
-    return let(F.struct(hit.alias("hit"), (token_count(text) <= 80).alias("few")), again)
+        rows = F.flatten(F.array(*(F.transform(later(F.lit(w)), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))) for w in EVALUATIVE)))
+        return _as("verdict-echo", F.sort_array(rows), "medium")
 
+    return F.when(F.size(x["echo"]) > 1, let(token_count(text) <= 80, again)).otherwise(none())
 
-def hedges(sents: Column) -> Column:
-    """Hedging words and phrases of each sentence, and those that only count as its first word."""
-
-    def one(s):
-        low = F.lower(s["text"])
-        first = F.regexp_extract(low, "^(" + "|".join(HEDGES_FIRST) + ")(?![A-Za-z0-9_'’])", 1)
-        opener = F.when(first != "", F.array(F.struct(F.lit(0).alias("start"), F.length(first).alias("end"), first.alias("match")))).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
-        return _within(s["start"], F.concat(opener, spans(low, r"\b(?:" + "|".join(h.replace(" ", " +") for h in HEDGES) + r")\b")))
 
-    return _as("hedge-phrase", F.flatten(F.transform(sents, one)), "medium")
+def hedges(x: Column) -> Column:
+    """Hedging words and phrases of each sentence, and those that only count as its first word."""
+    return _as("hedge-phrase", F.concat(x["hedge_first"], x["hedge"]), "medium")
 
 
-def initialisms(text: Column) -> Column:
+def initialisms(x: Column) -> Column:
     """The first use of a capital-letter term that is used twice and never spelled out."""
-    hit = F.filter(spans(text, INITIALISM, True), lambda h: ~h["match"].isin(EXEMPT))
-    quoted = lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))
-    spelled = lambda w: F.regexp_like(text, F.concat(F.lit(r"(?:[A-Za-z][A-Za-z -]{3,80})\s*\("), quoted(w), F.lit(r"\)|"), quoted(w), F.lit(r"\s*\([A-Za-z][A-Za-z -]{3,80}\)")))
+    hit = F.array_sort(F.transform(F.filter(x["initialism"], lambda h: ~h["match"].isin(EXEMPT)), lambda h: F.struct(h["match"].alias("match"), F.lit(1).alias("use"), h["start"].alias("start"), h["end"].alias("end"))))
+    # Terms spelled out before or after them; what stands in front of a bracket may end in more than one term.
+    before = F.transform(F.filter(x["spelled_before"], lambda h: F.regexp_replace(h["before"], r"\($", "").rlike(r"[A-Za-z][A-Za-z -]{3,80}\s*\z")), lambda h: F.regexp_extract(h["match"], r"\((.*)\)", 1))
+    ends = lambda h: let(F.regexp_extract(h["match"], "^[A-Z0-9-]+", 0), lambda w: F.transform(F.sequence(F.lit(3), F.lit(10)), lambda n: F.right(w, n)))
+    known = F.transform(F.array_distinct(F.concat(before, F.flatten(F.transform(x["spelled_after"], ends)))), lambda w: F.struct(w.alias("match"), F.lit(0).alias("use"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
 
-    def undefined(hit):
-        words = F.filter(F.array_distinct(F.transform(hit, lambda h: h["match"])), lambda w: (F.size(F.filter(hit, lambda h: h["match"] == w)) >= 2) & ~spelled(w))
-        return _as("unexplained-initialism", F.transform(words, lambda w: F.get(F.filter(hit, lambda h: h["match"] == w), F.lit(0))), "medium")
+    def undefined(rows):
+        # In order of terms, a known one stands before its uses.
+        same = lambda k, h: F.coalesce(F.get(rows, k)["match"] == h["match"], F.lit(False)) & (k >= 0)
+        first = F.filter(rows, lambda h, k: (h["use"] == 1) & ~same(k - 1, h) & same(k + 1, h))
+        return _as("unexplained-initialism", F.array_sort(F.transform(first, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))), "medium")
 
-    return let(hit, undefined)
+    return F.when(F.size(hit) > 1, let(F.array_sort(F.concat(hit, known)), undefined)).otherwise(none())
 
 
-def unbroken_lists(text: Column) -> Column:
+def unbroken_lists(x: Column) -> Column:
     """A list that starts right after a finished sentence of the same block."""
-    starts = spans(text, "(?s)(?:^|(?<=\n))[^\n]*\\S[^\n]*")
+    hit = x["marked_line"]
+    first = F.filter(hit, lambda h, k: h["match"].rlike("^[.!?]") & h["p"].isNotNull() & ~(F.coalesce(F.get(hit, k - 1)["p"] == h["p"], F.lit(False)) & (k > 0)))
+    return _as("list-without-break", F.transform(first, lambda h: F.struct(h["start"].alias("start"), (h["end"] - F.length(F.regexp_extract(h["match"], r"\s*\z", 0))).alias("end"))), "low")
 
-    lines = F.transform(starts, lambda h, i: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["match"].alias("match"), i.alias("i"), h["match"].rlike(LIST_MARKER).alias("mark")))
-    left = lambda h: F.length(h["match"]) - F.length(F.regexp_replace(h["match"], r"^\s+", ""))
 
-    def first(lines):
-        # A line opens a block unless the line before it ends right where it starts.
-        opens = F.transform(lines, lambda h: (h["i"] == 0) | (F.get(lines, h["i"] - 1)["end"] + 1 < h["start"]))
-
-        def bad(opens):
-            head = lambda h: F.array_max(F.transform(F.filter(lines, lambda o: (o["i"] <= h["i"]) & F.get(opens, o["i"])), lambda o: o["i"]))
-            late = lambda h: h["mark"] & ~F.get(opens, h["i"]) & F.get(lines, h["i"] - 1)["match"].rlike(FINISHED)
-            return F.filter(F.filter(lines, late), lambda h: let(head(h), lambda k: ~F.exists(lines, lambda o: (o["i"] < h["i"]) & (o["i"] >= k) & o["mark"])))
-
-        return _as("list-without-break", F.transform(let(opens, bad), lambda h: F.struct((h["start"] + left(h)).alias("start"), (h["start"] + F.length(F.regexp_replace(h["match"], r"\s+\z", ""))).alias("end"))), "low")
-
-    return let(lines, first)
-
-
-def loads(pars: Column, sents: Column) -> Column:
+def loads(x: Column) -> Column:
     """Paragraphs of seven sentences and 130 words."""
-    mine = lambda p: F.filter(sents, lambda s: (s["end"] > p["start"]) & (s["start"] < p["end"]))
-    return _as("paragraph-load", F.filter(pars, lambda p: (word_count(p["text"]) >= 130) & (F.size(mine(p)) >= 7)), "medium")
+    return _as("paragraph-load", F.filter(x["pars"], lambda p: (p["size"] >= 7) & (word_count(p["text"]) >= 130)), "medium")
 
 
 def _count(x: Column, pattern: str) -> Column:
     return F.regexp_count(x, F.lit(java(pattern)))
 
 
-def pileups(pars: Column) -> Column:
+def pileups(x: Column) -> Column:
     """Paragraphs of 28 words that pile up identifiers, qualifications and clause breaks."""
 
     def heavy(p):
@@ -306,9 +293,9 @@ def pileups(pars: Column) -> Column:
             counts = F.struct((inline + _count(m, IDENTIFIER)).alias("r"), _count(m, QUALIFIER).alias("q"), _count(m, PROCESS_QUALIFIER).alias("p"), breaks.alias("b"), _count(m, INTERNAL_LABEL).alias("l"), _count(m, ABSTRACT_PROCESS).alias("a"))
             return let(counts, lambda c: ((c["b"] >= 3) & (((c["r"] >= 4) & (c["q"] >= 2)) | ((c["r"] >= 3) & (c["q"] >= 4)))) | ((words >= 55) & (c["p"] >= 7) & (c["b"] >= 4) & (c["l"].between(2, 8) | (c["a"] >= 2))))
 
-        return ~listed & (words >= 28) & let(F.regexp_replace(p["text"], INLINE_CODE, " "), dense)
+        return F.when(words >= 28, ~listed & let(F.regexp_replace(p["text"], INLINE_CODE, " "), dense)).otherwise(False)
 
-    return _as("implementation-detail-pileup", F.filter(pars, heavy), "medium")
+    return _as("implementation-detail-pileup", F.filter(x["pars"], heavy), "medium")
 
 
 def stem(word: Column) -> Column:
@@ -325,49 +312,68 @@ def content_words(text: Column) -> Column:
     return F.array_distinct(F.filter(stems, lambda w: ~w.isin(STOP_WORDS)))
 
 
-def repetitions(pars: Column, sents: Column) -> Column:
-    """Sentences that say again what stood two to four sentences before in their paragraph: most stems shared, same
-    polarity, no support or number, no mechanism that adds stems."""
-    fold = lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), content_words(x["text"]).alias("w"), x["text"].rlike(java(NEGATION)).alias("neg"))
+def _folded(s: Column) -> Column:
+    """A sentence or paragraph with its stems, whether it negates, and whether it supports itself or adds a mechanism."""
+    supported = s["text"].rlike(java(SUPPORT)) | s["text"].rlike("[0-9]") | s["text"].rlike(java(NUMBER))
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), content_words(s["text"]).alias("w"), s["text"].rlike(java(NEGATION)).alias("neg"), supported.alias("sup"), s["text"].rlike(java(MECHANISM)).alias("mech"), steps(s["text"]).alias("steps"))
 
-    def one(p):
-        mine = F.transform(F.filter(sents, lambda s: (s["end"] > p["start"]) & (s["start"] < p["end"])), fold)
-        lines = F.filter(F.split(p["text"], "\r?\n"), lambda x: F.trim(x) != "")
-        steps = let(lines, lambda x: (F.size(x) >= 3) & (F.size(F.filter(x, lambda y: y.rlike(STEP_LINE))) >= 0.6 * F.size(x)))
 
-        def again(m):
-            def best(s, i):
-                before = F.filter(F.slice(m, F.greatest(i - 3, F.lit(1)), F.least(i - 1, F.lit(3))), lambda o: F.size(o["w"]) >= 5)
-                rated = F.transform(before, lambda o, k: let(F.size(F.array_intersect(s["w"], o["w"])), lambda n: F.struct((n / F.least(F.size(s["w"]), F.size(o["w"]))).alias("sim"), (-k).alias("k"), n.alias("shared"), (F.size(s["w"]) - n).alias("novel"), o["neg"].alias("neg"))))
-                return F.array_max(F.filter(rated, lambda r: r["shared"] >= 5))
+def steps(text: Column) -> Column:
+    """Three lines or more, most of them steps."""
+    lines = F.filter(F.split(text, "\r?\n"), lambda x: F.trim(x) != "")
+    return let(lines, lambda x: (F.size(x) >= 3) & (F.size(F.filter(x, lambda y: y.rlike(STEP_LINE))) >= 0.6 * F.size(x)))
+
 
-            rows = F.transform(m, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["neg"].alias("neg"), F.when((i >= 2) & (F.size(s["w"]) >= 5), best(s, i)).alias("b")))
-            told = lambda r: (r["b"]["sim"] >= 0.6) & (r["b"]["neg"] == r["neg"]) & ~r["text"].rlike(java(SUPPORT)) & ~r["text"].rlike("[0-9]") & ~(r["text"].rlike(java(MECHANISM)) & (r["b"]["novel"] >= 4))
-            return _as("semantic-redundancy", F.filter(rows, lambda r: F.coalesce(told(r), F.lit(False))), lambda r: _medium((r["b"]["sim"] >= 0.68) & (r["b"]["novel"] <= 3)))
+def _likest(rows: Column, least: int, lag: int) -> Column:
+    """rows with ``b``: of those up to four places before, but not nearer than ``lag``, the one that shares most stems
+    of the shorter one, the earliest of equals; both have ``least`` stems and share five."""
+
+    def best(s, i):
+        before = F.slice(rows, F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4)) - (lag - 1))
+        rated = F.transform(before, lambda o, k: let(F.size(F.array_intersect(s["w"], o["w"])), lambda n: F.struct((n / F.greatest(F.least(F.size(s["w"]), F.size(o["w"])), F.lit(1))).alias("sim"), (-k).alias("k"), n.alias("shared"), (F.size(s["w"]) - n).alias("novel"), o["neg"].alias("neg"), o["steps"].alias("steps"), (F.size(o["w"]) >= least).alias("ok"))))
+        return F.array_max(F.filter(rated, lambda r: r["ok"] & (r["shared"] >= 5)))
+
+    return F.transform(rows, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["neg"].alias("neg"), s["sup"].alias("sup"), s["mech"].alias("mech"), s["steps"].alias("steps"), F.when((i >= lag) & (F.size(s["w"]) >= least), best(s, i)).alias("b")))
+
+
+def repetitions(x: Column) -> Column:
+    """Sentences that say again what stood two to four sentences before in their paragraph, and paragraphs that say again
+    one of the four before: most stems shared, same polarity, no support or number, no mechanism that adds stems.
+    Lists of steps may repeat each other's words: they stay low, and their sentences are not compared."""
+
+    def one(p):
+        mine = F.transform(F.slice(x["sents"], p["first"] + 1, p["size"]), _folded)
+        told = lambda r: (r["b"]["sim"] >= 0.6) & (r["b"]["neg"] == r["neg"]) & ~r["sup"] & ~(r["mech"] & (r["b"]["novel"] >= 4))
+        again = lambda m: _as("semantic-redundancy", F.filter(_likest(m, 5, 2), lambda r: F.coalesce(told(r), F.lit(False))), lambda r: _medium((r["b"]["sim"] >= 0.68) & (r["b"]["novel"] <= 3)))
+        return F.when(p["size"] >= 3, F.when(~steps(p["text"]), let(mine, again)).otherwise(none())).otherwise(none())
 
-        return F.when(~steps, let(mine, lambda m: F.when(F.size(m) >= 3, again(m)).otherwise(none()))).otherwise(none())
+    def blocks(m):
+        recipe = lambda r: r["steps"] & r["b"]["steps"]
+        told = lambda r: (r["b"]["sim"] >= 0.48) & (r["b"]["neg"] == r["neg"]) & (recipe(r) | (~r["sup"] & ~(r["mech"] & (r["b"]["novel"] >= 4))))
+        return _as("semantic-redundancy", F.filter(_likest(m, 6, 1), lambda r: F.coalesce(told(r), F.lit(False))), lambda r: _medium((r["b"]["sim"] >= 0.68) & ~recipe(r)))
 
-    return F.flatten(F.transform(pars, one))
+    pars = F.when(F.size(x["pars"]) >= 2, let(F.transform(x["pars"], _folded), blocks)).otherwise(none())
+    return F.concat(F.flatten(F.transform(x["pars"], one)), pars)
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with text filled, sents and pars."""
-    return docs.withColumn("text", filled(F.col("text"))).withColumns({"sents": sentences(F.col("text")), "pars": paragraphs(F.col("text"))})
+    """docs with text filled, and the places of ``PLACES`` in it."""
+    return docs.withColumn("text", filled(F.col("text"))).withColumn("places", places(PLACES)(F.col("text")))
 
 
-def all_rules(text: Column, sents: Column, pars: Column) -> Column:
+def all_rules(text: Column, x: Column) -> Column:
     """Findings of every rule in order of emission."""
     return F.concat(
-        *lexical(text, sents), openers(sents), dashes(text, sents), quotes(text), seesaw(text, sents), stacked("rhetorical-scaffolding", text, SCAFFOLD), certainty(text, sents),
-        stacked("vague-declarative", text, DECLARATIVE), stacked("vague-quantifier", text, QUANTIFIER), ending(text), absolutes(pars, sents), modal(text), negative_lists(sents),
-        echoes(text, sents), hedges(sents), initialisms(text), unbroken_lists(text), loads(pars, sents), pileups(pars), repetitions(pars, sents),
+        *lexical(x), openers(x), dashes(x), quotes(x), seesaw(text, x), stacked("rhetorical-scaffolding", x["scaffold"]), certainty(x),
+        stacked("vague-declarative", x["declarative"]), stacked("vague-quantifier", x["quantifier"]), ending(x), absolutes(x), modal(x), negative_lists(x),
+        echoes(text, x), hedges(x), initialisms(x), unbroken_lists(x), loads(x), pileups(x), repetitions(x),
     )
 
 
 @functools.lru_cache(maxsize=1)
 def _rules(application: str) -> Column:
     """all_rules on the columns that ``located`` gives, built once an application."""
-    return all_rules(F.col("text"), F.col("sents"), F.col("pars"))
+    return all_rules(F.col("text"), F.col("places"))
 
 
 def severity(rule: Column, confidence: Column) -> Column:
@@ -376,13 +382,17 @@ def severity(rule: Column, confidence: Column) -> Column:
 
 
 def findings(docs: DataFrame, least: str = "info") -> DataFrame:
-    """docs (doc_id, text, ...) -> their columns, found: findings with severity ``least`` or more, the first
+    """docs (doc_id, text, ...) -> their columns, sents, pars, found: findings with severity ``least`` or more, the first
     of each (rule, start, end), by start, longer ones first, then in order of emission."""
-    every = located(docs).withColumn("every", F.transform(_rules(docs.sparkSession.sparkContext.applicationId), lambda f, i: F.struct(f["start"].alias("start"), (-f["end"]).alias("back"), i.alias("seq"), f["rule"].alias("rule"), f["end"].alias("end"), f["confidence"].alias("confidence"), severity(f["rule"], f["confidence"]).alias("severity"))))
-    same = lambda f, o: (f["rule"] == o["rule"]) & (f["start"] == o["start"]) & (f["end"] == o["end"])
-    # In order, equal spans stand side by side with their first emission in front of its like.
-    once = lambda x: F.filter(x, lambda f, i: ~F.exists(F.filter(x, lambda o: o["start"] == f["start"]), lambda o: same(f, o) & (o["seq"] < f["seq"])) & f["severity"].isin([k for k, v in RANK.items() if v >= RANK[least]]))
-    return every.withColumn("found", let(F.sort_array("every"), once)).drop("every")
+    whole = lambda f, i: F.struct(f["rule"].alias("rule"), f["start"].alias("start"), f["end"].alias("end"), i.alias("seq"), f["confidence"].alias("confidence"), severity(f["rule"], f["confidence"]).alias("severity"))
+    every = located(docs).withColumn("every", F.sort_array(F.transform(_rules(docs.sparkSession.sparkContext.applicationId), whole)))
+    strong = [k for k, v in RANK.items() if v >= RANK[least]]
+    # By rule and span, equal ones stand side by side with their first emission in front.
+    same = lambda f, o: F.coalesce((f["rule"] == o["rule"]) & (f["start"] == o["start"]) & (f["end"] == o["end"]), F.lit(False))
+    once = lambda x: F.filter(x, lambda f, i: ~(same(f, F.get(x, i - 1)) & (i > 0)) & f["severity"].isin(strong))
+    placed = lambda f: F.struct(f["start"].alias("start"), (-f["end"]).alias("back"), f["seq"].alias("seq"), f["rule"].alias("rule"), f["end"].alias("end"), f["confidence"].alias("confidence"), f["severity"].alias("severity"))
+    found = let(F.col("every"), lambda x: F.sort_array(F.transform(once(x), placed)))
+    return every.withColumns({"found": found, "sents": F.col("places.sents"), "pars": F.col("places.pars")}).drop("every", "places")
 
 
 def finding_rows(docs: DataFrame, least: str = "info") -> DataFrame:

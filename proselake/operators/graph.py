@@ -7,9 +7,9 @@ token its lower-case form, its children's ids and its ancestors from its head up
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,28 +40,50 @@ BACK_REFERENCES = ["it", "they", "this", "that"]
 WH = ["how", "what", "why"]
 
 
-def climb(heads: Column, start: Column, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Ids from ``start`` up through heads, while ``keep(id)`` holds; each id at most once."""
-    step = lambda path, _: let(F.coalesce(F.get(heads, F.element_at(path, -1) - 1), F.lit(0)), lambda up: F.when((up == 0) | F.array_contains(path, up) | (~keep(F.element_at(path, -1)) if keep else F.lit(False)), path).otherwise(F.concat(path, F.array(up))))
-    return F.aggregate(F.sequence(F.lit(1), F.size(heads)), F.array(start), step)
+NODES = "array<struct<id:int,form:string,upos:string,head:int,deprel:string,start:int,end:int,low:string,kids:array<int>,anc:array<int>,sub:array<int>,run:int>>"
+_INT = pa.int32()
+_NODES = pa.list_(pa.struct([("id", _INT), ("form", pa.string()), ("upos", pa.string()), ("head", _INT), ("deprel", pa.string()), ("start", _INT), ("end", _INT), ("low", pa.string()), ("kids", pa.list_(_INT)), ("anc", pa.list_(_INT)), ("sub", pa.list_(_INT)), ("run", _INT)]))
 
 
-def with_paths(parses: DataFrame) -> DataFrame:
-    """parses with ``nodes``: tokens with low, kids (ids in order) and anc (ancestor ids, nearest first)."""
-    heads = F.transform("tokens", lambda t: t["head"])
+def _linked(tokens: list[dict] | None) -> list[dict] | None:
+    """Tokens with what ``with_paths`` adds; where heads form a cycle, a path ends before it meets a token again."""
+    if not tokens:
+        return None
+    head, kids, below = {}, {}, {t["id"]: [t["id"]] for t in tokens}
+    base = {t["id"]: (t["deprel"] or "").split(":", 1)[0] for t in tokens}
+    for t in tokens:
+        head.setdefault(t["id"], t["head"])
+        kids.setdefault(t["head"], []).append(t["id"])
+    out = []
+    for t in tokens:
+        path, met, up = [], {t["id"]}, t["head"]
+        while up and up not in met:
+            path.append(up)
+            met.add(up)
+            if up in below:
+                below[up].append(t["id"])
+            up = head.get(up, 0)
+        run = next((k for k, i in enumerate(path, 1) if base.get(i) != base[t["id"]]), len(path) + 1)
+        out.append({**t, "low": t["form"].lower(), "kids": kids.get(t["id"], []), "anc": path, "run": run})
+    return [{**t, "sub": sorted(below[t["id"]])} for t in out]
 
-    def node(heads):
-        kids = lambda t: F.transform(F.filter("tokens", lambda o: o["head"] == t["id"]), lambda o: o["id"])
-        full = lambda t: F.struct(*(t[c].alias(c) for c in ("id", "form", "upos", "head", "deprel", "start", "end")), F.lower(t["form"]).alias("low"), kids(t).alias("kids"), F.slice(climb(heads, t["id"]), 2, F.size(heads)).alias("anc"))
-        return F.transform("tokens", full)
 
-    return parses.withColumn("nodes", F.when(F.size("tokens") > 0, let(heads, node)))
+def with_paths(parses: DataFrame) -> DataFrame:
+    """parses with ``nodes``: tokens with low, kids (ids in order), anc (ancestor ids, nearest first), sub (ids of the
+    token and all below it) and run (how many tokens from it up, itself included, have its relation in a row).
 
+    One pass a sentence; the paths take as much room as its tokens' depths together.  Ids are 1, 2, 3 and so on.
+    """
 
+    @F.arrow_udf(NODES)
+    def nodes(tokens: pa.Array) -> pa.Array:
+        return pa.array([_linked(t.as_py()) for t in tokens], _NODES)
+
+    return parses.withColumn("nodes", nodes(F.col("tokens")))
 
 
 def by_id(nodes: Column, i) -> Column:
-    return F.get(F.filter(nodes, lambda t: t["id"] == i), F.lit(0))
+    return F.get(nodes, i - 1)
 
 
 def root(nodes: Column) -> Column:
@@ -73,11 +95,11 @@ def is_rel(t: Column, rel: str) -> Column:
 
 
 def children(nodes: Column, t: Column) -> Column:
-    return F.filter(nodes, lambda o: o["head"] == t["id"])
+    return F.transform(t["kids"], lambda i: by_id(nodes, i))
 
 
 def children_by(nodes: Column, t: Column, rel: str) -> Column:
-    return F.filter(nodes, lambda o: (o["head"] == t["id"]) & is_rel(o, rel))
+    return F.filter(children(nodes, t), lambda o: is_rel(o, rel))
 
 
 def child(nodes: Column, t: Column, rel: str) -> Column:
@@ -85,17 +107,22 @@ def child(nodes: Column, t: Column, rel: str) -> Column:
 
 
 def has_child(nodes: Column, t: Column, rel: str) -> Column:
-    return F.exists(nodes, lambda o: (o["head"] == t["id"]) & is_rel(o, rel))
+    return F.exists(children(nodes, t), lambda o: is_rel(o, rel))
 
 
 def some(nodes: Column, t: Column, test) -> Column:
     """Has t a child for which test holds?"""
-    return F.exists(nodes, lambda o: (o["head"] == t["id"]) & test(o))
+    return F.exists(children(nodes, t), test)
+
+
+def those(nodes: Column, t: Column, test) -> Column:
+    """The children of t for which test holds."""
+    return F.filter(children(nodes, t), test)
 
 
 def subtree(nodes: Column, t: Column) -> Column:
     """t and all below it, by id."""
-    return F.filter(nodes, lambda o: (o["id"] == t["id"]) | F.array_contains(o["anc"], t["id"]))
+    return F.transform(t["sub"], lambda i: by_id(nodes, i))
 
 
 def span_of(toks: Column) -> Column:
@@ -104,9 +131,7 @@ def span_of(toks: Column) -> Column:
 
 def below(nodes: Column, t: Column, rel: str) -> Column:
     """Tokens that hang from t by a chain of one relation (or its subtypes), by id."""
-    linked = lambda i: is_rel(by_id(nodes, i), rel)
-    heads = F.transform(nodes, lambda o: o["head"])
-    return F.filter(nodes, lambda o: (o["id"] != t["id"]) & F.array_contains(climb(heads, o["id"], linked), t["id"]))
+    return F.filter(subtree(nodes, t), lambda o: (o["id"] != t["id"]) & is_rel(o, rel) & (F.array_position(o["anc"], t["id"]) <= o["run"]))
 
 
 def coordinated(nodes: Column, t: Column) -> Column:
@@ -115,20 +140,39 @@ def coordinated(nodes: Column, t: Column) -> Column:
 
 def inherited_subjects(nodes: Column, t: Column) -> Column:
     """Subjects of t, or else of the nearest head up a chain of conj that has some."""
-    subjects = lambda i: F.filter(nodes, lambda o: (o["head"] == i) & is_rel(o, "nsubj"))
-    linked = lambda i: is_rel(by_id(nodes, i), "conj") & (F.size(subjects(i)) == 0)
-    path = climb(F.transform(nodes, lambda o: o["head"]), t["id"], linked)
-    return subjects(F.element_at(path, -1))
+    subjects = lambda i: children_by(nodes, by_id(nodes, i), "nsubj")
+    path = F.concat(F.array(t["id"]), t["anc"])
+    ends = F.filter(path, lambda i: ~(is_rel(by_id(nodes, i), "conj") & (F.size(subjects(i)) == 0)))
+    return subjects(F.coalesce(F.get(ends, F.lit(0)), F.element_at(path, -1)))
 
 
-def valid_tree(heads: Column) -> Column:
+def is_tree(heads: list[int] | None) -> bool:
     """One root, heads in range, no token its own head, every token below the root."""
-    n = F.size(heads)
-    at = F.transform(heads, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("id")))
-    fair = ~F.exists(at, lambda x: (x["h"] < 0) | (x["h"] > n) | (x["h"] == x["id"]))
-    one = F.size(F.filter(heads, lambda h: h == 0)) == 1
-    rooted = ~F.exists(at, lambda x: F.get(heads, F.element_at(climb(heads, x["id"]), -1) - 1) != 0)
-    return F.coalesce((n > 0) & one & fair & rooted, F.lit(False))
+    n = len(heads or [])
+    if not n or None in heads or sum(h == 0 for h in heads) != 1 or any(h < 0 or h > n or h == i for i, h in enumerate(heads, 1)):
+        return False
+    safe = [False] * (n + 1)
+    safe[0] = True
+    for i in range(1, n + 1):
+        path, up = [], i
+        while not safe[up]:
+            if len(path) > n:  # a cycle
+                return False
+            path.append(up)
+            up = heads[up - 1]
+        for k in path:
+            safe[k] = True
+    return True
+
+
+def valid_tree(heads: Column) -> Column:
+    """Do an array's heads make one tree?  Null and empty arrays don't."""
+
+    @F.arrow_udf("boolean")
+    def valid(rows: pa.Array) -> pa.Array:
+        return pa.array([is_tree(r.as_py()) for r in rows], pa.bool_())
+
+    return valid(heads)
 
 
 def noun_fits(t: Column, plural: bool) -> Column:
@@ -143,10 +187,11 @@ def reference_distance(pathed: DataFrame) -> DataFrame:
     fits = lambda plural, words: F.exists("nodes", lambda t: noun_fits(t, plural) | t["low"].isin(words))
     w = Window.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, -1)
     last = lambda flag: F.last(F.when(flag, F.col("sent_idx")), ignorenulls=True).over(w)
-    s = pathed.withColumns({"one": last(fits(False, SINGULAR)), "many": last(fits(True, PLURAL))})
-    p = s.select("doc_id", "sent_idx", "nodes", "one", "many", F.explode_outer(F.filter("nodes", lambda t: t["low"].isin(SINGULAR + PLURAL))).alias("t")).where("t is not null")
+    first = lambda plural: F.array_min(F.transform(F.filter("nodes", lambda t: noun_fits(t, plural)), lambda t: t["start"]))
+    s = pathed.withColumns({"one": last(fits(False, SINGULAR)), "many": last(fits(True, PLURAL)), "first_one": first(False), "first_many": first(True)})
+    p = s.select("doc_id", "sent_idx", "one", "many", "first_one", "first_many", F.explode_outer(F.filter("nodes", lambda t: t["low"].isin(SINGULAR + PLURAL))).alias("t")).where("t is not null")
     plural = F.col("t.low").isin(PLURAL)
-    own = F.exists("nodes", lambda o: (o["start"] < F.col("t.start")) & F.when(plural, noun_fits(o, True)).otherwise(noun_fits(o, False)))
+    own = F.coalesce(F.when(plural, F.col("first_many")).otherwise(F.col("first_one")) < F.col("t.start"), F.lit(False))
     return p.select("doc_id", "sent_idx", F.col("t.id").alias("id"), F.when(own, 0).otherwise(F.col("sent_idx") - F.when(plural, F.col("many")).otherwise(F.col("one"))).cast("long").alias("distance"))
 
 
@@ -162,7 +207,7 @@ def _each(nodes: Column, test, found) -> Column:
 def sentence_rules(nodes: Column, text: Column, n_words: Column) -> Column:
     """Findings of the rules that look at one sentence; see ``graph_findings`` for grades that look further."""
     out = []
-    same = lambda t: F.filter(nodes, lambda o: (o["head"] == t["id"]) & is_rel(o, "conj") & (o["upos"] == t["upos"]))
+    same = lambda t: those(nodes, t, lambda o: is_rel(o, "conj") & (o["upos"] == t["upos"]))
     out.append(_each(nodes, lambda t: t["upos"].isin("ADJ", "ADV") & t["deprel"].isin("amod", "advmod", "root", "conj") & (F.size(same(t)) >= 2), lambda t: hit("rule-of-three", F.concat(F.array(t), same(t)), "low")))
 
     def contrast(y):
@@ -173,23 +218,23 @@ def sentence_rules(nodes: Column, text: Column, n_words: Column) -> Column:
     out.append(_each(nodes, lambda y: F.coalesce(contrast(y), F.lit(False)), lambda y: hit("negative-parallelism", F.concat(subtree(nodes, by_id(nodes, y["head"])), subtree(nodes, y)), "low")))
     trailing = lambda g: g["deprel"].isin("advcl", "acl") & (g["upos"] == "VERB") & g["low"].isin(EDITORIAL) & (g["id"] > g["head"]) & (by_id(nodes, g["id"] - 1)["form"] == ",")
     out.append(_each(nodes, lambda g: F.coalesce(trailing(g), F.lit(False)), lambda g: hit("participial-appendage", subtree(nodes, g), "low")))
-    as_noun = lambda v: F.filter(nodes, lambda o: (o["head"] == v["id"]) & is_rel(o, "obl") & o["upos"].isin("NOUN", "PROPN") & some(nodes, o, lambda c: (c["deprel"] == "case") & (c["low"] == "as")))
+    as_noun = lambda v: those(nodes, v, lambda o: is_rel(o, "obl") & o["upos"].isin("NOUN", "PROPN") & some(nodes, o, lambda c: (c["deprel"] == "case") & (c["low"] == "as")))
     out.append(_each(nodes, lambda v: (v["upos"] == "VERB") & v["low"].isin(COPULA) & has_child(nodes, v, "nsubj") & (F.size(as_noun(v)) > 0), lambda v: hit("copula-avoidance", F.concat(F.array(v), subtree(nodes, F.get(as_noun(v), F.lit(0)))), "medium")))
-    role = lambda v: F.get(F.filter(nodes, lambda o: (o["head"] == v["id"]) & is_rel(o, "obj") & o["low"].isin(ROLES)), F.lit(0))
+    role = lambda v: F.get(those(nodes, v, lambda o: is_rel(o, "obj") & o["low"].isin(ROLES)), F.lit(0))
     out.append(_each(nodes, lambda v: (v["upos"] == "VERB") & v["low"].isin(LIGHT) & F.coalesce(some(nodes, role(v), lambda a: is_rel(a, "amod") & (a["upos"] == "ADJ")), F.lit(False)), lambda v: hit("light-verb-role", F.concat(F.array(v), subtree(nodes, role(v))), "low")))
     clears = lambda a: (a["upos"] == "ADJ") & a["low"].isin(IMPORTANT) & has_child(nodes, a, "cop") & (child(nodes, a, "nsubj")["low"] == "it") & some(nodes, a, lambda c: c["deprel"].isin("xcomp", "csubj", "advcl", "acl") & (c["upos"] == "VERB") & c["low"].isin(COGNITION))
     out.append(_each(nodes, lambda a: F.coalesce(clears(a), F.lit(False)), lambda a: hit("throat-clearing", F.concat(F.array(child(nodes, a, "nsubj")), subtree(nodes, a)), "medium")))
     setup = lambda r: (r["head"] == 0) & (r["upos"] == "NOUN") & r["low"].isin(SETUP) & text.endswith(".") & (n_words >= 5) & some(nodes, r, lambda c: c["deprel"].isin("acl:relcl", "acl")) & ~some(nodes, r, lambda c: c["deprel"].isin("cop", "parataxis", "conj"))
     out.append(_each(nodes, setup, lambda r: hit("setup-fragment", nodes, "medium")))
-    out.append(_each(nodes, lambda a: (a["upos"] == "ADJ") & some(nodes, a, lambda c: (c["deprel"] == "advmod") & c["low"].isin(SOFTENERS)), lambda a: hit("qualifier-softener", F.array(F.get(F.filter(nodes, lambda c: (c["head"] == a["id"]) & (c["deprel"] == "advmod") & c["low"].isin(SOFTENERS)), F.lit(0)), a), "medium")))
+    out.append(_each(nodes, lambda a: (a["upos"] == "ADJ") & some(nodes, a, lambda c: (c["deprel"] == "advmod") & c["low"].isin(SOFTENERS)), lambda a: hit("qualifier-softener", F.array(F.get(those(nodes, a, lambda c: (c["deprel"] == "advmod") & c["low"].isin(SOFTENERS)), F.lit(0)), a), "medium")))
     plain = lambda t: t["form"].rlike("^[a-z][a-z-]*$")
     piles = lambda h: (h["upos"] == "NOUN") & plain(h) & let(below(nodes, h, "compound"), lambda m: (F.size(m) >= 3) & ~F.exists(m, lambda c: ~plain(c)))
     verbal = F.exists(nodes, lambda t: t["upos"].isin("VERB", "AUX"))
     out.append(F.when(verbal, _each(nodes, piles, lambda h: hit("stacked-nouns", F.concat(below(nodes, h, "compound"), F.array(h)), "medium"))).otherwise(F.array().cast("array<struct<rule:string,start:int,end:int,confidence:string>>")))
     buried = lambda t: (t["upos"] == "VERB") & t["low"].isin(LIGHT_VERBS) & child(nodes, t, "obj")["low"].isin(DEVERBAL)
     out.append(_each(nodes, lambda t: F.coalesce(buried(t), F.lit(False)), lambda t: hit("nominalization", F.array(t, child(nodes, t, "obj")), "medium")))
-    modal = lambda v: F.get(F.filter(nodes, lambda c: (c["head"] == v["id"]) & (c["deprel"] == "aux") & c["low"].isin(HEDGE_MODALS)), F.lit(0))
-    seeming = lambda v: F.get(F.filter(nodes, lambda c: (c["head"] == v["id"]) & c["deprel"].isin("nsubj", "expl") & c["low"].isin("it", "this")), F.lit(0))
+    modal = lambda v: F.get(those(nodes, v, lambda c: (c["deprel"] == "aux") & c["low"].isin(HEDGE_MODALS)), F.lit(0))
+    seeming = lambda v: F.get(those(nodes, v, lambda c: c["deprel"].isin("nsubj", "expl") & c["low"].isin("it", "this")), F.lit(0))
     out.append(_each(nodes, lambda v: v["low"].isin(HEDGE_VERBS) & modal(v).isNotNull() & seeming(v).isNotNull(), lambda v: hit("hedge-opener", F.array(seeming(v), modal(v), v), "high")))
 
     def fragment(r):
@@ -207,7 +252,7 @@ def sentence_rules(nodes: Column, text: Column, n_words: Column) -> Column:
     out.append(_each(nodes, lambda r: F.coalesce(question(r), F.lit(False)), lambda r: hit("wh-fragment", nodes, "medium")))
 
     def opener(r):
-        cont = F.get(F.filter(nodes, lambda c: (c["head"] == r["id"]) & c["deprel"].isin("conj", "parataxis")), F.lit(0))
+        cont = F.get(those(nodes, r, lambda c: c["deprel"].isin("conj", "parataxis")), F.lit(0))
         shape_a = (r["upos"] == "VERB") & (r["id"] <= 3) & some(nodes, r, lambda c: c["deprel"].isin("nsubj:pass", "nsubj")) & ~some(nodes, r, lambda c: c["deprel"].isin("aux", "aux:pass", "cop"))
         shape_b = (r["upos"] == "NOUN") & (r["id"] <= 2) & some(nodes, r, lambda c: (c["deprel"] == "acl") & (c["upos"] == "VERB") & (c["id"] == r["id"] + 1))
         subject = child(nodes, cont, "nsubj")
@@ -215,7 +260,7 @@ def sentence_rules(nodes: Column, text: Column, n_words: Column) -> Column:
         before = F.size(F.filter(nodes, lambda t: (t["id"] < at) & (t["upos"] != "PUNCT")))
         return (r["head"] == 0) & (shape_a | shape_b) & (subject["upos"] == "PRON") & subject["low"].isin(BACK_REFERENCES) & (before <= 4) & (F.coalesce(by_id(nodes, at)["form"] == ",", F.lit(False)) | F.coalesce(by_id(nodes, at - 1)["form"] == ",", F.lit(False)))
 
-    head_of = lambda r: F.get(F.filter(nodes, lambda c: (c["head"] == r["id"]) & c["deprel"].isin("conj", "parataxis")), F.lit(0))
+    head_of = lambda r: F.get(those(nodes, r, lambda c: c["deprel"].isin("conj", "parataxis")), F.lit(0))
     out.append(_each(nodes, lambda r: F.coalesce(opener(r), F.lit(False)), lambda r: hit("agentless-opener", let(_first_id(nodes, head_of(r)), lambda at: F.filter(nodes, lambda t: (t["id"] < at) & (t["upos"] != "PUNCT"))), "medium")))
     return F.concat(*out)
 
@@ -242,7 +287,7 @@ def graph_findings(parses: DataFrame) -> DataFrame:
 def passives(pathed: DataFrame) -> DataFrame:
     """Passives without an agent; low unless the verb is one of accountability and the subject is not "you"."""
     n = F.col("nodes")
-    subject = lambda v: F.get(F.filter(n, lambda c: (c["head"] == v["id"]) & (c["deprel"] == "nsubj:pass")), F.lit(0))
+    subject = lambda v: F.get(those(n, v, lambda c: (c["deprel"] == "nsubj:pass")), F.lit(0))
     test = lambda v: (v["upos"] == "VERB") & subject(v).isNotNull() & some(n, v, lambda c: c["deprel"] == "aux:pass") & ~((v["low"] == "made") & (subject(v)["low"] == "it")) & ~((v["low"] == "used") & some(n, v, lambda c: c["deprel"].isin("xcomp", "advcl"))) & ~some(n, v, lambda c: c["deprel"].isin("obl:agent", "nmod:agent"))
     found = F.transform(F.filter(n, lambda v: F.coalesce(test(v), F.lit(False))), lambda v: F.struct(v["low"].alias("verb"), subject(v)["id"].alias("id"), subject(v)["low"].alias("subject"), span_of(subtree(n, v)).alias("span")))
     v = pathed.select("doc_id", "sent_idx", F.explode_outer(found).alias("f")).where("f is not null").select("doc_id", "sent_idx", "f.*")

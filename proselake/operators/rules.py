@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselake.functions.text import sentence_array, word_count
+from proselake.functions.text import sentences, word_count
 from proselake.operators.detect import findings
 
 
 def rhythm(docs: DataFrame, most: float = 0.22, least: int = 8, band: float = 0.25) -> DataFrame:
     """Sentence lengths of documents of at least ``least`` sentences: mean, coefficient of variation, uniform or
     not, and the longest run of sentences within ``band`` of the mean (its first place and length)."""
-    lengths = F.filter(F.transform(sentence_array(F.col("text")), lambda s: word_count(s)), lambda n: n > 0)
+    lengths = F.filter(F.transform(sentences(F.col("text")), lambda s: word_count(s["text"])), lambda n: n > 0)
     d = docs.select("doc_id", lengths.alias("n")).where(F.size("n") >= least)
     mean = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("n")
     d = d.withColumn("mean", mean)

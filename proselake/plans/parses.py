@@ -1,6 +1,7 @@
-"""Hand-parsed stories, dealt to the documents by doc_id: a parser's weights are not part of this package.
+"""Parses for the graph queries: hand-parsed stories, dealt to the documents by doc_id, and each document's own text as
+the shallow parser reads it, since a trained parser's weights are not part of this package.
 
-A token is form/UPOS/head/relation; a sentence is a line.
+A token of a story is form/UPOS/head/relation; a sentence is a line.
 """
 
 from __future__ import annotations
@@ -8,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proselake.functions.text import WHITE
+from proselake.operators import shallow
 from proselake.operators.graph import TOKENS
-from proselake.sources.readers import table
+from proselake.plans.sql import hits, paragraphs, q, sentences
+from proselake.sources.readers import spread, table
 
 STORIES = [
     """The/DET/2/det team/NOUN/3/nsubj ships/VERB/0/root fast/ADJ/3/xcomp ,/PUNCT/6/punct clean/ADJ/4/conj and/CCONJ/8/cc small/ADJ/4/conj builds/NOUN/3/obj ./PUNCT/3/punct
@@ -57,17 +61,61 @@ def rows() -> list[tuple]:
     return out
 
 
-def parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: A document's own sentences and offsets come after those of its story.
+AFTER_SENT, AFTER_AT = 100, 10_000
+
+
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hand-parsed stories alone."""
     fixture = spark.createDataFrame(rows(), f"story int, sent_idx int, start int, end int, text string, tokens {TOKENS}")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % len(STORIES)).cast("int").alias("story"))
     return docs.join(F.broadcast(fixture), "story").drop("story")  # a few dozen rows of this module
 
 
-def sql() -> str:
-    """CTEs sen(doc_id, s, a, z, text) and tok(doc_id, s, id, form, low, upos, head, rel, a, z)."""
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    sents = ", ".join(f"({k}, {i}, {a}, {z}, {quote(text)})" for k, i, a, z, text, _ in rows())
-    toks = ", ".join(f"({k}, {i}, {t[0]}, {quote(t[1])}, {quote(t[2])}, {t[3]}, {quote(t[4])}, {t[5]}, {t[6]})" for k, i, _, _, _, ts in rows() for t in ts)
+def parses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stories and what the shallow parser makes of the documents' own texts."""
+    own = shallow.parses(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    moved = F.transform("tokens", lambda t: t.withField("start", t["start"] + AFTER_AT).withField("end", t["end"] + AFTER_AT))
+    own = own.select("doc_id", (F.col("sent_idx") + AFTER_SENT).alias("sent_idx"), (F.col("start") + AFTER_AT).alias("start"), (F.col("end") + AFTER_AT).alias("end"), "text", moved.alias("tokens"))
+    return told(spark, sf_dir).unionByName(own)
+
+
+def shallow_sql(src: str = "documents") -> str:
+    """CTEs sents, pars and own(doc_id, s, id, form, low, upos, head, rel, a, z): the shallow parser over ``src``."""
+    listed = " ".join(f"WHEN list_contains([{', '.join(q(w) for w in words)}], low) THEN '{tag}'" for tag, words in shallow.CLOSED.items())
+    ends = " ".join(f"WHEN length(low) > 3 AND regexp_matches(low, '(?:{e})$') THEN '{tag}'" for tag, e in shallow.ENDINGS)
+    sign = "[\\p{L}\\p{N}]+(?:[''’][\\p{L}\\p{N}]+)*|[^" + WHITE[1:-1] + "]"
+    last = lambda test: f"coalesce(last_value(CASE WHEN {test} THEN id END IGNORE NULLS) OVER (PARTITION BY doc_id, s ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    nxt = lambda test: f"coalesce(first_value(CASE WHEN {test} THEN id END IGNORE NULLS) OVER (PARTITION BY doc_id, s ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)"
+    noun = "upos IN ('NOUN', 'PROPN', 'PRON')"
+    ahead = "CASE WHEN nv > 0 AND (nn = 0 OR nv < nn) THEN nv WHEN nn > 0 THEN nn ELSE r END"
+    return f"""{sentences(src)}, {paragraphs(src)},
+cut AS ({hits(sign, "text", "(SELECT doc_id, i AS sn, start_at AS s_at, text FROM sents)", "sn, s_at")}),
+tagged AS (SELECT *, CASE {listed} WHEN NOT regexp_matches(form, '^[\\p{{L}}\\p{{N}}]') THEN 'PUNCT' WHEN regexp_matches(form, '^\\p{{Nd}}') THEN 'NUM' {ends} WHEN id > 1 AND regexp_matches(form, '^[A-Z]') THEN 'PROPN' ELSE 'NOUN' END AS upos
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, s ORDER BY a) AS INTEGER) AS id FROM (SELECT doc_id, sn AS s, word AS form, lower(word) AS low, s_at + start_at AS a, s_at + end_at AS z FROM cut))),
+seen AS (SELECT *, {last("upos = 'VERB'")} AS v, {last(noun)} AS n, {last("upos = 'CCONJ'")} AS cj, {last("upos = 'ADP'")} AS ad, {nxt("upos = 'VERB'")} AS nv, {nxt(noun)} AS nn,
+    coalesce(min(id) FILTER (upos = 'VERB') OVER w, min(id) FILTER ({noun}) OVER w, 1) AS r FROM tagged WINDOW w AS (PARTITION BY doc_id, s)),
+own AS (SELECT doc_id, s, id, form, low, upos, CAST(arc.h AS INTEGER) AS head, arc.d AS rel, a, z FROM (SELECT *, CASE WHEN id = r THEN {{'h': 0, 'd': 'root'}}
+    WHEN {noun} THEN CASE WHEN cj > greatest(v, n) AND n > 0 THEN {{'h': n, 'd': 'conj'}} WHEN ad > greatest(v, n) AND greatest(v, n) > 0 THEN {{'h': greatest(v, n), 'd': CASE WHEN v > n THEN 'obl' ELSE 'nmod' END}}
+        WHEN v > 0 THEN {{'h': v, 'd': 'obj'}} WHEN nv > 0 THEN {{'h': nv, 'd': 'nsubj'}} ELSE {{'h': r, 'd': 'nmod'}} END
+    WHEN upos = 'VERB' THEN {{'h': r, 'd': CASE WHEN cj > greatest(v, n) THEN 'conj' ELSE 'advcl' END}}
+    WHEN upos IN ('DET', 'ADJ', 'NUM', 'ADP') THEN {{'h': CASE WHEN nn > 0 THEN nn ELSE r END, 'd': CASE upos WHEN 'DET' THEN 'det' WHEN 'ADJ' THEN 'amod' WHEN 'NUM' THEN 'nummod' ELSE 'case' END}}
+    WHEN upos = 'CCONJ' THEN {{'h': {ahead}, 'd': 'cc'}} WHEN upos IN ('AUX', 'SCONJ') THEN {{'h': CASE WHEN nv > 0 THEN nv ELSE r END, 'd': CASE upos WHEN 'AUX' THEN 'aux' ELSE 'mark' END}}
+    WHEN upos = 'ADV' THEN {{'h': CASE WHEN nv > 0 THEN nv WHEN v > 0 THEN v ELSE r END, 'd': 'advmod'}} ELSE {{'h': r, 'd': 'punct'}} END AS arc FROM seen))"""
+
+
+def told_sql() -> str:
+    """CTEs sen(doc_id, s, a, z, text) and tok(doc_id, s, id, form, low, upos, head, rel, a, z) of the stories."""
+    sents = ", ".join(f"({k}, {i}, {a}, {z}, {q(text)})" for k, i, a, z, text, _ in rows())
+    toks = ", ".join(f"({k}, {i}, {t[0]}, {q(t[1])}, {q(t[2])}, {t[3]}, {q(t[4])}, {t[5]}, {t[6]})" for k, i, _, _, _, ts in rows() for t in ts)
     n = len(STORIES)
     return f"""sen AS (SELECT doc_id, s, a, z, x AS text FROM documents JOIN (VALUES {sents}) v(k, s, a, z, x) ON doc_id % {n} = k),
 tok AS (SELECT doc_id, s, id, form, lower(form) AS low, upos, head, rel, a, z FROM documents JOIN (VALUES {toks}) v(k, s, id, form, upos, head, rel, a, z) ON doc_id % {n} = k)"""
+
+
+def sql() -> str:
+    """The same of stories and own texts."""
+    stories = told_sql().replace("sen AS (", "told_sen AS (").replace("tok AS (", "told_tok AS (")
+    return f"""{shallow_sql()}, {stories},
+sen AS MATERIALIZED (SELECT * FROM told_sen UNION ALL SELECT doc_id, i + {AFTER_SENT}, start_at + {AFTER_AT}, end_at + {AFTER_AT}, text FROM sents),
+tok AS MATERIALIZED (SELECT * FROM told_tok UNION ALL SELECT doc_id, s + {AFTER_SENT}, id, form, low, upos, head, rel, a + {AFTER_AT}, z + {AFTER_AT} FROM own)"""

@@ -124,8 +124,8 @@ def attachment_scores(spark, sf_dir):
 def sensitivity_tallies(spark, sf_dir):
     """Findings by rule, by source and by severity in one pass."""
     f = _found(spark, sf_dir)
-    f.createOrReplaceTempView("proselake_found")
-    return spark.sql("SELECT rule, source, severity, count(*) AS n FROM proselake_found GROUP BY GROUPING SETS ((rule), (source), (severity))")
+    sets = [[F.col("rule")], [F.col("source")], [F.col("severity")]]
+    return f.groupingSets(sets, "rule", "source", "severity").agg(F.count(F.lit(1)).alias("n")).select("rule", "source", "severity", "n")
 
 
 def _lines(spark, sf_dir):
@@ -234,7 +234,8 @@ def oracle_sql() -> dict[str, str]:
         "attachment_scores": f"WITH {parsed.sql()} SELECT rel AS deprel, count(*) AS n, round(avg(CASE WHEN head = id - 1 THEN 1.0 ELSE 0.0 END), 6) AS uas, round(avg(CASE WHEN head = id - 1 AND rel IN ('nsubj', 'punct') THEN 1.0 ELSE 0.0 END), 6) AS las FROM tok GROUP BY rel",
         "sensitivity_tallies": f"{_F} SELECT rule, source, severity, count(*) AS n FROM fp GROUP BY GROUPING SETS ((rule), (source), (severity))",
         "transcript_texts": "WITH b AS (SELECT *, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS boundary, trim(regexp_replace(coalesce(text, ''), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')) AS t FROM conversations) SELECT conv_id, turn, md5(t) AS text_md5 FROM b WHERE role <> 'user' AND t <> '' AND (boundary IS NULL OR turn > boundary) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
-        "conllu_tokens": f"WITH {parsed.sql()} SELECT t.doc_id, t.s AS sent_idx, 's' || t.s AS family, sen.text, id, form, head, low AS lemma, CASE WHEN id = 2 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM tok t JOIN sen ON sen.doc_id = t.doc_id AND sen.s = t.s",
+        "conllu_tokens": f"""WITH {parsed.sql()}, k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS sent_idx, string_agg(form, ' ' ORDER BY id) AS text FROM tok GROUP BY doc_id, s)
+            SELECT t.doc_id, k.sent_idx, 's' || t.s AS family, k.text, id, form, head, low AS lemma, CASE WHEN id = 2 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM tok t JOIN k USING (doc_id, s)""",
         "glossary_hits": f"""WITH {sql.SEEDED}, w AS (SELECT DISTINCT doc_id, unnest(list_transform(regexp_extract_all(text, {sql.q(sql.WORD)}), lambda x: lower(x))) AS word FROM seeded), e(layer, key, status) AS (VALUES (1, 'however', 'general'), (1, 'moreover', 'general'), (2, 'however', 'project'), (1, 'sorry', 'general'), (1, 'apologies', 'general'), (3, 'nato', 'team'), (1, 'nato', 'general'))
             SELECT doc_id, word, layer, status FROM w JOIN e ON word = key QUALIFY layer = max(layer) OVER (PARTITION BY doc_id, word)""",
     }

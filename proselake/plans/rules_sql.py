@@ -60,7 +60,8 @@ _NEGATIVE = f"""negative AS (SELECT *, lag(neg, 1, FALSE) OVER (PARTITION BY doc
 _ECHO = f"""echo_raw AS (SELECT h.doc_id, h.start_at, h.end_at, lower(h.word) AS word, s.i AS sent FROM ({hits(_I + chr(92) + "b(?:" + "|".join(d.EVALUATIVE) + ")" + chr(92) + "b")}) h JOIN sents s ON h.doc_id = s.doc_id AND h.start_at >= s.start_at AND h.start_at < s.end_at),
 echo AS (SELECT *, row_number() OVER w AS n, first_value(sent) OVER w AS first_sent FROM echo_raw WINDOW w AS (PARTITION BY doc_id, word ORDER BY start_at))"""
 _HEDGE = f"""hedge AS (SELECT doc_id, s_start + start_at AS start_at, s_start + end_at AS end_at FROM ({hits(chr(92) + "b(?:" + "|".join(h.replace(" ", " +") for h in d.HEDGES) + ")" + chr(92) + "b", "lower(text)", "hedge_src", "s_start")})
-    UNION ALL SELECT doc_id, s_start, s_start + length(f) FROM (SELECT *, regexp_extract(lower(text), '^({"|".join(d.HEDGES_FIRST)})(?:[^A-Za-z0-9_''’]|$)', 1) AS f FROM hedge_src) WHERE f <> '')"""
+    UNION ALL SELECT doc_id, s_start + length(lead), s_start + length(lead) + length(f) FROM (SELECT *, regexp_extract(text, '(?i)^({d.HEDGE_LEAD.replace("'", "''")})(?:{"|".join(d.HEDGES_FIRST)})(?:[^A-Za-z0-9_''’]|$)', 1) AS lead,
+    regexp_extract(text, '(?i)^{d.HEDGE_LEAD.replace("'", "''")}({"|".join(d.HEDGES_FIRST)})(?:[^A-Za-z0-9_''’]|$)', 1) AS f FROM hedge_src) WHERE f <> '')"""
 _INITIAL = f"""initial AS (SELECT *, row_number() OVER (PARTITION BY doc_id, word ORDER BY start_at) AS n, count(*) OVER (PARTITION BY doc_id, word) AS k FROM ({hits(d.INITIALISM, also="text")})
     WHERE word NOT IN ({", ".join(q(w) for w in d.EXEMPT)}) AND NOT regexp_matches(text, '(?:[A-Za-z][A-Za-z -]{{3,80}})\\s*\\(' || word || '\\)|' || word || '\\s*\\([A-Za-z][A-Za-z -]{{3,80}}\\)'))"""
 _LISTS = f"""rows_of AS (SELECT doc_id, n, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos0, NOT regexp_matches(line, '\\S') AS blank
@@ -78,12 +79,18 @@ _PILE = f"""pile AS (SELECT doc_id, start_at, end_at, {words("text")} AS n, rege
 piled AS (SELECT *, inl + {_n("m", d.IDENTIFIER)} AS r, {_n("m", d.QUALIFIER)} AS ql, {_n("m", d.PROCESS_QUALIFIER)} AS pq, {_n("m", d.INTERNAL_LABEL)} AS lb, {_n("m", d.ABSTRACT_PROCESS)} AS ab,
     {_n("m", r"\([^()\n]{1,180}\)")} + {_n("m", "[—;]")} + {_n("m", r":(?:\s|$)")} + {_n("m", ",")} // 2 AS br FROM pile WHERE n >= 28 AND NOT sep AND NOT (len(ls) >= 2 AND len(list_filter(ls, lambda x: regexp_matches(x, {q(d.STRUCTURED_LINE)}))) >= 0.75 * len(ls)))"""
 _STEM = "CASE WHEN length(w) > 6 AND w LIKE '%ing' THEN w[:-4] WHEN length(w) > 5 AND (w LIKE '%ed' OR w LIKE '%es') THEN w[:-3] WHEN length(w) > 4 AND w LIKE '%s' THEN w[:-2] ELSE w END"
-_AGAIN = f"""ps AS (SELECT p.doc_id, p.i AS par, p.text AS ptext, s.start_at, s.end_at, s.text, row_number() OVER (PARTITION BY p.doc_id, p.i ORDER BY s.i) - 1 AS k, count(*) OVER (PARTITION BY p.doc_id, p.i) AS n FROM pars p JOIN sents s ON s.doc_id = p.doc_id AND s.end_at > p.start_at AND s.start_at < p.end_at),
-pw AS (SELECT *, list_distinct(list_filter(list_transform(list_transform(regexp_extract_all(lower(text), {q("[a-z][a-z'-]{2,}")}), lambda w: regexp_replace(w, {q("'(?:s|re|ve|ll|d|m)$")}, '')), lambda w: {_STEM}), lambda w: NOT list_contains([{", ".join(q(w) for w in d.STOP_WORDS)}], w))) AS ws, regexp_matches(text, {q(d.NEGATION)}) AS neg,
-    list_filter(string_split_regex(ptext, '\\r?\\n'), lambda x: trim(x) <> '') AS ls FROM ps WHERE n >= 3),
-pp AS (SELECT a.doc_id, a.start_at, a.end_at, a.text, a.neg, b.neg AS bneg, len(list_intersect(a.ws, b.ws)) AS shared, len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) AS sim, len(a.ws) - len(list_intersect(a.ws, b.ws)) AS novel, b.k AS bk FROM pw a JOIN pw b ON a.doc_id = b.doc_id AND a.par = b.par AND b.k BETWEEN a.k - 4 AND a.k - 2
-    WHERE len(a.ws) >= 5 AND len(b.ws) >= 5 AND NOT (len(a.ls) >= 3 AND len(list_filter(a.ls, lambda x: regexp_matches(x, {q(d.STEP_LINE)}))) >= 0.6 * len(a.ls))),
-pb AS (SELECT * FROM pp WHERE shared >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id, start_at ORDER BY sim DESC, bk) = 1)"""
+_STEMS = f"""list_distinct(list_filter(list_transform(list_transform(regexp_extract_all(lower(text), {q("[a-z][a-z'-]{2,}")}), lambda w: regexp_replace(w, {q("'(?:s|re|ve|ll|d|m)$")}, '')), lambda w: {_STEM}), lambda w: NOT list_contains([{", ".join(q(w) for w in d.STOP_WORDS)}], w)))"""
+_LINES = "list_filter(string_split_regex({}, '\\r?\\n'), lambda x: trim(x) <> '')"
+_STEPS = f"(len({{0}}) >= 3 AND len(list_filter({{0}}, lambda x: regexp_matches(x, {q(d.STEP_LINE)}))) >= 0.6 * len({{0}}))"
+_MEANT = f"""regexp_matches(text, {q(d.NEGATION)}) AS neg, regexp_matches(text, {q(d.SUPPORT)}) OR regexp_matches(text, '[0-9]') OR regexp_matches(text, {q(d.NUMBER)}) AS sup, regexp_matches(text, {q(d.MECHANISM)}) AS mech"""
+_PAIRED = "len(list_intersect(a.ws, b.ws)) AS shared, len(list_intersect(a.ws, b.ws)) / least(len(a.ws), len(b.ws)) AS sim, len(a.ws) - len(list_intersect(a.ws, b.ws)) AS novel"
+_AGAIN = f"""ps AS (SELECT p.doc_id, p.i AS par, {_LINES.format("p.text")} AS ls, s.start_at, s.end_at, s.text, row_number() OVER (PARTITION BY p.doc_id, p.i ORDER BY s.i) - 1 AS k, count(*) OVER (PARTITION BY p.doc_id, p.i) AS n FROM pars p JOIN sents s ON s.doc_id = p.doc_id AND s.end_at > p.start_at AND s.start_at < p.end_at),
+pw AS (SELECT *, {_STEMS} AS ws, {_MEANT} FROM ps WHERE n >= 3 AND NOT {_STEPS.format("ls")}),
+pb AS (SELECT * FROM (SELECT a.doc_id, a.start_at, a.end_at, a.neg, a.sup, a.mech, b.neg AS bneg, {_PAIRED}, b.k AS bk FROM pw a JOIN pw b ON a.doc_id = b.doc_id AND a.par = b.par AND b.k BETWEEN a.k - 4 AND a.k - 2 WHERE len(a.ws) >= 5 AND len(b.ws) >= 5)
+    WHERE shared >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id, start_at ORDER BY sim DESC, bk) = 1),
+qw AS (SELECT doc_id, i, start_at, end_at, {_STEMS} AS ws, {_MEANT}, {_STEPS.format("ls")} AS st FROM (SELECT *, {_LINES.format("text")} AS ls FROM pars)),
+qb AS (SELECT * FROM (SELECT a.doc_id, a.start_at, a.end_at, a.neg, a.sup, a.mech, a.st AND b.st AS recipe, b.neg AS bneg, {_PAIRED}, b.i AS bk FROM qw a JOIN qw b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 4 AND a.i - 1 WHERE len(a.ws) >= 6 AND len(b.ws) >= 6)
+    WHERE shared >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id, start_at ORDER BY sim DESC, bk) = 1)"""
 
 #: CTEs up to every(doc_id, rule, start_at, end_at, confidence).
 EVERY = f"""{SEEDED}, {sentences()}, {paragraphs()}, hedge_src AS (SELECT doc_id, text, start_at AS s_start FROM sents), {_OPEN}, {_DASH}, {_QUOTES}, {_SEESAW}, {_CERTAINTY}, {_TAIL}, {_ABSOLUTE}, {_NEGATIVE}, {_ECHO}, {_HEDGE}, {_INITIAL}, {_LISTS}, {_LOAD}, {_PILE}, {_AGAIN},
@@ -108,7 +115,8 @@ UNION ALL SELECT doc_id, 'hedge-phrase', start_at, end_at, 'medium' FROM hedge U
 UNION ALL SELECT doc_id, 'list-without-break', pos0 + length(line) - length(regexp_replace(line, '^\\s+', '')), pos0 + length(regexp_replace(line, '\\s+$', '')), 'low' FROM listed WHERE mark AND NOT after_blank AND marks = 0 AND regexp_matches(earlier, {q(d.FINISHED)})
 UNION ALL SELECT doc_id, 'paragraph-load', start_at, end_at, 'medium' FROM heavy
 UNION ALL SELECT doc_id, 'implementation-detail-pileup', start_at, end_at, 'medium' FROM piled WHERE (br >= 3 AND ((r >= 4 AND ql >= 2) OR (r >= 3 AND ql >= 4))) OR (n >= 55 AND pq >= 7 AND br >= 4 AND (lb BETWEEN 2 AND 8 OR ab >= 2))
-UNION ALL SELECT doc_id, 'semantic-redundancy', start_at, end_at, CASE WHEN sim >= 0.68 AND novel <= 3 THEN 'medium' ELSE 'low' END FROM pb WHERE sim >= 0.6 AND neg = bneg AND NOT regexp_matches(text, {q(d.SUPPORT)}) AND NOT regexp_matches(text, '[0-9]') AND NOT (regexp_matches(text, {q(d.MECHANISM)}) AND novel >= 4))"""
+UNION ALL SELECT doc_id, 'semantic-redundancy', start_at, end_at, CASE WHEN sim >= 0.68 AND novel <= 3 THEN 'medium' ELSE 'low' END FROM pb WHERE sim >= 0.6 AND neg = bneg AND NOT sup AND NOT (mech AND novel >= 4)
+UNION ALL SELECT doc_id, 'semantic-redundancy', start_at, end_at, CASE WHEN sim >= 0.68 AND NOT recipe THEN 'medium' ELSE 'low' END FROM qb WHERE sim >= 0.48 AND neg = bneg AND (recipe OR (NOT sup AND NOT (mech AND novel >= 4))))"""
 _OWN = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.SEVERITY.items())
 #: CTEs up to found: distinct findings with severity.
 FOUND = f"""{EVERY}, found AS (SELECT DISTINCT doc_id, rule, CAST(start_at AS BIGINT) AS start_at, CAST(end_at AS BIGINT) AS end_at, confidence, CASE rule {_OWN} ELSE CASE confidence WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warn' ELSE 'info' END END AS severity FROM every)"""

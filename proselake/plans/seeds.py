@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proselake.sources.readers import table
+from proselake.sources.readers import spread, table
 
 SEEDS = [
     " However, we are sorry to say it — truly.",
@@ -28,4 +28,4 @@ SEEDS = [
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = F.element_at(F.array(*(F.lit(s) for s in SEEDS)), (F.col("doc_id") % len(SEEDS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.concat("text", pick).alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.concat("text", pick).alias("text"))

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs dealt anew if its scan has fewer partitions than the cluster has cores, as one large row group has.
+
+    For steps that take far longer for a text than moving it; a scan of many partitions stays as it is.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(2 * cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def input_kind(path):
     """prose, comments or null, from the extension (query and fragment stripped)."""
     ext = F.lower(F.regexp_extract(F.regexp_replace(path, "[?#].*$", ""), r"[^/\\.][^/\\]*\.([A-Za-z0-9]+)$", 1))

@@ -34,24 +34,32 @@ def retry_decisions(events: DataFrame, most: int = 2) -> DataFrame:
 
 
 class RetryState(StatefulProcessor):
-    """The same state machine for ``transformWithStateInPandas``."""
+    """The same state machine for ``transformWithStateInPandas``.
+
+    A batch's rows of a key are handled in order of seq.  A row whose seq is not greater than the last one handled comes
+    too late: it is given out with the note "late", never blocks and leaves the state as it is.
+    """
 
     def __init__(self, most: int = 2):
         self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.retries = handle.getValueState("retries", "retries long")
+        self.state = handle.getValueState("retries", "retries long, seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        n = self.retries.get()[0] if self.retries.exists() else 0
+        n, last = self.state.get() if self.state.exists() else (0, None)
+        batch = pd.concat([part[["seq", "dirty", "active"]] for part in rows]).sort_values("seq", kind="stable")
         out = []
-        for part in rows:
-            for seq, dirty, active in zip(part["seq"], part["dirty"], part["active"], strict=True):
-                before, stored = n, max(1, n) if active else 0
-                n = stored + 1 if dirty and stored < self.most else 0
-                note = "accepted" if not dirty and active and before else "gave up" if dirty and not n else None
-                out.append((key[0], seq, n, bool(dirty and n), note))
-        self.retries.update((n,))
+        for seq, dirty, active in zip(batch["seq"].tolist(), batch["dirty"].tolist(), batch["active"].tolist(), strict=True):
+            if last is not None and seq <= last:
+                out.append((key[0], seq, n, False, "late"))
+                continue
+            before, stored = n, max(1, n) if active else 0
+            n = stored + 1 if dirty and stored < self.most else 0
+            note = "accepted" if not dirty and active and before else "gave up" if dirty and not n else None
+            out.append((key[0], seq, n, bool(dirty and n), note))
+            last = seq
+        self.state.update((n, last))
         yield pd.DataFrame(out, columns=["key", "seq", "retries", "blocked", "note"])
 
     def close(self) -> None:
