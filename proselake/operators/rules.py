@@ -33,11 +33,11 @@ def tenth(x: Column) -> Column:
     return F.floor(x * 10 + 0.5) / 10
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """Per document: words, sentences, findings by severity and per 1000 words; one scan, no shuffle."""
+def report(docs: DataFrame, *keep: str) -> DataFrame:
+    """Per document: words, sentences, findings by severity and per 1000 words, and columns to keep; one scan, no shuffle."""
     f = findings(docs)
     count = lambda level: F.size(F.filter("found", lambda x: x["severity"] == level)).cast("long")
-    out = f.select("doc_id", word_count(F.col("text")).cast("long").alias("n_words"), F.size("sents").cast("long").alias("n_sentences"), *(count(s).alias(f"{s}_count") for s in ("error", "warn", "info")))
+    out = f.select("doc_id", *keep, word_count(F.col("text")).cast("long").alias("n_words"), F.size("sents").cast("long").alias("n_sentences"), *(count(s).alias(f"{s}_count") for s in ("error", "warn", "info")))
     total = F.col("error_count") + F.col("warn_count") + F.col("info_count")
     return out.withColumn("per_thousand", F.when(F.col("n_words") > 0, tenth(1000 * total / F.col("n_words"))).otherwise(0.0))
 

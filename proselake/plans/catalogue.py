@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions.text import WORD, line_column, paragraphs, sentences, spans, word_array, word_count
 from proselake.operators import detect, evaluate, rules
-from proselake.plans import extracts, graphs, reports, sql, traces
+from proselake.plans import extracts, graphs, reports, runs, sql, traces
 from proselake.plans import spans as span_plans
 from proselake.plans.rules_sql import FOUND
 from proselake.plans.seeds import seeded
@@ -104,7 +104,7 @@ _QUERIES = [document_report, finding_rows, serious_findings, sentence_rows, para
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in [*_QUERIES, *graphs.QUERIES, *span_plans.QUERIES, *reports.QUERIES, *extracts.QUERIES, *traces.QUERIES]}
+    return {f.__name__: f for f in [*_QUERIES, *graphs.QUERIES, *span_plans.QUERIES, *reports.QUERIES, *extracts.QUERIES, *traces.QUERIES, *runs.QUERIES]}
 
 
 _q, _words, _SEEDED = sql.q, sql.words, sql.SEEDED
@@ -117,7 +117,7 @@ _SCORED = f"scored AS (SELECT doc_id, lang, quality AS label, least(100, CAST(fl
 
 def oracle_sql() -> dict[str, str]:
     low = f"regexp_extract_all(lower(text), {_WORD})"
-    return graphs.oracle_sql() | span_plans.oracle_sql() | reports.oracle_sql() | extracts.oracle_sql() | traces.oracle_sql() | {
+    return graphs.oracle_sql() | span_plans.oracle_sql() | reports.oracle_sql() | extracts.oracle_sql() | traces.oracle_sql() | runs.oracle_sql() | {
         "document_report": f"""WITH {FOUND}, n AS (SELECT doc_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warn') AS w, count(*) FILTER (severity = 'info') AS i FROM found GROUP BY doc_id),
             k AS (SELECT doc_id, count(*) AS k FROM sents GROUP BY doc_id), b AS (SELECT doc_id, {_words("text")} AS n_words, coalesce(k, 0) AS n_sentences FROM seeded LEFT JOIN k USING (doc_id))
             SELECT doc_id, n_words, n_sentences, coalesce(e, 0) AS error_count, coalesce(w, 0) AS warn_count, coalesce(i, 0) AS info_count,

@@ -40,8 +40,7 @@ def compact_groups(spark, sf_dir):
 
 
 def _reported(spark, sf_dir):
-    docs = seeded(spark, sf_dir)
-    return rules.report(docs).join(docs.select("doc_id", _path().alias("path")), "doc_id")
+    return rules.report(seeded(spark, sf_dir).withColumn("path", _path()), "path")
 
 
 def result_json(spark, sf_dir):
