@@ -32,7 +32,7 @@ def decoded_trees(spark, sf_dir):
     own = lambda a, b: F.crc32(F.concat(a, F.lit(" "), b)) % 1000 / 100
     arc = lambda d, i: lambda h, j: F.when(i == j, F.lit(None).cast("double")).otherwise(own(d, h) - F.abs(i - j) / 4)
     table_ = F.transform("w", lambda d, i: F.concat(F.array(own(d, F.lit("")) - 4), F.transform("w", arc(d, i))))
-    s = s.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), F.col("part").cast("long").alias("part"), decode.decoded(table_).alias("heads"))
+    s = s.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), F.col("part").cast("long").alias("part"), F.explode(F.array(decode.decoded(table_))).alias("heads"))  # a step of its own
     return s.select("doc_id", "sent_idx", "part", F.array_join("heads", " ").alias("heads"), graph.valid_tree(F.col("heads")).alias("valid"))
 
 
