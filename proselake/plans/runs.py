@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proselake.operators import decode, graph, shallow
+from proselake.operators import decode, shallow
 from proselake.plans.rules_sql import FOUND
 from proselake.plans.seeds import seeded
 from proselake.plans.sql import words
@@ -32,8 +32,10 @@ def decoded_trees(spark, sf_dir):
     own = lambda a, b: F.crc32(F.concat(a, F.lit(" "), b)) % 1000 / 100
     arc = lambda d, i: lambda h, j: F.when(i == j, F.lit(None).cast("double")).otherwise(own(d, h) - F.abs(i - j) / 4)
     table_ = F.transform("w", lambda d, i: F.concat(F.array(own(d, F.lit("")) - 4), F.transform("w", arc(d, i))))
-    s = s.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), F.col("part").cast("long").alias("part"), F.explode(F.array(decode.decoded(table_))).alias("heads"))  # a step of its own
-    return s.select("doc_id", "sent_idx", "part", F.array_join("heads", " ").alias("heads"), graph.valid_tree(F.col("heads")).alias("valid"))
+    # A Python function takes no argument that holds a lambda: the table is a column of its own before.
+    s = s.select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), F.col("part").cast("long").alias("part"), F.explode(F.array(table_)).alias("scores"))
+    s = s.select("doc_id", "sent_idx", "part", decode.decoded(F.col("scores")).alias("heads"))
+    return s.select("doc_id", "sent_idx", "part", F.array_join("heads", " ").alias("heads"), F.size(F.filter("heads", lambda h: h == 0)).cast("long").alias("n_roots"))
 
 
 QUERIES = [document_runs, decoded_trees]
