@@ -10,9 +10,9 @@ from proselake.plans import sql
 from proselake.plans.rules_sql import FOUND
 from proselake.plans.seeds import seeded
 from proselake.sources import html, masking
-from proselake.sources.readers import table
+from proselake.sources.readers import spread, table
 
-# Frames that both engines put around the first words of a document.
+# Frames that both engines put around a document's text, whose own line ends and marks become spaces.
 CODE = [
     ("py", "x = 'no # {}' # yes {}\n# more\ny = \"\"\n"),
     ("sql", "SELECT '-- no' -- yes {}\n/* a {} */ FROM t --"),
@@ -28,9 +28,9 @@ PAGES = [
 
 
 def _framed(spark, sf_dir, frames):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     n = len(frames)
-    head = F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), "[\n\r`'\"{}<>\\[\\]*#]", " ")
+    head = F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r`'\"{}<>\\[\\]*#]", " ")
     pick = F.element_at(F.array(*(F.lit(f.replace("{{", "\x01").replace("}}", "\x02")) for f in frames)), (F.col("doc_id") % n + 1).cast("int"))
     body = F.replace(F.replace(F.replace(pick, F.lit("{}"), head), F.lit("\x01"), F.lit("{")), F.lit("\x02"), F.lit("}"))
     return d.select("doc_id", (F.col("doc_id") % n).cast("int").alias("k"), body.alias("text"))
@@ -74,7 +74,7 @@ QUERIES = [comment_prose, markdown_prose, markdown_headings, page_prose, configu
 
 def _frames(frames) -> str:
     pick = "CASE doc_id % " + str(len(frames)) + " " + " ".join(f"WHEN {i} THEN {sql.q(f.replace('{{', chr(1)).replace('}}', chr(2)))}" for i, f in enumerate(frames)) + " END"
-    head = "regexp_replace(substr(coalesce(text, ''), 1, 60), '[\n\r`''\"{}<>\\[\\]*#]', ' ', 'g')"
+    head = "regexp_replace(coalesce(text, ''), '[\n\r`''\"{}<>\\[\\]*#]', ' ', 'g')"
     return f"framed AS (SELECT doc_id, doc_id % {len(frames)} AS k, replace(replace(replace({pick}, '{{}}', {head}), chr(1), '{{'), chr(2), '}}') AS text FROM documents)"
 
 
