@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from proselake.functions import lexicons as lex
 from proselake.functions.places import Patterns, places
-from proselake.functions.text import filled, java, let, phrase_tree, straight_quotes, token_count, word_count
+from proselake.functions.text import filled, java, let, phrase_tree, straight_quotes, token_count, word_array, word_count
 
 FOUND = "array<struct<rule:string,start:int,end:int,confidence:string>>"
 RANK = {"off": 0, "info": 1, "warn": 2, "error": 3}
@@ -59,6 +59,7 @@ SUPPORT = r"(?i)\b(?:according to|appendix|benchmark|case study|dataset|experime
 MECHANISM = r"(?i)\b(?:because|so that|thereby|which (?:means|shows)|by [a-z]+ing)\b"
 NEGATION = r"(?i)\b(?:no|not|never)\b|\bn\s*['’]\s*t\b"
 STEP_LINE = r"^\s*(?:[-*+] |\d+[.)] )"
+DISCUSSED = r"\b(?:words?|phrases?|vocabulary)\b.*\b(?:such as|including|like)\b|\b(?:ai|llm|model|chatbot)s?\b.*\b(?:produce|output|write|writing|word|phrase|say|sentence|vocabulary)s?\b|\b(?:words?|phrases?|vocabulary)\b.*\b(?:ai|llm|model|chatbot)s?\b"
 APOLOGY = ["sorry", "apologies", "apologise", "apologize"]
 VERDICT = ["unbiased", "properly", "correctly", "reliably", "effectively", "seamlessly", "robust", "robustly", "accurately", "appropriately", "efficiently", "unacceptable", "suboptimal", "problematic", "meaningful", "meaningfully"]
 EVALUATIVE = ["good", "better", "best", "great", "nice", "bad", "worse", "important", "interesting", "powerful", "amazing", "useful", "solid"]
@@ -67,7 +68,7 @@ HEDGES_FIRST = ["maybe", "perhaps", "probably"]
 #: Blocks of pictographs; digits, #, *, copyright and trade marks are left out, as they are no decoration.
 EMOJI = "[\u231a\u231b\u23e9-\u23f3\u2600-\u27bf\u2934\u2935\u2b05-\u2b07\u2b1b\u2b1c\u2b50\u2b55\U0001f000-\U0001f3fa\U0001f400-\U0001faff](?:\ufe0f|[\U0001f3fb-\U0001f3ff])?"
 CATEGORY = {
-    "significance-idioms": "significance", "promo-idioms": "promo", "chatbot-idioms": "meta", "emerging-slop-phrases": "ai-vocab", "performed-candor": "performance",
+    "significance-idioms": "significance", "promo-idioms": "promo", "chatbot-idioms": "meta", "emerging-slop-phrases": "ai-vocab", "ai-vocabulary": "ai-vocab", "performed-candor": "performance",
     "opening-conjunction": "conjunctions", "generation-artifacts": "formatting", "emoji": "formatting", "unsupported-comparison": "vague", "em-dash-overuse": "formatting",
     "mixed-quotes": "formatting", "hedging-seesaw": "balance", "rhetorical-scaffolding": "meta", "unsupported-certainty": "vague", "vague-declarative": "vague",
     "vague-quantifier": "vague", "outline-conclusion": "meta", "absolute-claim": "vague", "modal-redundancy": "meta", "negative-list-buildup": "parallelism",
@@ -93,11 +94,13 @@ def word_pattern(words: list[str]) -> str:
     return r"(?i)\b(?:" + "|".join(words) + r")\b"
 
 
+#: What follows a word, up to the next one: tells "harness the wind" from "a harness" where there is no parse.
+VERBAL = r"(?P<next>\s+(?:the|an?|its|their|your|our|this|these|that|those|more|new|both)(?![^\W_]))?"
 _QUOTES = "[\"'“”‘’‛(\\[\\s]*"
 _OPENING = "|".join(w.translate(str.maketrans("’", "'")).replace("'", "['‘’‛]") for w in sorted(dict.fromkeys(lex.OPENERS), key=lambda w: -len(w)))
 PLACES = Patterns(
     anywhere={
-        "significance": lexicon_pattern(lex.SIGNIFICANCE), "promotion": lexicon_pattern(lex.PROMOTION), "chatbot": lexicon_pattern(lex.CHATBOT), "emerging": lexicon_pattern(lex.EMERGING),
+        "significance": lexicon_pattern(lex.SIGNIFICANCE), "promotion": lexicon_pattern(lex.PROMOTION), "chatbot": lexicon_pattern(lex.CHATBOT), "emerging": lexicon_pattern(lex.EMERGING), "vocabulary": lexicon_pattern(lex.AI_WORDS) + VERBAL,
         "candor": "(?i)" + CANDOR, "artifact": ARTIFACT, "emoji": EMOJI, "comparison": "(?i)" + COMPARISON, "apology": word_pattern(APOLOGY), "verdict": word_pattern(VERDICT), "paren_hedge": "(?i)" + PAREN_HEDGE,
         "dash": "—", "curly": "[“”]", "straight": '"', "scaffold": "(?i)" + SCAFFOLD, "certainty": "(?i)" + CERTAINTY, "declarative": "(?i)" + DECLARATIVE, "quantifier": "(?i)" + QUANTIFIER,
         "absolute": "(?i)" + ABSOLUTE, "modal": "(?i)" + MODAL, "echo": word_pattern(EVALUATIVE), "hedge": r"(?i)\b(?:" + "|".join(h.replace(" ", " +") for h in HEDGES) + r")\b",
@@ -146,6 +149,19 @@ def lexical(x: Column) -> list[Column]:
     return [*out, _as("apology-reflex", x["apology"], "medium"), _as("verdict-word", x["verdict"], "medium"), _as("parenthetical-hedge", x["paren_hedge"], "medium")]
 
 
+def vocabulary(text: Column, x: Column) -> Column:
+    """Single words that models overuse, where a sentence does not speak of such words; medium from four on at 1.5 in a
+    hundred content words.  "Harness" counts as a verb only, told by what follows it; content words are those
+    outside the stop list, as there are no parts of speech here."""
+    word = lambda h: F.regexp_extract(h["match"], r"^\S+", 0)
+    told = lambda h: F.get(x["sents"], h["i"])["text"].rlike(java("(?i)" + DISCUSSED))
+    hit = F.filter(x["vocabulary"], lambda h: ~F.coalesce(told(h), F.lit(False)) & ~((F.lower(word(h)) == "harness") & (word(h) == h["match"])))
+    rows = F.transform(hit, lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.length(word(h))).alias("end")))
+    content = F.size(F.filter(word_array(F.lower(text)), lambda w: ~w.isin(STOP_WORDS)))
+    grade = lambda r: F.when(F.size(r) >= 4, _medium(F.size(r) * 100 >= 1.5 * F.greatest(content, F.lit(1)))).otherwise("low")
+    return F.when(F.size(x["vocabulary"]) > 0, let(rows, lambda r: let(grade(r), lambda g: _as("ai-vocabulary", r, g)))).otherwise(none())
+
+
 def openers(x: Column) -> Column:
     """Formulaic first words; medium if one recurs three times, three stand within six sentences, or five make 15 %."""
     hit = x["opening"]
@@ -364,7 +380,7 @@ def located(docs: DataFrame) -> DataFrame:
 def all_rules(text: Column, x: Column) -> Column:
     """Findings of every rule in order of emission."""
     return F.concat(
-        *lexical(x), openers(x), dashes(x), quotes(x), seesaw(text, x), stacked("rhetorical-scaffolding", x["scaffold"]), certainty(x),
+        *lexical(x), vocabulary(text, x), openers(x), dashes(x), quotes(x), seesaw(text, x), stacked("rhetorical-scaffolding", x["scaffold"]), certainty(x),
         stacked("vague-declarative", x["declarative"]), stacked("vague-quantifier", x["quantifier"]), ending(x), absolutes(x), modal(x), negative_lists(x),
         echoes(text, x), hedges(x), initialisms(x), unbroken_lists(x), loads(x), pileups(x), repetitions(x),
     )

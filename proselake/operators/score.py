@@ -65,3 +65,22 @@ def evidence_clusters(docs: DataFrame) -> DataFrame:
     f = f.withColumns({"s": F.aggregate(F.transform("hits", _evidence), F.lit(0.0), lambda a, x: a + x), "r": F.size(rules), "b": F.size(solid), "c": F.size(kinds)})
     high = (F.col("s") >= 9) & (F.col("r") >= 3) & (F.col("c") >= 3)
     return f.where("s >= 4 and r >= 2 and b >= 2 and c >= 2").select("doc_id", "p.start", "p.end", F.size("hits").alias("n_signals"), F.when(high, "high").otherwise("medium").alias("confidence"))
+
+
+def document_clusters(docs: DataFrame) -> DataFrame:
+    """Documents whose signals are spread but many: (doc_id, start, end, n_signals, n_rules), placed on the strongest one.
+
+    Weight of 12, 20 signals a thousand tokens, five rules of which four are more than support, three categories,
+    and fewer than two paragraphs that are clusters of their own.
+    """
+    f = findings(docs).where(F.size("found") > 0)
+    own = evidence_clusters(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    names = lambda hits: F.size(F.array_distinct(F.transform(hits, lambda h: h["rule"])))
+    rank = lambda h: F.when(h["confidence"] == "high", 0).when(h["confidence"] == "medium", 1).otherwise(2)
+    anchor = F.array_min(F.transform("found", lambda h, i: F.struct(rank(h).alias("rank"), h["start"].alias("start"), i.alias("i"), h["end"].alias("end"))))
+    s = f.select(
+        "doc_id", F.size("found").alias("n"), token_count(F.col("text")).alias("k"), F.aggregate(F.transform("found", _evidence), F.lit(0.0), lambda a, x: a + x).alias("s"), names(F.col("found")).alias("r"),
+        names(F.filter("found", lambda h: ~h["rule"].isin(SUPPORT_ONLY))).alias("b"), F.size(F.array_distinct(F.transform("found", lambda h: category(h["rule"])))).alias("c"), anchor.alias("a"),
+    )
+    s = s.where("s >= 12 and n * 1000 >= 20 * greatest(k, 1) and r >= 5 and b >= 4 and c >= 3").join(own, "doc_id", "left").where("coalesce(own, 0) < 2")
+    return s.select("doc_id", "a.start", "a.end", F.col("n").alias("n_signals"), F.col("r").alias("n_rules"))

@@ -60,6 +60,11 @@ def evidence_clusters(spark, sf_dir):
     return e.select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), F.col("n_signals").cast("long").alias("n_signals"), "confidence")
 
 
+def document_clusters(spark, sf_dir):
+    e = score.document_clusters(seeded(spark, sf_dir))
+    return e.select("doc_id", *(F.col(c).cast("long").alias(n) for c, n in (("start", "start_at"), ("end", "end_at"), ("n_signals", "n_signals"), ("n_rules", "n_rules"))))
+
+
 def top_rules(spark, sf_dir):
     """The three most frequent rules of each source."""
     n = _found(spark, sf_dir).groupBy("source", "rule").agg(F.count(F.lit(1)).alias("n"))
@@ -165,7 +170,7 @@ def glossary_hits(spark, sf_dir):
     return records.looked_up(words, entries).select("doc_id", "word", F.col("layer").cast("long").alias("layer"), "status")
 
 
-QUERIES = [annotation_lines, terminal_lines, compact_groups, result_json, exit_status, document_scores, evidence_clusters, top_rules, rule_changes, held_out_sample, best_threshold, score_quantiles, score_ranks, tag_vectors, scaled_features, attachment_scores, sensitivity_tallies, transcript_texts, conllu_tokens, glossary_hits]
+QUERIES = [annotation_lines, terminal_lines, compact_groups, result_json, exit_status, document_scores, evidence_clusters, document_clusters, top_rules, rule_changes, held_out_sample, best_threshold, score_quantiles, score_ranks, tag_vectors, scaled_features, attachment_scores, sensitivity_tallies, transcript_texts, conllu_tokens, glossary_hits]
 
 _PATH = "source || '/' || doc_id || '.md'"
 _F = f"WITH RECURSIVE {FOUND}, fp AS (SELECT f.*, s.source, s.text, {_PATH.replace('doc_id', 'f.doc_id')} AS path, substr(s.text, start_at + 1, end_at - start_at) AS match FROM found f JOIN seeded s ON s.doc_id = f.doc_id)"
@@ -198,6 +203,12 @@ def oracle_sql() -> dict[str, str]:
     tokens = f"(len(list_filter(regexp_extract_all(text, {sql.q(words)}), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) + len(list_filter(regexp_extract_all(text, {sql.q(words)}), lambda w: regexp_matches(w, '(?i)^(cannot|.+(n[''’]t|[''’](s|re|ve|ll|d|m)))$') AND NOT regexp_matches(w, '^(https?://|www\\.)'))))"
     weigh = lambda x: f"CASE WHEN {x}.confidence = 'high' THEN 3.0 WHEN {x}.confidence = 'medium' THEN 2.0 WHEN {x}.rule IN ('absolute-claim', 'passive-actor-hiding', 'em-dash-overuse') THEN 0.25 ELSE 1.0 END"
     same = "greatest(k.z - k.a, x.z - x.a) <= 120 AND least(k.z - k.a, x.z - x.a) > 0 AND greatest(0, least(k.z, x.z) - greatest(k.a, x.a)) >= 0.8 * least(k.z - k.a, x.z - x.a)"
+    grouped = f"""h AS (SELECT p.doc_id, p.start_at AS pa, p.end_at AS pz, struct_pack(a := f.start_at, z := f.end_at, rule := f.rule, confidence := f.confidence) AS x, row_number() OVER (PARTITION BY p.doc_id, p.start_at ORDER BY f.start_at, f.end_at, f.rule, f.confidence) AS n
+            FROM pars p JOIN found f ON f.doc_id = p.doc_id AND f.end_at > p.start_at AND f.start_at < p.end_at),
+            step(doc_id, pa, pz, n, kept) AS (SELECT doc_id, pa, pz, n, [x] FROM h WHERE n = 1 UNION ALL SELECT h.doc_id, h.pa, h.pz, h.n, CASE WHEN len(list_filter(kept, lambda k: {same})) = 0 THEN list_append(kept, x)
+                ELSE list_transform(kept, lambda k, i: CASE WHEN i = list_position(list_transform(kept, lambda k: {same}), TRUE) AND {weigh("x")} > {weigh("k")} THEN x ELSE k END) END FROM step s JOIN h ON h.doc_id = s.doc_id AND h.pa = s.pa AND h.n = s.n + 1),
+            o AS (SELECT doc_id, pa, pz, unnest(kept) AS k FROM step QUALIFY n = max(n) OVER (PARTITION BY doc_id, pa)),
+            g AS (SELECT doc_id, pa, pz, count(*) AS n, sum({weigh("k")}) AS s, count(DISTINCT k.rule) AS r, count(DISTINCT k.rule) FILTER (k.rule NOT IN ('absolute-claim', 'passive-actor-hiding', 'em-dash-overuse')) AS b, count(DISTINCT {_case(category, 'k.rule', chr(39) + 'other' + chr(39))}) AS c FROM o GROUP BY ALL)"""
     return {
         "annotation_lines": f"""{_F} SELECT path, start_at, rule, '::' || CASE severity WHEN 'error' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'notice' END || ' file=' || {_escape("path", True)} || ',line=' || {_line("start_at")} || ',col=' || {_column("start_at")} || ',endLine=' || {_line("end_at")} || ',endColumn=' || {_column("end_at")} || ',title=' || rule || '::' || {_escape("'check: ' || match")} AS annotation FROM fp""",
         "terminal_lines": f"""{_F} SELECT path, start_at, rule, '  ' || lpad({_line("start_at")} || ':' || {_column("start_at")}, 9, ' ') || '  ' || rpad(severity, 7, ' ') || '  check: ' || match || '  ' || rule AS line_text FROM fp""",
@@ -210,13 +221,11 @@ def oracle_sql() -> dict[str, str]:
         "document_scores": f"""WITH {FOUND}, w AS (SELECT doc_id, sum({weight}) AS w FROM found GROUP BY doc_id), s AS (SELECT doc_id, {tokens} AS n_tokens FROM seeded), c AS (SELECT doc_id, n_tokens, CASE WHEN n_tokens > 0 THEN CAST(least(100, floor(coalesce(w, 0) / n_tokens * 100 * 6 + 0.5)) AS BIGINT) ELSE 0 END AS score FROM s LEFT JOIN w USING (doc_id))
             SELECT *, CASE WHEN score < 20 THEN 'Reads clean' WHEN score < 45 THEN 'Mostly clean' WHEN score < 60 THEN 'Some AI-style' WHEN score < 80 THEN 'Noticeably AI-styled' ELSE 'Reads AI-styled' END AS verdict FROM c""",
         # The collapse of overlapping hits walks through each paragraph's hits with the list of those kept.
-        "evidence_clusters": f"""WITH RECURSIVE {FOUND}, h AS (SELECT p.doc_id, p.start_at AS pa, p.end_at AS pz, struct_pack(a := f.start_at, z := f.end_at, rule := f.rule, confidence := f.confidence) AS x, row_number() OVER (PARTITION BY p.doc_id, p.start_at ORDER BY f.start_at, f.end_at, f.rule, f.confidence) AS n
-            FROM pars p JOIN found f ON f.doc_id = p.doc_id AND f.end_at > p.start_at AND f.start_at < p.end_at),
-            step(doc_id, pa, pz, n, kept) AS (SELECT doc_id, pa, pz, n, [x] FROM h WHERE n = 1 UNION ALL SELECT h.doc_id, h.pa, h.pz, h.n, CASE WHEN len(list_filter(kept, lambda k: {same})) = 0 THEN list_append(kept, x)
-                ELSE list_transform(kept, lambda k, i: CASE WHEN i = list_position(list_transform(kept, lambda k: {same}), TRUE) AND {weigh("x")} > {weigh("k")} THEN x ELSE k END) END FROM step s JOIN h ON h.doc_id = s.doc_id AND h.pa = s.pa AND h.n = s.n + 1),
-            o AS (SELECT doc_id, pa, pz, unnest(kept) AS k FROM step QUALIFY n = max(n) OVER (PARTITION BY doc_id, pa)),
-            g AS (SELECT doc_id, pa, pz, count(*) AS n, sum({weigh("k")}) AS s, count(DISTINCT k.rule) AS r, count(DISTINCT k.rule) FILTER (k.rule NOT IN ('absolute-claim', 'passive-actor-hiding', 'em-dash-overuse')) AS b, count(DISTINCT {_case(category, 'k.rule', chr(39) + 'other' + chr(39))}) AS c FROM o GROUP BY ALL)
-            SELECT doc_id, pa AS start_at, pz AS end_at, n AS n_signals, CASE WHEN s >= 9 AND r >= 3 AND c >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM g WHERE s >= 4 AND r >= 2 AND b >= 2 AND c >= 2""",
+        "evidence_clusters": f"""WITH RECURSIVE {FOUND}, {grouped} SELECT doc_id, pa AS start_at, pz AS end_at, n AS n_signals, CASE WHEN s >= 9 AND r >= 3 AND c >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM g WHERE s >= 4 AND r >= 2 AND b >= 2 AND c >= 2""",
+        "document_clusters": f"""WITH RECURSIVE {FOUND}, {grouped}, own AS (SELECT doc_id, count(*) AS own FROM g WHERE s >= 4 AND r >= 2 AND b >= 2 AND c >= 2 GROUP BY doc_id),
+            t AS (SELECT doc_id, count(*) AS n, sum({weigh("found")}) AS s, count(DISTINCT rule) AS r, count(DISTINCT rule) FILTER (rule NOT IN ('absolute-claim', 'passive-actor-hiding', 'em-dash-overuse')) AS b, count(DISTINCT {_case(category, 'rule', chr(39) + 'other' + chr(39))}) AS c,
+            first(struct_pack(a := start_at, z := end_at) ORDER BY CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, start_at, end_at DESC) AS f FROM found GROUP BY doc_id)
+            SELECT doc_id, f.a AS start_at, f.z AS end_at, n AS n_signals, r AS n_rules FROM t JOIN seesaw_words USING (doc_id) LEFT JOIN own USING (doc_id) WHERE s >= 12 AND n * 1000 >= 20 * n_tokens AND r >= 5 AND b >= 4 AND c >= 3 AND coalesce(own, 0) < 2""",
         "top_rules": f"{_F}, c AS (SELECT source, rule, count(*) AS n FROM fp GROUP BY ALL) SELECT source, rule, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, rule) AS place FROM c QUALIFY place <= 3",
         "rule_changes": f"WITH {FOUND}, d AS (SELECT DISTINCT doc_id, rule FROM found), e AS (SELECT doc_id - 1 AS doc_id, rule FROM d) SELECT *, 'gone' AS change FROM (FROM d EXCEPT FROM e) UNION ALL SELECT *, 'new' FROM (FROM e EXCEPT FROM d)",
         "held_out_sample": "SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(coalesce(lang, '') || chr(1) || coalesce(text, '')), doc_id) AS place FROM documents QUALIFY place <= 8",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from proselake.functions import lexicons as lex
-from proselake.functions.text import phrases
+from proselake.functions.text import WORD, phrases
 from proselake.operators import detect as d
 from proselake.plans.sql import FOLDED, SEEDED, hits, paragraphs, q, sentences, words
 
@@ -32,6 +32,10 @@ def _tokens(x: str) -> str:
     return f"(len(list_filter(regexp_extract_all({x}, {q(word)}), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) + len(list_filter(regexp_extract_all({x}, {q(word)}), lambda w: regexp_matches(w, '(?i)^(cannot|.+(n[''’]t|[''’](s|re|ve|ll|d|m)))$') AND NOT regexp_matches(w, '^(https?://|www\\.)'))))"
 
 
+_CONTENT = f"len(list_filter(regexp_extract_all(lower(text), {{}}), lambda w: NOT list_contains([{', '.join(q(w) for w in d.STOP_WORDS)}], w)))"
+_VOCAB = f"""vocab AS (SELECT h.doc_id, h.start_at, h.end_at FROM ({hits(_I + chr(92) + 'b(?:' + phrases(lex.AI_WORDS) + ')' + chr(92) + 'b', FOLDED, also="text")}) h LEFT JOIN sents s ON h.doc_id = s.doc_id AND h.start_at >= s.start_at AND h.start_at < s.end_at
+    WHERE NOT coalesce(regexp_matches(s.text, {q(_I + d.DISCUSSED)}), FALSE) AND NOT (lower(h.word) = 'harness' AND NOT regexp_matches(substr(h.text, h.end_at + 1), '(?i)^\\s+(?:the|an?|its|their|your|our|this|these|that|those|more|new|both)(?:[^\\p{{L}}\\p{{N}}]|$)'))),
+vocab_graded AS (SELECT v.*, CASE WHEN count(*) OVER (PARTITION BY doc_id) >= 4 AND count(*) OVER (PARTITION BY doc_id) * 100 >= 1.5 * greatest(n, 1) THEN 'medium' ELSE 'low' END AS confidence FROM vocab v JOIN (SELECT doc_id, {_CONTENT.format(q(WORD))} AS n FROM seeded SEMI JOIN vocab USING (doc_id)) USING (doc_id))"""
 _OPENERS = "|".join(w.replace("’", "'") for w in sorted(dict.fromkeys(lex.OPENERS), key=lambda w: -len(w)))
 _OPEN = f"""opening AS (SELECT doc_id, i, ph, start_at + instr(low, ph) - 1 AS start_at FROM (SELECT *, regexp_extract(low, {q("^[" + chr(92) + "s" + chr(34) + "'(" + chr(92) + "[]*(" + _OPENERS + ")(?:[" + chr(92) + "s,.:;]|$)")}, 1) AS ph
     FROM (SELECT doc_id, i, start_at, lower(translate(text, '‘’‛“”', '''''''""')) AS low FROM sents)) WHERE ph <> ''),
@@ -93,13 +97,14 @@ qb AS (SELECT * FROM (SELECT a.doc_id, a.start_at, a.end_at, a.neg, a.sup, a.mec
     WHERE shared >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id, start_at ORDER BY sim DESC, bk) = 1)"""
 
 #: CTEs up to every(doc_id, rule, start_at, end_at, confidence).
-EVERY = f"""{SEEDED}, {sentences()}, {paragraphs()}, hedge_src AS (SELECT doc_id, text, start_at AS s_start FROM sents), {_OPEN}, {_DASH}, {_QUOTES}, {_SEESAW}, {_CERTAINTY}, {_TAIL}, {_ABSOLUTE}, {_NEGATIVE}, {_ECHO}, {_HEDGE}, {_INITIAL}, {_LISTS}, {_LOAD}, {_PILE}, {_AGAIN},
+EVERY = f"""{SEEDED}, {sentences()}, {paragraphs()}, hedge_src AS (SELECT doc_id, text, start_at AS s_start FROM sents), {_VOCAB}, {_OPEN}, {_DASH}, {_QUOTES}, {_SEESAW}, {_CERTAINTY}, {_TAIL}, {_ABSOLUTE}, {_NEGATIVE}, {_ECHO}, {_HEDGE}, {_INITIAL}, {_LISTS}, {_LOAD}, {_PILE}, {_AGAIN},
 every AS ({_lexicon("significance-idioms", lex.SIGNIFICANCE, "medium")} UNION ALL {_lexicon("promo-idioms", lex.PROMOTION, "medium")} UNION ALL {_lexicon("chatbot-idioms", lex.CHATBOT, "high")}
 UNION ALL SELECT h.doc_id, 'emerging-slop-phrases', h.start_at, h.end_at, 'low' FROM ({hits(_I + chr(92) + "b(?:" + phrases(lex.EMERGING) + ")" + chr(92) + "b", FOLDED)}) h LEFT JOIN sents s ON h.doc_id = s.doc_id AND h.start_at >= s.start_at AND h.start_at < s.end_at
     WHERE NOT (lower(h.word) LIKE 'load%' AND coalesce(regexp_matches(s.text, {q(_I + d.LITERAL_LOAD)}), FALSE))
 UNION ALL {_plain("performed-candor", _I + d.CANDOR, "'medium'")} UNION ALL {_plain("generation-artifacts", d.ARTIFACT, "'high'")} UNION ALL {_plain("emoji", d.EMOJI, "'low'")}
 UNION ALL {_plain("unsupported-comparison", _I + d.COMPARISON, f"CASE WHEN regexp_matches(word, {q(_I + d.STRONG_COMPARISON)}) THEN 'medium' ELSE 'low' END")}
 UNION ALL {_words("apology-reflex", d.APOLOGY, "medium")} UNION ALL {_words("verdict-word", d.VERDICT, "medium")} UNION ALL {_plain("parenthetical-hedge", _I + d.PAREN_HEDGE, "'medium'")}
+UNION ALL SELECT doc_id, 'ai-vocabulary', start_at, end_at, confidence FROM vocab_graded
 UNION ALL SELECT doc_id, 'opening-conjunction', start_at, start_at + length(ph), confidence FROM open_graded
 UNION ALL SELECT doc_id, 'em-dash-overuse', instr(text, '—') - 1, instr(text, '—'), CASE WHEN w >= 4 OR (n >= 12 AND n * 12 >= k) THEN 'medium' ELSE 'low' END FROM (SELECT *, length(text) - length(replace(text, '—', '')) AS n FROM seeded) JOIN dashes USING (doc_id) WHERE n > 0
 UNION ALL SELECT doc_id, 'mixed-quotes', start_at, end_at, 'medium' FROM quoted WHERE curly >= 2 AND plain >= 2 AND (word <> '"') = (curly <= plain)
