@@ -9,7 +9,7 @@ from proselake.operators import detect, registry
 from proselake.plans import sql
 from proselake.plans.rules_sql import FOUND
 from proselake.plans.seeds import seeded
-from proselake.sources import html, masking
+from proselake.sources import html, masking, offsets
 from proselake.sources.readers import spread, table
 
 # Frames that both engines put around a document's text, whose own line ends and marks become spaces.
@@ -65,11 +65,29 @@ def configured_findings(spark, sf_dir):
     return f.select("doc_id", "rule", F.col("start").cast("long").alias("start_at"), "severity")
 
 
+#: Prose that pages lack, in front of them: tags and entities inside of what is found.
+PAGE_LEAD = "<p title='a>b'>Sorr&#121;, it is &mdash; we know &mdash; the <b>fast</b>est.<br>Every<i>one</i> al&#x77;ays waits &amp; &hellip; apologies.<script>sorry</script> Full <em>disclosure</em>: it never ends.</p>"
+
+
+def page_findings(spark, sf_dir):
+    """Findings on pages, each with the part of the raw page that it came from."""
+    pages = spread(table(spark, sf_dir, "pages")).select("page_id", F.concat(F.lit(PAGE_LEAD), F.coalesce("html", F.lit(""))).alias("html"))
+    docs = pages.select(F.col("page_id").alias("doc_id"), "html", offsets.rendered(F.col("html")).alias("r")).select("doc_id", "html", "r.text", "r.pieces")
+    f = detect.findings(docs)
+    f = f.withColumn("spans", F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    # The spans are a column of their own before a Python function takes them.
+    f = f.select("doc_id", "html", "text", "found", "pieces", F.explode(F.array("spans")).alias("spans"))
+    f = f.select("doc_id", "html", "text", "found", offsets.source_spans(F.col("pieces"), F.length("text"), F.col("spans")).alias("at"))
+    f = f.select("doc_id", "html", "text", F.explode(F.arrays_zip("found", "at")).alias("z"))
+    cut = lambda t, s: F.substring(t, s["start"] + 1, s["end"] - s["start"])
+    return f.select(F.col("doc_id").alias("page_id"), F.col("z.found.rule").alias("rule"), F.col("z.at.start").cast("long").alias("start_at"), F.col("z.at.end").cast("long").alias("end_at"), cut(F.col("text"), F.col("z.found")).alias("match"), cut(F.col("html"), F.col("z.at")).alias("source"))
+
+
 def rule_catalogue(spark, sf_dir):
     return registry.catalogue(spark)
 
 
-QUERIES = [comment_prose, markdown_prose, markdown_headings, page_prose, configured_findings, rule_catalogue]
+QUERIES = [comment_prose, markdown_prose, markdown_headings, page_prose, page_findings, configured_findings, rule_catalogue]
 
 
 def _frames(frames) -> str:
