@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proselake.operators import decode, shallow
+from proselake.operators import classify, decode, shallow
+from proselake.plans.parses import shallow_sql
 from proselake.plans.rules_sql import FOUND
 from proselake.plans.seeds import seeded
 from proselake.plans.sql import words
@@ -38,13 +39,37 @@ def decoded_trees(spark, sf_dir):
     return s.select("doc_id", "sent_idx", "part", F.array_join("heads", " ").alias("heads"), F.size(F.filter("heads", lambda h: h == 0)).cast("long").alias("n_roots"))
 
 
-QUERIES = [document_runs, decoded_trees]
+def _features(spark, sf_dir):
+    return classify.features(shallow.parses(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def document_features(spark, sf_dir):
+    """Shares and lengths of each document, and how many tags and pairs of tags it has."""
+    f = _features(spark, sf_dir)
+    return f.select("doc_id", F.size("terms").cast("long").alias("n_terms"), *(F.round(c, 6).alias(c) for c in classify.SCALARS))
+
+
+def trained_scores(spark, sf_dir):
+    """Quality as a model of three quarters of the labelled documents scores it, for all labelled ones."""
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 0
+    docs = _features(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id").withColumn("held_out", held_out).persist()
+    model = classify.fit_vectors(docs.where("not held_out"))
+    rows = classify.vectors(docs, model, "label", "held_out")
+    return classify.predict(rows, classify.train(rows.where("not held_out"), model, epochs=20))
+
+
+QUERIES = [document_runs, decoded_trees, document_features, trained_scores]
 
 
 def oracle_sql() -> dict[str, str]:
     bad = "doc_id % 17 = 0"
     n = lambda s: f"CASE WHEN {bad} THEN NULL ELSE coalesce({s}, 0) END"
+    share = ", ".join(f"round(count(*) FILTER (upos = '{t}') / count(*), 6) AS \"share_{t}\"" for t in classify.TAGS)
     return {
+        "document_features": f"""WITH {shallow_sql()}, k AS (SELECT doc_id, s, count(*) FILTER (upos <> 'PUNCT') AS n FROM own GROUP BY ALL), m AS (SELECT doc_id, round(avg(n), 6) AS mean_words, round(stddev_pop(n), 6) AS spread_words FROM k GROUP BY doc_id),
+            w AS (SELECT doc_id, low, count(*) AS n FROM own WHERE upos <> 'PUNCT' GROUP BY ALL), v AS (SELECT doc_id, count(*) / sum(n) AS t, count(*) FILTER (n = 1) / sum(n) AS o FROM w GROUP BY doc_id),
+            p AS (SELECT doc_id, 4 * count(*) - 2 AS n_terms, round(count(*) FILTER (form = ',') / count(*), 6) AS comma_share, {share} FROM own GROUP BY doc_id)
+            SELECT p.*, mean_words, spread_words, round(coalesce(t, 0), 6) AS type_share, round(coalesce(o, 0), 6) AS once_share FROM p JOIN m USING (doc_id) LEFT JOIN v USING (doc_id)""",
         "document_runs": f"""WITH {FOUND}, n AS (SELECT doc_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warn') AS w, count(*) FILTER (severity = 'info') AS i FROM found GROUP BY doc_id),
             b AS (SELECT doc_id, {words("text")} AS k FROM seeded)
             SELECT doc_id, 1 + doc_id % 3 AS generation, CASE WHEN {bad} THEN 'runtime-error' ELSE 'ok' END AS status, CASE WHEN {bad} THEN 'content is not valid UTF-8' END AS error, {n("k")} AS n_words, {n("e")} AS error_count, {n("w")} AS warn_count, {n("i")} AS info_count,
