@@ -68,7 +68,7 @@ HEDGES_FIRST = ["maybe", "perhaps", "probably"]
 #: Blocks of pictographs; digits, #, *, copyright and trade marks are left out, as they are no decoration.
 EMOJI = "[\u231a\u231b\u23e9-\u23f3\u2600-\u27bf\u2934\u2935\u2b05-\u2b07\u2b1b\u2b1c\u2b50\u2b55\U0001f000-\U0001f3fa\U0001f400-\U0001faff](?:\ufe0f|[\U0001f3fb-\U0001f3ff])?"
 CATEGORY = {
-    "significance-idioms": "significance", "promo-idioms": "promo", "chatbot-idioms": "meta", "emerging-slop-phrases": "ai-vocab", "ai-vocabulary": "ai-vocab", "performed-candor": "performance",
+    "significance-idioms": "significance", "promo-idioms": "promo", "chatbot-idioms": "meta", "emerging-slop-phrases": "ai-vocab", "ai-vocabulary": "ai-vocab", "vague-attribution": "vague", "performed-candor": "performance",
     "opening-conjunction": "conjunctions", "generation-artifacts": "formatting", "emoji": "formatting", "unsupported-comparison": "vague", "em-dash-overuse": "formatting",
     "mixed-quotes": "formatting", "hedging-seesaw": "balance", "rhetorical-scaffolding": "meta", "unsupported-certainty": "vague", "vague-declarative": "vague",
     "vague-quantifier": "vague", "outline-conclusion": "meta", "absolute-claim": "vague", "modal-redundancy": "meta", "negative-list-buildup": "parallelism",
@@ -101,7 +101,7 @@ _OPENING = "|".join(w.translate(str.maketrans("’", "'")).replace("'", "['‘
 PLACES = Patterns(
     anywhere={
         "significance": lexicon_pattern(lex.SIGNIFICANCE), "promotion": lexicon_pattern(lex.PROMOTION), "chatbot": lexicon_pattern(lex.CHATBOT), "emerging": lexicon_pattern(lex.EMERGING), "vocabulary": lexicon_pattern(lex.AI_WORDS) + VERBAL,
-        "candor": "(?i)" + CANDOR, "artifact": ARTIFACT, "emoji": EMOJI, "comparison": "(?i)" + COMPARISON, "apology": word_pattern(APOLOGY), "verdict": word_pattern(VERDICT), "paren_hedge": "(?i)" + PAREN_HEDGE,
+        "sources": lexicon_pattern(lex.VAGUE_SOURCES), "candor": "(?i)" + CANDOR, "artifact": ARTIFACT, "emoji": EMOJI, "comparison": "(?i)" + COMPARISON, "apology": word_pattern(APOLOGY), "verdict": word_pattern(VERDICT), "paren_hedge": "(?i)" + PAREN_HEDGE,
         "dash": "—", "curly": "[“”]", "straight": '"', "scaffold": "(?i)" + SCAFFOLD, "certainty": "(?i)" + CERTAINTY, "declarative": "(?i)" + DECLARATIVE, "quantifier": "(?i)" + QUANTIFIER,
         "absolute": "(?i)" + ABSOLUTE, "modal": "(?i)" + MODAL, "echo": word_pattern(EVALUATIVE), "hedge": r"(?i)\b(?:" + "|".join(h.replace(" ", " +") for h in HEDGES) + r")\b",
         "initialism": INITIALISM, "spelled_before": r"\((?P<at>[A-Z][A-Z0-9-]{2,9})\)", "spelled_after": r"(?P<at>[A-Z0-9-]+)\s*\([A-Za-z][A-Za-z -]{3,80}\)", "marked_line": MARKED_LINE,
@@ -144,7 +144,7 @@ def lexical(x: Column) -> list[Column]:
     out = [_as("significance-idioms", x["significance"], "medium"), _as("promo-idioms", x["promotion"], "medium"), _as("chatbot-idioms", x["chatbot"], "high")]
     literal = lambda h: F.coalesce(h["match"].rlike("(?i)^load") & F.get(x["sents"], h["i"])["text"].rlike(java("(?i)" + LITERAL_LOAD)), F.lit(False))
     out.append(_as("emerging-slop-phrases", F.filter(x["emerging"], lambda h: ~literal(h)), "low"))
-    out += [_as("performed-candor", x["candor"], "medium"), _as("generation-artifacts", x["artifact"], "high"), _as("emoji", x["emoji"], "low")]
+    out += [_as("performed-candor", x["candor"], "medium"), _as("generation-artifacts", x["artifact"], "high"), _as("emoji", x["emoji"], "low"), _as("vague-attribution", x["sources"], "low")]
     out.append(_as("unsupported-comparison", x["comparison"], lambda h: _medium(h["match"].rlike(java("(?i)" + STRONG_COMPARISON)))))
     return [*out, _as("apology-reflex", x["apology"], "medium"), _as("verdict-word", x["verdict"], "medium"), _as("parenthetical-hedge", x["paren_hedge"], "medium")]
 

@@ -98,7 +98,7 @@ qb AS (SELECT * FROM (SELECT a.doc_id, a.start_at, a.end_at, a.neg, a.sup, a.mec
 
 #: CTEs up to every(doc_id, rule, start_at, end_at, confidence).
 EVERY = f"""{SEEDED}, {sentences()}, {paragraphs()}, hedge_src AS (SELECT doc_id, text, start_at AS s_start FROM sents), {_VOCAB}, {_OPEN}, {_DASH}, {_QUOTES}, {_SEESAW}, {_CERTAINTY}, {_TAIL}, {_ABSOLUTE}, {_NEGATIVE}, {_ECHO}, {_HEDGE}, {_INITIAL}, {_LISTS}, {_LOAD}, {_PILE}, {_AGAIN},
-every AS ({_lexicon("significance-idioms", lex.SIGNIFICANCE, "medium")} UNION ALL {_lexicon("promo-idioms", lex.PROMOTION, "medium")} UNION ALL {_lexicon("chatbot-idioms", lex.CHATBOT, "high")}
+every AS ({_lexicon("significance-idioms", lex.SIGNIFICANCE, "medium")} UNION ALL {_lexicon("promo-idioms", lex.PROMOTION, "medium")} UNION ALL {_lexicon("chatbot-idioms", lex.CHATBOT, "high")} UNION ALL {_lexicon("vague-attribution", lex.VAGUE_SOURCES, "low")}
 UNION ALL SELECT h.doc_id, 'emerging-slop-phrases', h.start_at, h.end_at, 'low' FROM ({hits(_I + chr(92) + "b(?:" + phrases(lex.EMERGING) + ")" + chr(92) + "b", FOLDED)}) h LEFT JOIN sents s ON h.doc_id = s.doc_id AND h.start_at >= s.start_at AND h.start_at < s.end_at
     WHERE NOT (lower(h.word) LIKE 'load%' AND coalesce(regexp_matches(s.text, {q(_I + d.LITERAL_LOAD)}), FALSE))
 UNION ALL {_plain("performed-candor", _I + d.CANDOR, "'medium'")} UNION ALL {_plain("generation-artifacts", d.ARTIFACT, "'high'")} UNION ALL {_plain("emoji", d.EMOJI, "'low'")}

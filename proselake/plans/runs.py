@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from proselake.functions.text import word_count
 from proselake.operators import classify, decode, shallow
 from proselake.plans.parses import shallow_sql
 from proselake.plans.rules_sql import FOUND
 from proselake.plans.seeds import seeded
 from proselake.plans.sql import words
+from proselake.sinks import render
+from proselake.sources import masking
 from proselake.sources.readers import spread, table
 from proselake.streaming import documents
 
@@ -25,6 +28,21 @@ def document_runs(spark, sf_dir):
     return documents.checked(documents.latest(v))
 
 
+def run_status(spark, sf_dir):
+    """How a run over these versions ends."""
+    return render.exit_status(document_runs(spark, sf_dir), 10)
+
+
+def empty_prose(spark, sf_dir):
+    """Code files without a word of prose in their comments, each with what is told instead of findings."""
+    d = spread(table(spark, sf_dir, "documents"))
+    flat = F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r`'\"{}<>\\[\\]*#\\\\]", " ")
+    code = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("# "), flat)).otherwise(F.concat(F.lit("x = '"), flat, F.lit("'")))
+    prose = masking.comments(code, F.lit("py"))
+    empty = d.select("doc_id", word_count(prose).alias("n")).where("n = 0")
+    return empty.select("doc_id", F.lit("no-extractable-prose").alias("rule"), F.lit("info").alias("severity"), F.lit(0).cast("long").alias("start_at"))
+
+
 def decoded_trees(spark, sf_dir):
     """Trees over all tokens of the documents, from scores by a hash of both words and by their distance."""
     p = shallow.parses(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).where(F.size("tokens") > 0)
@@ -58,20 +76,23 @@ def trained_scores(spark, sf_dir):
     return classify.predict(rows, classify.train(rows.where("not held_out"), model, epochs=20))
 
 
-QUERIES = [document_runs, decoded_trees, document_features, trained_scores]
+QUERIES = [document_runs, run_status, empty_prose, decoded_trees, document_features, trained_scores]
 
 
 def oracle_sql() -> dict[str, str]:
     bad = "doc_id % 17 = 0"
     n = lambda s: f"CASE WHEN {bad} THEN NULL ELSE coalesce({s}, 0) END"
+    runs = f"""WITH {FOUND}, n AS (SELECT doc_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warn') AS w, count(*) FILTER (severity = 'info') AS i FROM found GROUP BY doc_id),
+            b AS (SELECT doc_id, {words("text")} AS k FROM seeded)
+            SELECT doc_id, 1 + doc_id % 3 AS generation, CASE WHEN {bad} THEN 'runtime-error' ELSE 'ok' END AS status, CASE WHEN {bad} THEN 'content is not valid UTF-8' END AS error, {n("k")} AS n_words, {n("e")} AS error_count, {n("w")} AS warn_count, {n("i")} AS info_count,
+            CASE WHEN {bad} THEN NULL WHEN k > 0 THEN floor(1000 * (coalesce(e, 0) + coalesce(w, 0) + coalesce(i, 0)) / k * 10 + 0.5) / 10 ELSE 0.0 END AS per_thousand FROM b LEFT JOIN n USING (doc_id)"""
     share = ", ".join(f"round(count(*) FILTER (upos = '{t}') / count(*), 6) AS \"share_{t}\"" for t in classify.TAGS)
     return {
         "document_features": f"""WITH {shallow_sql()}, k AS (SELECT doc_id, s, count(*) FILTER (upos <> 'PUNCT') AS n FROM own GROUP BY ALL), m AS (SELECT doc_id, round(avg(n), 6) AS mean_words, round(stddev_pop(n), 6) AS spread_words FROM k GROUP BY doc_id),
             w AS (SELECT doc_id, low, count(*) AS n FROM own WHERE upos <> 'PUNCT' GROUP BY ALL), v AS (SELECT doc_id, count(*) / sum(n) AS t, count(*) FILTER (n = 1) / sum(n) AS o FROM w GROUP BY doc_id),
             p AS (SELECT doc_id, 4 * count(*) - 2 AS n_terms, round(count(*) FILTER (form = ',') / count(*), 6) AS comma_share, {share} FROM own GROUP BY doc_id)
             SELECT p.*, mean_words, spread_words, round(coalesce(t, 0), 6) AS type_share, round(coalesce(o, 0), 6) AS once_share FROM p JOIN m USING (doc_id) LEFT JOIN v USING (doc_id)""",
-        "document_runs": f"""WITH {FOUND}, n AS (SELECT doc_id, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warn') AS w, count(*) FILTER (severity = 'info') AS i FROM found GROUP BY doc_id),
-            b AS (SELECT doc_id, {words("text")} AS k FROM seeded)
-            SELECT doc_id, 1 + doc_id % 3 AS generation, CASE WHEN {bad} THEN 'runtime-error' ELSE 'ok' END AS status, CASE WHEN {bad} THEN 'content is not valid UTF-8' END AS error, {n("k")} AS n_words, {n("e")} AS error_count, {n("w")} AS warn_count, {n("i")} AS info_count,
-            CASE WHEN {bad} THEN NULL WHEN k > 0 THEN floor(1000 * (coalesce(e, 0) + coalesce(w, 0) + coalesce(i, 0)) / k * 10 + 0.5) / 10 ELSE 0.0 END AS per_thousand FROM b LEFT JOIN n USING (doc_id)""",
+        "document_runs": runs,
+        "run_status": f"SELECT *, CASE WHEN failed > 0 THEN 2 WHEN error_count > 0 OR warn_count > 10 THEN 1 ELSE 0 END AS status FROM (SELECT CAST(sum(error_count) AS BIGINT) AS error_count, CAST(sum(warn_count) AS BIGINT) AS warn_count, CAST(sum(info_count) AS BIGINT) AS info_count, count(*) FILTER (status = 'runtime-error') AS failed FROM ({runs}))",
+        "empty_prose": f"""SELECT doc_id, 'no-extractable-prose' AS rule, 'info' AS severity, 0 AS start_at FROM documents WHERE doc_id % 3 <> 0 OR {words("coalesce(text, '')")} = 0""",
     }

@@ -22,6 +22,8 @@ SEEDS = [
     " The NATO plan. Then NATO again. The XQZ unit (Xylo Quartz Zone) and XQZ.\nIt ends here.\n- one\n- two\n\nIt goes on\n- three\n\n1. four\n2. five",
     "\n\nThe plannedQueue keeps `readTable` and `write_log(x)`, unless fooBar (see B12) fails; only then, except for legacy rows, never above max_len, it stops: the filter is capped, and the rest (no more) goes below, because it was so before, after all.",
     "\n\nStrong teams build careful systems through patient review. Rivers flow. Careful systems are built by strong patient teams through review. No river ever flows. Patient reviews build strong careful system teams because so that more tall green houses grow.",
+    "\n\nStrong patient teams build careful systems through review.\n\nThrough patient review strong teams build careful systems. “Maybe” not.\n\n- one strong patient team builds\n- careful systems through review\n- and rests\n\n- two strong patient teams build\n- careful systems through review\n- and rest again",
+    " We delve into a realm, harness the wind, buy a harness and foster a pivotal, holistic view of it. Words like delve are AI words. A tapestry. Studies show it, experts say. “Perhaps” so.",
     " Split here.  He said (quietly.) Then “left.” After\n \nthat it stopped…  Yes?! No.",
 ]
 

@@ -66,8 +66,12 @@ def json_lines(report: DataFrame) -> DataFrame:
     return report.select("path", F.to_json(x).alias("json"))
 
 
-def exit_status(report: DataFrame, most_warnings: int = -1) -> DataFrame:
-    """One row: totals, and 1 where there is an error or more warnings than allowed (-1: any number)."""
-    t = report.agg(*(F.coalesce(F.sum(f"{s}_count"), F.lit(0)).alias(f"{s}_count") for s in ("error", "warn", "info")))
+def exit_status(report: DataFrame, most_warnings: int = -1, *, exit_zero: bool = False) -> DataFrame:
+    """One row: totals, and the status: 2 where a document could not be read (a column ``status`` says runtime-error), 1
+    where there is an error or more warnings than allowed (-1: any number), else 0.  ``exit_zero`` forgives findings,
+    never failures."""
+    failed = F.count_if(F.col("status") == "runtime-error") if "status" in report.columns else F.lit(0)
+    t = report.agg(*(F.coalesce(F.sum(f"{s}_count"), F.lit(0)).alias(f"{s}_count") for s in ("error", "warn", "info")), failed.alias("failed"))
     bad = (F.col("error_count") > 0) | ((F.lit(most_warnings) >= 0) & (F.col("warn_count") > most_warnings))
-    return t.withColumn("status", F.when(bad, 1).otherwise(0).cast("long"))
+    status = F.when(F.col("failed") > 0, 2).when(bad & F.lit(not exit_zero), 1).otherwise(0).cast("long")
+    return t.withColumn("status", status).select(*t.columns[:3], *(["failed"] if "status" in report.columns else []), "status")
