@@ -94,7 +94,8 @@ def find_secrets(spark: SparkSession, docs: DataFrame, *, example_owners: int =
     ``counts`` gives (start, kind, end, owners, repositories) of every candidate.  A null source
     counts as one more owner, and a table without sources is judged by its texts;
     null or empty text has no candidates.  Repeated rows are scanned each for itself, and count
-    as one repository.
+    as one repository.  An empty table gives no rows; very long texts are scanned in one task, in time that grows with
+    their length; other columns are ignored, whatever their names.
     """
     s = Scratch(spark, "secrets")
     owner = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")

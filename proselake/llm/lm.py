@@ -210,7 +210,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, train: DataFrame) -> D
     each document closes with one end token.  Null or empty text is the end token alone.  Rows
     that share doc_id and words each get their own row.  Without training rows all counts are 0
     and both scores stay finite.  The one join is on words outside the HEAD most frequent, counted
-    per document first, so that no word is a hot key.
+    per document first, so that no word is a hot key.  An empty table gives no rows; very long texts are read
+    in one task, some 100 bytes for each of theirs; other columns are ignored, whatever their names.
     """
     s = Scratch(spark, "lm")
     pick = lambda d: d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

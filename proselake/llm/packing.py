@@ -173,7 +173,8 @@ def pack(docs: DataFrame, *, model: str | None = None, ranks: str | None = None,
     alone.  Each task packs what it reads in pools of ``pool`` documents, so that nothing is
     shuffled; at most the last window of a pool is far from full.  sequence_id is unique over
     the table; it depends on how the input is split, as does which pieces share a sequence.
-    Repeated rows are packed each for itself; a null doc_id stays null.
+    Repeated rows are packed each for itself; a null doc_id stays null.  An empty table gives no rows; very long texts
+    are encoded whole in one task and fall into pieces; other columns are ignored, whatever their names.
     """
     model = model or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -79,7 +79,8 @@ def judge(spark: SparkSession, docs: DataFrame, trusted: DataFrame, *, threshold
     log-likelihood ratio of a document's word and word-pair buckets (0 without words).  kept: not
     base_failed and score >= threshold.  Without trusted documents every ratio is 0 and the base
     rules decide; with few it stays close to 0.  Null or empty text has no words and fails; null doc_ids are never trusted;
-    repeated rows are judged each for itself.
+    repeated rows are judged each for itself.  An empty table gives no rows; a very long text is one row of one task, and
+    its n-grams are counted there before anything is shuffled; other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     target = docs.join(trusted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")  # ids grow with the corpus: never broadcast
