@@ -306,8 +306,9 @@ def pileups(x: Column) -> Column:
 
         def dense(m):
             breaks = _count(m, r"\([^()\n]{1,180}\)") + _count(m, "[—;]") + _count(m, r":(?=\s|\z)") + F.floor(_count(m, ",") / 2)
-            counts = F.struct((inline + _count(m, IDENTIFIER)).alias("r"), _count(m, QUALIFIER).alias("q"), _count(m, PROCESS_QUALIFIER).alias("p"), breaks.alias("b"), _count(m, INTERNAL_LABEL).alias("l"), _count(m, ABSTRACT_PROCESS).alias("a"))
-            return let(counts, lambda c: ((c["b"] >= 3) & (((c["r"] >= 4) & (c["q"] >= 2)) | ((c["r"] >= 3) & (c["q"] >= 4)))) | ((words >= 55) & (c["p"] >= 7) & (c["b"] >= 4) & (c["l"].between(2, 8) | (c["a"] >= 2))))
+            counts = lambda b: F.struct((inline + _count(m, IDENTIFIER)).alias("r"), _count(m, QUALIFIER).alias("q"), _count(m, PROCESS_QUALIFIER).alias("p"), b.alias("b"), _count(m, INTERNAL_LABEL).alias("l"), _count(m, ABSTRACT_PROCESS).alias("a"))
+            # Few paragraphs have three breaks; only these are searched for the rest.
+            return let(breaks, lambda b: F.when(b >= 3, let(counts(b), lambda c: ((c["b"] >= 3) & (((c["r"] >= 4) & (c["q"] >= 2)) | ((c["r"] >= 3) & (c["q"] >= 4)))) | ((words >= 55) & (c["p"] >= 7) & (c["b"] >= 4) & (c["l"].between(2, 8) | (c["a"] >= 2))))).otherwise(False))
 
         return F.when(words >= 28, ~listed & let(F.regexp_replace(p["text"], INLINE_CODE, " "), dense)).otherwise(False)
 
@@ -319,7 +320,7 @@ def stem(word: Column) -> Column:
         cut = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
         return F.when((F.length(w) > 6) & w.endswith("ing"), cut(3)).when((F.length(w) > 5) & (w.endswith("ed") | w.endswith("es")), cut(2)).when((F.length(w) > 4) & w.endswith("s"), cut(1)).otherwise(w)
 
-    return let(F.regexp_replace(word, "'(?:s|re|ve|ll|d|m)$", ""), shorter)
+    return let(F.when(F.contains(word, F.lit("'")), F.regexp_replace(word, "'(?:s|re|ve|ll|d|m)$", "")).otherwise(word), shorter)
 
 
 def content_words(text: Column) -> Column:
@@ -329,9 +330,22 @@ def content_words(text: Column) -> Column:
 
 
 def _folded(s: Column) -> Column:
-    """A sentence or paragraph with its stems, whether it negates, and whether it supports itself or adds a mechanism."""
-    supported = s["text"].rlike(java(SUPPORT)) | s["text"].rlike("[0-9]") | s["text"].rlike(java(NUMBER))
-    return F.struct(s["start"].alias("start"), s["end"].alias("end"), content_words(s["text"]).alias("w"), s["text"].rlike(java(NEGATION)).alias("neg"), supported.alias("sup"), s["text"].rlike(java(MECHANISM)).alias("mech"), steps(s["text"]).alias("steps"))
+    """A sentence or paragraph with its stems."""
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), content_words(s["text"]).alias("w"), s["text"].alias("text"))
+
+
+# What is asked only of texts that share most stems with one before them.
+def _negates(text: Column) -> Column:
+    return text.rlike(java(NEGATION))
+
+
+def _supported(text: Column) -> Column:
+    return text.rlike(java(SUPPORT)) | text.rlike("[0-9]") | text.rlike(java(NUMBER))
+
+
+def _explained(r: Column) -> Column:
+    """Does it add stems and say by what mechanism?"""
+    return (r["b"]["novel"] >= 4) & r["text"].rlike(java(MECHANISM))
 
 
 def steps(text: Column) -> Column:
@@ -346,10 +360,10 @@ def _likest(rows: Column, least: int, lag: int) -> Column:
 
     def best(s, i):
         before = F.slice(rows, F.greatest(i - 3, F.lit(1)), F.least(i, F.lit(4)) - (lag - 1))
-        rated = F.transform(before, lambda o, k: let(F.size(F.array_intersect(s["w"], o["w"])), lambda n: F.struct((n / F.greatest(F.least(F.size(s["w"]), F.size(o["w"])), F.lit(1))).alias("sim"), (-k).alias("k"), n.alias("shared"), (F.size(s["w"]) - n).alias("novel"), o["neg"].alias("neg"), o["steps"].alias("steps"), (F.size(o["w"]) >= least).alias("ok"))))
+        rated = F.transform(before, lambda o, k: let(F.size(F.array_intersect(s["w"], o["w"])), lambda n: F.struct((n / F.greatest(F.least(F.size(s["w"]), F.size(o["w"])), F.lit(1))).alias("sim"), (-k).alias("k"), n.alias("shared"), (F.size(s["w"]) - n).alias("novel"), o["text"].alias("text"), (F.size(o["w"]) >= least).alias("ok"))))
         return F.array_max(F.filter(rated, lambda r: r["ok"] & (r["shared"] >= 5)))
 
-    return F.transform(rows, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["neg"].alias("neg"), s["sup"].alias("sup"), s["mech"].alias("mech"), s["steps"].alias("steps"), F.when((i >= lag) & (F.size(s["w"]) >= least), best(s, i)).alias("b")))
+    return F.transform(rows, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.when((i >= lag) & (F.size(s["w"]) >= least), best(s, i)).alias("b")))
 
 
 def repetitions(x: Column) -> Column:
@@ -359,13 +373,13 @@ def repetitions(x: Column) -> Column:
 
     def one(p):
         mine = F.transform(F.slice(x["sents"], p["first"] + 1, p["size"]), _folded)
-        told = lambda r: (r["b"]["sim"] >= 0.6) & (r["b"]["neg"] == r["neg"]) & ~r["sup"] & ~(r["mech"] & (r["b"]["novel"] >= 4))
+        told = lambda r: (r["b"]["sim"] >= 0.6) & (_negates(r["b"]["text"]) == _negates(r["text"])) & ~_supported(r["text"]) & ~_explained(r)
         again = lambda m: _as("semantic-redundancy", F.filter(_likest(m, 5, 2), lambda r: F.coalesce(told(r), F.lit(False))), lambda r: _medium((r["b"]["sim"] >= 0.68) & (r["b"]["novel"] <= 3)))
         return F.when(p["size"] >= 3, F.when(~steps(p["text"]), let(mine, again)).otherwise(none())).otherwise(none())
 
     def blocks(m):
-        recipe = lambda r: r["steps"] & r["b"]["steps"]
-        told = lambda r: (r["b"]["sim"] >= 0.48) & (r["b"]["neg"] == r["neg"]) & (recipe(r) | (~r["sup"] & ~(r["mech"] & (r["b"]["novel"] >= 4))))
+        recipe = lambda r: steps(r["text"]) & steps(r["b"]["text"])
+        told = lambda r: (r["b"]["sim"] >= 0.48) & (_negates(r["b"]["text"]) == _negates(r["text"])) & (recipe(r) | (~_supported(r["text"]) & ~_explained(r)))
         return _as("semantic-redundancy", F.filter(_likest(m, 6, 1), lambda r: F.coalesce(told(r), F.lit(False))), lambda r: _medium((r["b"]["sim"] >= 0.68) & ~recipe(r)))
 
     pars = F.when(F.size(x["pars"]) >= 2, let(F.transform(x["pars"], _folded), blocks)).otherwise(none())

@@ -4,7 +4,8 @@ import time
 
 import pyarrow as pa
 
-from proselake.operators import graph, shallow, trace
+from proselake.functions import places
+from proselake.operators import detect, graph, shallow, trace
 
 
 def test_long_line_is_read_in_time():
@@ -47,3 +48,16 @@ def test_reference_distance_shuffles_no_nodes(spark):
 def test_linked_slices(spark):
     docs = spark.createDataFrame([(1, "A dog runs. " * 600)], "doc_id long, text string")
     assert graph.with_paths(shallow.parses(docs)).selectExpr("size(nodes) as n").groupBy("n").count().collect() == [(4, 600)]
+
+
+def test_places_are_found_some_texts_at_a_time():
+    texts = pa.array(["Never say it. “Always” wait.", None, "", "x" * 50] * 300)
+    sizes = []
+
+    def one(some):
+        sizes.append(len(some))
+        return places.scan(some, detect.PLACES)
+
+    assert places.in_slices(texts, one).to_pylist() == places.scan(texts, detect.PLACES).to_pylist()
+    assert max(sizes) <= places.SLICE < sum(sizes) == len(texts)
+    assert len(places.in_slices(pa.array([], pa.string()), lambda some: places.scan(some, detect.PLACES))) == 0
