@@ -54,17 +54,33 @@ def independent(hits: Column) -> Column:
     return F.aggregate(flat, F.array().cast(kind), step)
 
 
+def _signals(hits: Column) -> Column:
+    """Of hits: their weight s, and the numbers of rules r, of rules that are more than support b, of categories c."""
+    names = lambda x: F.size(F.array_distinct(F.transform(x, lambda h: h["rule"])))
+    kinds = F.size(F.array_distinct(F.transform(hits, lambda h: category(h["rule"]))))
+    solid = F.filter(hits, lambda h: ~h["rule"].isin(SUPPORT_ONLY))
+    return F.struct(F.aggregate(F.transform(hits, _evidence), F.lit(0.0), lambda a, x: a + x).alias("s"), names(hits).alias("r"), names(solid).alias("b"), kinds.alias("c"))
+
+
+def clusters(pars: Column, found: Column) -> Column:
+    """The paragraphs in which several independent signals meet: start, end, n_signals, confidence."""
+
+    def rated(p):
+        near = F.filter(found, lambda h: (h["end"] > p["start"]) & (h["start"] < p["end"]))
+        one = lambda hits: let(_signals(hits), lambda x: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.size(hits).alias("n_signals"), x.alias("x")))
+        return let(near, lambda hits: F.when(F.size(hits) >= 2, let(independent(hits), one)))
+
+    strong = lambda x: (x["s"] >= 4) & (x["r"] >= 2) & (x["b"] >= 2) & (x["c"] >= 2)
+    high = lambda x: (x["s"] >= 9) & (x["r"] >= 3) & (x["c"] >= 3)
+    kept = F.filter(F.transform(pars, rated), lambda p: F.coalesce(strong(p["x"]), F.lit(False)))
+    return F.transform(kept, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["n_signals"].alias("n_signals"), F.when(high(p["x"]), "high").otherwise("medium").alias("confidence")))
+
+
 def evidence_clusters(docs: DataFrame) -> DataFrame:
     """Paragraphs in which several independent signals meet: (doc_id, start, end, n_signals, confidence)."""
-    f = findings(docs).select("doc_id", "found", F.explode_outer("pars").alias("p")).where("p is not null")
-    near = F.filter("found", lambda h: (h["end"] > F.col("p.start")) & (h["start"] < F.col("p.end")))
-    f = f.select("doc_id", "p", near.alias("near")).where(F.size("near") >= 2).select("doc_id", "p", independent(F.col("near")).alias("hits"))
-    rules = F.array_distinct(F.transform("hits", lambda h: h["rule"]))
-    solid = F.array_distinct(F.transform(F.filter("hits", lambda h: ~h["rule"].isin(SUPPORT_ONLY)), lambda h: h["rule"]))
-    kinds = F.array_distinct(F.transform("hits", lambda h: category(h["rule"])))
-    f = f.withColumns({"s": F.aggregate(F.transform("hits", _evidence), F.lit(0.0), lambda a, x: a + x), "r": F.size(rules), "b": F.size(solid), "c": F.size(kinds)})
-    high = (F.col("s") >= 9) & (F.col("r") >= 3) & (F.col("c") >= 3)
-    return f.where("s >= 4 and r >= 2 and b >= 2 and c >= 2").select("doc_id", "p.start", "p.end", F.size("hits").alias("n_signals"), F.when(high, "high").otherwise("medium").alias("confidence"))
+    # Outer, so that no filter on the array is moved below, where the whole array would be computed twice.
+    f = findings(docs).select("doc_id", F.explode_outer(clusters(F.col("pars"), F.col("found"))).alias("p")).where("p is not null")
+    return f.select("doc_id", "p.*")
 
 
 def document_clusters(docs: DataFrame) -> DataFrame:
@@ -73,14 +89,16 @@ def document_clusters(docs: DataFrame) -> DataFrame:
     Weight of 12, 20 signals a thousand tokens, five rules of which four are more than support, three categories,
     and fewer than two paragraphs that are clusters of their own.
     """
-    f = findings(docs).where(F.size("found") > 0)
-    own = evidence_clusters(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    names = lambda hits: F.size(F.array_distinct(F.transform(hits, lambda h: h["rule"])))
     rank = lambda h: F.when(h["confidence"] == "high", 0).when(h["confidence"] == "medium", 1).otherwise(2)
-    anchor = F.array_min(F.transform("found", lambda h, i: F.struct(rank(h).alias("rank"), h["start"].alias("start"), i.alias("i"), h["end"].alias("end"))))
-    s = f.select(
-        "doc_id", F.size("found").alias("n"), token_count(F.col("text")).alias("k"), F.aggregate(F.transform("found", _evidence), F.lit(0.0), lambda a, x: a + x).alias("s"), names(F.col("found")).alias("r"),
-        names(F.filter("found", lambda h: ~h["rule"].isin(SUPPORT_ONLY))).alias("b"), F.size(F.array_distinct(F.transform("found", lambda h: category(h["rule"])))).alias("c"), anchor.alias("a"),
-    )
-    s = s.where("s >= 12 and n * 1000 >= 20 * greatest(k, 1) and r >= 5 and b >= 4 and c >= 3").join(own, "doc_id", "left").where("coalesce(own, 0) < 2")
-    return s.select("doc_id", "a.start", "a.end", F.col("n").alias("n_signals"), F.col("r").alias("n_rules"))
+    anchor = lambda found: F.array_min(F.transform(found, lambda h, i: F.struct(rank(h).alias("rank"), h["start"].alias("start"), i.alias("i"), h["end"].alias("end"))))
+    dense = lambda n, x, k: (x["s"] >= 12) & (n * 1000 >= 20 * F.greatest(k, F.lit(1))) & (x["r"] >= 5) & (x["b"] >= 4) & (x["c"] >= 3)
+
+    def spread_out(found, pars, text):
+        row = lambda x: let(anchor(found), lambda a: F.struct(a["start"].alias("start"), a["end"].alias("end"), F.size(found).alias("n_signals"), x["r"].alias("n_rules")))
+        few = F.size(clusters(pars, found)) < 2
+        return F.when(F.size(found) >= 5, let(_signals(found), lambda x: F.when((x["r"] >= 5) & dense(F.size(found), x, token_count(text)) & few, row(x))))
+
+    # One scan, and an array of none or one for each document: a filter on found itself would find everything again.
+    some = lambda c: F.filter(F.array(c), lambda r: r.isNotNull())
+    out = findings(docs).select("doc_id", F.explode_outer(some(spread_out(F.col("found"), F.col("pars"), F.col("text")))).alias("a")).where("a is not null")
+    return out.select("doc_id", "a.*")
