@@ -5,8 +5,12 @@ All joins have doc_id as their equality; two spans overlap where each starts bef
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 
 def _overlap(a: str, b: str) -> Column:
@@ -47,6 +51,46 @@ def difference(outer: DataFrame, holes: DataFrame) -> DataFrame:
     return before.unionByName(after).unionByName(whole).where("start < end")
 
 
+def gaps(outer: list[tuple[int, int]], holes: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """What of each outer span no hole covers, as (start of the outer one, start, end): one sweep of merged holes."""
+    starts, ends = [], []
+    for a, z in sorted(holes):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], z)
+        else:
+            starts.append(a)
+            ends.append(z)
+    out = []
+    for a, z in outer:
+        at, k = a, bisect_right(ends, a)
+        while k < len(ends) and starts[k] < z:
+            if at < starts[k]:
+                out.append((a, at, starts[k]))
+            at, k = ends[k], k + 1
+        if at < z:
+            out.append((a, at, z))
+    return out
+
+
+_GAPS = pa.struct([("outer_start", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def _uncovered(outer_start: pa.Array, outer_end: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+    rows, ends = [], [0]
+    for a, z, b, y in zip(*(c.to_pylist() for c in (outer_start, outer_end, start, end)), strict=True):
+        rows += gaps(list(zip(a or [], z or [], strict=True)), list(zip(b or [], y or [], strict=True)))
+        ends.append(len(rows))
+    columns = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], fields=list(_GAPS)))
+
+
+def uncovered(outer_start: Column, outer_end: Column, start: Column, end: Column) -> Column:
+    """``difference`` inside a row: arrays of starts and ends of outer spans and of holes -> the ranges that stay.
+
+    A document's spans need not be exploded, joined and sorted for it."""
+    return arrow_udf(_uncovered, "array<struct<outer_start:int,start:int,end:int>>")(outer_start, outer_end, start, end)
+
+
 def segments(spans: DataFrame, lengths: DataFrame) -> DataFrame:
     """Non-overlapping segments of each text (doc_id, length): (doc_id, start, end, owner).
 

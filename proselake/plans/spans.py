@@ -56,7 +56,10 @@ def marked_sentences(spark, sf_dir):
 
 
 def readable_ranges(spark, sf_dir):
-    d = iv.difference(_pars(spark, sf_dir).select("doc_id", "start", "end"), marks(spark, sf_dir))
+    # All spans of a document lie in its row, so that nothing is joined or sorted.
+    d = seeded(spark, sf_dir).select("doc_id", paragraphs(F.col("text")).alias("pars"), *(spans(F.col("text"), p).alias(k) for k, (_, p) in KINDS.items()))
+    holes = (F.concat(*(F.col(f"{k}.{side}") for k in KINDS)) for side in ("start", "end"))
+    d = d.select("doc_id", F.explode_outer(iv.uncovered(F.col("pars.start"), F.col("pars.end"), *holes)).alias("r")).where("r is not null").select("doc_id", "r.*")
     return _long(d.withColumnsRenamed({"start": "start_at", "end": "end_at"}))
 
 
