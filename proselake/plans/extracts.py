@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proselake.functions.text import word_count
+from proselake.functions.text import let, word_count
 from proselake.operators import detect, registry
 from proselake.plans import sql
 from proselake.plans.rules_sql import FOUND
@@ -44,8 +44,8 @@ def comment_prose(spark, sf_dir):
 
 
 def markdown_prose(spark, sf_dir):
-    m = masking.markdown(F.col("text"))
-    return _framed(spark, sf_dir, PAGES).select("doc_id", m.alias("prose"), (F.length(m) == F.length("text")).alias("aligned"))
+    x = let(masking.markdown(F.col("text")), lambda m: F.struct(m.alias("prose"), (F.length(m) == F.length("text")).alias("aligned")))
+    return _framed(spark, sf_dir, PAGES).select("doc_id", x.alias("x")).select("doc_id", "x.*")
 
 
 def markdown_headings(spark, sf_dir):

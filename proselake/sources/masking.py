@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,13 @@ FENCE = r"(?m)^ {0,3}```[^\n]*(?:\n[\s\S]*?(?:^ {0,3}```+[ \t]*$|\z)|\z)|^ {0,3}
 INDENTED = r"(?m)^(?: {4}|\t)[^\n]*"
 MARKS = [r'(?:"[^"\n]+"|“[^”\n]+”)\s*\[\^[^\]]+\]', r"`+[^`\n]*`+", r"!\[[^\]\n]*\]\([^\n)]*\)", r"\[\^[^\]]+\]", r"(?m)^ {0,3}>[^\n]*", r"<[^>]+>"]
 LINK = r"\]\([^\n)]*\)"
+#: Signs of which a text with a match of the pattern holds one.
+NEEDS = {FRONTMATTER: ["---"], FENCE: ["```", "~~~"], INDENTED: ["    ", "\t"], LINK: ["]("], **dict(zip(MARKS, [["[^"], ["`"], ["!["], ["[^"], [">"], ["<"]], strict=True))}
 
 
 def blanked(x: Column) -> Column:
-    return F.regexp_replace(x, r"[^\n\r]", " ")
+    """Spaces as long as x, but its line ends; most x have none."""
+    return F.when(F.contains(x, F.lit("\n")) | F.contains(x, F.lit("\r")), F.regexp_replace(x, r"[^\n\r]", " ")).otherwise(F.repeat(F.lit(" "), F.length(x)))
 
 
 def rebuilt(text: Column, pattern: str, hit, gap) -> Column:
@@ -32,6 +37,12 @@ def rebuilt(text: Column, pattern: str, hit, gap) -> Column:
     return let(text, lambda t: let(F.struct(F.split(t, pattern, -1).alias("g"), F.regexp_extract_all(t, F.lit(f"({pattern})"), 1).alias("h")), both))
 
 
+def replaced(text: Column, pattern: str, hit) -> Column:
+    """text with each match of a pattern of NEEDS replaced by hit(x); one without its signs isn't searched."""
+    held = lambda t: functools.reduce(lambda a, b: a | b, (F.contains(t, F.lit(x)) for x in NEEDS[pattern]))
+    return let(text, lambda t: F.when(held(t), rebuilt(t, pattern, hit, lambda g: g)).otherwise(t))
+
+
 def _comment(x: Column) -> Column:
     """A comment without its markers and margins, a long template without its expressions; quotes blanked."""
     line = F.regexp_replace(x, r"^(?://|#|--)", "")
@@ -57,16 +68,15 @@ def comments(text: Column, extension: Column) -> Column:
 
 def markdown(text: Column) -> Column:
     """Markdown without front matter, code, quotations, targets of links, notes and tags; U+2029 after list marks."""
-    keep = lambda g: g
     t = filled(text)
     for pattern in (FRONTMATTER, FENCE, INDENTED):
-        t = rebuilt(t, pattern, blanked, keep)
+        t = replaced(t, pattern, blanked)
     t = F.regexp_replace(t, r"(?m)^([ \t]*(?:[-+*]|\d+[.)])) ", "$1\u2029")
     for pattern in MARKS[:3]:
-        t = rebuilt(t, pattern, blanked, keep)
-    t = rebuilt(t, LINK, lambda h: F.when(h != "", F.concat(F.lit("]"), F.repeat(F.lit(" "), F.length(h) - 1))).otherwise(h), keep)
+        t = replaced(t, pattern, blanked)
+    t = replaced(t, LINK, lambda h: F.when(h != "", F.concat(F.lit("]"), F.repeat(F.lit(" "), F.length(h) - 1))).otherwise(h))
     for pattern in MARKS[3:]:
-        t = rebuilt(t, pattern, blanked, keep)
+        t = replaced(t, pattern, blanked)
     return t
 
 
