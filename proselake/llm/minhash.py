@@ -7,12 +7,11 @@ document stops at the first rank that can no longer lower any of its components.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -21,8 +20,6 @@ from .text import U, chunks, doc_hash, lean, mix, ngrams, words_of
 
 BANDS, ROWS = 42, 6
 _LOW = U((1 << 40) - 1)
-#: Additions to a centre that so many members share are few.
-FEW = 8
 
 
 def shingles(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,16 +119,16 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(na), pa.array(nb), pa.array(both)], ["a", "b", "na", "nb", "both"])
 
 
-def _additions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(centre, sid, in_main, centre's set, set) -> a row per element of the set outside the centre's."""
-    for b in batches:
-        lists = []
-        for c, e in zip(b.column(3), b.column(4), strict=True):
-            c, e = np.frombuffer(c.as_py(), np.uint64), np.frombuffer(e.as_py(), np.uint64)
-            lists.append(np.setdiff1d(e, c, assume_unique=True).view(np.int64))
-        rows = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-        flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(3)), pa.array(flat, pa.int64())], ["centre", "sid", "in_main", "e"])
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(centre, sid, in_main, centre's set, set) -> a row per element that only one of the two sets has."""
+    for big in batches:
+        for at in range(0, big.num_rows, 512):
+            b = big.slice(at, 512)
+            lists = []
+            for c, e in zip(b.column(3), b.column(4), strict=True):
+                lists.append(np.setxor1d(np.frombuffer(c.as_py(), np.uint64), np.frombuffer(e.as_py(), np.uint64), assume_unique=True).view(np.int64))
+            rows = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(rows) for i in range(3)), pa.array(np.concatenate(lists), pa.int64())], ["centre", "sid", "in_main", "e"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -144,9 +141,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     - Equal sets are grouped by a digest first: a group of copies costs one row per copy.
     - Each bucket compares its members with one centre, the member that fills the largest
       buckets (usually the text that the others were copied from).  What these links don't join
-      is compared across components: two members share at most the lesser of their overlaps with
-      the centre plus the shingles that both add to it, so candidates are pairs for which the
-      first is enough, and pairs that meet in added shingles; no link is lost and pairs stay few.
+      is compared across components: members that may be linked differ from the centre in common
+      shingles, and the rarest of these stand early in the order of both; candidates are pairs
+      that meet in such early differences, so no link is lost and pairs stay few.
     - Null or empty text, or text without words: no shingles, linked with nothing, kept.
       A null doc_id gives a null component where no other id is in reach, and kept = false.
       Repeated rows have equal sets and share a component.  Columns besides these two are ignored.
@@ -192,52 +189,32 @@ def _grouped(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: in
     links = s.put(checked.where(ok).select(F.col("a").alias("u"), F.col("b").alias("v")))
     group = s.put(components(s, links))
 
-    # Centres whose members are still in several components: compare across them.
-    size = checked.select(F.col("a").alias("sid"), F.col("na").alias("n")).union(checked.select("b", "nb")).distinct()
-    rows_ = (
-        member.join(centre, "bucket")
-        .select("centre", "sid")
-        .distinct()
-        .join(group.withColumnRenamed("node", "sid"), "sid", "left")
-        .join(size, "sid")
-        .join(checked.select(F.col("a").alias("sid"), F.col("b").alias("centre"), "both"), ["sid", "centre"], "left")
-        .select("centre", "sid", F.coalesce("component", "sid").alias("comp"), "n", F.coalesce("both", F.when(F.col("sid") == F.col("centre"), F.col("n"))).alias("inn"))
-    )
-    rows_ = s.put(rows_)
+    # Centres whose members are still in several components: compare across them.  off: in how many shingles a member
+    # and its centre differ.  Two members a and b differ in off_a + off_b shingles, less twice those in which both differ from the centre.
+    rows_ = checked.select(F.col("b").alias("centre"), F.col("a").alias("sid"), F.col("na").alias("n"), F.expr("na + nb - 2 * both").alias("off"))
+    rows_ = rows_.union(checked.select("b", "b", "nb", F.lit(0).cast("long")).distinct()).join(group.withColumnRenamed("node", "sid"), "sid", "left")
+    rows_ = s.put(rows_.select("centre", "sid", F.coalesce("component", "sid").alias("comp"), "n", "off"))
     held = rows_.groupBy("centre", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("centre").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
     mixed = s.put(held.where("comps > 1").select("centre", F.col("top.comp").alias("main")))
-    every = s.put(rows_.join(mixed, "centre").select("centre", "sid", "comp", "n", "inn", (F.col("comp") == F.col("main")).alias("in_main")))
-    x = every.where("not in_main").select("centre", *(F.col(c).alias(f"x_{c}") for c in ("sid", "comp", "n", "inn")))
-    apart = "x_comp <> comp and (in_main or x_sid < sid)"
-    # Two members share at most the lesser of their overlaps with the centre, and what both add to it.
-    most = "least(x_inn, inn)"
-    enough = lambda shared: f"100 * ({shared}) >= {percent} * (x_n + n - ({shared}))"
-    # Where the overlaps alone are enough: only sizes from percent of x's on to what its overlap can carry.
-    step = lambda n: F.floor(F.log(n) / math.log(1.05))
-    low, high = F.col("x_n") * (percent / 100), F.col("x_inn") * ((100 + percent) / percent) - F.col("x_n")
-    wide = x.where(high >= low).withColumn("size_step", F.explode(F.sequence(step(low), step(high))))
-    plain = wide.join(every.withColumn("size_step", step(F.col("n"))), ["centre", "size_step"]).where(apart).where(enough(most)).select("x_sid", "sid")
+    every = s.put(rows_.where("off > 0").join(mixed, "centre").select("centre", "sid", "comp", "n", "off", (F.col("comp") == F.col("main")).alias("in_main")))
     inside = elems.select(F.col("sid").alias("centre"), F.col("elems").alias("ec"))
-    added = every.select("centre", "sid", "in_main").join(inside, "centre").join(elems, "sid").select("centre", "sid", "in_main", "ec", "elems")
-    added = s.put(added.mapInArrow(lean(_additions), "centre long, sid long, in_main boolean, e long"))
-    # Shingles that the same members add (those of one edit) meet as one, with their number as weight.
-    holders = added.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("k"), F.min("in_main").alias("all_main"), F.bit_xor(F.xxhash64("sid")).alias("h1"), F.bit_xor(F.xxhash64("sid", F.lit(7))).alias("h2"))
-    twice = holders.where("k > 1 and not all_main").groupBy("centre", "k", "h1", "h2").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("o")).select("centre", "e", "o", (F.col("k") > FEW).alias("hot"))
-    added = s.put(added.join(twice, ["centre", "e"]))
-    # What few members add is compared pair by pair: rows are FEW times the members' at most.  What many add is
-    # compared inside the join, on all their common additions, so that only pairs that may be linked come out.
-    weights = added.groupBy("centre", "sid").agg(F.coalesce(F.sum(F.when(F.col("hot"), F.col("o"))), F.lit(0)).alias("hot_o"), F.collect_list(F.when(F.col("hot"), F.struct("e", "o"))).alias("cls"))
-    full = s.put(every.join(weights, ["centre", "sid"]))
-    xs = full.where("not in_main").select("centre", *(F.col(c).alias(f"x_{c}") for c in ("sid", "comp", "n", "inn", "hot_o", "cls")))
-    few = added.where("not hot")
-    shared = few.where("not in_main").select("centre", "e", F.col("sid").alias("x_sid")).join(few.select("centre", "e", "sid", "in_main", "o"), ["centre", "e"]).where("x_sid < sid or (in_main and x_sid <> sid)").groupBy("centre", "x_sid", "sid").agg(F.sum("o").alias("o"))
-    through = shared.join(xs.drop("x_cls"), ["centre", "x_sid"]).join(full.drop("cls"), ["centre", "sid"]).where(apart).where(enough(f"{most} + o + least(x_hot_o, hot_o)")).select("x_sid", "sid")
-    hot = full.where("size(cls) > 0").withColumn("e", F.explode(F.transform("cls", lambda c: c["e"])))
-    x_hot = xs.where("size(x_cls) > 0").withColumn("e", F.explode(F.transform("x_cls", lambda c: c["e"])))
-    common = "filter(x_cls, c -> array_contains(transform(cls, d -> d.e), c.e))"
-    total = f"aggregate({common}, 0L, (a, c) -> a + c.o)"
-    among = x_hot.alias("p").join(hot.alias("q"), F.expr(f"p.centre = q.centre and p.e = q.e and {apart} and p.e = array_min(transform({common}, c -> c.e)) and {enough(f'{most} + {total}')}"))
-    cross = s.put(plain.union(through).union(among.select("x_sid", "sid")).select(F.col("x_sid").alias("a"), F.col("sid").alias("b")).distinct())
+    differ = every.select("centre", "sid", "in_main").join(inside, "centre").join(elems, "sid").select("centre", "sid", "in_main", "ec", "elems")
+    differ = s.put(differ.mapInArrow(lean(_differences), "centre long, sid long, in_main boolean, e long"))
+    # Differences that the same members have (those of one edit) meet as one, with their number as weight.
+    holders = differ.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("k"), F.min("in_main").alias("all_main"), F.bit_xor(F.xxhash64("sid")).alias("h1"), F.bit_xor(F.xxhash64("sid", F.lit(7))).alias("h2"))
+    twice = holders.where("k > 1 and not all_main").groupBy("centre", "k", "h1", "h2").agg(F.min("e").alias("e"), F.count(F.lit(1)).alias("o")).select("centre", "e", "k", "o")
+    # Of two members in different components one is not linked to the centre, so a linked pair always has common differences.  Each
+    # member's differences are ordered by their holders, fewest first (those of its own before all); left: how many stand from one on.  The
+    # first common one of a linked pair has all common ones from it on in both members, which only few early differences leave room for.
+    order = Window.partitionBy("centre", "sid").orderBy(F.desc("k"), F.desc("e")).rowsBetween(Window.unboundedPreceding, 0)
+    early = differ.select("centre", "sid", "e").join(twice, ["centre", "e"]).withColumn("left", F.sum("o").over(order)).drop("k")
+    early = s.put(early.join(every.drop("in_main"), ["centre", "sid"]).where(f"{percent} * (off - left) <= {100 - percent} * n"))
+    # The member that differs less (less_) has half as many early ones.
+    less = early.where(f"{2 * percent} * (off - left) <= {100 - percent} * n").select("centre", "e", *(F.col(c).alias(f"less_{c}") for c in ("sid", "comp", "n", "off", "left")))
+    apart = "less_comp <> comp and (less_off < off or (less_off = off and less_sid < sid))"
+    enough = f"{100 + percent} * (less_off + off - 2 * least(less_left, left)) <= {100 - percent} * (less_n + n)"
+    found = less.alias("p").join(early.alias("q"), F.expr(f"p.centre = q.centre and p.e = q.e and {apart} and {enough}"))
+    cross = s.put(found.select(F.least("less_sid", "sid").alias("a"), F.greatest("less_sid", "sid").alias("b")).distinct())
     more = verify(cross).where(ok).select(F.col("a").alias("u"), F.col("b").alias("v"))
     more = s.put(more)
     if not more.isEmpty():
@@ -245,7 +222,7 @@ def _grouped(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: in
     first = sets.join(group.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("comp"), "first_id")
     least = first.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = s.put(first.join(least, "comp").select("sid", "component_id"))
-    s.drop(member, weight, centre, near, elems, checked, links, rows_, mixed, every, added, full, cross, more, sets, group)
+    s.drop(member, weight, centre, near, elems, checked, links, rows_, mixed, every, differ, early, cross, more, sets, group)
     out = sig.select("doc_id", *extra, "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", *extra, F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(False)).alias("kept"))
