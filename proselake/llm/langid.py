@@ -66,8 +66,8 @@ def emissions(weights: np.ndarray, w: Words, h: np.ndarray) -> tuple[np.ndarray,
     return np.add.reduceat(weights[f], ptr[:-1], axis=0)[inv], has_letter(w, at)[inv]
 
 
-def posteriors(emit: np.ndarray, length: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over padded sequences (sequences x steps x labels); expected transitions too.
+def posteriors(emit: np.ndarray, length: np.ndarray, trans: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over padded sequences (sequences x steps x labels); expected transitions too, if asked to count.
 
     ``before`` and ``after`` are the masses that a neighbouring block hands on: what the first
     word's scores, or the last word's forward mass, are multiplied by.
@@ -91,9 +91,10 @@ def posteriors(emit: np.ndarray, length: np.ndarray, trans: np.ndarray, before:
         post[:, i] = x / x.sum(1, keepdims=True)
         if i:
             eb = e[:, i] * b
-            z = np.einsum("ni,ij,nj->n", a[:, i - 1], t, eb)
             on = live[:, i]
-            pairs += t * ((a[on, i - 1] / z[on, None]).T @ eb[on])
+            if count:
+                z = np.einsum("ni,ij,nj->n", a[:, i - 1], t, eb)
+                pairs += t * ((a[on, i - 1] / z[on, None]).T @ eb[on])
             late, b = b, eb @ t.T  # past the end the mass stays what it is
             b = np.where(on[:, None], b / b.sum(1, keepdims=True), late)
     return post, pairs
@@ -144,7 +145,7 @@ def chain_posteriors(emit: np.ndarray, ptr: np.ndarray, trans: np.ndarray) -> np
     for part in np.array_split(order, max(1, len(order) // 4000)):
         s, n = start[part], length[part]
         grid = padded(s, n)
-        p, _ = posteriors(emit[grid], n, trans, before[part], after[part])
+        p, _ = posteriors(emit[grid], n, trans, before[part], after[part], count=False)
         live = np.arange(grid.shape[1])[None, :] < n[:, None]
         post[grid[live]] = p[live]
     return post

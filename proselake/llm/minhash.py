@@ -8,10 +8,11 @@ document stops at the first rank that can no longer lower any of its components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -19,6 +20,9 @@ from .scratch import Scratch
 from .text import U, chunks, doc_hash, lean, mix, ngrams, words_of
 
 BANDS, ROWS = 42, 6
+LISTED = 10
+#: Bits of a sieve; 2^24 take 262,144 rows.
+SIEVE = 1 << 24
 _LOW = U((1 << 40) - 1)
 
 
@@ -36,47 +40,62 @@ def shingles(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
         if len(d):
             val.append(ngrams(h, k, 7 + k)[w.ptr[d]])
             doc.append(d)
-    val, doc = np.concatenate(val), np.concatenate(doc)
-    order = np.lexsort((val, doc))
-    val, doc = val[order], doc[order]
+    val, doc = np.concatenate(val), np.concatenate(doc)  # a document's shingles are all of one length and lie together
+    val, doc = val[order := np.argsort(doc, kind="stable")], doc[order]
+    ptr = np.searchsorted(doc, np.arange(nd + 1))
+    for a, z in pairwise(ptr.tolist()):
+        val[a:z].sort()
     new = np.ones(len(val), bool)
     new[1:] = (val[1:] != val[:-1]) | (doc[1:] != doc[:-1])
-    val, doc = val[new], doc[new]
-    return val, np.searchsorted(doc, np.arange(nd + 1))
+    return val[new], np.concatenate([[0], np.cumsum(new)])[ptr]
 
 
 def superminhash(val: np.ndarray, ptr: np.ndarray, m: int) -> np.ndarray:
-    """Signatures (documents x m); all ones for an empty set."""
+    """Signatures (documents x m); all ones for an empty set.
+
+    Most documents end after a few ranks, so the first LISTED ranks keep an element's permutation as
+    the exchanges made so far (places: where, moved: what came there); what is left then gets it whole.
+    """
     nd = len(ptr) - 1
-    sig = np.full(nd * m, ~U(0), np.uint64)
+    sig = np.full((nd, m), ~U(0), np.uint64)
     doc = np.repeat(np.arange(nd), np.diff(ptr))
-    x, perm = val, None
+    kind = np.uint16 if m > 256 else np.uint8
+    places, moved = [], []
+    x, perm, row, live = val, None, None, np.arange(nd)
     for j in range(m):
         u = mix(x + U((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        k = (j + (((u >> U(40)) * U(m - j)) >> U(24)).astype(np.int64)).astype(np.int64)
+        k = U(j) + (((u >> U(40)) * U(m - j)) >> U(24))
         if perm is None:
-            comp = k
+            k = k.astype(kind)
+            comp, here = k.copy(), np.full(len(k), j, kind)
+            for a, b in zip(places, moved, strict=True):
+                np.copyto(comp, b, where=a == k)
+                np.copyto(here, b, where=a == j)
+            places, moved = [*places, k], [*moved, here]
         else:
-            row = np.arange(len(x))
-            comp = perm[row, k].astype(np.int64)
+            k = k.astype(np.int64)
+            comp = perm[row, k]
             perm[row, k] = perm[:, j]
-            perm[:, j] = comp
-        np.minimum.at(sig, doc * m + comp, (U(j) << U(40)) | (u & _LOW))
-        if j + 1 == m:
+        np.minimum.at(sig.reshape(-1), doc * m + comp, (U(j) << U(40)) | (u & _LOW))
+        live = live[sig[live].max(axis=1) > (U(j + 1) << U(40))]
+        if j + 1 == m or not len(live):
             break
-        open_docs = sig.reshape(nd, m).max(axis=1) > (U(j + 1) << U(40))
-        stay = open_docs[doc]
-        if not stay.any():
+        still = np.zeros(nd, bool)
+        still[live] = True
+        stay = np.flatnonzero(still[doc])
+        if not len(stay):
             break
         if perm is None:
-            x, doc, k = x[stay], doc[stay], k[stay]
-            perm = np.tile(np.arange(m, dtype=np.uint16 if m > 256 else np.uint8), (len(x), 1))
-            row = np.arange(len(x))
-            perm[row, k] = 0
-            perm[:, 0] = k
-        elif stay.mean() < 0.7:
+            if len(stay) < 0.9 * len(x):
+                x, doc, places, moved = x[stay], doc[stay], [a[stay] for a in places], [b[stay] for b in moved]
+            if j + 1 == LISTED:
+                perm, row = np.tile(np.arange(m, dtype=kind), (len(x), 1)), np.arange(len(x))
+                for a, b in zip(places, moved, strict=True):
+                    perm[row, a] = b
+        elif len(stay) < 0.7 * len(x):
             x, doc, perm = x[stay], doc[stay], perm[stay]
-    return sig.reshape(nd, m)
+            row = row[: len(x)]
+    return sig
 
 
 def _signatures(size: int, bands: int, rows: int):
@@ -156,6 +175,20 @@ def _version():
     return F.xxhash64(F.col("text").cast("string"))
 
 
+def _sieve(s: Scratch, keys: DataFrame) -> DataFrame:
+    """The bits of a fixed number that the hashes in column key fall on, in words of 64: at most SIEVE / 64 rows, to be
+    broadcast.  It catches all rows with these keys and, with 60,000 keys to a percent of bits set, few others."""
+    bit = keys.select(F.pmod("key", F.lit(SIEVE)).alias("bit"))
+    bits = bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
+    return F.broadcast(s.put(bits))
+
+
+def _caught(key: Column) -> Column:
+    """Condition of a join with a sieve: the key's bit is set."""
+    bit = F.pmod(key, F.lit(SIEVE))
+    return (F.col("word") == F.call_function("shiftright", bit, F.lit(6))) & F.call_function("getbit", F.col("bits"), (bit % 64).cast("int")).cast("boolean")
+
+
 def _grouped(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, versioned: bool = False) -> DataFrame:
     """near_duplicates, with the column version where asked for."""
     s = Scratch(spark, "minhash")
@@ -173,9 +206,10 @@ def _grouped(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: in
     s.drop(many)
     near = s.put(member.join(centre, "bucket").where("sid <> centre").select(F.col("sid").alias("a"), F.col("centre").alias("b")).distinct())
 
-    texts = weight.join(sets.select("sid", "first_id"), "sid").where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
-    # A text that only rows without a doc_id hold is taken from these.
-    shown = docs.join(texts, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+    texts = weight.join(sets.select("sid", "first_id"), "sid").where("first_id is not null").select(F.xxhash64("first_id").alias("key"))
+    # Texts needn't move to be found: the sieve lets some others through, which go by their sid.  A text that only rows without
+    # a doc_id hold is taken from these.
+    shown = docs.join(_sieve(s, texts), _caught(F.xxhash64("doc_id")), "left_semi").union(docs.where("doc_id is null"))
     elems = s.put(shown.mapInArrow(lean(_full_sets(shingle)), "sid long, elems binary").join(weight.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -232,9 +266,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> Dat
     """The rows of docs whose document stands for its group; rows with a null doc_id stay.  Texts
     that share a doc_id are judged each for itself.  An empty table stays empty; other columns come back
     as they are, whatever their names."""
-    gone = _grouped(spark, docs, **options, versioned=True).where("not kept and doc_id is not null").select(F.col("doc_id").alias("doc"), "version").distinct()
+    s = Scratch(spark, "minhash")
+    gone = s.put(_grouped(spark, docs, **options, versioned=True).where("not kept and doc_id is not null").select(F.col("doc_id").alias("doc"), "version").distinct())
     marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), _version().alias("version"))
-    return marked.join(gone, ["doc", "version"], "left_anti").select("row.*")
+    # Only rows that the sieve catches are shuffled.
+    sieve, caught = _sieve(s, gone.select(F.xxhash64("doc", "version").alias("key"))), _caught(F.xxhash64("doc", "version"))
+    rest = marked.join(sieve, caught, "left_semi").join(gone, ["doc", "version"], "left_anti")
+    return marked.join(sieve, caught, "left_anti").unionByName(rest).select("row.*")
 
 
 def op1_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
