@@ -2,16 +2,19 @@
 
 A parse is a row (doc_id, sent_idx, text, start, end, tokens) with tokens an array of (id, form, upos, head,
 deprel, start, end), ids from 1, head 0 for the root.  ``with_paths`` adds what all operators share: for each
-token its lower-case form, its children's ids and its ancestors from its head up, cycles cut.
+token its lower-case form, its children's ids and its ancestors from its head up, cycles cut.  The looks below say the
+same of all sentences of a block at once (see ``trees``), and give rows without nodes.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proselake.functions.text import let
+from proselake.operators.trees import Block, Trees
 
 TOKENS = "array<struct<id:int,form:string,upos:string,head:int,deprel:string,start:int,end:int>>"
 
@@ -136,16 +139,41 @@ def below(nodes: Column, t: Column, rel: str) -> Column:
     return F.filter(subtree(nodes, t), lambda o: (o["id"] != t["id"]) & is_rel(o, rel) & (F.array_position(o["anc"], t["id"]) <= o["run"]))
 
 
-def coordinated(nodes: Column, t: Column) -> Column:
-    return below(nodes, t, "conj")
+def _token_rows(b: Block, **more: pa.Array) -> pa.RecordBatch:
+    t = b.trees
+    cols = {"doc_id": b.doc_id.take(pa.array(t.sent)), "sent_idx": b.column(0, pa.int64()).take(pa.array(t.sent)), "id": pa.array(t.id, pa.int64()), **more}
+    return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
-def inherited_subjects(nodes: Column, t: Column) -> Column:
-    """Subjects of t, or else of the nearest head up a chain of conj that has some."""
-    subjects = lambda i: children_by(nodes, by_id(nodes, i), "nsubj")
-    path = F.concat(F.array(t["id"]), t["anc"])
-    ends = F.filter(path, lambda i: ~(is_rel(by_id(nodes, i), "conj") & (F.size(subjects(i)) == 0)))
-    return subjects(F.coalesce(F.get(ends, F.lit(0)), F.element_at(path, -1)))
+def chained(t: Trees, rel: str) -> tuple[np.ndarray, np.ndarray]:
+    """(top, token) for tokens that hang from a top by a chain of one relation (or its subtypes), in order."""
+    held = t.is_rel(rel)
+    return t.climbed(np.flatnonzero(held), held)
+
+
+def subjects_from(t: Trees) -> np.ndarray:
+    """For each token the one whose subjects it has: itself, or the nearest head up a chain of conj that has some."""
+    heads, _ = t.kids(t.is_rel("nsubj"))
+    goes_on = t.is_rel("conj") & (t.up >= 0)
+    goes_on[heads] = False
+    to = np.arange(len(t.head))
+    moves = np.flatnonzero(goes_on & ~t.lost)
+    while len(moves):
+        to[moves] = t.up[to[moves]]
+        moves = moves[goes_on[to[moves]]]
+    for i in np.flatnonzero(goes_on & t.lost).tolist():
+        to[i] = next((j for j in t.path(i) if not goes_on[j]), ([i, *t.path(i)])[-1])
+    return to
+
+
+CHAINS = "sent_idx long, id long, joined string, compounds string, subjects string"
+
+
+def chain_look(b: Block) -> pa.RecordBatch:
+    """Each token with what is joined to it, its compounds and its subjects, also those it takes over."""
+    t = b.trees
+    subjects = t.joined_ids(*t.kids(t.is_rel("nsubj")))
+    return _token_rows(b, joined=t.joined_ids(*chained(t, "conj")), compounds=t.joined_ids(*chained(t, "compound")), subjects=subjects.take(pa.array(subjects_from(t))))
 
 
 def is_tree(heads: list[int] | None) -> bool:
