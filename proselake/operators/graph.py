@@ -145,6 +145,22 @@ def _token_rows(b: Block, **more: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
+SUBTREES = "sent_idx long, id long, ids string, start_at long, end_at long"
+
+
+def subtree_look(b: Block) -> pa.RecordBatch:
+    """Each token with all below it and their span."""
+    t = b.trees
+    own = np.arange(len(t.head))
+    tops, below = t.climbed(own)
+    tops, below = np.append(tops, own), np.append(below, own)
+    order = np.lexsort((below, tops))
+    tops, below = tops[order], below[order]
+    begins = np.searchsorted(tops, own)
+    over = lambda f, x: f.reduceat(x[below], begins) if len(own) else own
+    return _token_rows(b, ids=t.joined_ids(tops, below), start_at=pa.array(over(np.minimum, t.start), pa.int64()), end_at=pa.array(over(np.maximum, t.end), pa.int64()))
+
+
 def chained(t: Trees, rel: str) -> tuple[np.ndarray, np.ndarray]:
     """(top, token) for tokens that hang from a top by a chain of one relation (or its subtypes), in order."""
     held = t.is_rel(rel)

@@ -56,6 +56,14 @@ def test_chains():
             want.append({"doc_id": d, "sent_idx": d, "id": i, "joined": chain(i, "conj"), "compounds": chain(i, "compound"), "subjects": ids(subjects[stop])})
     assert told(some, graph.chain_look) == want and any(" " in w["subjects"] for w in want) and any(" " in w["joined"] for w in want)
 
+def test_subtrees():
+    some, want = sentences(), []
+    for d, n in paths(some):
+        for i in n:
+            below = [i, *(o for o in n if i in n[o]["anc"])]
+            want.append({"doc_id": d, "sent_idx": d, "id": i, "ids": ids(below), "start_at": min(n[o]["start"] for o in below), "end_at": max(n[o]["end"] for o in below)})
+    assert told(some, graph.subtree_look) == want and told([[], None], graph.subtree_look) == []
+
 
 def test_parses_of_a_block_are_those_of_each_sentence():
     rng = random.Random(1)
@@ -67,7 +75,7 @@ def test_parses_of_a_block_are_those_of_each_sentence():
         assert [r for b in shallow._parsed(200, whole=whole)([batch, batch]) for r in b.to_pylist()] == want * 2
 
 
-@pytest.mark.parametrize("query", ["graph_chains"])
+@pytest.mark.parametrize("query", ["graph_chains", "graph_subtrees"])
 def test_trees_stay_in_the_pass_that_parses_them(spark, query):
     import __spark_entry__ as entry
 
