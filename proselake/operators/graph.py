@@ -145,6 +145,28 @@ def _token_rows(b: Block, **more: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
+def _at(values: pa.Array, places: np.ndarray) -> pa.Array:
+    """values at places, null where a place is -1."""
+    return values.take(pa.array(places, mask=places < 0))
+
+
+CHILDREN = "sent_idx long, id long, kids string, first_kid string, head_form string, has_subject boolean, depth long"
+
+
+def children_look(b: Block) -> pa.RecordBatch:
+    """Each token with its children, its head and how deep it lies."""
+    t = b.trees
+    heads, kids = t.kids()
+    n = len(t.head)
+    first = np.full(n, -1)
+    first[heads[::-1]] = kids[::-1]
+    has = np.zeros(n, bool)
+    has[heads[t.is_rel("nsubj")[kids]]] = True
+    _, below = t.climbed(np.arange(n))
+    depth = np.bincount(below, minlength=n)
+    return _token_rows(b, kids=t.joined_ids(heads, kids), first_kid=_at(t.form.array(), first), head_form=_at(t.form.array(), t.up), has_subject=pa.array(has), depth=pa.array(depth, pa.int64()))
+
+
 SUBTREES = "sent_idx long, id long, ids string, start_at long, end_at long"
 
 

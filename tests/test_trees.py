@@ -64,6 +64,14 @@ def test_subtrees():
             want.append({"doc_id": d, "sent_idx": d, "id": i, "ids": ids(below), "start_at": min(n[o]["start"] for o in below), "end_at": max(n[o]["end"] for o in below)})
     assert told(some, graph.subtree_look) == want and told([[], None], graph.subtree_look) == []
 
+def test_children():
+    some, want = sentences(), []
+    for d, n in paths(some):
+        for i, t in n.items():
+            head = n[t["head"]]["form"] if t["head"] in n else None
+            want.append({"doc_id": d, "sent_idx": d, "id": i, "kids": ids(t["kids"]), "first_kid": n[t["kids"][0]]["form"] if t["kids"] else None, "head_form": head, "has_subject": any(is_rel(n[k], "nsubj") for k in t["kids"]), "depth": len(t["anc"])})
+    assert told(some, graph.children_look) == want
+
 
 def test_parses_of_a_block_are_those_of_each_sentence():
     rng = random.Random(1)
@@ -75,7 +83,7 @@ def test_parses_of_a_block_are_those_of_each_sentence():
         assert [r for b in shallow._parsed(200, whole=whole)([batch, batch]) for r in b.to_pylist()] == want * 2
 
 
-@pytest.mark.parametrize("query", ["graph_chains", "graph_subtrees"])
+@pytest.mark.parametrize("query", ["graph_chains", "graph_children", "graph_subtrees"])
 def test_trees_stay_in_the_pass_that_parses_them(spark, query):
     import __spark_entry__ as entry
 
