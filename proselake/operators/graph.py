@@ -214,6 +214,18 @@ def chain_look(b: Block) -> pa.RecordBatch:
     return _token_rows(b, joined=t.joined_ids(*chained(t, "conj")), compounds=t.joined_ids(*chained(t, "compound")), subjects=subjects.take(pa.array(subjects_from(t))))
 
 
+CHECKS = "sent_idx long, root_id long, valid boolean"
+
+
+def check_look(b: Block) -> pa.RecordBatch:
+    """Each sentence with its first root, and whether its heads make one tree."""
+    t = b.trees
+    root = np.full(len(t.counts), -1)
+    roots = np.flatnonzero(t.head == 0)[::-1]
+    root[t.sent[roots]] = t.id[roots]
+    return pa.RecordBatch.from_arrays([b.doc_id, b.column(0, pa.int64()), pa.array(root, pa.int64(), mask=root < 0), pa.array(t.valid())], ["doc_id", "sent_idx", "root_id", "valid"])
+
+
 def is_tree(heads: list[int] | None) -> bool:
     """One root, heads in range, no token its own head, every token below the root."""
     n = len(heads or [])

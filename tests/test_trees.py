@@ -73,6 +73,12 @@ def test_children():
     assert told(some, graph.children_look) == want
 
 
+def test_checks():
+    some = [*sentences(), [(1, "a", "NOUN", None, "obj", 0, 1)], [(1, "a", "NOUN", -1, "obj", 0, 1), (2, "b", "NOUN", 0, "root", 2, 3)]]
+    want = [{"doc_id": d, "sent_idx": d, "root_id": next((t[0] for t in s or [] if t[3] == 0), None), "valid": graph.is_tree([t[3] for t in s or []])} for d, s in enumerate(some)]
+    assert told(some, graph.check_look) == want and 50 < sum(w["valid"] for w in want) < 250
+
+
 def test_parses_of_a_block_are_those_of_each_sentence():
     rng = random.Random(1)
     words = ["And", "and", "of", "dog", "Cat", "runs.", "quickly", "made", "3", "is", "(x)", "not", "İs", "...", "\n\n", "“Hm”", " ", "because", "it", "by", "a’b", "no!", "_x", "﻿"]
@@ -83,7 +89,7 @@ def test_parses_of_a_block_are_those_of_each_sentence():
         assert [r for b in shallow._parsed(200, whole=whole)([batch, batch]) for r in b.to_pylist()] == want * 2
 
 
-@pytest.mark.parametrize("query", ["graph_chains", "graph_children", "graph_subtrees"])
+@pytest.mark.parametrize("query", ["graph_chains", "tree_checks", "graph_children", "graph_subtrees"])
 def test_trees_stay_in_the_pass_that_parses_them(spark, query):
     import __spark_entry__ as entry
 
