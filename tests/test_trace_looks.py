@@ -65,7 +65,7 @@ def test_long_line_in_a_block():
     assert m == trace.Reader().read(shallow.parse_text(line)[0])
 
 
-@pytest.mark.parametrize("query", ["trace_findings", "moment_entities"])
+@pytest.mark.parametrize("query", ["trace_findings", "moment_entities", "reading_moments"])
 def test_parses_are_not_shuffled(spark, query):
     import __spark_entry__ as entry
 
