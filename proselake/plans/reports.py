@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from proselake.functions.text import word_array, word_count
-from proselake.operators import detect, evaluate, rules, score, vectors
+from proselake.operators import detect, evaluate, rules, score, shallow, vectors
 from proselake.plans import parses as parsed
 from proselake.plans import sql
 from proselake.plans.rules_sql import FOUND
@@ -106,11 +106,9 @@ def score_ranks(spark, sf_dir):
 
 
 def tag_vectors(spark, sf_dir):
-    p = parsed.parses(spark, sf_dir)
-    tags = lambda c: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", F.transform("tokens", lambda t: t[c]).alias("x")))), lambda s: s["x"]))
-    docs = p.groupBy("doc_id").agg(tags("deprel").alias("d"), tags("upos").alias("p"))
-    docs = docs.select("doc_id", F.concat(vectors.tag_ngrams(F.col("d"), "d"), vectors.tag_ngrams(F.col("p"), "p")).alias("terms"))
-    return vectors.tfidf(docs).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    look = vectors.tag_count_look(parsed.story_tags())
+    counted = shallow.looked(parsed.own_texts(spark, sf_dir), lambda: look, f"doc_id long, {vectors.COUNTED}", whole=True)
+    return vectors.tfidf_of(counted).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 def scaled_features(spark, sf_dir):
