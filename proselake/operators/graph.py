@@ -8,12 +8,15 @@ same of all sentences of a block at once (see ``trees``), and give rows without
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proselake.functions.text import let
+from proselake.operators import shallow
 from proselake.operators.trees import Block, Trees
 
 TOKENS = "array<struct<id:int,form:string,upos:string,head:int,deprel:string,start:int,end:int>>"
@@ -291,6 +294,73 @@ def reference_distance(pathed: DataFrame) -> DataFrame:
     return p.select("doc_id", "sent_idx", F.col("t.id").alias("id"), _distance(F.col("t.low"), F.col("t.start")).cast("long").alias("distance"))
 
 
+_LOOKS_MANY, _ARGUMENT = re.compile("(?<!ss)(?<!us)(?<!is)s$"), re.compile(ARGUMENT)
+
+
+class Offers:
+    """What sentences offer a pronoun, as ``_references`` and ``_last_fitting`` say, from block to block: for one and for many
+    whether a sentence fits, where its first fitting noun begins, and the last sentence before it in its text that fits (-1
+    where there is none)."""
+
+    def __init__(self):
+        self.no, self.last = -1, [-1, -1]
+
+    def __call__(self, b: Block) -> list[tuple[np.ndarray, np.ndarray]]:
+        t, n = b.trees, len(b.sents)
+        upos, low = t.upos.among(("NOUN", "PROPN")), t.low
+        noun = upos & t.deprel.told(lambda r: _ARGUMENT.search(r) is not None)
+        always, many = low.among(NEUTRAL_NOUNS) | t.upos.among(("PROPN",)), low.told(lambda w: _LOOKS_MANY.search(w) is not None)
+        idx = np.array([s[0] for s in b.sents], np.int64)
+        begins = np.searchsorted(b.text_no, b.text_no)  # each text's first sentence here
+        out = []
+        for k, (looks, words) in enumerate(((~many, SINGULAR), (many, PLURAL))):
+            fits = noun & (always | looks)
+            first = np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(first, t.sent[fits], t.start[fits])
+            said = np.bincount(t.sent[fits | low.among(words)], minlength=n) > 0
+            upto = np.maximum.accumulate(np.where(said, np.arange(n), -1))
+            before = np.append(-1, upto[:-1])[:n]
+            last = np.where(before >= begins, idx[before], np.where(b.text_no == self.no, self.last[k], -1))
+            out.append((first, last))
+            if n:
+                end = b.text_no[-1]
+                self.last[k] = int(idx[upto[-1]]) if upto[-1] >= begins[-1] else self.last[k] if end == self.no else -1
+        if n:
+            self.no = b.text_no[-1]
+        return out
+
+
+DISTANCES = "sent_idx long, id long, plural boolean, distance long"
+
+
+class Distances:
+    """A task's look: ``reference_distance`` of each personal pronoun within its own text, and whether it means many."""
+
+    def __init__(self):
+        self.offers = Offers()
+
+    def __call__(self, b: Block) -> pa.RecordBatch:
+        t, offers = b.trees, self.offers(b)
+        plural = t.low.among(PLURAL)
+        said = np.flatnonzero(plural | t.low.among(SINGULAR))
+        sent, plural, idx = t.sent[said], plural[said], np.array([s[0] for s in b.sents], np.int64)
+        first, last = (np.where(plural, many[sent], one[sent]) for one, many in zip(*offers, strict=True))
+        own = first < t.start[said]
+        cols = [pa.array(idx[sent]), pa.array(t.id[said], pa.int64()), pa.array(plural), pa.array(np.where(own, 0, idx[sent] - last), pa.int64(), mask=~own & (last < 0))]
+        return pa.RecordBatch.from_arrays([b.doc_id.take(pa.array(sent)), *cols], ["doc_id", "sent_idx", "id", "plural", "distance"])
+
+
+def distances_of(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, sent_idx, id, plural, distance of their shallow parses' pronouns, in the same pass."""
+    return shallow.looked(docs, Distances, f"doc_id {dict(docs.dtypes)['doc_id']}, {DISTANCES}")
+
+
+def last_fitting(pathed: DataFrame) -> DataFrame:
+    """doc_id, one, many: a document's last sentences that offer something to a pronoun."""
+    s = pathed.select("doc_id", "sent_idx", *(c.alias(k) for k, c in _references(F.col("nodes")).items()))
+    return s.groupBy("doc_id").agg(*(F.max(F.when(F.col(f"fits_{k}"), F.col("sent_idx"))).alias(k) for k in ("one", "many")))
+
+
 def hit(rule: str, toks: Column, confidence) -> Column:
     """One finding over the tokens."""
     return let(span_of(toks), lambda s: F.struct(F.lit(rule).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), (F.lit(confidence) if isinstance(confidence, str) else confidence).alias("confidence")))

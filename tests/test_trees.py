@@ -1,6 +1,7 @@
 """Looks over the trees of many sentences against their definition, token by token."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -89,9 +90,27 @@ def test_parses_of_a_block_are_those_of_each_sentence():
         assert [r for b in shallow._parsed(200, whole=whole)([batch, batch]) for r in b.to_pylist()] == want * 2
 
 
+PARTS = ["It ran.", "The dog saw cats.", "They slept.", "Its data grew", "Alpha knew them.", "Then?", "On it.", "A team, people and gas walked.", "\n\n"]
+
+
+def pronouns(seed=5, n=80):
+    rng = random.Random(seed)
+    return [(d, " ".join(rng.choice(PARTS) for _ in range(rng.randint(0, 12)))) for d in range(n)]
+
+
+@pytest.mark.parametrize("most", [5, 40, 10_000])
+def test_distances(spark, most):
+    docs = pronouns()
+    want = graph.reference_distance(graph.with_paths(shallow.parses(spark.createDataFrame(docs, "doc_id long, text string"))))
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    got = [(r["doc_id"], r["sent_idx"], r["id"], r["distance"]) for b in shallow._parsed(most, graph.Distances)([batch]) for r in b.to_pylist()]
+    assert got == sorted(map(tuple, want.collect())) and {None, 0, 1, 2} <= {g[3] for g in got}
+
+
 @pytest.mark.parametrize("query", ["graph_chains", "tree_checks", "graph_children", "graph_subtrees"])
 def test_trees_stay_in_the_pass_that_parses_them(spark, query):
     import __spark_entry__ as entry
 
     plan = entry.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 2 and "ArrowEvalPython" not in plan  # one of the stories, one of the texts
+    passes = re.findall(r"MapInArrow \w+\(doc_id#\w+, text#\w+\).*", plan)
+    assert len(passes) == 1 and "tokens" not in passes[0]
