@@ -435,6 +435,19 @@ def _first_id(nodes: Column, t: Column) -> Column:
     return F.array_min(F.transform(subtree(nodes, t), lambda o: o["id"]))
 
 
+def signs(pathed: DataFrame, *more: str) -> DataFrame:
+    """pathed -> doc_id, sent_idx, start, end and what each sentence's own tree finds: all that the rules need of it."""
+    n = F.col("nodes")
+    words = F.size(F.filter(n, lambda t: ~t["upos"].isin("PUNCT", "SYM")))
+    found = {"own": sentence_rules(n, F.col("text"), words), "passive": _passive(n), "bare": F.coalesce(_opens_bare(n), F.lit(False)), **_references(n)}
+    return pathed.select("doc_id", "sent_idx", "start", "end", *more, *(c.alias(k) for k, c in found.items()))
+
+
+def placed_signs(parses: DataFrame) -> DataFrame:
+    """``signs`` of all sentences, with the last before each that fit a pronoun (one, many)."""
+    return signs(with_paths(parses)).withColumns(_last_fitting())
+
+
 def graph_findings(parses: DataFrame) -> DataFrame:
     """parses -> doc_id, sent_idx, rule, start, end, confidence of all graph rules.
 
@@ -442,13 +455,14 @@ def graph_findings(parses: DataFrame) -> DataFrame:
     back for what a pronoun means; three sentences in a row that open with a bare pronoun make one finding.
     Nodes are looked at once; only what the sentences found goes by document, in one shuffle.
     """
-    n = F.col("nodes")
-    words = F.size(F.filter(n, lambda t: ~t["upos"].isin("PUNCT", "SYM")))
-    found = {"own": sentence_rules(n, F.col("text"), words), "passive": _passive(n), "bare": F.coalesce(_opens_bare(n), F.lit(False)), **_references(n)}
-    s = with_paths(parses).select("doc_id", "sent_idx", "start", "end", *(c.alias(k) for k, c in found.items()))
+    return judged(placed_signs(parses))
+
+
+def judged(s: DataFrame) -> DataFrame:
+    """Findings from ``placed_signs``; sentences without any sign may be left out."""
     counted = {"negative-parallelism": "n_contrasts", "dramatic-fragment": "n_fragments"}
     every = Window.partitionBy("doc_id")
-    s = s.withColumns(_last_fitting() | _bare_island() | {k: F.sum(F.size(F.filter("own", lambda f: f["rule"] == rule))).over(every) for rule, k in counted.items()})  # noqa: B023
+    s = s.withColumns(_bare_island() | {k: F.sum(F.coalesce(F.size(F.filter("own", lambda f: f["rule"] == rule)), F.lit(0))).over(every) for rule, k in counted.items()})  # noqa: B023
     s = s.withColumns(_bare_run())
     many = lambda f: F.coalesce(*(F.when(f["rule"] == rule, F.col(k) >= 2) for rule, k in counted.items()), F.lit(False))
     as_hit = lambda rule, start, end, grade: F.struct(F.lit(rule).alias("rule"), start.alias("start"), end.alias("end"), grade.alias("confidence"))
@@ -461,6 +475,64 @@ def graph_findings(parses: DataFrame) -> DataFrame:
     return s.select("doc_id", "sent_idx", F.explode_outer(rows).alias("f")).where("f is not null").select("doc_id", "sent_idx", "f.*")
 
 
+SIGNS = f"sent_idx int, start int, end int, text string, tokens {TOKENS}, one int, many int"
+
+
+def may_find(t: Trees, n_sents: int) -> np.ndarray:
+    """Sentences in which ``sentence_rules`` or ``_passive`` may find something, by what each rule can't do without."""
+    upos, low, form = t.upos.among, t.low.among, t.form
+    here = lambda which: np.bincount(t.sent[which], minlength=n_sents)
+    both = lambda a, b: (here(a) > 0) & (here(b) > 0)
+    above = np.append(np.arange(len(t.head)), 0)[t.up] if len(t.head) else t.up
+    has_up, verb, conj = t.up >= 0, upos(("VERB",)), t.is_rel("conj")
+    rel = lambda *names: t.deprel.among(names)
+    adj, root = upos(("ADJ",)), t.head == 0
+    joined = np.bincount(t.up[conj & has_up], minlength=len(t.head))
+    word = ~upos(("PUNCT", "SYM"))
+    places = np.flatnonzero(word)
+    lead = places[np.unique(t.sent[places], return_index=True)[1]]
+    leads, firsts = np.zeros(len(t.head), bool), t.id == 1
+    leads[lead] = True
+    parts = [
+        here(upos(("ADJ", "ADV")) & rel("amod", "advmod", "root", "conj") & (joined >= 2)) > 0,
+        both(rel("conj"), low(("but",))) & both(low(("not", "neither")), low(PARALLEL)),
+        here(verb & rel("advcl", "acl") & low(EDITORIAL)) > 0,
+        both(verb & low(COPULA), low(("as",))),
+        both(verb & low(LIGHT), low(ROLES)),
+        both(adj & low(IMPORTANT), low(("it",))),
+        here(root & upos(("NOUN",)) & low(SETUP)) > 0,
+        here(rel("advmod") & low(SOFTENERS) & has_up & adj[above]) > 0,
+        here(t.is_rel("compound")) >= 3,
+        both(verb & low(LIGHT_VERBS), low(DEVERBAL)),
+        both(low(HEDGE_VERBS), low(HEDGE_MODALS)),
+        (here(word) <= 4) & (here(leads & low(TRANSITION_LEADS)) > 0) & (here(root & ~upos(("VERB", "AUX"))) > 0),
+        here(firsts & low(WH) & has_up & verb[above] & root[above]) > 0,
+        here(t.is_rel("nsubj") & upos(("PRON",)) & low(BACK_REFERENCES) & has_up & rel("conj", "parataxis")[above]) > 0,
+        here(rel("nsubj:pass") & has_up & verb[above]) > 0,
+    ]
+    bare = here(leads & low(BARE) & (t.is_rel("nsubj") | rel("expl"))) > 0
+    return np.logical_or.reduce([*parts, bare])
+
+
+class Signs:
+    """A task's look: the sentences in which a rule may find something, and the last before each that fit a pronoun."""
+
+    def __init__(self):
+        self.offers = Offers()
+
+    def __call__(self, b: Block) -> pa.RecordBatch:
+        offers, some = self.offers(b), np.flatnonzero(may_find(b.trees, len(b.sents)))
+        rows = shallow._as_rows(b).take(pa.array(some))
+        last = [pa.array(x[some], pa.int32(), mask=x[some] < 0) for _, x in offers]
+        names = ["doc_id", "sent_idx", "start", "end", "text", "tokens"]
+        return pa.RecordBatch.from_arrays([rows.column(k) for k in names] + last, [*names, "one", "many"])
+
+
+def signs_of(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> sentences of their shallow parses that may have a sign, found in the pass that parses them."""
+    return shallow.looked(docs, Signs, f"doc_id {dict(docs.dtypes)['doc_id']}, {SIGNS}")
+
+
 def _passive(n: Column) -> Column:
     """Passives without an agent: (verb, subject, at: the subject's start, span)."""
     subject = lambda v: F.get(those(n, v, lambda c: (c["deprel"] == "nsubj:pass")), F.lit(0))

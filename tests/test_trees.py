@@ -107,6 +107,44 @@ def test_distances(spark, most):
     assert got == sorted(map(tuple, want.collect())) and {None, 0, 1, 2} <= {g[3] for g in got}
 
 
+SPOKEN = """It and they fast clean small and smart cheap but not only also , highlighting serves as symbol role plays vital important to note is thing that
+matters quite large made decision might seem team for Then Not What drives cost . . was rejected by staff listed This compound""".split()
+TAGS = ["ADJ", "ADV", "NOUN", "PROPN", "VERB", "AUX", "PUNCT", "PRON"]
+ARCS = ["amod", "advmod", "root", "conj", "cc", "advcl", "acl", "obl", "obj", "nsubj", "nsubj:pass", "aux:pass", "aux", "cop", "case", "xcomp", "compound", "expl", "parataxis", "acl:relcl"]
+
+
+def test_rules_find_only_where_they_may(spark):
+    from proselake.plans.parses import rows
+
+    rng, some = random.Random(8), []
+    for _, _, _, _, _, toks in rows():
+        some.append(toks)
+        for _ in range(60):  # near misses and hits: stories with a word, a tag or an arc changed
+            changed = [list(t) for t in toks]
+            for _ in range(rng.randint(0, 2)):
+                t = rng.choice(changed)
+                k = rng.choice([1, 2, 3, 4])
+                t[k] = rng.choice({1: SPOKEN, 2: TAGS, 3: range(len(toks) + 1), 4: ARCS}[k])
+            some.append([tuple(t) for t in changed])
+    for _ in range(600):
+        n = rng.randint(1, 9)
+        some.append([(i, rng.choice(SPOKEN), rng.choice(TAGS), rng.randint(0, n), rng.choice(ARCS), 2 * i, 2 * i + 1) for i in range(1, n + 1)])
+    p = spark.createDataFrame([(i, i, 0, 99, "A.", s) for i, s in enumerate(some)], f"doc_id long, sent_idx int, start int, end int, text string, tokens {graph.TOKENS}")
+    found = graph.signs(graph.with_paths(p)).where("size(own) > 0 or size(passive) > 0 or bare").select("doc_id", "own.rule", "passive").collect()
+    tokens = pa.array([[dict(zip(shallow._TOKEN_FIELDS, t, strict=True)) for t in s] for s in some], shallow._TREE)
+    may = graph.may_find(trees.Trees.of(tokens), len(some))
+    assert all(may[r.doc_id] for r in found) and not may.all()
+    assert {x for r in found for x in r.rule} | {"passive" for r in found if r.passive} == {"rule-of-three", "negative-parallelism", "participial-appendage", "copula-avoidance", "light-verb-role", "throat-clearing", "setup-fragment", "qualifier-softener", "stacked-nouns", "nominalization", "hedge-opener", "dramatic-fragment", "wh-fragment", "agentless-opener", "passive"}
+
+
+def test_findings_with_few_sentences(spark):
+    docs = spark.createDataFrame([(d, t + " It was made. Then on. It walked. They rested. It ended. For it.") for d, t in pronouns(n=30)], "doc_id long, text string")
+    signs = graph.signs(graph.with_paths(graph.signs_of(docs)), "one", "many")
+    want = sorted(map(tuple, graph.graph_findings(shallow.parses(docs)).collect()))
+    assert sorted(map(tuple, graph.judged(signs).collect())) == want and signs.count() < shallow.parses(docs).count()
+    assert {w[2] for w in want} == {"dramatic-fragment", "referential-compression"}
+
+
 @pytest.mark.parametrize("query", ["graph_chains", "tree_checks", "graph_children", "graph_subtrees"])
 def test_trees_stay_in_the_pass_that_parses_them(spark, query):
     import __spark_entry__ as entry
