@@ -40,6 +40,17 @@ def test_moments_of_blocks(most):
     assert rows == [{"doc_id": d, "sentence": m["sentence"], **{k: len(m[k]) for k in lists}, "load": m["load"]} for d, m in want]
 
 
+@pytest.mark.parametrize("most", [1, 60, 5_000, 1_000_000])
+def test_loads_of_blocks(most):
+    from proselake.plans.traces import LEADS
+
+    line = "".join(f"x{i}o " for i in range(30)) + " ".join(f"and walked h{i % 7}o" for i in range(25)) + "."
+    some = [*LEADS, *texts(), line, f"{line} {line} It rained. It rained. {line} In short, it rained. {line}"]
+    rows = [r for b in shallow._parsed(most, trace.Loads, whole=True)([batch(some), batch(some[:2]), batch([None])]) for r in b.to_pylist()]
+    want = [{"doc_id": d, **{k: len(m[k]) if k in trace.Loads.SIZED else m[k] for k in trace.Loads.ONLY}} for part in (some, some[:2]) for d, m in plain(part)]
+    assert rows == want
+
+
 @pytest.mark.parametrize("most", [60, 5_000])
 def test_things_of_blocks(most):
     some = texts()
